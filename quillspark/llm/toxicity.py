@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import prepare, texts
+from quillspark.llm.common import labelled_sample, prepare, remainder, texts
 
 WORD = re.compile(r"\w+").findall
 #: Rows of the embedding table and numbers in each; the model's size is fixed by them.
@@ -120,18 +120,6 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, steps:
     return SubwordModel((table @ out).astype(np.float32), float(bias))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep, rows: int) -> DataFrame:
-    """At most rows labelled documents of each class, in an order that hashes fix; doc_id, y, text. The ids are broadcast: 2 x rows at most."""
-    usable = labels.select("doc_id", F.col(label).cast("int").alias("y")).filter(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1)).filter(keep)
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    picked = usable.filter("y = 1").orderBy(*order).limit(rows).unionByName(usable.filter("y = 0").orderBy(*order).limit(rows))
-    return texts(docs.select("doc_id", "text")).join(F.broadcast(picked), "doc_id").select("doc_id", "y", "text")
-
-
-def remainder(column, divisor: int):
-    return F.crc32(column.cast("string").cast("binary")) % divisor
-
-
 def fit(docs: DataFrame, labels: DataFrame, keep, rows: int = TRAIN_ROWS) -> SubwordModel:
     """Bags are made where the texts are; the driver gets at most TRAIN_ENTRIES of their entries, partition by partition."""
     sample = labelled_sample(docs, labels, "toxic", keep, rows)
