@@ -153,8 +153,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int
     shared = spark.broadcast((model.values, model.bias))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = SubwordModel.__new__(SubwordModel)
-        (own.values, own.bias), own.known = shared.value, {}
+        own = SubwordModel(*shared.value)
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"].array, "score": [own.score(x) for x in batch["text"]]})
 
@@ -165,3 +164,18 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int
         "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, rows: int = TRAIN_ROWS) -> DataFrame:
+    """The rows of docs that aren't predicted toxic, with their columns. Trained as score_toxicity() is; texts stay where they are."""
+    spark = prepare(docs.sparkSession).sparkContext
+    model = fit(docs, labels, remainder(F.col("doc_id"), folds) != held, rows)
+    shared = spark.broadcast((model.values, model.bias))
+
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own = SubwordModel(*shared.value)
+        for batch in batches:
+            yield pd.Series([own.score(x) for x in batch])
+
+    return docs.filter(score(F.coalesce(F.col("text"), F.lit(""))) < 0.5)
