@@ -1,23 +1,15 @@
-"""The queries over the reference-shaped operators, with their SQL twins."""
+"""The queries over the review operators, with their SQL twins."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from quillspark.plans import queries as _plans
 
-from pyspark.sql import DataFrame, SparkSession
+FLAGSHIP = _plans.QUERIES["g10_agreement"]
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
 
-
-def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
-
-
-def queries() -> dict[str, Query]:
-    return _QUERIES
+def queries() -> dict:
+    return dict(_plans.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return _SQL
+    return dict(_plans.SQL)

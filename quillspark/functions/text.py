@@ -98,11 +98,12 @@ def content_words(x, least: int = 4) -> Column:
 
 
 def grams(words: Column, n: int) -> Column:
-    """N neighbouring words, joined by a blank."""
-    return F.when(
-        F.size(words) >= n,
-        F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " ")),
-    ).otherwise(F.array().cast("array<string>"))
+    """N neighbouring words, joined by a blank. Shifted copies are zipped, so words are read n times, not once a gram."""
+    count = F.greatest(F.size(words) - n + 1, F.lit(0))
+    out = F.slice(words, F.lit(1), count)
+    for k in range(1, n):
+        out = F.zip_with(out, F.slice(words, F.lit(k + 1), count), lambda x, y: F.concat(x, F.lit(" "), y))
+    return out
 
 
 def overlap(a: Column, b: Column) -> Column:

@@ -8,7 +8,10 @@ import zipfile
 from pathlib import Path
 from xml.sax.saxutils import escape
 
-import yaml
+try:
+    import yaml
+except ImportError:  # only the YAML readers and writers need it
+    yaml = None
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
