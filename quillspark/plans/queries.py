@@ -261,7 +261,7 @@ LEXICAL = f"""d AS (SELECT chunk_id, term, count(*) AS tf FROM (SELECT doc_id AS
 
 def _lexical(spark, sf):
     q = R.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return J.lexical_scores(q, R.table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text"))
+    return J.lexical_scores(q, R.spread(R.table(spark, sf, "documents")).select(F.col("doc_id").alias("chunk_id"), "text"))
 
 
 @query(f"WITH {LEXICAL}, r AS (SELECT query_id, chunk_id, round(score, 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 4) DESC, chunk_id DESC) AS rank FROM s) SELECT * FROM r WHERE rank <= 4")
@@ -357,7 +357,7 @@ def g19_recall_at_k(spark, sf):
     scored = _lexical(spark, sf).withColumn("score", F.round("score", 4)).withColumnRenamed("chunk_id", "item_id")
     ranked = A.top_with_rest(scored, ["query_id"], [F.col("score").desc(), F.col("item_id").desc()], 12)
     items = R.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("start"))
-    gold = R.table(spark, sf, "documents").join(J.small(items), F.contains("text", "start")).select("query_id", F.col("doc_id").alias("item_id"))
+    gold = R.spread(R.table(spark, sf, "documents")).join(J.small(items), F.contains("text", "start")).select("query_id", F.col("doc_id").alias("item_id"))
     return A.recall_at(ranked, gold, 12)
 
 
@@ -404,21 +404,21 @@ def b16_evaluators(spark, sf):
  CASE WHEN length(text) > 32 THEN substr(text, 1, 29) || '...' ELSE text END AS shortened FROM documents""")
 def j01_folds(spark, sf):
     t = F.col("text")
-    return R.table(spark, sf, "documents").select("doc_id", T.fold(t).alias("folded"), T.loose(t).alias("loose"), T.searchable(t).alias("searchable"), T.shortened(t).alias("shortened"))
+    return R.spread(R.table(spark, sf, "documents")).select("doc_id", T.fold(t).alias("folded"), T.loose(t).alias("loose"), T.searchable(t).alias("searchable"), T.shortened(t).alias("shortened"))
 
 
 @query(f"""WITH t AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[a-z][a-z0-9\\-]{{2,}}'), lambda x: x NOT IN ({STOP})) AS w, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]{{3,}}'), lambda x: x NOT IN ({CONCEPT}))) AS c FROM documents)
  SELECT doc_id, len(w) AS n_terms, len(c) AS n_concepts FROM t""")
 def j15_tokens(spark, sf):
     t = F.col("text")
-    return R.table(spark, sf, "documents").select("doc_id", F.size(T.terms(t)).alias("n_terms"), F.size(T.concepts(t)).alias("n_concepts"))
+    return R.spread(R.table(spark, sf, "documents")).select("doc_id", F.size(T.terms(t)).alias("n_terms"), F.size(T.concepts(t)).alias("n_concepts"))
 
 
 @query(f"""WITH t AS (SELECT doc_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]{{3,}}'), lambda x: x NOT IN ({CONCEPT}))) AS c FROM documents),
  p AS (SELECT a.doc_id, a.c AS a, b.c AS b FROM t a JOIN t b ON b.doc_id = a.doc_id + 1)
  SELECT doc_id, round(CASE WHEN least(len(a), len(b)) > 0 THEN len(list_intersect(a, b)) / least(len(a), len(b)) ELSE 0 END, 6) AS overlap, round(CASE WHEN len(a) + len(b) > 0 THEN len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) ELSE 0 END, 6) AS jaccard FROM p""")
 def j19_similarities(spark, sf):
-    t = R.table(spark, sf, "documents").select("doc_id", T.concepts(F.col("text")).alias("c"))
+    t = R.spread(R.table(spark, sf, "documents")).select("doc_id", T.concepts(F.col("text")).alias("c"))
     p = t.select("doc_id", F.col("c").alias("a")).join(t.select((F.col("doc_id") - 1).alias("doc_id"), F.col("c").alias("b")), "doc_id")
     return p.select("doc_id", F.round(T.overlap(F.col("a"), F.col("b")), 6).alias("overlap"), F.round(T.jaccard(F.col("a"), F.col("b")), 6).alias("jaccard"))
 
@@ -455,13 +455,13 @@ def j33_claims_and_states(spark, sf):
 
 @query("SELECT doc_id, sha256(source || chr(0) || lang || chr(0) || text) AS key FROM documents")
 def n03_cache_keys(spark, sf):
-    return R.table(spark, sf, "documents").select("doc_id", T.cache_key("source", "lang", "text").alias("key"))
+    return R.spread(R.table(spark, sf, "documents")).select("doc_id", T.cache_key("source", "lang", "text").alias("key"))
 
 
 @query("SELECT doc_id, regexp_matches(text, '(?i)\\b(?:every|each|all|any|no)\\s+\\w+') AS universal, regexp_matches(text, '(?i)\\bset to\\b|=\\s*[-+]?\\d') AS assigned FROM documents")
 def e07_predicates(spark, sf):
     t = F.col("text")
-    return R.table(spark, sf, "documents").select("doc_id", t.rlike(T.UNIVERSAL).alias("universal"), t.rlike(r"(?i)\bset to\b|=\s*[-+]?\d").alias("assigned"))
+    return R.spread(R.table(spark, sf, "documents")).select("doc_id", t.rlike(T.UNIVERSAL).alias("universal"), t.rlike(r"(?i)\bset to\b|=\s*[-+]?\d").alias("assigned"))
 
 
 @query("""WITH q AS (SELECT doc_id, lower(trim(regexp_replace(substr(text, 20, 60), '\\s+', ' ', 'g'))) AS quote, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS passage FROM documents)
@@ -469,7 +469,7 @@ def e07_predicates(spark, sf):
 def e11_quotes(spark, sf):
     from quillspark.plans.review import quote_check
 
-    rows = R.table(spark, sf, "documents").select("doc_id", F.substring("text", 20, 60).alias("quote"), F.col("text").alias("passage"))
+    rows = R.spread(R.table(spark, sf, "documents")).select("doc_id", F.substring("text", 20, 60).alias("quote"), F.col("text").alias("passage"))
     return quote_check(rows).select("doc_id", "quoted")
 
 

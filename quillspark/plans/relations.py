@@ -20,8 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A small file is one split and would keep one core busy; where splits are fewer than half of the cores, rows are dealt out."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("slug"), "text")
+    return spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("slug"), "text"))
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
