@@ -3,8 +3,9 @@
 Each document is its ids and an end id. What is longer than a sequence is cut into whole sequences from the
 end, so that only its first piece, the rest, needs a partner. The rests are dealt over partitions and packed
 by best-fit decreasing. Dual feasible functions give every partition a number of bins that no packing of
-its rests can beat; a partition that reaches it is certified. A partition with a gap gives up the documents
-of its bins that aren't full; these meet those of other partitions, and best-fit decreasing runs again.
+its rests can beat; a partition that reaches it is certified, and gives up its emptiest bin only. A partition
+with a gap gives up the documents of all its bins that aren't full. What was given up meets that of other
+partitions, and best-fit decreasing runs again.
 """
 
 from __future__ import annotations
@@ -114,7 +115,8 @@ def _pack_group(capacity: int, final: bool):
         sizes = rows["size"].to_numpy(np.int64)
         bins, places, filled = best_fit_decreasing(sizes, capacity)
         gap = len(filled) - lower_bound(sizes, capacity)
-        given = (filled[bins] < capacity) if gap > 0 and not final else np.zeros(len(rows), bool)
+        # a certified partition still gives up its emptiest bin: several such bins may share fewer sequences
+        given = np.zeros(len(rows), bool) if final else (filled[bins] < capacity) & ((gap > 0) | (bins == filled.argmin()))
         return pd.DataFrame({"row": rows["row"].to_numpy(), "size": sizes, "grp": rows["grp"].to_numpy(), "bin": bins, "place": places, "gap": gap, "given": given})
 
     return pack

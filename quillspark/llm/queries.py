@@ -18,7 +18,9 @@ def query(f):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A small file is one split and would keep one core busy; where splits are fewer than half of the cores, rows are dealt out."""
+    df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores and name != "labels" else df
 
 
 @query
