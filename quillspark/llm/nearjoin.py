@@ -244,3 +244,17 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     keyed = docs.withColumn("_text_key", F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))))
     kept = keyed.join(reps.distinct(), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")))
     return kept.dropDuplicates(["doc_id", "_text_key"]).select(*docs.columns)
+
+
+#: DuckDB's way: every pair that shares an n-gram, then all that links lead to. Blank texts are equal to each other.
+ORACLE = """
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN ['  '] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+      ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END) AS gram FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM g x JOIN g y USING (gram) WHERE x.doc_id <> y.doc_id GROUP BY ALL),
+p AS (SELECT a, b, c = na.n AND c = nb.n AS same FROM c JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 10 * c >= 8 * (na.n + nb.n - c)),
+r(id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.id, p.b FROM r JOIN p ON r.root = p.a)
+SELECT d.doc_id, (SELECT min(root) FROM r WHERE r.id = d.doc_id) AS class_id, (SELECT count(*) FROM p WHERE p.a = d.doc_id) AS n_links,
+       (SELECT count(*) FROM p WHERE p.a = d.doc_id AND same) AS n_copies FROM documents d
+"""

@@ -74,3 +74,6 @@ def op6_improbable_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearjoin.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_copies")
+
+
+ORACLE_SQL["op9_jaccard_join"] = nearjoin.ORACLE
