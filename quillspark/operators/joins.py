@@ -104,11 +104,12 @@ def longest_alias(names: DataFrame, aliases: DataFrame) -> DataFrame:
 
 def lexical_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     """Sum over shared terms of idf times the lesser count, idf = sqrt(N / (1 + df)); an equi join on terms."""
-    d = chunks.select("chunk_id", F.explode(T.terms(F.col("text"))).alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
+    q = queries.select("query_id", F.explode(T.terms(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
+    # only terms that are asked for are counted, so the shuffle follows the queries' vocabulary
+    asked = chunks.select("chunk_id", F.explode(T.terms(F.col("text"))).alias("term")).join(q.select("term").distinct(), "term", "left_semi")
+    d = asked.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
     total = chunks.agg(F.count("*").alias("n"))
     idf = d.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(total)).select("term", F.sqrt(F.col("n") / (F.col("df") + 1)).alias("idf"))
-    q = queries.select("query_id", F.explode(T.terms(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
-    # queries' terms first: only chunks' terms that are asked for go on
     return q.join(idf, "term").join(d, "term").groupBy("query_id", "chunk_id").agg(F.sum(F.col("idf") * F.least("qf", "tf")).alias("score"))
 
 
