@@ -66,10 +66,12 @@ def dedupe_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     Lines are compared without blanks and tabs at their ends; blank lines are never removed. A null text is
     kept null with 0 lines; an empty one has 1 blank line. A null source is no site. Rows that repeat one
     document share what is removed. Ties in doc_id are ordered by the text's MD5. An empty table gives no
-    rows. Further columns pass through. Only line hashes are shuffled for counting; texts are shuffled once,
+    rows. Further columns pass through, but for
+    ones named n_lines or n_removed, which are replaced. Only line hashes are shuffled for counting; texts are shuffled once,
     to meet the positions to remove.
     """
     prepare(docs.sparkSession)
+    docs = docs.drop("n_lines", "n_removed")
     base = docs.select("*", F.unhex(F.md5(F.col("text").cast("binary"))).alias("_text_key"))
     rows = line_rows(docs.filter(F.col("text").isNotNull()))
     found = boilerplate(rows, min_sites)

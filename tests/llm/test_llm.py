@@ -175,6 +175,22 @@ def test_lines_against_sql_and_counts(spark, odd, none):
     assert lines.dedupe_lines(odd).columns == [*SCHEMA.replace(" long", "").replace(" string", "").split(", "), "n_lines", "n_removed"]
 
 
+CLASHING = "row u n sig size grp bin place root count block pos line line_key key score bits kept held_out predicted n_lines n_removed class_id rep v m a b words".split()
+
+
+def test_columns_of_clashing_names_do_no_harm(spark):
+    texts = [*prose(22, 30), None, ""]
+    docs = documents(spark, texts).select("*", *[F.lit("odd").alias(c) for c in CLASHING])
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(30)], "doc_id long, quality int, toxic int").withColumn("text", F.lit("odd"))
+    n = len(texts)
+    assert lines.dedupe_lines(docs).select("n_lines").distinct().count() == 2
+    assert nearjoin.near_duplicates(docs).count() == n and nearjoin.keep_one(docs).columns == docs.columns
+    assert packing.pack_documents(docs).count() == n and tokens.count_tokens(docs).count() == n and tokens.encode_documents(docs).count() == n
+    assert perplexity.quality_rules(docs).count() == n and perplexity.keep_good(docs).columns == docs.columns
+    assert quality.score_quality(docs, labels).count() == n and toxicity.keep_clean(docs, labels).columns == docs.columns
+    assert fingerprint.fingerprint_edits(docs).count() == n
+
+
 def test_line_spread_near_the_threshold_is_exact(spark):
     rows = [(k, "common line", "en", f"s{k}", 0, "") for k in range(9)] + [(100 + k, "wide line", "en", f"s{k}", 0, "") for k in range(10)]
     got = lines.dedupe_lines(spark.createDataFrame(rows, SCHEMA), min_sites=10)
