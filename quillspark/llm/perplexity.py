@@ -22,8 +22,8 @@ from quillspark.llm.common import materialise, prepare, texts
 #: Symbols and n-gram length: 64 ** 4 n-grams, 16.8 million, bound the model (12 bytes each) and what the driver gathers.
 SYMBOLS, ORDER = 64, 4
 #: Bands: so many robust deviations below and above the language's median. The deviation of a text of n symbols
-#: is taken to fall as 1 / sqrt(n), down to that of STEADY symbols.
-BELOW, ABOVE, STEADY = 5.0, 5.0, 8192
+#: is taken to fall as 1 / sqrt(n), down to that of STEADY symbols. The README has what 3 to 5 deviations keep and lose.
+BELOW, ABOVE, STEADY = 4.0, 4.0, 8192
 #: Base rules: fewest words, and the share of words in repeated 5-word windows, in percent.
 LEAST_WORDS, MOST_REPEATED = 10, 20
 #: So many languages' bands are broadcast at most (under 1 MB); more are joined by shuffle.

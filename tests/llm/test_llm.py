@@ -304,6 +304,14 @@ def test_rules_equal_a_plain_count_and_verdicts_hold(spark, odd, none):
     assert perplexity.keep_good(documents(spark, noisy)).count() == sum(r["kept"] for r in out.values())
 
 
+def test_band_of_four_deviations(spark):
+    cases = [(k, 0, 100) for k in (-4.2, -3.8, 3.8, 4.2)]
+    m = "named_struct('bits', 2 + k * 0.5 / sqrt(n), 'n_symbols_all', n, 'n_words', 50L, 'n_repeat_words', 0L)"
+    measured = spark.createDataFrame(cases, "k double, lang string, n long").selectExpr("k", "'en' AS lang", f"{m} AS _m")
+    limits = spark.createDataFrame([("en", 2.0, 0.5)], "_lang string, _middle double, _width double")
+    assert [r["_kept"] for r in perplexity.judged(measured, limits).orderBy("k").collect()] == [False, True, True, False]
+
+
 # 1 and 8: classifiers
 
 
