@@ -92,11 +92,13 @@ def number_range(first: Column, last: Column, most: int = 200) -> Column:
     return F.when(fits, F.transform(F.sequence(a, F.greatest(a, b)), lambda n: F.concat(stem, n.cast("string")))).otherwise(F.array(first, last))
 
 
+#: Members that a range is written out to, past its first.
+MOST_RUN = 200
 PLACE = re.compile(r"(?:\b(section|appendix|annex|table|figure|chapter|clause)s?\s+|§+\s*)([A-Z]\b|\d+(?:\.\d+)*)(?:\s*(?:-|–|to)\s*([A-Z]\b|\d+(?:\.\d+)*))?((?:\s*(?:,|and|&)\s*(?:[A-Z]\b|\d+(?:\.\d+)*))*)", re.IGNORECASE)
 
 
 def places_of(target: str | None) -> list[tuple[str, str]]:
-    """The (kind, number) that a pointer names, ranges and lists written out."""
+    """The (kind, number) that a pointer names, ranges and lists written out; of a range over MOST_RUN or backwards, both ends."""
     out: list[tuple[str, str]] = []
     for m in PLACE.finditer(target or ""):
         kind, first, last = (m[1] or "section").lower(), m[2], m[3]
@@ -105,7 +107,7 @@ def places_of(target: str | None) -> list[tuple[str, str]]:
             a, b = re.match(r"(.*?)([A-Z]|\d+)$", first), re.match(r"(.*?)([A-Z]|\d+)$", last)
             if a and b and a[1] == b[1] and a[2].isdigit() == b[2].isdigit():
                 low, high = (int(a[2]), int(b[2])) if a[2].isdigit() else (ord(a[2]), ord(b[2]))
-                own = [a[1] + (str(k) if a[2].isdigit() else chr(k)) for k in range(low, min(high, low + 200) + 1)] or [first]
+                own = [a[1] + (str(k) if a[2].isdigit() else chr(k)) for k in range(low, high + 1)] if low <= high <= low + MOST_RUN else [first, last]
             else:
                 own = [first, last]
         own += re.findall(r"(?:,|and|&)\s*([A-Z]\b|\d+(?:\.\d+)*)", m[4] or "", re.IGNORECASE)
@@ -205,19 +207,24 @@ def subject_key(x: Column) -> Column:
     return F.when(stem.rlike("[^s]s$"), F.regexp_replace(stem, "s$", "")).otherwise(stem)
 
 
+#: Claims of a block; a group's blocks meet two by two.
+BLOCK = 400
+
+
 def claim_pairs(claims: DataFrame, most: int = 12) -> DataFrame:
     """(id, slug, subject, predicate, start): pairs in groups of one subject, the most unlike predicates first, most pairs a group.
 
-    A subject's claims are one document's; groups over 400 claims are compared with their neighbours by start only, and say so.
+    Every pair of a group counts, at any size: claims are cut into blocks of BLOCK and met block by block, each task keeping only
+    its own top pairs. partial is false in every row.
     """
     keyed = claims.withColumn("key", subject_key(F.col("subject"))).withColumn("n", F.count("*").over(W.partitionBy("slug", subject_key(F.col("subject")))))
     keyed = keyed.filter("n >= 2").withColumn("r", F.row_number().over(W.partitionBy("slug", "key").orderBy("start", "id")))
-    a = keyed.select("slug", "key", "n", F.col("r").alias("ra"), F.col("id").alias("a"), F.col("start").alias("sa"), T.concepts(F.col("predicate")).alias("wa"))
-    b = keyed.select("slug", "key", F.col("r").alias("rb"), F.col("id").alias("b"), F.col("start").alias("sb"), T.concepts(F.col("predicate")).alias("wb"))
-    near = (F.col("n") <= 400) | (F.col("rb") - F.col("ra") <= 20)
-    pairs = a.join(b, ["slug", "key"]).filter((F.col("ra") < F.col("rb")) & (F.col("sa") != F.col("sb")) & near)
+    block = F.floor((F.col("r") - 1) / BLOCK)
+    a = keyed.select("slug", "key", F.col("r").alias("ra"), F.col("id").alias("a"), F.col("start").alias("sa"), T.concepts(F.col("predicate")).alias("wa"), block.alias("ba"), F.explode(F.sequence(block, F.floor((F.col("n") - 1) / BLOCK))).alias("bb"))
+    b = keyed.select("slug", "key", F.col("r").alias("rb"), F.col("id").alias("b"), F.col("start").alias("sb"), T.concepts(F.col("predicate")).alias("wb"), block.alias("bb"), F.explode(F.sequence(F.lit(0).cast("long"), block)).alias("ba"))
+    pairs = a.join(b, ["slug", "key", "ba", "bb"]).filter((F.col("ra") < F.col("rb")) & (F.col("sa") != F.col("sb")))
     order = W.partitionBy("slug", "key").orderBy("overlap", "ra", "rb")
-    return pairs.withColumn("overlap", T.overlap(F.col("wa"), F.col("wb"))).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).select("slug", "key", "a", "b", "overlap", "rank", (F.col("n") > 400).alias("partial"))
+    return pairs.withColumn("overlap", T.overlap(F.col("wa"), F.col("wb"))).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).select("slug", "key", "a", "b", "overlap", "rank", F.lit(False).alias("partial"))
 
 
 # Sections of two revisions

@@ -64,6 +64,19 @@ def test_claims(spark):
     assert rows(S.claim_pairs(found).select("a", "b", "rank"), "a") == [(1, 2, 1)]
 
 
+def test_all_pairs_of_a_large_group_count(spark):
+    n = 900  # the two unlike claims stand first and last, three blocks apart; the rest say the same
+    said = [(i, "d", "bus", "opens gates" if i == 0 else "drops mail" if i == n - 1 else "opens gates, drops mail", i) for i in range(n)]
+    found = S.claim_pairs(spark.createDataFrame(said, "id int, slug string, subject string, predicate string, start int"))
+    got = rows(found.select("a", "b", "overlap", "rank"), "rank")
+    assert got[0] == (0, n - 1, 0.0, 1) and len(got) == 12 and all(x[2] == 1.0 for x in got[1:])
+
+
+def test_both_ends_of_a_long_range_stay():
+    assert S.places_of("Sections 1 to 500") == [("section", "1"), ("section", "500")] and S.places_of("Sections 7 to 3") == [("section", "7"), ("section", "3")]
+    assert len(S.places_of("Sections 1 to 201")) == 201
+
+
 def test_action_outcomes(spark):
     actions = spark.createDataFrame([(1, "Updated 3"), (2, "will update"), (3, "Added it"), (4, "Revised"), (5, "Changed"), (6, "Fixed? Corrected")], "id int, action string")
     changes = spark.createDataFrame([(1, "3", "substantive"), (4, "4", "missing"), (5, "5", "substantive"), (5, "6", "none"), (6, "7", "cosmetic")], "id int, section string, changed string")
