@@ -83,13 +83,16 @@ def asof(events: DataFrame, marks: DataFrame, key: str, at: str, value: str, bac
     return out.select(*events.columns, F.when(fits, F.col("_m._v")).alias(value), F.when(fits, F.col("_m._at")).alias(f"{value}_at"))
 
 
-def top_k(queries: DataFrame, items: DataFrame, k: int = 12, vector: str = "embedding", later_wins: bool = True) -> DataFrame:
+def top_k(queries: DataFrame, items: DataFrame, k: int = 12, vector: str = "embedding", later_wins: bool = True, digits: int | None = None) -> DataFrame:
     """The k items of highest cosine for each query. Queries are the small, stated side; equal scores prefer the higher index (or the lower).
+    With digits, scores are rounded before they are ranked.
 
     Each task keeps its own k best of every query first (min-by through a struct), so k rows a query and task are shuffled.
     """
     q = small(queries.select(F.col("query_id"), F.col(vector).alias("_q")))
     scored = items.select("item_id", F.col(vector).alias("_v")).join(q).select("query_id", "item_id", T.cosine(F.col("_q"), F.col("_v")).alias("score"))
+    if digits is not None:
+        scored = scored.withColumn("score", F.round("score", digits))
     second = F.col("item_id").desc() if later_wins else F.col("item_id").asc()
     order = W.partitionBy("query_id").orderBy(F.col("score").desc(), second)
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

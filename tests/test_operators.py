@@ -173,3 +173,18 @@ def test_ranks_do_not_depend_on_partitions(spark, partitions):
     df = spark.createDataFrame([("c", i, i, "unmet" if i % 2 else "partial") for i in range(20)], "cluster string, position int, id int, verdict string")
     got = A.clusters(df.repartition(partitions)).first()
     assert (got["lead"], got["size"], got["rank"]) == (1, 20, 1) and abs(got["strength"] - 16.0) < 1e-9
+
+
+def test_nearest_passages_of_the_whole_set(spark, tmp_path):
+    import numpy as np
+
+    from quillspark.plans.queries import QUERIES
+
+    v = np.random.default_rng(3).normal(size=(130, 8)).astype(np.float32)
+    v[7] = v[5]  # a tie: the later one first
+    spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    w = v.astype(np.float64)
+    cos = np.round(w @ w.T / np.outer(np.linalg.norm(w, axis=1), np.linalg.norm(w, axis=1)), 6)
+    wanted = {(q, i, rank + 1) for q in range(0, 130, 20) for rank, i in enumerate(sorted(range(130), key=lambda i: (-cos[q, i], -i))[:12])}
+    got = QUERIES["f22_nearest_passages_all"](spark, str(tmp_path)).collect()
+    assert {(r["query_id"], r["item_id"], r["rank"]) for r in got} == wanted and len(got) == len(wanted)
