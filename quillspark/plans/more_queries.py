@@ -156,9 +156,8 @@ def k11_initials(spark, sf):
 
 @query()
 def d15_requirement_candidates(spark, sf):
-    """Prose made into requirements by rule: each document's first lines with a modal word."""
-    docs = R.documents(spark, sf).filter("slug % 2 = 0").select("slug", F.concat(F.lit("1 Scope\nThe part SHALL "), F.lower(F.substring("text", 1, 40)), F.lit(".\n\nThe system shall include:\n(a) a;\n(b) b\n")).alias("text"))
-    return L.candidates(docs)
+    """The sentences with a modal word of all documents, whole texts."""
+    return L.candidates(R.documents(spark, sf))
 
 
 @query()

@@ -188,3 +188,12 @@ def test_nearest_passages_of_the_whole_set(spark, tmp_path):
     wanted = {(q, i, rank + 1) for q in range(0, 130, 20) for rank, i in enumerate(sorted(range(130), key=lambda i: (-cos[q, i], -i))[:12])}
     got = QUERIES["f22_nearest_passages_all"](spark, str(tmp_path)).collect()
     assert {(r["query_id"], r["item_id"], r["rank"]) for r in got} == wanted and len(got) == len(wanted)
+
+
+def test_candidates_come_from_all_documents_and_whole_texts(spark, tmp_path):
+    from quillspark.catalogue import queries
+
+    late = "1 Scope\n" + "Plain words come first here. " * 5 + "\n\nThe gate SHALL close at night.\n"
+    spark.createDataFrame([(1, late), (2, late), (3, "Nothing is asked.")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries()["d15_requirement_candidates"](spark, str(tmp_path)).collect()
+    assert {r["slug"] for r in got} == {1, 2} and all("gate SHALL close" in r["raw"] for r in got)
