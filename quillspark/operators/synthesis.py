@@ -188,7 +188,7 @@ def ownership_gaps(deferrals: DataFrame, owned: DataFrame, read: DataFrame) -> D
     return deferrals.join(lone, "id", "left_semi").join(read, "slug", "left").select("id", "capability", doubt.alias("status"))
 
 
-# Claims (E10, F19, F20, D27)
+# Claims (E10, F19, D27)
 
 
 def claim_quotes(claims: DataFrame, docs: DataFrame, least: int = 25) -> DataFrame:
