@@ -18,8 +18,6 @@ import regex
 
 #: Entries of one memory; a full memory starts anew, so a worker's size is bounded.
 MEMORY = 800_000
-#: No vocabulary string is longer, in bytes.
-LONGEST = 256
 
 
 def public_path(name: str) -> str:
@@ -50,11 +48,6 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[x] for x in parts]
 
 
-def standing_alone(ranks: dict[bytes, int]) -> set[int]:
-    """Ids of the vocabulary strings that merging alone turns into one token."""
-    return {i for b, i in ranks.items() if merge(b, ranks) == [i]}
-
-
 class LinearBpe:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
@@ -71,6 +64,8 @@ class LinearBpe:
                 if text[:n] not in self.best:
                     self.best[text[:n]] = usable.get(b[:n], self.best.get(text[: n - 1], -1))
         self.size = {i: len(b) for b, i in usable.items()}
+        #: How far a longest match can reach.
+        self.longest = max(self.size.values(), default=1)
         self.shorter = {i: self.best.get(b[:-1].decode("latin-1"), -1) for b, i in usable.items()}
         self.pairs: dict[int, bool] = {}
         self.left_edges: dict[int, list] = {}
@@ -108,10 +103,10 @@ class LinearBpe:
             return []
         text, last = piece.decode("latin-1"), len(piece)
         pairs, size, best, prefix = self.pairs, self.size, self.best, self.matcher.longest_prefix
-        closed = bytearray(last + 1)
+        closed, reach = bytearray(last + 1), self.longest
         path: list[int] = []
         before, at = -1, 0
-        token = best[text[: prefix(text[:LONGEST])]]
+        token = best[text[: prefix(text[:reach])]]
         while True:
             end = at + size[token]
             fits = not closed[end]
@@ -127,7 +122,7 @@ class LinearBpe:
                 if end == last:
                     return path
                 before, at = token, end
-                ahead = text[at : at + LONGEST]
+                ahead = text[at : at + reach]
                 token = best[ahead[: prefix(ahead)]]
                 continue
             token = self.shorter[token]
@@ -194,6 +189,7 @@ class Encoder:
         self.strings = [b""] * (max(self.bpe.string) + 1)
         for i, b in self.bpe.string.items():
             self.strings[i] = b
+        self.names = list(map(str, range(len(self.strings))))
 
     def packed(self, piece: str) -> bytes:
         ids = self.bpe.encode(piece.encode("utf-8"))

@@ -24,11 +24,16 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one where it is unset, as in tests."""
+    """The folder that spark.checkpoint.dir names; where it is unset, as in tests on a local master, a temporary one.
+
+    On a cluster without it this is an error: executors couldn't read what another machine wrote to its own folder.
+    """
     context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir")
+    named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not named:
-        named = context.getCheckpointDir() or tempfile.mkdtemp(prefix="quill-")
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="quill-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named)
     return named.rstrip("/")
@@ -82,6 +87,25 @@ def sorted_groups(
     return dealt.sortWithinPartitions(*keys).mapInPandas(run, schema)
 
 
+def beside(df: DataFrame, keep: Sequence[str], column: str, each: Callable[[list], list[tuple]], schema: str) -> DataFrame:
+    """The columns keep of df, then those of schema: each() makes a tuple of every value of column, a batch at a time.
+
+    Only the one column goes through Python. What stands beside it, ids above all, never leaves the JVM: pandas would
+    turn a batch of ids with a null into floats, which round what is above 2 ** 53.
+    """
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    @F.pandas_udf(schema)
+    def made(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = each(batch.tolist())
+            yield pd.DataFrame({n: [r[k] for r in rows] for k, n in enumerate(names)})
+
+    # non-deterministic by name only: no later filter or projection makes Spark call it twice
+    told = df.select(*keep, made.asNondeterministic()(F.col(column)).alias("_made"))
+    return told.select(*keep, *[F.col(f"_made.{n}").alias(n) for n in names])
+
+
 def texts(df: DataFrame) -> DataFrame:
     """Null texts become empty ones."""
     return df.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))

@@ -8,14 +8,12 @@ that look like parts of the same text, are kept, without what is marked as somet
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import prepare
+from quillspark.llm.common import beside, prepare
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that never hold main text.
@@ -254,9 +252,6 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     """
     prepare(pages.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"page_id": batch["page_id"].array, "url": batch["url"], "text": [main_text(x) for x in batch["html"]]})
-
-    out = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInPandas(run, "page_id long, url string, text string")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
+    out = beside(rows, ["page_id", "url"], "html", lambda batch: [(main_text(x),) for x in batch], "text string")
     return out.withColumn("n_chars", F.char_length("text").cast("long"))

@@ -11,7 +11,6 @@ partitions, and best-fit decreasing runs again.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -20,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm import bpe
-from quillspark.llm.common import materialise, prepare, sorted_groups, texts
+from quillspark.llm.common import beside, materialise, prepare, sorted_groups, texts
 
 #: Rests that one group packs; a group's memory is about 200 bytes a rest.
 GROUP_ROWS = 50_000
@@ -42,22 +41,19 @@ def piece_lengths(total: int, capacity: int) -> list[int]:
 def tokenised(docs: DataFrame, capacity: int, end_id: int, ranks_path: str, pattern: str, special: tuple[tuple[str, int], ...]) -> DataFrame:
     """doc_id, total (ids with the end id) and the CRC-32 of each piece's ids."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = _library(ranks_path, pattern, special)
-        for batch in batches:
-            totals, sums = [], []
-            for text in batch["text"]:
-                ids = coder.encode_to_numpy(text, allowed_special="all").astype("<u4")
-                ids = np.append(ids, np.uint32(end_id)).astype("<u4").tobytes()
-                totals.append(len(ids) // 4)
-                own, at = [], 0
-                for n in piece_lengths(len(ids) // 4, capacity):
-                    own.append(zlib.crc32(ids[4 * at : 4 * (at + n)]))
-                    at += n
-                sums.append(own)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "total": totals, "sums": sums})
-
-    return texts(docs.select("doc_id", "text")).mapInPandas(run, "doc_id long, total long, sums array<long>")
+    def each(batch: list[str]) -> list[tuple[int, list[int]]]:
+        coder, out = _library(ranks_path, pattern, special), []
+        for text in batch:
+            ids = coder.encode_to_numpy(text, allowed_special="all").astype("<u4")
+            ids = np.append(ids, np.uint32(end_id)).astype("<u4").tobytes()
+            own, at = [], 0
+            for n in piece_lengths(len(ids) // 4, capacity):
+                own.append(zlib.crc32(ids[4 * at : 4 * (at + n)]))
+                at += n
+            out.append((len(ids) // 4, own))
+        return out
+
+    return beside(texts(docs.select("doc_id", "text")), ["doc_id"], "text", each, "total long, sums array<long>")
 
 
 def lower_bound(sizes: np.ndarray, capacity: int) -> int:

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import labelled_sample, prepare, remainder, texts
+from quillspark.llm.common import beside, labelled_sample, prepare, remainder, texts
 
 #: Labelled rows of each class that training sees at most, and lines of them: the documented bound.
 TRAIN_ROWS, TRAIN_LINES = 3000, 300_000
@@ -206,12 +206,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int
     field = fit(docs, labels, remainder(F.col("doc_id"), folds) != held, rows)
     shared = spark.broadcast((field.weights, field.link))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = LineField(*shared.value)
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"].array, "score": own.scores(batch["text"].tolist())})
+    def each(batch: list[str]) -> list[tuple[float]]:
+        return [(x,) for x in LineField(*shared.value).scores(batch)]
 
-    out = texts(docs.select("doc_id", "text")).mapInPandas(run, "doc_id long, score double")
+    out = beside(texts(docs.select("doc_id", "text")), ["doc_id"], "text", each, "score double")
     return out.select(
         "doc_id",
         F.coalesce(remainder(F.col("doc_id"), folds) == held, F.lit(False)).alias("held_out"),

@@ -3,16 +3,14 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm import bpe
-from quillspark.llm.common import prepare, texts
+from quillspark.llm.common import beside, prepare, texts
 
 
 def encode_documents(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = None, digests: bool = True) -> DataFrame:
@@ -27,27 +25,20 @@ def encode_documents(docs: DataFrame, ranks_path: str | None = None, pattern: st
     ranks_path = ranks_path or bpe.public_path("byte_bpe_50k.tiktoken")
     pattern = pattern or bpe.public_pattern()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(batch: list[str]) -> list[tuple]:
         coder = bpe.encoder(ranks_path, pattern)
-        names = [str(i) for i in range(len(coder.strings))]
-        for batch in batches:
-            counts, first, second = [], [], []
-            for text in batch["text"]:
-                ids = np.frombuffer(coder.encode(text), dtype="<u4").tolist()
-                back = coder.decode(ids)
-                counts.append(len(ids))
-                if digests:
-                    first.append(hashlib.sha256(" ".join(map(names.__getitem__, ids)).encode()).hexdigest())
-                    second.append(hashlib.sha256(back).hexdigest())
-                else:
-                    first.append(ids)
-                    second.append(back)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": counts, "a": first, "b": second})
-
-    schema = "doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded binary")
-    named = schema.replace("ids_sha256", "a").replace("decoded_sha256", "b") if digests else schema.replace("ids ", "a ").replace("decoded", "b")
-    out = texts(docs.select("doc_id", "text")).mapInPandas(run, named)
-    return out.toDF(*[x.split()[0] for x in schema.split(", ")])
+        names, out = coder.names, []
+        for text in batch:
+            ids = np.frombuffer(coder.encode(text), dtype="<u4").tolist()
+            back = coder.decode(ids)
+            if digests:
+                out.append((len(ids), hashlib.sha256(" ".join(map(names.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(back).hexdigest()))
+            else:
+                out.append((len(ids), ids, back))
+        return out
+
+    schema = "n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded binary")
+    return beside(texts(docs.select("doc_id", "text")), ["doc_id"], "text", each, schema)
 
 
 @lru_cache(maxsize=2)
@@ -102,7 +93,7 @@ def count_tokens(docs: DataFrame, vocabulary_path: str | None = None, pattern: s
     pattern = pattern or bpe.public_pattern()
     proved = spark.broadcast(prove_alone(vocabulary_path))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(batch: list[str]) -> list[tuple[int, int]]:
         if vocabulary_path not in _COUNTERS:
             from tokenizers import Tokenizer
 
@@ -110,10 +101,9 @@ def count_tokens(docs: DataFrame, vocabulary_path: str | None = None, pattern: s
             model = Tokenizer.from_file(vocabulary_path).model
             _COUNTERS[vocabulary_path] = bpe.Counter(alone, pattern, special, lambda piece: len(model.tokenize(as_letters(piece))))
         counter = _COUNTERS[vocabulary_path]
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_bytes": [len(x.encode("utf-8")) for x in batch["text"]], "n_tokens": [counter.count(x) for x in batch["text"]]})
+        return [(len(x.encode("utf-8")), counter.count(x)) for x in batch]
 
-    out = texts(docs.select("doc_id", "text")).mapInPandas(run, "doc_id long, n_bytes long, n_tokens long")
+    out = beside(texts(docs.select("doc_id", "text")), ["doc_id"], "text", each, "n_bytes long, n_tokens long")
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
 
 

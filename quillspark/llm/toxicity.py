@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import labelled_sample, prepare, remainder, texts
+from quillspark.llm.common import beside, labelled_sample, prepare, remainder, texts
 
 WORD = re.compile(r"\w+").findall
 #: Rows of the embedding table and numbers in each; the model's size is fixed by them.
@@ -152,12 +152,14 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int
     model = fit(docs, labels, remainder(F.col("doc_id"), folds) != held, rows)
     shared = spark.broadcast((model.values, model.bias))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = SubwordModel(*shared.value)
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"].array, "score": [own.score(x) for x in batch["text"]]})
+    worker: list[SubwordModel] = []
+
+    def each(batch: list[str]) -> list[tuple[float]]:
+        if not worker:  # one model, with its memory of words, for each task
+            worker.append(SubwordModel(*shared.value))
+        return [(worker[0].score(x),) for x in batch]
 
-    out = texts(docs.select("doc_id", "text")).mapInPandas(run, "doc_id long, score double")
+    out = beside(texts(docs.select("doc_id", "text")), ["doc_id"], "text", each, "score double")
     return out.select(
         "doc_id",
         F.coalesce(remainder(F.col("doc_id"), folds) == held, F.lit(False)).alias("held_out"),
