@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import materialise, prepare, sorted_groups, texts
+from quillspark.llm.common import beside, materialise, prepare, sorted_groups, texts
 from quillspark.llm.components import components
 
 #: Words in an n-gram and the least similarity of a link.
@@ -165,42 +165,49 @@ def _compare_group(threshold: float, limits: dict[int, int]):
     return each
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with __text_key (MD5 of the text) and __row_key (MD5 of doc_id and text: rows with an equal one are copies of one row)."""
+    text = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
+    row = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(" "), text).cast("binary"))
+    return docs.withColumn("__text_key", F.unhex(text)).withColumn("__row_key", F.unhex(row))
+
+
 def sketched(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key (MD5), set_key (128 bits of the n-gram set), n, sig and bands of every text."""
-    keyed = texts(docs.select("doc_id", "text")).withColumn("text_key", F.unhex(F.md5(F.col("text").cast("binary"))))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sets = [gram_set(x) for x in batch["text"]]
-            values = [sketch(x) if len(x) else None for x in sets]
-            yield pd.DataFrame(
-                {
-                    "doc_id": batch["doc_id"].array,
-                    "text_key": batch["text_key"],
-                    "set_key": [xxhash.xxh3_128_digest(x.tobytes()) for x in sets],
-                    "n": [len(x) for x in sets],
-                    "sig": [b"" if v is None else (v & np.uint32(0xFFFF)).astype(np.uint16).tobytes() for v in values],
-                    "bands": [[] if v is None else bands_of(v).tolist() for v in values],
-                }
-            )
-
-    return keyed.mapInPandas(run, "doc_id long, text_key binary, set_key binary, n long, sig binary, bands array<long>")
+    """doc_id, __text_key, __row_key, set_key (128 bits of the n-gram set), n, sig and bands of every text."""
+
+    def each(batch: list[str]) -> list[tuple]:
+        out = []
+        for grams in map(gram_set, batch):
+            key = xxhash.xxh3_128_digest(grams.tobytes())
+            if len(grams):
+                values = sketch(grams)
+                out.append((key, len(grams), (values & np.uint32(0xFFFF)).astype(np.uint16).tobytes(), bands_of(values).tolist()))
+            else:
+                out.append((key, 0, b"", []))
+        return out
+
+    return beside(keyed(texts(docs.select("doc_id", "text"))), ["doc_id", "__text_key", "__row_key"], "text", each, "set_key binary, n long, sig binary, bands array<long>")
+
+
+def whole_texts(docs: DataFrame) -> DataFrame:
+    """__row_key and text, each row once: copies of a row are put together before and after the one shuffle, by key."""
+    return keyed(texts(docs.select("doc_id", "text"))).groupBy("__row_key").agg(F.first("text").alias("text"))
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, text_key, class_id, n_links, n_copies and rep of every row.
+    """doc_id, __row_key, class_id, n_links, n_copies and rep of every row.
 
     A link joins two rows whose sets of five-word n-grams have a Jaccard similarity of threshold or more; rows with
     equal sets are linked. class_id is the least doc_id that links lead to, n_links the number of other rows linked to
-    this one, n_copies those of them with an equal set, rep whether (doc_id, text_key) is the least of its class.
-    Null and blank texts have no n-gram and are equal to each other only. Repeated rows are copies; ties in doc_id are
-    ordered by the text's MD5; further columns are left out; an empty table gives no rows.
+    this one, n_copies those of them with an equal set, rep whether the row is the least of its class by doc_id and text.
+    Null and blank texts have no n-gram and are equal to each other only. Repeated rows are copies; a null doc_id is
+    less than any other; ties in doc_id are ordered by the text's MD5; further columns are left out; an empty table gives no rows.
     """
     prepare(docs.sparkSession)
     rows = materialise(sketched(docs), "sketches")
     sets = (
         rows.groupBy("set_key")
-        .agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "text_key")).alias("least"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+        .agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "__text_key", "__row_key")).alias("least"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
         .withColumn("u", F.monotonically_increasing_id())
     )
     sets = materialise(sets, "sets")
@@ -213,10 +220,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     members = sets.select("u", "copies", "n", "sig", "least").join(groups, F.col("u") == F.col("v"))
     blocks = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK_TEXTS)), F.ceil(F.sum("n") / F.lit(BLOCK_GRAMS))).alias("count"))
     placed = members.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("u"), F.col("count")))
-    keyed = texts(docs.select("doc_id", "text")).withColumn("text_key", F.unhex(F.md5(F.col("text").cast("binary"))))
-    with_text = placed.join(
-        keyed, keyed["doc_id"].eqNullSafe(F.col("least.doc_id")) & (keyed["text_key"] == F.col("least.text_key"))
-    ).select("root", "count", "block", "u", "copies", "n", "sig", "text")
+    with_text = placed.withColumn("__row_key", F.col("least.__row_key")).join(whole_texts(docs), "__row_key").select("root", "count", "block", "u", "copies", "n", "sig", "text")
     met = with_text.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1))).select(
         "root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "u", "copies", "n", "sig", "text"
     )
@@ -227,23 +231,25 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     named = sets.select("u", "set_key", "copies", "least").join(links, "u", "left").join(roots, "u", "left").withColumn("root", F.coalesce("root", "u"))
     heads = named.groupBy("root").agg(F.min("least").alias("head"))
     classes = named.join(heads, "root").select("set_key", "copies", F.coalesce("links", F.lit(0)).alias("links"), "head")
-    return rows.select("doc_id", "text_key", "set_key").join(classes, "set_key").select(
+    return rows.select("doc_id", "__row_key", "set_key").join(classes, "set_key").select(
         "doc_id",
-        "text_key",
+        "__row_key",
         F.col("head.doc_id").alias("class_id"),
         (F.col("links") + F.col("copies") - 1).alias("n_links"),
         (F.col("copies") - 1).alias("n_copies"),
-        (F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("text_key") == F.col("head.text_key"))).alias("rep"),
+        (F.col("__row_key") == F.col("head.__row_key")).alias("rep"),
     )
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row of docs for each class, with the columns of docs: the least by doc_id, then by text."""
+    """One row of docs for each class, with the columns of docs: the least by doc_id (null first), then by text.
+
+    Of rows with the same doc_id and text, which one's further columns stay isn't fixed. Copies of a row are put
+    together before they are shuffled, so a row that is a third of the table is no hot key.
+    """
     prepare(docs.sparkSession)
-    reps = near_duplicates(docs, threshold).filter("rep").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
-    keyed = docs.withColumn("_text_key", F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))))
-    kept = keyed.join(reps.distinct(), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")))
-    return kept.dropDuplicates(["doc_id", "_text_key"]).select(*docs.columns)
+    reps = near_duplicates(docs, threshold).filter("rep").select("__row_key").distinct()
+    return keyed(docs).dropDuplicates(["__row_key"]).join(reps, "__row_key").select(*docs.columns)
 
 
 #: DuckDB's way: every pair that shares an n-gram, then all that links lead to. Blank texts are equal to each other.
