@@ -3,12 +3,15 @@
 Every window of WINDOW bytes has an entropy; windows are ranked by how rare their entropy is in text. In each
 run of RUN windows the rarest, leftmost one gets a vote; windows with enough votes are features. Features go
 into a chain of Bloom filters, a new one after FILL features. Digests are compared filter by filter: the share of
-common bits beyond what chance gives, the best partner of each filter, averaged over the shorter chain.
+common bits beyond what chance gives, the best partner of each filter, averaged over the shorter chain. One rule
+holds at every length: a text of few runs asks for no more votes than it has runs, and one of fewer bytes than a
+window is one window, filled up with zeros.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,21 +19,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import prepare, texts
+from quillspark.llm.common import beside, materialise, prepare, texts
 
-WINDOW, RUN, VOTES = 64, 64, 16
+WINDOW, RUN, VOTES = 16, 32, 8
 #: Bits of a filter, hashes of a feature, features of a filter.
 BITS, HASHES, FILL = 2048, 5, 160
-#: Entropies in thousandths of 6 bits; those below WEAK (a few letters over and over) are features only for want of others.
+#: Entropies in thousandths of log2(WINDOW) bits; those below WEAK (a few letters over and over) are features only for want of others.
 LEVELS, WEAK = 1000, 100
-#: The usual entropy of 64 bytes of text, in the same unit: rarity is the distance from it.
-USUAL = 670
-#: Texts of fewer bytes than SHORT give half of their windows of SMALL bytes, chosen by hash; those from SHORT up
-#: to TWICE give both kinds, so that texts on either side of a limit can be compared.
-SMALL, SHORT, TWICE = 16, 512, 1024
+#: The usual entropy of a window of text, in the same unit: the median over the windows of sample prose. Rarity is the distance from it.
+USUAL = 788
 #: Bytes that are worked on at once.
 CHUNK = 2_000_000
-#: Documents that one range of ids holds.
+#: Documents of one range of ids; ranges grow in number with the table.
 RANGE_ROWS = 20_000
 
 _COUNTS = np.arange(WINDOW + 1, dtype=np.float64)
@@ -55,17 +55,15 @@ def ranks(data: np.ndarray) -> np.ndarray:
     begin = int(sum(int(_ADDED[1 : c + 1].sum()) for c in first if c))
     moved = _ADDED[behind[WINDOW:]] - _ADDED[ahead[: n - WINDOW]]
     total = np.concatenate([[0], np.cumsum(moved)]) + begin
-    entropy = 6.0 - total / (WINDOW * 2.0**20)
-    level = np.clip((entropy * (LEVELS / 6)).astype(np.int64), 0, LEVELS)
+    most = float(np.log2(WINDOW))
+    entropy = most - total / (WINDOW * 2.0**20)
+    level = np.clip((entropy * (LEVELS / most)).astype(np.int64), 0, LEVELS)
     usual = LEVELS - np.minimum(np.abs(level - USUAL), LEVELS - 1)
     return np.where(level < WEAK, LEVELS + 1, usual)
 
 
 def _features(data: np.ndarray, spans: list[tuple[int, int]]) -> list[np.ndarray]:
-    """Places of the features of each span (start, end) of data; a span's choice depends on its own bytes only."""
-    whole = [b - a for a, b in spans]
-    if max(whole, default=0) < WINDOW or len(data) < WINDOW:
-        return [np.empty(0, np.int64)] * len(spans)
+    """Places of the features of each span (start, end) of data; a span has a window at least, and its choice depends on its own bytes only."""
     rank = ranks(data)
     n = len(rank)
     key = (rank << 40) | np.arange(n)
@@ -73,28 +71,27 @@ def _features(data: np.ndarray, spans: list[tuple[int, int]]) -> list[np.ndarray
     while width < RUN and len(least) > width:  # RUN is a power of 2
         least = np.minimum(least[:-width], least[width:])
         width *= 2
-    votes = np.zeros(n, np.int64)
     winners = least & ((1 << 40) - 1)
     out = []
     for a, b in spans:
         windows = b - a - WINDOW + 1
-        if windows <= 0:
-            out.append(np.empty(0, np.int64))
+        runs = windows - RUN + 1
+        if runs < 1:  # all of its windows are one run
+            out.append(np.array([a + int(key[a : a + windows].argmin())]))
             continue
-        if windows < RUN:
-            out.append(np.empty(0, np.int64))
-            continue
-        votes = np.bincount(winners[a : a + windows - RUN + 1] - a, minlength=windows)
-        strong = rank[a : a + windows] <= LEVELS
-        found = np.flatnonzero((votes >= VOTES) & strong)
-        out.append((found if len(found) else np.flatnonzero(votes >= VOTES)) + a)
+        votes = np.bincount(winners[a : a + runs] - a, minlength=windows)
+        enough = votes >= min(VOTES, runs)
+        if not enough.any():
+            enough = votes == votes.max()
+        strong = enough & (rank[a : a + windows] <= LEVELS)
+        out.append(np.flatnonzero(strong if strong.any() else enough) + a)
     return out
 
 
 def _positions(words: np.ndarray) -> np.ndarray:
-    """Bits of each feature: words holds its bytes as eight numbers."""
+    """Bits of each feature: words holds its bytes as numbers of eight bytes."""
     with np.errstate(over="ignore"):
-        mixed = (words * _ODD[None, :8]) ^ (words >> np.uint64(29))
+        mixed = (words * _ODD[None, : words.shape[1]]) ^ (words >> np.uint64(29))
         h = mixed.sum(axis=1, dtype=np.uint64)
         out = []
         for k in range(HASHES):
@@ -110,16 +107,6 @@ def _chain(bits: np.ndarray) -> np.ndarray:
     return np.packbits(table, axis=1)
 
 
-def _small(own: bytes) -> np.ndarray:
-    """Bits of the small windows; a text of fewer bytes is one, filled up with zeros."""
-    view = np.lib.stride_tricks.sliding_window_view(np.frombuffer(own.ljust(SMALL, b"\0"), np.uint8), SMALL)
-    words = np.zeros((len(view), 8), np.uint64)
-    words[:, : SMALL // 8] = np.ascontiguousarray(view).view("<u8")
-    bits = _positions(words)
-    chosen = bits[bits[:, 0] % 2 == 0]
-    return chosen if len(chosen) else bits[:1]
-
-
 def digests(items: list[bytes]) -> list[np.ndarray]:
     """A chain of filters (m x BITS / 8 bytes) for each text's bytes; empty ones have no filter."""
     out: list[np.ndarray] = [np.empty((0, BITS // 8), np.uint8)] * len(items)
@@ -129,18 +116,14 @@ def digests(items: list[bytes]) -> list[np.ndarray]:
         while stop < len(items) and (stop == at or size + len(items[stop]) <= CHUNK):
             size += len(items[stop])
             stop += 1
-        data = np.frombuffer(b"".join(items[at:stop]), np.uint8)
-        ends = np.cumsum([len(x) for x in items[at:stop]])
-        spans = [(int(e) - len(x), int(e)) for e, x in zip(ends, items[at:stop], strict=True)]
-        for k, (places, (a, b)) in enumerate(zip(_features(data, spans), spans, strict=True)):
-            if b == a:
-                continue
-            chains = []
-            if b - a < TWICE:
-                chains.append(_chain(_small(items[at + k])))
-            if len(places) and b - a >= SHORT:
-                chains.append(_chain(_positions(np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, WINDOW)[places]).view("<u8"))))
-            out[at + k] = np.concatenate(chains) if chains else _chain(_small(items[at + k]))
+        held = [(k, items[k].ljust(WINDOW, b"\0")) for k in range(at, stop) if items[k]]
+        if held:
+            data = np.frombuffer(b"".join(x for _, x in held), np.uint8)
+            ends = np.cumsum([len(x) for _, x in held])
+            spans = [(int(e) - len(x), int(e)) for e, (_, x) in zip(ends, held, strict=True)]
+            view = np.lib.stride_tricks.sliding_window_view(data, WINDOW)
+            for (k, _), places in zip(held, _features(data, spans), strict=True):
+                out[k] = _chain(_positions(np.ascontiguousarray(view[places]).view("<u8")))
         at = stop
     return out
 
@@ -168,12 +151,7 @@ def shown(digest: np.ndarray) -> str:
 def fingerprint_texts(docs: DataFrame) -> DataFrame:
     """doc_id and fingerprint of every whole text: the general form, with no shuffle. Null counts as empty."""
     prepare(docs.sparkSession)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"].array, "fingerprint": [shown(x) for x in digests([t.encode("utf-8") for t in batch["text"]])]})
-
-    return texts(docs.select("doc_id", "text")).mapInPandas(run, "doc_id long, fingerprint string")
+    return beside(texts(docs.select("doc_id", "text")), ["doc_id"], "text", lambda batch: [(shown(x),) for x in digests([t.encode("utf-8") for t in batch])], "fingerprint string")
 
 
 def edited(text: str, following: str) -> str:
@@ -182,72 +160,80 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def with_next(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """grp, head, doc_id, text: ranges of ascending ids, each with the first document of the range after it (head: true).
+_RESULT = "doc_id string, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_NAMES = [x.split()[0] for x in _RESULT.split(", ")]
 
-    Texts are shuffled once, to ranges of about range_rows documents; the last range gets the first document of all.
-    """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    count = rows.count()
-    parts = min(1024, max(1, -(-count // range_rows)))  # a task streams, so a longer range needs no more memory
-    cuts = [] if parts == 1 else sorted({int(x) for x in rows.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.1 / parts)})
-    grp = F.lit(0)
-    if cuts:
-        # how many cuts an id has reached; a null id comes first, as Spark sorts
-        grp = F.coalesce(F.size(F.filter(F.lit(cuts), lambda c: c <= F.col("doc_id"))), F.lit(0))
-    placed = rows.withColumn("grp", grp)
-    least = placed.groupBy("grp").agg(F.min(F.struct(F.col("doc_id"), F.col("text").isNotNull(), F.xxhash64("text"))).alias("least")).select("grp", "least.doc_id").collect()
-    found = sorted((r["grp"], r["doc_id"]) for r in least) if least else []
-    # at most one row a range: parts rows in all
-    after = [(found[k][1], found[k - 1][0]) for k in range(len(found))]
-    spark = docs.sparkSession
-    borders = spark.createDataFrame(after, "border long, before int")
-    heads = placed.join(F.broadcast(borders), F.col("doc_id").eqNullSafe(F.col("border"))).select(F.col("before").alias("grp"), F.lit(True).alias("head"), "doc_id", "text")
-    return placed.select("grp", F.lit(False).alias("head"), "doc_id", "text").unionByName(heads).repartition(len(found) or 1, "grp").sortWithinPartitions("grp", "head", "doc_id", "text")
+
+def _finish(pairs: list[tuple]) -> pd.DataFrame:
+    """pairs: (doc_id, text, digest, next text, next digest)"""
+    new = [edited(t, u).encode("utf-8") for _, t, _, u, _ in pairs]
+    changed = digests(new)
+    rows = [
+        (i, len(t), hashlib.sha256(x).hexdigest(), shown(d), shown(c), likeness(d, c), likeness(d, e))
+        for (i, t, d, _, e), x, c in zip(pairs, new, changed, strict=True)
+    ]
+    return pd.DataFrame(rows, columns=_NAMES)
+
+
+def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of one range in order: finished ones, and the first and the last text, which need the range before or after it."""
+    last, part = None, 0
+
+    def edge(kind: str, row: tuple) -> pd.DataFrame:
+        return pd.DataFrame([(row[0], *[None] * 6, part, kind, row[1])], columns=[*_NAMES, "part", "kind", "text"])
+
+    for batch in batches:
+        if not len(batch):
+            continue
+        own = digests([x.encode("utf-8") for x in batch["text"]])
+        rows = list(zip(batch["doc_id"], batch["text"], own, strict=True))
+        if last is None:
+            part = int(batch["part"].iloc[0])
+            yield edge("first", rows[0])
+        else:
+            rows.insert(0, last)
+        if len(rows) > 1:
+            done = _finish([(*a, b[1], b[2]) for a, b in zip(rows, rows[1:])])
+            yield done.assign(part=part, kind="done", text=None)
+        last = rows[-1]
+    if last is not None:
+        yield edge("last", last)
 
 
 def fingerprint_edits(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Fingerprints of every whole text and of its edited text, and their likeness.
 
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. A text's
-    edit takes its second half from the next document by doc_id; ties go by text, and the last is followed by
-    the first. Null texts count as empty: no filter, alike only to other empty ones. Null ids come first; further columns are left out; an empty table gives no rows. Texts
-    are shuffled once; a task streams over its ranges and holds a batch.
+    edit takes its second half from the next document by doc_id (null ids come first, ties go by the text's hash),
+    and the last is followed by the first. Null texts count as empty: no filter, alike only to other empty ones.
+    Repeated rows follow each other; further columns are left out; an empty table gives no rows.
+
+    Texts are shuffled once, to ranges of ids of about range_rows documents, more ranges for more documents; equal
+    ids are split by hash and place, so one id may hold most rows. A task walks over its range and holds a batch. The
+    first and the last text of each range are written beside the results and meet in a join on the ranges' numbers.
     """
-    prepare(docs.sparkSession)
-    placed = with_next(texts(docs.select("doc_id", "text")), range_rows)
-
-    def finish(pairs: list[tuple]) -> pd.DataFrame:
-        """pairs: (doc_id, text, digest, next text, next digest)"""
-        new = [edited(t, u).encode("utf-8") for _, t, _, u, _ in pairs]
-        import hashlib
-
-        changed = digests(new)
-        return pd.DataFrame(
-            {
-                "doc_id": pd.array([p[0] for p in pairs], "Int64"),
-                "n_chars": [len(p[1]) for p in pairs],
-                "edited_sha256": [hashlib.sha256(x).hexdigest() for x in new],
-                "fingerprint": [shown(p[2]) for p in pairs],
-                "edited_fingerprint": [shown(x) for x in changed],
-                "near_edited": [likeness(p[2], x) for p, x in zip(pairs, changed, strict=True)],
-                "near_next": [likeness(p[2], p[4]) for p in pairs],
-            }
-        )
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last = None  # (grp, doc_id, text, digest) that waits for the one after it
+    spark = prepare(docs.sparkSession)
+    rows = texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    ranges = max(1, -(-rows.count() // range_rows))
+    order = ["doc_id", "_hash", "_place"]
+    placed = rows.withColumn("_hash", F.xxhash64("text")).withColumn("_place", F.monotonically_increasing_id()).repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    # ids go through pandas as text: a batch with a null would make floats of them
+    walked = placed.select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.spark_partition_id().alias("part")).mapInPandas(_walk, f"{_RESULT}, part int, kind string, text string")
+    walked = materialise(walked, "digests")
+
+    # the ranges that hold rows, in order: one number each; the last one's next is the first
+    held = sorted(r["part"] for r in walked.filter("kind = 'first'").select("part").collect())
+    after = [(p, held[(k + 1) % len(held)]) for k, p in enumerate(held)]
+    following = spark.createDataFrame(after, "part int, next int")
+    firsts = walked.filter("kind = 'first'").select(F.col("part").alias("next"), F.col("text").alias("following"))
+    ends = walked.filter("kind = 'last'").select("doc_id", "text", "part").join(following, "part").join(firsts, "next").select("doc_id", "text", "following")
+
+    def close(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             own = digests([x.encode("utf-8") for x in batch["text"]])
-            pairs = []
-            for grp, head, doc_id, text, digest in zip(batch["grp"], batch["head"], batch["doc_id"], batch["text"], own, strict=True):
-                if last is not None and last[0] == grp:
-                    pairs.append((last[1], last[2], last[3], text, digest))
-                    last = None
-                if not head:
-                    last = (grp, doc_id if doc_id == doc_id else None, text, digest)
-            if pairs:
-                yield finish(pairs)
-
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return placed.mapInPandas(run, schema)
+            then = digests([x.encode("utf-8") for x in batch["following"]])
+            if len(batch):
+                yield _finish(list(zip(batch["doc_id"], batch["text"], own, batch["following"], then, strict=True)))
+
+    every = walked.filter("kind = 'done'").select(*_NAMES).unionByName(ends.mapInPandas(close, _RESULT))
+    return every.withColumn("doc_id", F.col("doc_id").cast("long"))
