@@ -397,9 +397,10 @@ def test_ranks_follow_each_window_s_entropy():
     rnd = random.Random(16)
     data = bytes(rnd.choice(b"abcdefgh ijk\n") for _ in range(400))
     got = fingerprint.ranks(np.frombuffer(data, np.uint8))
-    for i in range(0, len(data) - 63, 5):
-        h = -sum(c / 64 * log2(c / 64) for c in Counter(data[i : i + 64]).values())
-        assert abs(got[i] - (1000 - abs(int(h * 1000 / 6) - fingerprint.USUAL))) <= 1
+    width = fingerprint.WINDOW
+    for i in range(0, len(data) - width + 1, 5):
+        h = -sum(c / width * log2(c / width) for c in Counter(data[i : i + width]).values())
+        assert abs(got[i] - (1000 - abs(int(h * 1000 / log2(width)) - fingerprint.USUAL))) <= 1
 
 
 def test_digests_don_t_depend_on_neighbours():
@@ -427,8 +428,51 @@ def test_edits_follow_the_order_of_ids(spark, none, range_rows):
     assert fingerprint.fingerprint_edits(none).count() == 0
 
 
-def test_digests_of_odd_rows(odd):
+def test_digests_of_odd_rows(spark, odd):
     assert fingerprint.fingerprint_edits(odd).count() == len(ODD) + 2
+    same = documents(spark, ["one text of some words"]).unionByName(documents(spark, ["one text of some words"])).repartition(2)
+    assert [r["near_next"] for r in fingerprint.fingerprint_edits(same, 1).collect()] == [1.0, 1.0]
+
+
+@pytest.mark.parametrize("size", [70, 130, 260, 520, 1030, 4000])
+def test_half_of_a_text_is_recognised_at_every_length(size):
+    own, other = (" ".join(prose(seed, 80))[:size].encode() for seed in (31, 32))
+    half = own[: size - size // 2] + other[: size // 2]
+    a, b, c = fingerprint.digests([own, half, other])
+    assert fingerprint.likeness(a, b) > 0.2 > fingerprint.likeness(a, c)
+
+
+# ids that pandas would round
+
+BIG = [2**60 + 1, None, 2**60 + 3]
+
+
+def test_large_ids_beside_a_null_stay_whole(spark):
+    texts = ["first text of a few words here", "second text with other words in it", "third text that is not like them"]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, "e") for i, t in zip(BIG, texts, strict=True)], SCHEMA).coalesce(1)
+    labels = spark.createDataFrame([(2**60 + 1, 1, 0), (2**60 + 3, 0, 1)], "doc_id long, quality int, toxic int")
+    order = lambda rows: sorted(rows, key=lambda x: x or 0)
+    made = {
+        "op1": quality.score_quality(docs, labels), "op3": packing.pack_documents(docs), "op4": lines.dedupe_lines(docs), "op5": perplexity.quality_rules(docs),
+        "op6": fingerprint.fingerprint_edits(docs), "op7": tokens.encode_documents(docs), "op8": toxicity.score_toxicity(docs, labels),
+        "op9": nearjoin.near_duplicates(docs), "op10": tokens.count_tokens(docs), "one": nearjoin.keep_one(docs), "prints": fingerprint.fingerprint_texts(docs),
+        "good": perplexity.keep_good(docs.unionByName(docs)).unionByName(docs), "clean": toxicity.keep_clean(docs, labels.limit(0)),
+    }
+    for name, out in made.items():
+        assert order({r["doc_id"] for r in out.collect()}) == order(BIG), name
+    assert order(r["class_id"] for r in made["op9"].collect()) == order(BIG) and made["one"].count() == 3
+    pages = spark.createDataFrame([(i, "u", f"<p>{t}</p>") for i, t in zip(BIG, texts, strict=True)], "page_id long, url string, html string").coalesce(1)
+    assert order(r["page_id"] for r in extraction.extract_pages(pages).collect()) == order(BIG)
+
+
+def test_repeated_rows_are_no_hot_key(spark):
+    docs = documents(spark, ["a b c d e f", "g h i j k l"])
+    many = docs
+    for _ in range(4):
+        many = many.unionByName(many)
+    got = nearjoin.near_duplicates(many).collect()
+    assert len(got) == 32 and {r["n_links"] for r in got} == {15} and nearjoin.keep_one(many).count() == 2
+    assert nearjoin.whole_texts(many).count() == 2
 
 
 # the pipeline
