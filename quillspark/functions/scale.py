@@ -30,8 +30,8 @@ class Scale:
         return out.otherwise(x)
 
     def coerce(self, x: Column) -> Column:
-        """A value in other writing, or the first off value."""
-        said = F.regexp_replace(F.lower(F.trim(x)), r"[\s-]+", "_")
+        """A value, trimmed and in lower case; anything else is the first off value and never a place on the scale."""
+        said = F.lower(F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
         return F.when(said.isin(*self.values, *self.off), said).otherwise(F.lit(self.off[0]))
 
     def flagged(self, x: Column) -> Column:

@@ -17,10 +17,12 @@ SUBJECT_NOISE = "the a an this that its their system platform component service
 IDENTIFIERS = (r"\b[A-Z]{2,4}-G-?\d{1,3}\b", r"\bIF-[A-Z]{2,5}-\d{1,3}\b", r"\bND-\d{1,3}\b", r"\b(?:CF|PG)-\d{1,3}\b")
 ASSIGNED = r"(?i)=\s*[-+]?\d|\bset to\b|\bdefaults? to\b|\bis\s+[-+]?\d|\bvalue of\b|\bequals\b"
 OWNED = r"(?i)\bowner\b|\blead\b|\bowned by\b|\bresponsible\b"
+MATHY = r"(?i)[=*^]|\u00b7|\bsum\b|\bsigmoid\b|\bsqrt\b|\blog\b|\bmin\b|\bmax\b|\bexp\b|lVert|\([ijklmnt],"
 DISCLOSED = r"\b(?:ND-\d{1,3}|[A-Z]{2,5}-G-?\d{1,3}|[A-Z]{2,4}-\d{1,3})\b"
 UNIVERSAL = r"(?i)\b(?:every|each|all|any|no)\s+\w+"
 CLAIMED = r"(?i)\b(adjust|updat|amend|revis|add|added|includ|insert|remov|delet|rewrit|rewrote|clarif|defin|correct|expand|renam|reorganis|reorganiz|restructur|incorporat|address|resolv|chang|modif)\w*"
 DEFERRED = r"(?i)\b(will|shall|intend|plan|to be|going to|next|future|pending|plann)\w*\b"
+POINTER = r"(?i)\b(?:is|are|was|were|shall\s+be|will\s+be|been)?\s*(?:assessed|recorded|documented|described|provided|defined|specified|listed|detailed|addressed|covered|contained|captured|set\s+out|stated)\s+(?:in|under|at|within)\s+(?:the\s+)?(?:section|appendix|annex|table|figure|chapter|clause|paragraph|register|\u00a7)\b"
 CROSS_REFERENCE = r"(?i)\b(?:see|refer\s+to|as\s+per|per)\s+(?:the\s+)?(?:section|appendix|annex|table|figure|clause|§)\b"
 DONE_WORDS = ("completed", "complete", "done", "closed", "resolved")
 OPEN_WORDS = ("new", "", "block identified", "blocked")
@@ -212,6 +214,116 @@ def is_claim(x) -> Column:
     return x.rlike(CLAIMED) & ~x.rlike(DEFERRED)
 
 
+def points_elsewhere(x) -> Column:
+    """A pointer or a cross-reference, which is no evidence for what it says."""
+    return x.rlike(POINTER) | x.rlike(CROSS_REFERENCE)
+
+
+def quoted(x, most: int | None = None) -> Column:
+    """A cited passage as it is shown, and whether it is a block: two table rows or more stay rows, prose is reflowed."""
+    lines = F.filter(F.transform(F.split(x, "\n"), lambda y: F.trim(y)), lambda y: y != "")
+    rows = F.filter(lines, lambda y: occurrences(y, "|") >= 2)
+    shown = rows if most is None else F.when(F.size(rows) > most, F.concat(F.slice(rows, 1, most), F.array(F.format_string("| … %d further row(s) |", F.size(lines) - most)))).otherwise(rows)
+    block = F.size(rows) >= 2
+    return F.struct(F.when(block, F.array_join(shown, "\n")).otherwise(fold(x)).alias("shown"), block.alias("block"))
+
+
+# Numbers that letters write as words.
+NUMBER_WORDS = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty".split()
+
+
+def comment_numbers(x, widest: int = 30) -> Column:
+    """The numbers in "3, 4 and 7", "5 through 8" or "five and seven"; a range is written out where it rises by widest at most."""
+    tokens = F.regexp_extract_all(F.lower(x), F.lit(rf"\d+|through|[-–]|\b(?:{'|'.join(reversed(NUMBER_WORDS))})\b"), F.lit(0))
+    words = F.array(*[F.lit(w) for w in NUMBER_WORDS])
+    value = lambda t: F.when(t.rlike(r"^\d+$"), t.cast("int")).otherwise(F.array_position(words, t).cast("int"))
+    # each number with the token before it and the number before that
+    placed = F.transform(tokens, lambda t, i: F.struct(t.alias("t"), F.when(i > 0, F.get(tokens, i - 1)).alias("p"), F.when(i > 1, value(F.get(tokens, i - 2))).alias("q")))
+    numbers = F.filter(placed, lambda r: ~r["t"].isin("through", "-", "–"))
+    spans = lambda r: r["p"].isin("through", "-", "–") & (r["q"] < value(r["t"])) & (value(r["t"]) <= r["q"] + widest)
+    return F.flatten(F.transform(numbers, lambda r: F.when(F.coalesce(spans(r), F.lit(False)), F.sequence(r["q"] + 1, F.greatest(value(r["t"]), r["q"] + 1))).otherwise(F.array(value(r["t"])))))
+
+
+def title_slug(x, most: int = 44) -> Column:
+    """Letters and digits in lower case, everything else one hyphen, of most characters at most."""
+    return F.substring(F.regexp_replace(F.regexp_replace(F.lower(x), "[^\\p{L}\\p{N}]+", "-"), "^-+|-+$", ""), 1, most)
+
+
+def candidates_file(x) -> Column:
+    """The candidates file that belongs to a coverage file."""
+    stem = F.regexp_replace(F.regexp_replace(F.regexp_replace(x, "^.*/", ""), "^(?:cov|coverage)-", ""), r"\.[^.]*$", "")
+    return F.when(stem == "", "candidates.csv").otherwise(F.concat(F.lit("candidates-"), stem, F.lit(".csv")))
+
+
+def comparison_text(*parts) -> Column:
+    """A row's text for comparison: its parts that say something, folded."""
+    return fold(F.concat_ws(" ", *parts))
+
+
+def strict(x) -> Column:
+    """Partly is not done."""
+    return F.when(x == "partial", "not_addressed").otherwise(x)
+
+
+# What each closure state says in a cell.
+PHRASES = {
+    "UNCHANGED": "Not addressed. Text carrying this comment is identical in %2$s",
+    "STILL ABSENT": "Not addressed. Absent from both %1$s and %2$s",
+    "REMOVED": "Text present in %1$s is absent from %2$s — confirm fix vs regression",
+    "ADDED": "Now present in %2$s, absent from %1$s",
+    "CHANGED": "Text changed between %1$s and %2$s — review against the comment",
+    "TOO BROAD": "Not assessed: search terms match too much of the document",
+    "ABSENT": "Not assessed: search terms match nothing in either revision",
+    "NO TERMS": "Not assessed: no distinctive search term for this comment",
+}
+
+
+def evidence_cell(state, detail, old_slug: str, new_slug: str, old_lines, new_lines, most: int = 3) -> Column:
+    """One cell: the state, then the first lines to look at, of the new revision where it has any; old_lines and new_lines are arrays."""
+    said = state
+    for k, v in PHRASES.items():
+        said = F.when(state == k, F.format_string(v + "%3$s", F.lit(old_slug), F.lit(new_slug), F.lit(""))).otherwise(said)
+    here = F.size(new_lines) > 0
+    cited, which = F.when(here, new_lines).otherwise(old_lines), F.when(here, F.lit(new_slug)).otherwise(F.lit(old_slug))
+    shown = F.array_join(F.transform(F.slice(cited, 1, most), lambda n: F.concat(F.lit("line "), n.cast("string"))), ", ")
+    more = F.when(F.size(cited) > most, F.format_string(", +%d more", F.size(cited) - most)).otherwise("")
+    where = F.when((F.size(cited) > 0) & (state != "NO TERMS"), F.concat(F.lit(" ("), which, F.lit(": "), shown, more, F.lit(")"))).otherwise("")
+    moved = F.when((state == "CHANGED") & (detail != ""), F.concat(F.lit(" ["), detail, F.lit(" lines]"))).otherwise("")
+    return F.concat(said, where, F.coalesce(moved, F.lit("")))
+
+
+def how_many(runs) -> Column:
+    """How many lines the runs [(first, last)] come to."""
+    return F.aggregate(runs, F.lit(0).cast("long"), lambda s, r: s + r["last"] - r["first"] + 1)
+
+
+def run_text(runs) -> Column:
+    """Runs as a reader is told them: 3, 7-9."""
+    return F.array_join(F.transform(runs, lambda r: F.when(r["first"] == r["last"], r["first"].cast("string")).otherwise(F.concat(r["first"].cast("string"), F.lit("-"), r["last"].cast("string")))), ", ")
+
+
+def where_left_out(runs, most: int = 3) -> Column:
+    """The first runs, and how many lines the others come to."""
+    rest = how_many(F.slice(runs, most + 1, F.greatest(F.size(runs) - most, F.lit(0))))
+    return F.concat(run_text(F.slice(runs, 1, most)), F.when(rest > 0, F.concat(F.lit(", and "), rest.cast("string"), F.lit(" more"))).otherwise(""))
+
+
+def named_section(heading, locator) -> Column:
+    """A section as a reader can find it."""
+    h, at = F.coalesce(one_line(heading), F.lit("")), F.coalesce(one_line(locator), F.lit(""))
+    return F.when((h != "") & (at != ""), F.concat(h, F.lit(" ("), at, F.lit(")"))).when(h != "", h).when(at != "", F.concat(F.lit("the section at "), at, F.lit(", which has no heading"))).otherwise("a section without a name")
+
+
+def in_doubt(*questions) -> Column:
+    """Open questions as one line, empty where there is none."""
+    return F.concat_ws("; ", *[F.nullif(q, F.lit("")) for q in questions])
+
+
+def printable(raw) -> Column:
+    """Bytes as text: what isn't whole UTF-8, an unpaired surrogate for one, becomes the replacement mark."""
+    return F.make_valid_utf8(raw.cast("string"))
+
+
 def offline_vector(x) -> Column:
     """32 numbers from the SHA-256 of a text, of length 1."""
     raw = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.conv(F.substring(F.sha2(x, 256), i * 2 + 1, F.lit(2)), 16, 10).cast("double") / 255.0 - 0.5)

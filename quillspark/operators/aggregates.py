@@ -41,7 +41,21 @@ def clusters(rows: DataFrame, weights: dict = WEIGHTS) -> DataFrame:
     each = rows.groupBy("cluster").agg(
         F.round(F.sum(weight), 6).alias("strength"), F.count("*").alias("size"), F.max_by("id", F.struct(weight, -F.col("position"))).alias("lead"), F.min("position").alias("first")
     )
-    return each.withColumn("rank", F.row_number().over(W.orderBy(F.col("strength").desc(), F.col("size").desc(), "first"))).drop("first")
+    return ranked(each, [F.col("strength").desc(), F.col("size").desc(), F.col("first")], "rank").drop("first")
+
+
+def ranked(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
+    """Places from 1 over a whole table. Rows are dealt by ranges of the order and sorted there; only the ranges' sizes meet in one place.
+
+    The ranges are written to disk by a checkpoint where the session names a folder, so that counting and numbering see the same ones.
+    """
+    spark = df.sparkSession
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
+    dealt = dealt.checkpoint() if spark.sparkContext.getCheckpointDir() else dealt.persist()
+    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_part", "_first", before.alias("_before"))  # a row for each range
+    return dealt.join(F.broadcast(starts), "_part").withColumn(name, (F.col("_before") + F.col("_at") - F.col("_first") + 1).cast("int")).drop("_part", "_at", "_first", "_before")
 
 
 def agreement(verdicts: DataFrame, key: str = "id", scale: Scale = COVERAGE) -> DataFrame:
@@ -72,7 +86,9 @@ def confusion(found: Column, wanted: Column) -> list[Column]:
 def majority(df: DataFrame, value: str, *keys: str) -> DataFrame:
     """Every value that has the most rows; ties are all kept."""
     each = df.groupBy(*keys, value).agg(F.count("*").alias("n"))
-    return each.withColumn("_m", F.max("n").over(W.partitionBy(*keys) if keys else W.partitionBy(F.lit(1)))).filter("n = _m").drop("_m")
+    if not keys:
+        return each.join(F.broadcast(each.agg(F.max("n").alias("_m"))), F.col("n") == F.col("_m")).drop("_m")
+    return each.withColumn("_m", F.max("n").over(W.partitionBy(*keys))).filter("n = _m").drop("_m")
 
 
 def upper_median(df: DataFrame, value: str, *keys: str) -> DataFrame:

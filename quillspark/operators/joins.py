@@ -98,6 +98,22 @@ def top_k(queries: DataFrame, items: DataFrame, k: int = 12, vector: str = "embe
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def section_top_k(queries: DataFrame, items: DataFrame, k: int = 12, sections: int = 3) -> DataFrame:
+    """two stages. A section is scored by the mean vector of its items; of the best sections, the first item of each and its
+    k // sections best ones, each once, k + sections at most, in the order of sections."""
+    mean = items.select("section", F.posexplode("embedding").alias("d", "x")).groupBy("section", "d").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    whole = mean.groupBy(F.col("section").alias("item_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("d", "x"))), lambda v: v["x"]).alias("embedding"))
+    best = top_k(queries, whole, sections, digits=6).select("query_id", F.col("item_id").alias("section"), F.col("rank").alias("place"))
+    inside = items.select("section", "item_id", F.col("embedding").alias("_v"), F.min("item_id").over(W.partitionBy("section")).alias("opening"))
+    scored = best.join(inside, "section").join(queries.select("query_id", F.col("embedding").alias("_q")), "query_id")
+    scored = scored.withColumn("score", F.round(T.cosine(F.col("_q"), F.col("_v")), 6))
+    r = F.row_number().over(W.partitionBy("query_id", "section").orderBy(F.col("score").desc(), F.col("item_id").desc()))
+    opens = F.col("item_id") == F.col("opening")
+    kept = scored.withColumn("r", r).filter(opens | (F.col("r") <= max(1, k // sections)))
+    order = W.partitionBy("query_id").orderBy("place", (~opens).cast("int"), "r")
+    return kept.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k + sections).select("query_id", "item_id", "section", "score", "rank")
+
+
 def longest_alias(names: DataFrame, aliases: DataFrame) -> DataFrame:
     """the canonical name whose longest alias a name contains; ties go to the earlier alias."""
     met = names.join(small(aliases.withColumn("_pos", F.monotonically_increasing_id() if "pos" not in aliases.columns else F.col("pos"))), F.contains(F.lower("name"), F.lower("alias")), "left")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,34 +14,49 @@ from pyspark.sql.window import Window as W
 from quillspark.functions import text as T
 from quillspark.operators.joins import small
 
-# Prose and outline
+# Prose and outline
 
-FENCE = re.compile(r"^\s{0,3}(`{3,}|~{3,})")
+FENCE = re.compile(r"([ \t]*)(`{3,}|~{3,})(.*)")
+RAW_TAG = re.compile(r"(?i)\s*<(pre|script|style|textarea)\b")
+
+
+def _closer(line: str) -> Callable[[str], bool] | None:
+    """What ends the block that a line opens: a fence, a raw tag or a comment; None where it opens none."""
+    if fence := FENCE.match(line):
+        indent, mark, info = fence.groups()
+        if mark[0] == "`" and "`" in info:  # a code span
+            return None
+
+        def ends(x: str) -> bool:
+            m = FENCE.match(x)
+            return bool(m) and m[2][0] == mark[0] and len(m[2]) >= len(mark) and not m[3].strip() and len(m[1]) <= len(indent) + 3
+
+        return ends
+    if tag := RAW_TAG.match(line):
+        end = f"</{tag[1].lower()}>"
+        return None if end in line.lower() else lambda x: end in x.lower()
+    if line.lstrip().startswith("<!--") and "-->" not in line:
+        return lambda x: "-->" in x
+    return None
 
 
 def prose_lines(lines: list[str]) -> list[int]:
-    """Numbers of the lines that are prose: not front matter, fenced code, comments or raw HTML."""
-    out: list[int] = []
+    """Numbers of the lines that Markdown reads: not front matter, fenced code, raw blocks (pre, script, style, textarea) or comments over lines.
+
+    Other raw HTML, a div for instance, is read.
+    """
     start = 0
-    if lines and lines[0].strip() == "---":
-        start = next((i + 1 for i, x in enumerate(lines[1:], 1) if x.strip() in ("---", "...")), 0)
-    fence, comment, html = "", False, False
-    for number, line in enumerate(lines[start:], start + 1):
-        mark = FENCE.match(line)
-        if fence:
-            if mark and mark[1][0] == fence[0] and len(mark[1]) >= len(fence) and not line.strip().strip(fence[0]):
-                fence = ""
-            continue
-        if comment:
-            comment = "-->" not in line
+    if lines and lines[0] == "---":
+        start = next((n for n, x in enumerate(lines[1:], 2) if x.rstrip() in ("---", "...")), 0)
+    out: list[int] = []
+    ends = None
+    for number in range(start + 1, len(lines) + 1):
+        line = lines[number - 1]
+        if ends:
+            ends = None if ends(line) else ends
             continue
-        if mark:
-            fence = mark[1]
-        elif line.lstrip().startswith("<!--"):
-            comment = "-->" not in line
-        elif html or re.match(r"\s{0,3}</?[a-zA-Z][^>]*>", line):
-            html = bool(line.strip())
-        else:
+        ends = _closer(line)
+        if not ends:
             out.append(number)
     return out
 
@@ -54,7 +69,7 @@ def outline(docs: DataFrame) -> DataFrame:
             rows = []
             for slug, text in zip(batch["slug"], batch["text"], strict=True):
                 lines = (text or "").splitlines()
-                marks = [(n, len(m[1]), m[2].strip().rstrip("#").strip()) for n in prose_lines(lines) if (m := re.match(r"\s{0,3}(#{1,6})\s+(\S.*)$", lines[n - 1]))]
+                marks = [(n, len(m[1]), m[2].strip().rstrip("#").strip()) for n in prose_lines(lines) if (m := re.match(r" {0,3}(#{1,6})[ \t]+(\S.*)$", lines[n - 1]))]
                 open_at: list[int] = []
                 ends, above = [len(lines)] * len(marks), [None] * len(marks)
                 for k, (n, depth, _) in enumerate(marks):
@@ -73,7 +88,7 @@ def marked_lines(lines: DataFrame, every: int = 10) -> DataFrame:
     return lines.withColumn("shown", F.when(F.col("line_no") % every == 0, F.concat(F.lit("["), F.col("line_no").cast("string"), F.lit("] "), F.col("text"))).otherwise(F.col("text")))
 
 
-# Pointers (D24, D25, J25 to J27)
+# Pointers (D24, D25, J25, J26)
 
 
 def roman(x: Column) -> Column:
@@ -132,7 +147,7 @@ def heading_key(x: Column) -> Column:
     return F.when(number != "", T.plain_number(number)).otherwise(T.loose(x))
 
 
-# Inventories
+# Inventories
 
 SECTION = (
     "heading: string, locator: string, passes: int, full_passes: int, degraded: boolean, error: string, skipped: boolean, "
@@ -290,7 +305,7 @@ def definitions(terms: DataFrame, lines: DataFrame) -> DataFrame:
     return terms.join(best, "term", "left").select("term", named.alias("defined"))
 
 
-# Scores and labels
+# Scores and labels
 
 
 def moves(compared: DataFrame) -> DataFrame:

@@ -160,6 +160,20 @@ def d15_requirement_candidates(spark, sf):
     return L.candidates(R.documents(spark, sf))
 
 
+@query("""WITH t AS (SELECT doc_id AS slug, replace(replace(text, ' the ', ' SHALL '), ' in ', ' MAY NOT ') AS text FROM documents WHERE text <> ''),
+ p AS (SELECT slug, string_split(regexp_replace(text, '\\n$', ''), chr(10)) AS p FROM t), l AS (SELECT slug, unnest(range(1, len(p) + 1)) AS line_no, regexp_replace(unnest(p), '^\\s+|\\s+$', '', 'g') AS x FROM p),
+ k AS (SELECT *, line_no - row_number() OVER (PARTITION BY slug ORDER BY line_no) AS para FROM l WHERE x <> '' AND x NOT LIKE '#%' AND x NOT LIKE '|%' AND NOT (length(x) < 80 AND regexp_matches(x, '^\\d+(\\.\\d+)*\\s+\\S'))),
+ s AS (SELECT *, coalesce(sum(length(x) + 1) OVER (PARTITION BY slug, para ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM k),
+ b AS (SELECT slug, para, string_split(regexp_replace(string_agg(x, ' ' ORDER BY line_no), '([.;])(\\s+)([A-Z(])', '\\1\\2' || chr(1) || '\\3', 'g'), chr(1)) AS w FROM s GROUP BY ALL),
+ e AS (SELECT slug, para, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS said FROM b), o AS (SELECT *, coalesce(sum(length(said)) OVER (PARTITION BY slug, para ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM e),
+ m AS (SELECT *, CASE WHEN regexp_matches(said, '\\bMAY\\s+NOT\\b') THEN 'MAY NOT' ELSE 'SHALL' END AS modality_hint FROM o WHERE regexp_matches(said, '\\bMAY\\s+NOT\\b|\\bSHALL\\b'))
+ SELECT m.slug, (SELECT max(s.line_no) FROM s WHERE s.slug = m.slug AND s.para = m.para AND s.at <= m.at) AS line, modality_hint, trim(said) AS raw FROM m""")
+def d15_modal_sentences(spark, sf):
+    """Invented prose has no modal words: two common words of it stand in for them."""
+    docs = R.documents(spark, sf).withColumn("text", F.expr("replace(replace(text, ' the ', ' SHALL '), ' in ', ' MAY NOT ')"))
+    return L.candidates(docs).select("slug", "line", "modality_hint", "raw")
+
+
 @query()
 def d12_outline(spark, sf):
     docs = R.documents(spark, sf).select("slug", F.concat(F.lit("# One\n"), "text", F.lit("\n## Two\nx\n```\n# no\n```\n# Three\n")).alias("text"))

@@ -111,9 +111,12 @@ def d04_sections(spark, sf):
     return L.cut_documents(R.documents(spark, sf), L.SECTIONS)
 
 
-@query(f"WITH {LINES} SELECT slug, line_no, text FROM lines WHERE false")
+@query(f"WITH {LINES} SELECT slug, line_no, text FROM lines WHERE trim(text) <> '' AND (line_no - 1) % 9 >= 6")
 def d05_unread_lines(spark, sf):
-    return L.unread(R.lines(spark, sf), L.cut_documents(R.documents(spark, sf), L.SECTIONS))
+    """Sections of six lines with holes of three between them."""
+    rows = R.lines(spark, sf)
+    parts = rows.filter("line_no % 9 = 1").select("slug", F.col("line_no").alias("start"), (F.col("line_no") + 5).alias("end"))
+    return L.unread(rows, parts)
 
 
 @query(f"""WITH {LINES}, k AS (SELECT slug, line_no, line_no - row_number() OVER (PARTITION BY slug ORDER BY line_no) AS i FROM lines WHERE length(text) >= 200)
@@ -122,12 +125,16 @@ def d06_runs(spark, sf):
     return L.runs_of(R.lines(spark, sf).filter(F.char_length("text") >= 200))
 
 
-@query(f"""WITH {LINES}, o AS (SELECT slug, line_no, unnest(regexp_extract_all(text, '[A-Z][a-z]{{2}}[.,]')) AS identifier FROM lines),
+FAMILIES = """CASE line_no % 5 WHEN 0 THEN 'AS-G' || (line_no % 40) || ' and ' WHEN 1 THEN 'IF-RO-' || (slug % 90) || ', ' WHEN 2 THEN 'see ND-' || (line_no % 7) || ' ' WHEN 3 THEN 'CF-' || line_no % 9 || ' PG-1 ' ELSE 'xND-1 ' END || text"""
+
+
+@query(f"""WITH {LINES}, t AS (SELECT slug, {FAMILIES} AS text FROM lines), o AS (SELECT slug, unnest(list_concat(list_concat(regexp_extract_all(text, '\\b[A-Z]{{2,4}}-G-?\\d{{1,3}}\\b'), regexp_extract_all(text, '\\bIF-[A-Z]{{2,5}}-\\d{{1,3}}\\b')),
+   list_concat(regexp_extract_all(text, '\\bND-\\d{{1,3}}\\b'), regexp_extract_all(text, '\\b(?:CF|PG)-\\d{{1,3}}\\b')))) AS identifier FROM t),
  e AS (SELECT slug, identifier, regexp_extract(identifier, '^[A-Z]+(?:-[A-Z]+)?') AS prefix, count(*) AS n FROM o GROUP BY ALL)
  SELECT slug, prefix, count(*) AS distinct_ids, sum(n) AS occurrences, count(*) FILTER (n = 1) AS singletons FROM e GROUP BY slug, prefix""")
 def d18_identifier_classes(spark, sf):
-    """Invented prose has no register identifiers, so capitalised words before a mark stand in for them."""
-    return L.identifier_classes(L.identifiers(R.lines(spark, sf), (r"[A-Z][a-z]{2}[.,]",)))
+    """Invented prose has no register identifiers, so one of the four families is written before each line."""
+    return L.identifier_classes(L.identifiers(R.lines(spark, sf).withColumn("text", F.expr(FAMILIES))))
 
 
 @query(f"""WITH {LINES}, w AS (SELECT slug, regexp_extract_all(text, '[A-Za-z][A-Za-z0-9''\\-]*') AS w FROM lines),

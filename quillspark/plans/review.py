@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.functions.scale import BADNESS, COVERAGE, lookup, worst
-from quillspark.operators import aggregates, closure, graph, joins, lines
+from quillspark.operators import aggregates, closure, graph, joins, lines, records
 from quillspark.provider import ModelProvider, ask_all
 
 
@@ -36,25 +36,92 @@ def quote_check(rows: DataFrame) -> DataFrame:
     return rows.withColumn("quoted", (quote != "") & F.contains(passage, quote))
 
 
-def coverage(obligations: DataFrame, docs: DataFrame, provider: ModelProvider, k: int = 12, least_hits: int = 8) -> DataFrame:
+def gate_hits(words: DataFrame, docs: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
+    """(id, word) with hits, how often word or a variant (term, variant) of it stands in all docs (slug, text), inside of words too.
+
+    Each document is cut into runs of letters, digits and hyphens once and equal runs are counted; asked strings meet the parts
+    of distinct runs by equality. Only variants of several runs are looked for in whole texts, and their number is checked.
+    """
+    asked = words.select("word", F.col("word").alias("said")).distinct()
+    if lexicon is not None:
+        more = lexicon.select(F.lower("term").alias("word"), F.lower("variant").alias("said")).join(words.select("word").distinct(), "word", "left_semi")
+        asked = asked.unionByName(more).distinct()
+    one = asked.filter(F.col("said").rlike(r"^[a-z0-9\-]+$"))
+    sizes = one.agg(F.collect_set(F.char_length("said")).alias("sizes"))  # a handful of lengths
+    runs = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z0-9\-]+"), F.lit(0))).alias("run")).groupBy("run").agg(F.count("*").alias("n"))
+    fits = F.filter("sizes", lambda k: k <= F.char_length("run"))
+    parts = F.array_distinct(F.flatten(F.transform(fits, lambda k: F.transform(F.sequence(F.lit(1), F.char_length("run") - k + 1), lambda i: F.substring(F.col("run"), i, k)))))
+    met = runs.join(F.broadcast(sizes)).select("run", "n", F.explode(parts).alias("said")).join(one, "said")
+    hits = met.groupBy("word").agg(F.sum(F.col("n") * T.occurrences(F.col("run"), F.col("said"))).alias("hits"))
+    several = asked.filter(~F.col("said").rlike(r"^[a-z0-9\-]+$"))
+    if not several.isEmpty():
+        low = joins.contains_join(docs, several, term="said")
+        hits = hits.unionByName(low.groupBy("word").agg(F.sum(T.occurrences(F.lower("text"), F.col("said"))).alias("hits"))).groupBy("word").agg(F.sum("hits").alias("hits"))
+    return words.join(hits, "word", "left").select("id", "word", F.coalesce("hits", F.lit(0)).alias("hits"))
+
+
+def retrieved(asked: DataFrame, chunks: DataFrame, how: str = "lexical", k: int = 12, sections: int = 3, embed: Callable[[F.Column], F.Column] = T.offline_vector) -> DataFrame:
+    """(query_id, chunk_id, rank) of the passages shown for each obligation (id, text).
+
+    lexical (H01, G06): by shared terms, scores rounded so that the order of adding doesn't matter. dense (F22): by cosine. section
+    (F23): the best sections by their heading and opening, the opening chunk of each, then its k // sections best chunks; chunks
+    need a section there.
+    """
+    if how == "lexical":
+        scored = joins.lexical_scores(asked.select(F.col("id").alias("query_id"), "text"), chunks.select("chunk_id", "text")).withColumn("score", F.round("score", 6))
+        return aggregates.top_with_rest(scored, ["query_id"], [F.col("score").desc(), F.col("chunk_id").desc()], k).select("query_id", "chunk_id", "rank")
+    queries = asked.select(F.col("id").alias("query_id"), embed(F.col("text")).alias("embedding"))
+    items = chunks.select(F.col("chunk_id").alias("item_id"), embed(F.col("text")).alias("embedding"), *(["section"] if how == "section" else []))
+    if how == "dense":
+        return joins.top_k(queries, items, k).select("query_id", F.col("item_id").alias("chunk_id"), "rank")
+    return joins.section_top_k(queries, items, k, sections).select("query_id", F.col("item_id").alias("chunk_id"), "rank")
+
+
+def screened(asked: DataFrame, chunks: DataFrame, provider: ModelProvider, k: int = 12) -> DataFrame:
+    """obligations that retrieval found nothing for are asked about every chunk: discharges before contributes, k at most. Their number is checked."""
+    pairs = chunks.select("chunk_id", F.col("text").alias("passage")).join(joins.small(asked.select(F.col("id").alias("query_id"), "text")))
+    keyed = pairs.select(F.struct("query_id", "chunk_id").alias("id"), F.lit("Does this passage contribute to this obligation?").alias("system"), F.concat_ws("\n\n", "text", "passage").alias("user"))
+    said = ask_all(keyed, provider).filter(F.col("answer").isin("discharges", "contributes")).select("id.query_id", "id.chunk_id", "answer")
+    return aggregates.top_with_rest(said, ["query_id"], [F.col("answer").desc(), F.col("chunk_id")], k).select("query_id", "chunk_id", "rank")
+
+
+def coverage(
+    obligations: DataFrame,
+    docs: DataFrame,
+    provider: ModelProvider,
+    k: int = 12,
+    least_hits: int = 8,
+    chunks: DataFrame | None = None,
+    how: str = "lexical",
+    lexicon: DataFrame | None = None,
+    scope: str | None = None,
+    screen: ModelProvider | None = None,
+) -> DataFrame:
     """Obligations (id, modality, text) against documents (slug, text): retrieval, verdict, gate, all as rows.
 
-    Permissive obligations aren't judged (E02). Passages are found by shared terms; only words that obligations have are joined.
+    Only those of one scope (E01), if named. Permissive obligations aren't judged (E02). Where retrieval finds nothing and a
+    screen is given, every chunk is asked about. The gate (G04) looks for the obligations' words of five letters or more that
+    aren't stop words, and their variants.
     """
-    chunks = lines.cut_documents(docs).withColumn("chunk_id", F.concat_ws(":", F.col("slug").cast("string"), F.col("start").cast("string")))
+    if scope is not None:
+        obligations = records.of_scope(obligations, scope)
+    if chunks is None:
+        cut = lines.cut_documents(docs)
+        chunks = cut.select(F.concat_ws(":", F.col("slug").cast("string"), F.col("start").cast("string")).alias("chunk_id"), F.concat_ws("/", F.col("slug").cast("string"), "heading").alias("section"), "text")
     permissive = F.upper(F.trim("modality")).startswith("MAY")
     asked = obligations.filter(~permissive)
-    scored = joins.lexical_scores(asked.select(F.col("id").alias("query_id"), "text"), chunks.select("chunk_id", "text"))
-    best = aggregates.top_with_rest(scored, ["query_id"], [F.col("score").desc(), F.col("chunk_id").desc()], k)
+    best = retrieved(asked, chunks, how, k)
+    if screen is not None:
+        unfound = asked.join(best.select(F.col("query_id").alias("id")).distinct(), "id", "left_anti")
+        if not unfound.isEmpty():
+            best = best.unionByName(screened(unfound, chunks, screen, k))
     passages = best.join(chunks.select("chunk_id", F.col("text").alias("passage")), "chunk_id").groupBy(F.col("query_id").alias("id")).agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "passage"))), lambda x: x["passage"]), "\n\n").alias("passages")
     )
     prompts = asked.join(passages, "id", "left").select("id", F.lit("Judge the obligation by the passages.").alias("system"), F.concat_ws("\n\n", "text", "passages").alias("user"))
     judged = ask_all(prompts, provider).select("id", F.coalesce("answer", F.lit("unverifiable")).alias("verdict"), "status", "error")
-    words = asked.select("id", F.explode(F.array_distinct(T.words_of(F.col("text"), r"[a-z][a-z0-9\-]{4,}"))).alias("word"))
-    low = docs.select(F.lower("text").alias("low"))
-    hits = words.select("word").distinct().join(F.broadcast(low) if low.limit(9).count() < 9 else low).groupBy("word").agg(F.sum(T.occurrences(F.col("low"), F.col("word"))).alias("hits"))
-    gate = aggregates.absence_gate(words.join(hits, "word"), least_hits)
+    words = asked.select("id", F.explode(F.array_distinct(T.words_of(F.col("text"), r"[a-z][a-z0-9\-]{4,}", T.RETRIEVAL_STOP))).alias("word"))
+    gate = aggregates.absence_gate(gate_hits(words, docs, lexicon), least_hits)
     out = obligations.join(judged, "id", "left").join(gate, "id", "left")
     unmet = F.col("verdict") == "unmet"
     return out.select("id", "modality", "text", F.when(permissive, "not_applicable").otherwise(F.col("verdict")).alias("verdict"), F.when(unmet, F.col("gate")).alias("gate"), F.when(unmet, F.col("evidence")).alias("evidence"), "status", "error")

@@ -100,9 +100,9 @@ def write_yaml(df: DataFrame, path: str, root: str) -> None:
 
 def numbered(df: DataFrame, order: list, prefix: str) -> DataFrame:
     """Ids by position: D5-001, D5-002 and so on."""
-    from pyspark.sql.window import Window as W
+    from quillspark.operators.aggregates import ranked
 
-    return df.withColumn("id", F.format_string(f"{prefix}-%03d", F.row_number().over(W.orderBy(*order))))
+    return ranked(df, order, "_n").withColumn("id", F.format_string(f"{prefix}-%03d", "_n")).drop("_n")
 
 
 def annotate(register: DataFrame, values: DataFrame, column: str, overwrite: bool = False) -> DataFrame:
@@ -159,18 +159,20 @@ def write_xlsx(df: DataFrame, path: str, sheet: str = "Sheet1") -> None:
             out.write(b"</sheetData></worksheet>")
 
 
-def markdown_table(df: DataFrame, most: int = 200) -> str:
-    """A report's table; says how many rows it leaves out."""
-    rows = df.limit(most + 1).collect()
+def markdown_table(df: DataFrame, most: int | None = None) -> str:
+    """A report's table: every row, or the first most of them and how many more there are."""
     cell = lambda v: "" if v is None else str(v).replace("|", "\\|").replace("\n", " ")
-    out = ["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)] + ["| " + " | ".join(map(cell, r)) + " |" for r in rows[:most]]
-    return "\n".join(out + ([f"\n… {df.count() - most} more"] if len(rows) > most else []))
+    out = ["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
+    rows = df.toLocalIterator() if most is None else iter(df.limit(most).collect())
+    out += ["| " + " | ".join(map(cell, r)) + " |" for r in rows]
+    left = 0 if most is None else df.count() - most
+    return "\n".join(out + ([f"\n… {left} more"] if left > 0 else []))
 
 
-def html_table(df: DataFrame, most: int = 2000) -> str:
-    """B17."""
+def html_table(df: DataFrame) -> str:
+    """Every row of a table."""
     cells = lambda tag, row: "<tr>" + "".join(f"<{tag}>{escape('' if v is None else str(v))}</{tag}>" for v in row) + "</tr>"
-    return "<table>" + cells("th", df.columns) + "".join(cells("td", r) for r in df.limit(most).collect()) + "</table>"
+    return "<table>" + cells("th", df.columns) + "".join(cells("td", r) for r in df.toLocalIterator()) + "</table>"
 
 
 def write_report(parts: dict[str, DataFrame], path: str) -> None:
@@ -178,10 +180,28 @@ def write_report(parts: dict[str, DataFrame], path: str) -> None:
     Path(path).write_text("\n\n".join(f"## {k}\n\n{markdown_table(v)}" for k, v in parts.items()) + "\n", encoding="utf-8")
 
 
-def salvage(raw: str) -> list[str]:
-    """Quotes of a reply whose JSON is broken."""
+_STRING = re.compile(r'"((?:[^"\\]|\\.)*)"(\s*:)?', re.S)
+
+
+def unescaped(x: str) -> str:
+    """A string as JSON reads it; one that JSON refuses stays as it is."""
     try:
-        return [q for q in json.loads(raw).get("quotes", []) if isinstance(q, str)]
-    except (ValueError, AttributeError):
-        found = re.search(r'"quotes"\s*:\s*\[(.*)', raw, re.S)
-        return [json.loads(f'"{x}"', strict=False) for x in re.findall(r'"((?:[^"\\]|\\.)*)"', (found[1] if found else "").split("]")[0])]
+        return json.loads(f'"{x}"')
+    except ValueError:
+        return x
+
+
+def salvage(raw: str) -> tuple[list[str], str]:
+    """Quotes and answer of a reply whose JSON may be broken.
+
+    The reply is read as a run of strings; one with a colon behind it is a key, and those behind a key are its values.
+    """
+    values: dict[str, list[str]] = {}
+    key = ""
+    for text, colon in _STRING.findall(raw):
+        if colon:
+            key = unescaped(text)
+        else:
+            values.setdefault(key, []).append(unescaped(text))
+    quotes = [q for q in values.get("quotes", []) if q.strip()]
+    return quotes, next(iter(values.get("answer", [])), "").strip()

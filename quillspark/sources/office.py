@@ -29,11 +29,22 @@ def document_lines(archive: zipfile.ZipFile) -> list[str]:
     out = []
     for p in _root(archive, "word/document.xml").iter(f"{W}p"):
         text = "".join(x.text or "" for x in p.iter() if x.tag in (f"{W}t", f"{M}t"))
-        if text:
+        if text.strip():
             out.append(text)
     return out
 
 
+def unread_parts(archive: zipfile.ZipFile) -> list[str]:
+    """Parts of a document that hold text beside its body, with the number of their paragraphs that do: they aren't read, so nothing may be called absent from them."""
+    beside = re.compile(r"word/((?:footnotes|endnotes|comments)|(?:header|footer)\d*)\.xml")
+    out = []
+    for name in sorted(filter(beside.fullmatch, archive.namelist())):
+        count = sum(any((t.text or "").strip() for t in p.iter(f"{W}t")) for p in _root(archive, name).iter(f"{W}p"))
+        if count:
+            out.append(f"{beside.fullmatch(name)[1]}:{count}")
+    return out
+
+
 def slide_lines(archive: zipfile.ZipFile) -> list[str]:
     """Slides by number, each under a banner."""
     numbers = sorted(int(m[1]) for n in archive.namelist() if (m := re.fullmatch(r"ppt/slides/slide(\d+)\.xml", n)))
@@ -129,16 +140,28 @@ def extract(content: bytes, path: str) -> tuple[list[str], str]:
         return [], f"failed: {type(e).__name__}"
 
 
+def beside(content: bytes, path: str) -> list[str]:
+    """What of a file wasn't read; empty for files of other kinds and for those that can't be read at all."""
+    try:
+        if kind_of(content, path) != "docx":
+            return []
+        with zipfile.ZipFile(io.BytesIO(content)) as archive:
+            return unread_parts(archive)
+    except Exception:
+        return []
+
+
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """Path, bytes, source_sha256, status and lines of every file; a file is one row's work."""
+    """Path, bytes, source_sha256, status, lines and unread parts of every file; a file is one row's work."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            got = [extract(bytes(c), p) for c, p in zip(batch["content"], batch["path"], strict=True)]
-            yield pd.DataFrame({"path": batch["path"], "bytes": batch["length"], "source_sha256": batch["source_sha256"], "status": [s for _, s in got], "lines": [x for x, _ in got]})
+            files = [(bytes(c), p) for c, p in zip(batch["content"], batch["path"], strict=True)]
+            got = [extract(*f) for f in files]
+            yield pd.DataFrame({"path": batch["path"], "bytes": batch["length"], "source_sha256": batch["source_sha256"], "status": [s for _, s in got], "lines": [x for x, _ in got], "unread": [beside(*f) for f in files]})
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "length", "content", F.sha2("content", 256).alias("source_sha256")).mapInPandas(run, "path string, bytes long, source_sha256 string, status string, lines array<string>")
+    return files.select("path", "length", "content", F.sha2("content", 256).alias("source_sha256")).mapInPandas(run, "path string, bytes long, source_sha256 string, status string, lines array<string>, unread array<string>")
 
 
 def register_rows(content: bytes, path: str, sheet: str | None = None, table: int | None = None) -> tuple[list[str], list[tuple[int, list[str]]]]:

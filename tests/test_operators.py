@@ -52,15 +52,34 @@ def test_headings_end_before_the_next_that_is_not_deeper(spark):
     assert rows(L.headings(lines).select("number", "title", "line_no", "end"), "line_no") == [("1", "Scope", 3, 7), ("1.1", "Parts", 6, 7), ("2", "End", 8, 9)]
 
 
-def test_requirement_candidates_join_lines_and_stems():
+def test_requirement_candidates_join_lines_and_stems(spark):
     text = "1 Scope\nThe system SHALL\nlog. It MAY also print; Users MUST NOT wait.\n\nThe Architecture shall include:\n(a) a bus;\n(b) a store\n   with a log.\n\n2 End"
-    got = [(s, n, m, r) for _, s, n, m, r, *_ in L.requirement_candidates(text.split("\n"))]
-    assert got == [
+    found = L.candidates(spark.createDataFrame([(1, text)], "slug int, text string"))
+    assert rows(found.select("section", "line", "modality_hint", "raw"), "line", "raw") == [
         ("1 Scope", 2, "SHALL", "The system SHALL log."), ("1 Scope", 3, "MAY", "It MAY also print;"), ("1 Scope", 3, "MUST NOT", "Users MUST NOT wait."),
         ("1 Scope", 6, "SHALL", "The Architecture shall include: a bus;"), ("1 Scope", 7, "SHALL", "The Architecture shall include: a store with a log."),
     ]
 
 
+def test_what_ends_a_stem_and_a_paragraph(spark):
+    text = "\n".join([
+        "It shall have:", "1. one", "", "2. two", "plain that goes on", "", "Users MUST look. MAY be", "| a SHALL | table |", "R-12 The end SHALL come", "# Part", "(a) SHALL stand alone",
+        "They should give:", "no item SHALL open this", "(b) SHALL be prose", "It may show:", "## Next", "(c) never MUST", ""])
+    got = rows(L.candidates(spark.createDataFrame([(1, text)], "slug int, text string")).select("line", "section", "ref", "modality_hint", "raw", "stem_line"), "line", "raw")
+    front = "(front matter)"
+    assert got == [
+        (2, front, None, "SHALL", "It shall have: one", 1), (4, front, None, "SHALL", "It shall have: two plain that goes on", 1),
+        (7, front, None, "MAY", "MAY be", None), (7, front, None, "MUST", "Users MUST look.", None), (9, front, "R-12", "SHALL", "R-12 The end SHALL come", None),
+        (11, "Part", None, "SHALL", "(a) SHALL stand alone", None), (13, "Part", None, "SHALL", "no item SHALL open this (b) SHALL be prose", None), (17, "Next", None, "MUST", "(c) never MUST", None),
+    ]
+
+
+def test_headings_end_before_the_next_of_their_depth(spark):
+    text = ["1 A", "x", "1.1 B", "1.1.1 C", "y", "1.2 D", "2 E", "z"]
+    got = L.headings(spark.createDataFrame([(1, n, x) for n, x in enumerate(text, 1)], "slug int, line_no int, text string"))
+    assert rows(got.select("number", "end"), "line_no") == [("1", 6), ("1.1", 5), ("1.1.1", 5), ("1.2", 6), ("2", 8)]
+
+
 @pytest.mark.parametrize(
     ("answers", "wanted"),
     [(["met", "met"], "AGREE"), (["met", "partial"], "ADJACENT"), (["met", "unmet"], "DISAGREE"), (["met", "unverifiable"], "UNRANKABLE"), (["unverifiable", "unverifiable"], "AGREE"), (["", ""], "UNRANKABLE"), (["", "met"], "AGREE")],
@@ -73,7 +92,7 @@ def test_agreement(spark, answers, wanted):
 def test_scales(spark):
     df = spark.createDataFrame([("met", "unmet"), ("met", "unverifiable"), ("partial", None)], "a string, b string")
     assert rows(df.select(COVERAGE.pair(F.col("a"), F.col("b")), COVERAGE.distance(F.col("a"), F.col("b"))), F.col("a"), F.col("b").desc())[0] == ("UNRANKABLE", 9)
-    assert one(spark, "Not Addressed", REVIEW.coerce) == "not_addressed"
+    assert [one(spark, x, REVIEW.coerce) for x in ("Not Addressed", " Not_Addressed\n", "mostly", "")] == ["unclear", "not_addressed", "unclear", "unclear"]
     v = lambda *own: spark.createDataFrame([(i, x) for i, x in enumerate(own)], "p int, v string").agg(worst(F.col("v"), F.col("p"))).first()[0]
     assert v("met", "unmet", "partial") == "unmet" and v("not_applicable", "met") == "not_applicable" and v("not_applicable", "partial") == "partial" and v("met", "not_applicable") == "met"
 

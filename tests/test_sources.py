@@ -54,4 +54,25 @@ def test_stream_adds_each_key_once(spark, tmp_path):
 
 def test_questions_and_salvage():
     assert files.load_questions("1. a\n   b\n2) c") == ["a b", "c"] and files.load_questions("x\ny") == ["x", "y"]
-    assert files.salvage('{"quotes": ["a \\"b\\"", "c"], "answer": "cut o') == ['a "b"', "c"]
+    assert files.salvage('{"quotes": ["a \\"b\\"", "c"], "answer": "cut o') == (['a "b"', "c"], "")
+    assert files.salvage('{"quotes": ["see [3] here", "two"], "answer": "x') == (["see [3] here", "two"], "")
+    assert files.salvage('{"answer": "yes ", "quotes": ["one", " "]} and more') == (["one"], "yes") and files.salvage("nothing") == ([], "")
+
+
+def test_reports_hold_every_row(spark):
+    df = spark.range(2500).selectExpr("id", "concat('a|', id) AS note")
+    assert files.html_table(df).count("<tr>") == 2501 and files.markdown_table(df).count("\n") == 2501
+    assert files.markdown_table(df, 3).endswith("2497 more")
+
+
+def test_documents_say_what_was_not_read(tmp_path):
+    import zipfile
+
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    p = lambda *t: "".join(f"<w:p><w:r><w:t>{x}</w:t></w:r></w:p>" for x in t)
+    with zipfile.ZipFile(tmp_path / "a.docx", "w") as z:
+        z.writestr("word/document.xml", f"<w:document {w}><w:body>{p('One', '  ', 'Two')}</w:body></w:document>")
+        z.writestr("word/footnotes.xml", f"<w:footnotes {w}>{p('n', '')}</w:footnotes>")
+        z.writestr("word/header1.xml", f"<w:hdr {w}>{p(' ')}</w:hdr>")
+    raw = (tmp_path / "a.docx").read_bytes()
+    assert office.extract(raw, "a.docx") == (["One", "Two"], "ok") and office.beside(raw, "a.docx") == ["footnotes:1"] and office.beside(b"x", "a.txt") == []

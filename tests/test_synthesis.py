@@ -13,7 +13,12 @@ def rows(df, *order):
 
 def test_prose_leaves_out_what_is_not_text():
     text = "---\na: 1\n---\nOne\n```\ncode\n```\n<!-- x\ny -->\n<div>\nraw\n\nTwo".split("\n")
-    assert [text[n - 1] for n in S.prose_lines(text)] == ["One", "Two"] or [text[n - 1] for n in S.prose_lines(text)] == ["One", "", "Two"]
+    assert [text[n - 1] for n in S.prose_lines(text)] == ["One", "<div>", "raw", "", "Two"]
+
+
+def test_prose_knows_fences_and_raw_blocks():
+    text = ["````markdown", "```sh", "# no", "```", "````", "```twin``` is a span", "<pre>", "# no", "</pre> gone", "<pre>x</pre>", "   ~~~", "        ~~~", "~~~", "yes"]
+    assert [text[n - 1] for n in S.prose_lines(text)] == ["```twin``` is a span", "<pre>x</pre>", "yes"]
 
 
 def test_outline_nests(spark):
