@@ -1,8 +1,13 @@
 """Quality rules with an n-gram language model (op 5).
 
-Spark counts character n-grams of all texts; a modified Kneser-Ney model is made of the counts and kept in
-sorted arrays of n-gram hashes. Documents outside of their language's perplexity band are rejected. A hash is
-the n-gram's symbols as digits of base 64, so there are 64 ** ORDER hashes at most, whatever the corpus.
+The model has two tiers. The lower one is a modified Kneser-Ney model of character n-grams: Spark counts them over
+all texts, and the model is kept in sorted arrays of n-gram hashes. A character stands for its class there (a hash
+is the n-gram's classes as digits of base 64), which is what lets it tell prose from junk in rare words; it has 64 **
+ORDER n-grams at most, whatever the corpus. The upper tier has every word of the corpus and grows with it: Spark
+counts the words, and a word's probability is its discounted count, interpolated with its spelling in the lower
+tier. Word counts are never gathered: they stay dealt by hash, and every unit of texts gets those of its own words.
+
+Documents outside of their language's band of perplexity, of characters or of words, are rejected.
 """
 
 from __future__ import annotations
@@ -14,16 +19,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import materialise, prepare, texts
 
-#: Symbols and n-gram length: 64 ** 4 n-grams, 16.8 million, bound the model (12 bytes each) and what the driver gathers.
+#: Symbols and n-gram length: 64 ** 4 n-grams, 16.8 million, bound the lower tier (12 bytes each) and what the driver gathers.
 SYMBOLS, ORDER = 64, 4
-#: Bands: so many robust deviations below and above the language's median. The deviation of a text of n symbols
-#: is taken to fall as 1 / sqrt(n), down to that of STEADY symbols. The README has what 3 to 5 deviations keep and lose.
-BELOW, ABOVE, STEADY = 4.0, 4.0, 8192
+#: Bands: so many robust deviations below and above the language's median, of bits a symbol and of bits a word. The
+#: deviation of a text is taken to fall as 1 / sqrt(n) of its symbols or words; that of words falls no further than at
+#: STEADY words, because longer texts differ in their vocabulary as much as those. The README has figures for all three.
+BAND, WORD_BAND, STEADY = 4.0, 5.0, 1000
+#: Characters of a unit: the texts that one request for word counts is made for. It bounds a task's memory.
+UNIT_CHARS = 32_000_000
 #: Base rules: fewest words, and the share of words in repeated 5-word windows, in percent.
 LEAST_WORDS, MOST_REPEATED = 10, 20
 #: So many languages' bands are broadcast at most (under 1 MB); more are joined by shuffle.
@@ -31,6 +40,8 @@ BROADCAST_LANGUAGES = 10_000
 #: Code points with a class of their own place in the table; those beyond share the class of their kind.
 TABLE = 0x3000
 WORD = re.compile(r"[^\x20\x09-\x0D]+").findall
+#: What the upper tier counts as a word.
+TOKEN = re.compile(r"\w+").findall
 SYMBOL = re.compile(r"[#*$%&|<>]").findall
 NOT_BLANK = re.compile(r"[^\x20\x09-\x0D]").search
 
@@ -65,18 +76,25 @@ def symbol_of(code: int) -> int:
 _CLASSES: list[np.ndarray] = []
 
 
-def symbols(text: str) -> np.ndarray:
-    """The symbols of a text, with edges around it."""
+def _classes(text: str) -> np.ndarray:
     if not _CLASSES:
         _CLASSES.append(np.array([symbol_of(c) for c in range(TABLE)] + [61], np.uint8))
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-    inner = _CLASSES[0][np.minimum(codes, TABLE)]
-    return np.concatenate([np.zeros(ORDER - 1, np.uint8), inner, np.zeros(1, np.uint8)])
+    return _CLASSES[0][np.minimum(codes, TABLE)]
+
+
+def symbols(text: str) -> np.ndarray:
+    """The symbols of a text, with edges around it."""
+    return np.concatenate([np.zeros(ORDER - 1, np.uint8), _classes(text), np.zeros(1, np.uint8)])
 
 
 def grams(text: str) -> np.ndarray:
     """The hash of the n-gram that ends at each symbol of the text and at its end."""
-    s = symbols(text).astype(np.int32)
+    return _rolled(symbols(text))
+
+
+def _rolled(s: np.ndarray) -> np.ndarray:
+    s = s.astype(np.int32)
     n = len(s) - ORDER + 1
     key = s[:n].copy()
     for k in range(1, ORDER):
@@ -121,7 +139,12 @@ def count_grams(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def discounts(counts: np.ndarray) -> np.ndarray:
     """D(0), D(1), D(2) and D(3 or more) by the counts of counts, kept within (0, count)."""
-    n1, n2, n3, n4 = (max(1, int((counts == k).sum())) for k in (1, 2, 3, 4))
+    return discounts_of(*[int((counts == k).sum()) for k in (1, 2, 3, 4)])
+
+
+def discounts_of(*having: int) -> np.ndarray:
+    """The same from how many have a count of 1, 2, 3 and 4."""
+    n1, n2, n3, n4 = (max(1, x) for x in having)
     y = n1 / (n1 + 2 * n2)
     raw = np.array([0.0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3])
     return np.clip(raw, [0, 0.05, 0.1, 0.1], [0, 0.95, 1.9, 2.9])
@@ -161,6 +184,21 @@ class KneserNey:
         other = self.back[key // SYMBOLS] + self.lower[key % SYMBOLS ** (ORDER - 1)]
         return np.where(self.keys[at] == key, self.logs[at], other) if len(self.keys) else other
 
+    def spelling(self, words: list[str]) -> np.ndarray:
+        """Bits of each word's characters, its end included: bits(word) times their number, for many words at once."""
+        if not words:
+            return np.empty(0)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(sizes + ORDER)  # each word with ORDER - 1 edges before it and one after
+        every = np.zeros(int(ends[-1]), np.uint8)
+        begins = ends - sizes - 1
+        joined = _classes("".join(words))
+        every[np.repeat(begins - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(len(joined))] = joined
+        logs = self.log2(_rolled(every))
+        first = begins - (ORDER - 1)
+        total = np.concatenate([[0.0], np.cumsum(logs, dtype=np.float64)])
+        return total[first] - total[first + sizes + 1]
+
     def bits(self, text: str) -> float:
         """Mean bits a symbol, the end included: log2 of the perplexity."""
         return float(-self.log2(grams(text)).mean())
@@ -190,76 +228,234 @@ def base_rules(text: str) -> tuple[int, int, int, int, int]:
     return n, sum(map(len, words)), len(SYMBOL(text)), repeated, covered
 
 
-MEASURES = "bits double, n_symbols_all long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
+#: What a text is measured by, and its place in the unit of texts whose words are counted together. tokens: its words as
+#: places in the unit's list of words. The first text of a unit holds that list: hashes, spelling bits and counts.
+MEASURES = (
+    "bits double, n_symbols_all long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
+    "unit long, place int, tokens binary, hashes binary, spelling binary, counts binary"
+)
+_FIELDS = [x.split()[0] for x in MEASURES.split(", ")]
+
+
+def _packed(ids: list[int]) -> bytes:
+    """Sorted numbers as their differences, in two bytes where they fit. New words of a text have neighbouring numbers."""
+    steps = np.diff(np.sort(np.array(ids, np.int64)), prepend=0)
+    wide = len(steps) and steps.max() > 0xFFFF
+    return (b"\x04" if wide else b"\x02") + steps.astype("<u4" if wide else "<u2").tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(raw[1:], "<u4" if raw[0] == 4 else "<u2").astype(np.int64))
 
 
 def measure(docs: DataFrame, model: KneserNey):
-    """A column with the base rules' numbers and the model's bits of a text column (null counts as empty)."""
+    """A column with the base rules' numbers, the lower tier's bits and the words of a text column (null counts as empty)."""
     shared = docs.sparkSession.sparkContext.broadcast((model.keys, model.logs, model.back, model.lower))
 
     @F.pandas_udf(MEASURES)
-    def of(column: pd.Series) -> pd.DataFrame:
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
         own = KneserNey(*shared.value)
-        rows = [(own.bits(x), len(x), *base_rules(x)) for x in column.fillna("")]
-        return pd.DataFrame(rows, columns=[x.split()[0] for x in MEASURES.split(", ")])
+        task, units = TaskContext.get().partitionId(), 0
+        known: dict[str, int] = {}
+        counts: list[int] = []
+        held: list[list[tuple]] = []
+        chars = texts_held = 0
+
+        def row(text: str) -> tuple:
+            nonlocal texts_held
+            said = Counter(TOKEN(text))
+            ids = []
+            for word, n in said.items():
+                at = known.setdefault(word, len(known))
+                if at == len(counts):
+                    counts.append(0)
+                counts[at] += n
+                ids += [at] * n
+            texts_held += 1
+            return (own.bits(text), len(text), *base_rules(text), task << 24 | units, texts_held - 1, _packed(ids), None, None, None)
+
+        def flush() -> Iterator[pd.DataFrame]:
+            nonlocal units, chars, texts_held
+            words = list(known)
+            lists = (
+                np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).tobytes(),
+                own.spelling(words).astype("<f4").tobytes(),
+                np.array(counts, "<u4").tobytes(),
+            )
+            for k, rows in enumerate(held):
+                if not k:
+                    rows[0] = (*rows[0][:-3], *lists)
+                yield pd.DataFrame(rows, columns=_FIELDS)
+            known.clear()
+            counts.clear()
+            held.clear()
+            units, chars, texts_held = units + 1, 0, 0
+
+        empty = pd.DataFrame(columns=_FIELDS)
+        for batch in batches:
+            if not len(batch):
+                yield empty
+                continue
+            held.append([row(x) for x in batch])
+            chars += int(batch.str.len().sum())
+            if chars > UNIT_CHARS:
+                yield from flush()
+        if held:
+            yield from flush()
+
+    return of.asNondeterministic()(F.coalesce(F.col("text"), F.lit("")))
 
-    return of(F.coalesce(F.col("text"), F.lit("")))
+
+def unit_words(measured: DataFrame) -> DataFrame:
+    """unit, place, h, spelling and n of every distinct word of every unit."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for unit, h, b, n in zip(batch["unit"], batch["hashes"], batch["spelling"], batch["counts"], strict=True):
+                told = pd.DataFrame({"h": np.frombuffer(h, np.int64), "spelling": np.frombuffer(b, "<f4"), "n": np.frombuffer(n, "<u4").astype(np.int64)})
+                told.insert(0, "place", np.arange(len(told), dtype=np.int32))
+                told.insert(0, "unit", np.int64(unit))
+                for at in range(0, len(told), 50_000):
+                    yield told.iloc[at : at + 50_000]
+
+    first = measured.filter("__m.hashes IS NOT NULL").select("__m.unit", "__m.hashes", "__m.spelling", "__m.counts")
+    return first.mapInPandas(run, "unit long, place int, h long, spelling float, n long")
+
+
+def word_bits(measured: DataFrame) -> DataFrame:
+    """unit, place, word_bits (mean bits a word, null without words) and n_tokens of every text.
+
+    Counts meet by the word's hash, in one shuffle of each unit's distinct words; each unit gets the counts of its own
+    words back, and its texts are scored beside them. A count is taken without the occurrence that is scored, so
+    a text's rare words don't vouch for themselves. No task holds more than one unit's words, and the driver gets
+    five numbers.
+    """
+    from pyspark.sql.window import Window as W
+
+    same = W.partitionBy("h")
+    first = F.row_number().over(same.orderBy("unit")) == 1
+    counted = unit_words(measured).select("unit", "place", "spelling", F.sum("n").over(same).alias("c"), first.alias("first"))
+    counted = materialise(counted, "words")
+    words = F.col("first")
+    sums = counted.agg(F.sum(F.when(words, F.col("c"))).alias("total"), *[F.count_if(words & (F.col("c") == k)).alias(f"n{k}") for k in (1, 2, 3, 4)], F.count_if(words & (F.col("c") > 4)).alias("n5")).first()
+    total = float(sums["total"] or 1)
+    cut = discounts_of(*[sums[f"n{k}"] for k in (1, 2, 3, 4)])
+    free = (cut[1] * sums["n1"] + cut[2] * sums["n2"] + cut[3] * (sums["n3"] + sums["n4"] + sums["n5"])) / total
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        unit, parts, logs = None, [], None
+        for batch in batches:
+            for own, rows in batch.groupby("unit", sort=False):
+                if own != unit:
+                    unit, parts, logs = own, [], None
+                listed = rows["tokens"].isna()
+                if listed.any():
+                    parts.append(rows.loc[listed, ["place", "spelling", "c"]])
+                texts_of = rows[~listed]
+                if not len(texts_of):
+                    continue
+                if logs is None:
+                    table = pd.concat(parts) if parts else None
+                    logs = np.zeros(0)
+                    if table is not None:
+                        c = table["c"].to_numpy(np.int64) - 1
+                        p = np.maximum(c - cut[np.minimum(c, 3)], 0) / total + free * 2.0 ** -table["spelling"].to_numpy(float)
+                        logs = np.empty(len(table))
+                        logs[table["place"].to_numpy()] = -np.log2(np.maximum(p, 1e-300))
+                    parts = []
+                ids = [_unpacked(x) for x in texts_of["tokens"]]
+                bits = [float(logs[x].mean()) if len(x) else None for x in ids]
+                yield pd.DataFrame({"unit": texts_of["unit"].to_numpy(), "place": texts_of["place"].to_numpy(), "word_bits": pd.array(bits, "Float64"), "n_tokens": [len(x) for x in ids]})
+
+    none = F.lit(None)
+    lists = counted.select("unit", F.lit(0).alias("kind"), "place", F.col("spelling").cast("float").alias("spelling"), "c", none.cast("binary").alias("tokens"))
+    told = measured.select("__m.unit", F.lit(1).alias("kind"), "__m.place", none.cast("float").alias("spelling"), none.cast("long").alias("c"), "__m.tokens")
+    return lists.unionByName(told).repartition("unit").sortWithinPartitions("unit", "kind", "place").mapInPandas(run, "unit long, place int, word_bits double, n_tokens long")
 
 
 def base_failed(m: str):
     return (F.col(f"{m}.n_words") < LEAST_WORDS) | (F.col(f"{m}.n_repeat_words") * 100 > F.col(f"{m}.n_words") * MOST_REPEATED)
 
 
-def root(m: str):
-    return F.sqrt(F.least(F.greatest(F.col(f"{m}.n_symbols_all"), F.lit(1)), F.lit(STEADY)).cast("double"))
+def scored(docs: DataFrame, keep: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(the columns keep of docs and __m, as measure() gives it, written once; each row's scores by __m.unit and __m.place, with lang).
+
+    Texts are read twice: for the counts of n-grams, and here. The second frame is small and written too.
+    """
+    model = KneserNey.fit(*count_grams(docs))
+    more = [c for c in ("lang",) if c not in keep]
+    measured = materialise(docs.select(*keep, *more, measure(docs, model).alias("__m")), "measured")
+    found = word_bits(measured).select(F.col("unit").alias("__unit"), F.col("place").alias("__place"), F.col("word_bits").alias("__word_bits"), F.col("n_tokens").alias("__n_tokens"))
+    slim = F.struct(*[F.col(f"__m.{x}").alias(x) for x in _FIELDS if x not in ("tokens", "hashes", "spelling", "counts")])
+    rows = measured.select(*[c for c in (*keep, *more) if c in ("doc_id", "lang")], slim.alias("__m"))
+    rows = rows.join(found, (F.col("__m.unit") == F.col("__unit")) & (F.col("__m.place") == F.col("__place"))).drop("__unit", "__place")
+    return measured, materialise(rows, "scored")
 
 
-def bands(measured: DataFrame) -> DataFrame:
-    """Median and robust deviation (for one symbol) of each language, over its documents that pass the base rules.
+def _roots():
+    """What a text's deviations of bits a symbol and bits a word are multiplied with."""
+    symbols_all, words = F.greatest(F.col("__m.n_symbols_all"), F.lit(1)), F.least(F.greatest(F.col("__n_tokens"), F.lit(1)), F.lit(STEADY))
+    return F.sqrt(symbols_all.cast("double")), F.sqrt(words.cast("double"))
+
+
+def bands(rows: DataFrame) -> DataFrame:
+    """Median and robust deviation (for one symbol, one word) of each language, over its documents that pass the base rules.
 
     A null language is one of its own. Partial sketches are merged, so a language may hold most of the rows.
     """
-    passed = measured.filter(~base_failed("_m")).select(F.coalesce("lang", F.lit("")).alias("_lang"), "_m")
-    middle = passed.groupBy("_lang").agg(F.percentile_approx("_m.bits", 0.5, 10_000).alias("_middle"))
+    by_symbol, by_word = _roots()
+    passed = rows.filter(~base_failed("__m")).select(F.coalesce("lang", F.lit("")).alias("__lang"), F.col("__m.bits").alias("__bits"), "__word_bits", by_symbol.alias("__rs"), by_word.alias("__rw"))
+    middle = passed.groupBy("__lang").agg(F.percentile_approx("__bits", 0.5, 10_000).alias("__middle"), F.percentile_approx("__word_bits", 0.5, 10_000).alias("__word_middle"))
     few = _few(middle)
-    off = passed.join(F.broadcast(middle) if few else middle, "_lang").select("_lang", "_middle", (F.abs(F.col("_m.bits") - F.col("_middle")) * root("_m")).alias("_off"))
-    return off.groupBy("_lang").agg(F.first("_middle").alias("_middle"), (F.percentile_approx("_off", 0.5, 10_000) * 1.4826).alias("_width"))
+    off = passed.join(F.broadcast(middle) if few else middle, "__lang")
+    spread = lambda x, m, r: F.percentile_approx(F.abs(F.col(x) - F.col(m)) * F.col(r), 0.5, 10_000) * 1.4826
+    return off.groupBy("__lang").agg(
+        F.first("__middle").alias("__middle"), F.first("__word_middle").alias("__word_middle"),
+        spread("__bits", "__middle", "__rs").alias("__width"), spread("__word_bits", "__word_middle", "__rw").alias("__word_width"),
+    )
 
 
 def _few(by_language: DataFrame) -> bool:
     return by_language.limit(BROADCAST_LANGUAGES + 1).count() <= BROADCAST_LANGUAGES
 
 
-def judged(measured: DataFrame, limits: DataFrame) -> DataFrame:
-    """Adds _failed and _kept, and the band _low to _high, to rows with _m and lang. limits is a written table."""
-    joined = measured.withColumn("_lang", F.coalesce("lang", F.lit(""))).join(F.broadcast(limits) if _few(limits) else limits, "_lang", "left")
-    low, high = F.col("_middle") - BELOW * F.col("_width") / root("_m"), F.col("_middle") + ABOVE * F.col("_width") / root("_m")
-    inside = F.coalesce((F.col("_m.bits") >= low) & (F.col("_m.bits") <= high), F.lit(True))
-    return joined.withColumn("_failed", base_failed("_m")).withColumn("_low", low).withColumn("_high", high).withColumn("_kept", ~F.col("_failed") & inside)
+def judged(rows: DataFrame, limits: DataFrame) -> DataFrame:
+    """Adds __failed and __kept, and the bands __low to __high and __word_low to __word_high, to scored rows with lang. limits is a written table."""
+    joined = rows.withColumn("__lang", F.coalesce("lang", F.lit(""))).join(F.broadcast(limits) if _few(limits) else limits, "__lang", "left")
+    by_symbol, by_word = _roots()
+    edge = lambda middle, width, root, times: F.col(middle) + times * F.col(width) / root
+    ends = {
+        "__low": edge("__middle", "__width", by_symbol, -BAND), "__high": edge("__middle", "__width", by_symbol, BAND),
+        "__word_low": edge("__word_middle", "__word_width", by_word, -WORD_BAND), "__word_high": edge("__word_middle", "__word_width", by_word, WORD_BAND),
+    }
+    told = joined.withColumns(ends).withColumn("__failed", base_failed("__m"))
+    inside = F.coalesce(F.col("__m.bits").between(F.col("__low"), F.col("__high")), F.lit(True)) & F.coalesce(F.col("__word_bits").between(F.col("__word_low"), F.col("__word_high")), F.lit(True))
+    return told.withColumn("__kept", ~F.col("__failed") & inside)
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
     """Base rules and the language model's verdict on every whole text.
 
-    Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, lang, bits (log2
-    of the perplexity) and its band low to high. Null and empty texts have no words and fail the base rules; a null
-    language has its own band; repeated rows count as often as they stand there and get equal verdicts; further
-    columns are left out; an empty table gives no rows. All texts are counted and scored; n-gram counts are the
-    only thing shuffled, and the model that is broadcast has 64 ** 4 n-grams at most.
+    Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, lang, bits (log2 of
+    the perplexity of a character) and its band low to high, word_bits (of a word; null without one) and its band word_low
+    to word_high. Null and empty texts have no words and fail the base rules; a null language has its own band; repeated
+    rows count as often as they stand there and get equal verdicts; further columns are left out; an empty table gives no
+    rows. All texts are counted and scored. Counts of words grow with the corpus and stay dealt over it; the lower tier
+    that is broadcast has 64 ** 4 n-grams at most.
     """
     prepare(docs.sparkSession)
-    docs = docs.select("doc_id", "lang", "text")
-    model = KneserNey.fit(*count_grams(docs))
-    measured = materialise(docs.select("doc_id", "lang", measure(docs, model).alias("_m")), "measured")
-    out = judged(measured, materialise(bands(measured), "bands"))
+    _, rows = scored(docs.select("doc_id", "lang", "text"), ["doc_id", "lang"])
+    out = judged(rows, materialise(bands(rows), "bands"))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    return out.select("doc_id", *[F.col(f"_m.{c}").alias(c) for c in names], F.col("_failed").alias("base_failed"), F.col("_kept").alias("kept"), "lang", F.col("_m.bits").alias("bits"), F.col("_low").alias("low"), F.col("_high").alias("high"))
+    ends = ["__low", "__high", "__word_bits", "__word_low", "__word_high"]
+    return out.select("doc_id", *[F.col(f"__m.{c}").alias(c) for c in names], F.col("__failed").alias("base_failed"), F.col("__kept").alias("kept"), "lang", F.col("__m.bits").alias("bits"), *[F.col(c).alias(c[2:]) for c in ends])
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs that quality_rules() keeps, with their columns. Texts are scored where they are and never shuffled."""
+    """The rows of docs that quality_rules() keeps, with their columns. Texts are scored once, and shuffled once to meet their verdicts."""
     prepare(docs.sparkSession)
-    model = KneserNey.fit(*count_grams(docs))
-    column = measure(docs, model)
-    limits = materialise(bands(materialise(docs.select("lang", column.alias("_m")), "measured")), "bands")
-    return judged(docs.withColumn("_m", column), limits).filter("_kept").select(*docs.columns)
+    measured, rows = scored(docs, docs.columns)
+    good = judged(rows, materialise(bands(rows), "bands")).filter("__kept").select(F.col("__m.unit").alias("__unit"), F.col("__m.place").alias("__place"))
+    return measured.join(good, (F.col("__m.unit") == F.col("__unit")) & (F.col("__m.place") == F.col("__place")), "left_semi").select(*docs.columns)

@@ -304,12 +304,38 @@ def test_rules_equal_a_plain_count_and_verdicts_hold(spark, odd, none):
     assert perplexity.keep_good(documents(spark, noisy)).count() == sum(r["kept"] for r in out.values())
 
 
-def test_band_of_four_deviations(spark):
-    cases = [(k, 0, 100) for k in (-4.2, -3.8, 3.8, 4.2)]
-    m = "named_struct('bits', 2 + k * 0.5 / sqrt(n), 'n_symbols_all', n, 'n_words', 50L, 'n_repeat_words', 0L)"
-    measured = spark.createDataFrame(cases, "k double, lang string, n long").selectExpr("k", "'en' AS lang", f"{m} AS _m")
-    limits = spark.createDataFrame([("en", 2.0, 0.5)], "_lang string, _middle double, _width double")
-    assert [r["_kept"] for r in perplexity.judged(measured, limits).orderBy("k").collect()] == [False, True, True, False]
+def test_bands_of_both_tiers(spark):
+    cases = [(k, 0.0, 100) for k in (-4.2, -3.8, 3.8, 4.2)] + [(0.0, k, 100) for k in (-5.2, 4.8, 5.2)] + [(0.0, None, 100)]
+    m = "named_struct('bits', 2 + k * 0.5 / 20, 'n_symbols_all', 400L, 'n_words', 50L, 'n_repeat_words', 0L)"
+    rows = spark.createDataFrame(cases, "k double, w double, n long").selectExpr("k", "w", "'en' AS lang", f"{m} AS __m", "9 + w * 2.0 / 10 AS __word_bits", "n AS __n_tokens")
+    limits = spark.createDataFrame([("en", 2.0, 9.0, 0.5, 2.0)], "__lang string, __middle double, __word_middle double, __width double, __word_width double")
+    got = [r["__kept"] for r in perplexity.judged(rows, limits).orderBy("k", "w").collect()]
+    assert sorted(got) == [False] * 4 + [True] * 4 and {r["k"] for r in perplexity.judged(rows, limits).filter("not __kept and w = 0").collect()} == {-4.2, 4.2}
+
+
+@pytest.mark.parametrize("unit", [32_000_000, 900])
+def test_word_bits_equal_a_plain_count(spark, odd, monkeypatch, unit):
+    """However the texts are cut into units, a word's bits come from its count in all of them, without the occurrence itself."""
+    monkeypatch.setattr(perplexity, "UNIT_CHARS", unit)
+    texts = [*prose(23, 40, words=80), "naïve café 漢字 x1 x1 x1", "", None, "!!", prose(23, 1, words=80)[0]]
+    docs = documents(spark, texts).repartition(3)
+    keys, counts = perplexity.count_grams(docs)
+    model = perplexity.KneserNey.fit(keys, counts)
+    _, got = perplexity.scored(docs, ["doc_id", "lang"])
+    every = Counter(w for t in texts for w in re.findall(r"\w+", t or ""))
+    total, having = sum(every.values()), Counter(every.values())
+    cut = perplexity.discounts_of(*[having[k] for k in (1, 2, 3, 4)])
+    free = sum(cut[min(c, 3)] for c in every.values()) / total
+    spelled = lambda w: float(model.bits(w) * (len(w) + 1))
+    assert np.allclose(model.spelling(list(every)), [spelled(w) for w in every], atol=1e-3)
+    for r in got.collect():
+        words = re.findall(r"\w+", texts[r["doc_id"]] or "")
+        assert r["__n_tokens"] == len(words)
+        if words:
+            p = [max(every[w] - 1 - cut[min(every[w] - 1, 3)], 0) / total + free * 2 ** -spelled(w) for w in words]
+            assert abs(r["__word_bits"] + np.mean(np.log2(p))) < 1e-3
+        else:
+            assert r["__word_bits"] is None
 
 
 # 1 and 8: classifiers
