@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -27,10 +28,11 @@ from quillspark.llm.common import materialise, prepare, texts
 
 #: Symbols and n-gram length: 64 ** 4 n-grams, 16.8 million, bound the lower tier (12 bytes each) and what the driver gathers.
 SYMBOLS, ORDER = 64, 4
-#: Bands: so many robust deviations below and above the language's median, of bits a symbol and of bits a word. The
+#: Bands: so many robust deviations below and above the language's median, of bits a symbol and of bits a word (below it, in
+#: a small corpus, stand copies of clean texts too, whose words vouch for each other). The
 #: deviation of a text is taken to fall as 1 / sqrt(n) of its symbols or words; that of words falls no further than at
 #: STEADY words, because longer texts differ in their vocabulary as much as those. The README has figures for all three.
-BAND, WORD_BAND, STEADY = 4.0, 5.0, 1000
+BAND, WORD_BELOW, WORD_ABOVE, STEADY = 4.0, 8.0, 5.0, 1000
 #: Characters of a unit: the texts that one request for word counts is made for. It bounds a task's memory.
 UNIT_CHARS = 32_000_000
 #: Base rules: fewest words, and the share of words in repeated 5-word windows, in percent.
@@ -232,20 +234,30 @@ def base_rules(text: str) -> tuple[int, int, int, int, int]:
 #: places in the unit's list of words. The first text of a unit holds that list: hashes, spelling bits and counts.
 MEASURES = (
     "bits double, n_symbols_all long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-    "unit long, place int, tokens binary, hashes binary, spelling binary, counts binary"
+    "unit long, place int, tokens binary, spelling binary, hashes binary, counts binary"
 )
 _FIELDS = [x.split()[0] for x in MEASURES.split(", ")]
+#: Bits of a word's hash that count: of a billion words, one in 280,000 shares its hash with another.
+HASH_MASK = np.uint64(2**48 - 1)
 
 
-def _packed(ids: list[int]) -> bytes:
-    """Sorted numbers as their differences, in two bytes where they fit. New words of a text have neighbouring numbers."""
-    steps = np.diff(np.sort(np.array(ids, np.int64)), prepend=0)
+class _Places(dict):
+    """Numbers words in the order in which they come."""
+
+    def __missing__(self, word: str) -> int:
+        at = self[word] = len(self)
+        return at
+
+
+def _packed(ids: np.ndarray) -> bytes:
+    """Sorted numbers as their differences, in two bytes where they fit, compressed. New words of a text have neighbouring numbers."""
+    steps = np.diff(np.sort(ids), prepend=0)
     wide = len(steps) and steps.max() > 0xFFFF
-    return (b"\x04" if wide else b"\x02") + steps.astype("<u4" if wide else "<u2").tobytes()
+    return (b"\x04" if wide else b"\x02") + zlib.compress(steps.astype("<u4" if wide else "<u2").tobytes(), 1)
 
 
 def _unpacked(raw: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(raw[1:], "<u4" if raw[0] == 4 else "<u2").astype(np.int64))
+    return np.cumsum(np.frombuffer(zlib.decompress(raw[1:]), "<u4" if raw[0] == 4 else "<u2").astype(np.int64))
 
 
 def measure(docs: DataFrame, model: KneserNey):
@@ -257,46 +269,31 @@ def measure(docs: DataFrame, model: KneserNey):
         from pyspark import TaskContext
 
         own = KneserNey(*shared.value)
-        task, units = TaskContext.get().partitionId(), 0
-        known: dict[str, int] = {}
-        counts: list[int] = []
+        task, units, chars, places = TaskContext.get().partitionId(), 0, 0, _Places()
         held: list[list[tuple]] = []
-        chars = texts_held = 0
+        said: list[np.ndarray] = []
 
         def row(text: str) -> tuple:
-            nonlocal texts_held
-            said = Counter(TOKEN(text))
-            ids = []
-            for word, n in said.items():
-                at = known.setdefault(word, len(known))
-                if at == len(counts):
-                    counts.append(0)
-                counts[at] += n
-                ids += [at] * n
-            texts_held += 1
-            return (own.bits(text), len(text), *base_rules(text), task << 24 | units, texts_held - 1, _packed(ids), None, None, None)
+            ids = np.array(list(map(places.__getitem__, TOKEN(text))), np.int32)
+            said.append(ids)
+            return (own.bits(text), len(text), *base_rules(text), task << 24 | units, len(said) - 1, _packed(ids), None, None, None)
 
         def flush() -> Iterator[pd.DataFrame]:
-            nonlocal units, chars, texts_held
-            words = list(known)
-            lists = (
-                np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).tobytes(),
-                own.spelling(words).astype("<f4").tobytes(),
-                np.array(counts, "<u4").tobytes(),
-            )
-            for k, rows in enumerate(held):
-                if not k:
-                    rows[0] = (*rows[0][:-3], *lists)
+            nonlocal units, chars
+            words = list(places)
+            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)) & HASH_MASK
+            lists = (own.spelling(words).astype("<f4").tobytes(), hashes.tobytes(), np.bincount(np.concatenate(said), minlength=len(words)).astype("<u4").tobytes())
+            held[0][0] = (*held[0][0][:-3], *lists)
+            for rows in held:
                 yield pd.DataFrame(rows, columns=_FIELDS)
-            known.clear()
-            counts.clear()
+            places.clear()
             held.clear()
-            units, chars, texts_held = units + 1, 0, 0
+            said.clear()
+            units, chars = units + 1, 0
 
-        empty = pd.DataFrame(columns=_FIELDS)
         for batch in batches:
             if not len(batch):
-                yield empty
+                yield pd.DataFrame(columns=_FIELDS)
                 continue
             held.append([row(x) for x in batch])
             chars += int(batch.str.len().sum())
@@ -309,69 +306,69 @@ def measure(docs: DataFrame, model: KneserNey):
 
 
 def unit_words(measured: DataFrame) -> DataFrame:
-    """unit, place, h, spelling and n of every distinct word of every unit."""
+    """unit, place, h and n of every distinct word of every unit."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for unit, h, b, n in zip(batch["unit"], batch["hashes"], batch["spelling"], batch["counts"], strict=True):
-                told = pd.DataFrame({"h": np.frombuffer(h, np.int64), "spelling": np.frombuffer(b, "<f4"), "n": np.frombuffer(n, "<u4").astype(np.int64)})
+            for unit, h, n in zip(batch["unit"], batch["hashes"], batch["counts"], strict=True):
+                told = pd.DataFrame({"h": np.frombuffer(h, np.int64), "n": np.frombuffer(n, "<u4").astype(np.int64)})
                 told.insert(0, "place", np.arange(len(told), dtype=np.int32))
                 told.insert(0, "unit", np.int64(unit))
                 for at in range(0, len(told), 50_000):
                     yield told.iloc[at : at + 50_000]
 
-    first = measured.filter("__m.hashes IS NOT NULL").select("__m.unit", "__m.hashes", "__m.spelling", "__m.counts")
-    return first.mapInPandas(run, "unit long, place int, h long, spelling float, n long")
+    first = measured.filter("__m.hashes IS NOT NULL").select("__m.unit", "__m.hashes", "__m.counts")
+    return first.mapInPandas(run, "unit long, place int, h long, n long")
 
 
 def word_bits(measured: DataFrame) -> DataFrame:
     """unit, place, word_bits (mean bits a word, null without words) and n_tokens of every text.
 
-    Counts meet by the word's hash, in one shuffle of each unit's distinct words; each unit gets the counts of its own
-    words back, and its texts are scored beside them. A count is taken without the occurrence that is scored, so
-    a text's rare words don't vouch for themselves. No task holds more than one unit's words, and the driver gets
-    five numbers.
+    Counts meet by the word's hash, in one shuffle of each unit's distinct words; each unit gets the counts of those of its
+    words back that the corpus has twice or more, and its texts are scored beside them. A count is taken without the
+    occurrence that is scored, so a text's rare words don't vouch for themselves. No task holds more than one unit's
+    words, and the driver gets six numbers.
     """
     from pyspark.sql.window import Window as W
 
     same = W.partitionBy("h")
     first = F.row_number().over(same.orderBy("unit")) == 1
-    counted = unit_words(measured).select("unit", "place", "spelling", F.sum("n").over(same).alias("c"), first.alias("first"))
-    counted = materialise(counted, "words")
-    words = F.col("first")
-    sums = counted.agg(F.sum(F.when(words, F.col("c"))).alias("total"), *[F.count_if(words & (F.col("c") == k)).alias(f"n{k}") for k in (1, 2, 3, 4)], F.count_if(words & (F.col("c") > 4)).alias("n5")).first()
-    total = float(sums["total"] or 1)
-    cut = discounts_of(*[sums[f"n{k}"] for k in (1, 2, 3, 4)])
-    free = (cut[1] * sums["n1"] + cut[2] * sums["n2"] + cut[3] * (sums["n3"] + sums["n4"] + sums["n5"])) / total
+    counted = materialise(unit_words(measured).select("unit", "place", F.sum("n").over(same).alias("c"), first.alias("first")), "words")
+    having = [F.count_if(F.col("c") == k).alias(f"n{k}") for k in (1, 2, 3, 4)]
+    sums = counted.filter("first").agg(F.sum("c").alias("total"), F.count("*").alias("words"), *having).first()
+    total, n1, n2 = float(sums["total"] or 1), sums["n1"], sums["n2"]
+    cut = discounts_of(n1, n2, sums["n3"], sums["n4"])
+    free = (cut[1] * n1 + cut[2] * n2 + cut[3] * (sums["words"] - n1 - n2)) / total
+
+    def logs_of(spelling: bytes, parts: list[np.ndarray]) -> np.ndarray:
+        p = free * 2.0 ** -np.frombuffer(spelling, "<f4").astype(float)
+        for places, c in parts:
+            c = c - 1  # without the occurrence that is scored
+            p[places] += np.maximum(c - cut[np.minimum(c, 3)], 0) / total
+        return -np.log2(np.maximum(p, 1e-300))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        unit, parts, logs = None, [], None
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        logs = np.empty(0)
         for batch in batches:
-            for own, rows in batch.groupby("unit", sort=False):
-                if own != unit:
-                    unit, parts, logs = own, [], None
-                listed = rows["tokens"].isna()
-                if listed.any():
-                    parts.append(rows.loc[listed, ["place", "spelling", "c"]])
-                texts_of = rows[~listed]
-                if not len(texts_of):
-                    continue
-                if logs is None:
-                    table = pd.concat(parts) if parts else None
-                    logs = np.zeros(0)
-                    if table is not None:
-                        c = table["c"].to_numpy(np.int64) - 1
-                        p = np.maximum(c - cut[np.minimum(c, 3)], 0) / total + free * 2.0 ** -table["spelling"].to_numpy(float)
-                        logs = np.empty(len(table))
-                        logs[table["place"].to_numpy()] = -np.log2(np.maximum(p, 1e-300))
-                    parts = []
-                ids = [_unpacked(x) for x in texts_of["tokens"]]
-                bits = [float(logs[x].mean()) if len(x) else None for x in ids]
-                yield pd.DataFrame({"unit": texts_of["unit"].to_numpy(), "place": texts_of["place"].to_numpy(), "word_bits": pd.array(bits, "Float64"), "n_tokens": [len(x) for x in ids]})
-
-    none = F.lit(None)
-    lists = counted.select("unit", F.lit(0).alias("kind"), "place", F.col("spelling").cast("float").alias("spelling"), "c", none.cast("binary").alias("tokens"))
-    told = measured.select("__m.unit", F.lit(1).alias("kind"), "__m.place", none.cast("float").alias("spelling"), none.cast("long").alias("c"), "__m.tokens")
+            kind, place, c = batch["kind"].to_numpy(), batch["place"].to_numpy(), batch["c"].to_numpy()
+            edges = np.flatnonzero(np.diff(kind, prepend=kind[:1] if len(kind) else [0])) if len(kind) else []
+            for a, b in zip([0, *edges], [*edges, len(kind)]):
+                if b > a and kind[a] == 0:
+                    parts.append((place[a:b], c[a:b].astype(np.int64)))
+                elif b > a:
+                    ids, bits = [], []
+                    for tokens, spelling in zip(batch["tokens"].iloc[a:b], batch["spelling"].iloc[a:b], strict=True):
+                        if spelling is not None:  # the first text of a unit; the counts came before it
+                            logs, parts = logs_of(spelling, parts), []
+                        own = _unpacked(tokens)
+                        ids.append(len(own))
+                        bits.append(float(logs[own].mean()) if len(own) else None)
+                    yield pd.DataFrame({"unit": batch["unit"].iloc[a:b].to_numpy(), "place": place[a:b], "word_bits": pd.array(bits, "Float64"), "n_tokens": ids})
+
+    none = F.lit(None).cast("binary")
+    lists = counted.filter("c > 1").select("unit", F.lit(0).alias("kind"), "place", "c", none.alias("tokens"), none.alias("spelling"))
+    told = measured.select("__m.unit", F.lit(1).alias("kind"), "__m.place", F.lit(0).cast("long").alias("c"), "__m.tokens", "__m.spelling")
     return lists.unionByName(told).repartition("unit").sortWithinPartitions("unit", "kind", "place").mapInPandas(run, "unit long, place int, word_bits double, n_tokens long")
 
 
@@ -428,7 +425,7 @@ def judged(rows: DataFrame, limits: DataFrame) -> DataFrame:
     edge = lambda middle, width, root, times: F.col(middle) + times * F.col(width) / root
     ends = {
         "__low": edge("__middle", "__width", by_symbol, -BAND), "__high": edge("__middle", "__width", by_symbol, BAND),
-        "__word_low": edge("__word_middle", "__word_width", by_word, -WORD_BAND), "__word_high": edge("__word_middle", "__word_width", by_word, WORD_BAND),
+        "__word_low": edge("__word_middle", "__word_width", by_word, -WORD_BELOW), "__word_high": edge("__word_middle", "__word_width", by_word, WORD_ABOVE),
     }
     told = joined.withColumns(ends).withColumn("__failed", base_failed("__m"))
     inside = F.coalesce(F.col("__m.bits").between(F.col("__low"), F.col("__high")), F.lit(True)) & F.coalesce(F.col("__word_bits").between(F.col("__word_low"), F.col("__word_high")), F.lit(True))
