@@ -121,3 +121,23 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep, rows:
 
 def remainder(column, divisor: int):
     return F.crc32(column.cast("string").cast("binary")) % divisor
+
+
+def fair_share(sizes: list[int], total: int) -> int | None:
+    """The length that the longest of sizes are cut to so that all come to total at most; None where nothing needs to be cut."""
+    if sum(sizes) <= total:
+        return None
+    left = total
+    for k, n in enumerate(sorted(sizes)):
+        if n * (len(sizes) - k) > left:
+            return max(1, left // (len(sizes) - k))
+        left -= n
+    return max(sizes)
+
+
+def cut_out(items: list, most: int | None, start: int) -> list:
+    """All items, or most neighbouring ones from a place that start fixes, going on at the beginning behind the end."""
+    if most is None or len(items) <= most:
+        return items
+    at = start % len(items)
+    return (items[at:] + items[:at])[:most]

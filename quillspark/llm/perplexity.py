@@ -157,6 +157,11 @@ class KneserNey:
 
     def __init__(self, keys: np.ndarray, logs: np.ndarray, back: np.ndarray, lower: np.ndarray):
         self.keys, self.logs, self.back, self.lower = keys, logs, back, lower
+        # where each context's n-grams begin in the sorted array, and which symbols follow it: a place is found by counting bits
+        context = keys // SYMBOLS
+        self.starts = np.searchsorted(keys, np.arange(SYMBOLS ** (ORDER - 1), dtype=np.int64) * SYMBOLS)
+        self.follow = np.zeros(SYMBOLS ** (ORDER - 1), np.uint64)
+        np.bitwise_or.at(self.follow, context, np.uint64(1) << (keys % SYMBOLS).astype(np.uint64))
 
     @classmethod
     def fit(cls, keys: np.ndarray, counts: np.ndarray) -> KneserNey:
@@ -182,9 +187,14 @@ class KneserNey:
         raise ValueError("ORDER is 1 at least")
 
     def log2(self, key: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.keys, key), max(0, len(self.keys) - 1))
-        other = self.back[key // SYMBOLS] + self.lower[key % SYMBOLS ** (ORDER - 1)]
-        return np.where(self.keys[at] == key, self.logs[at], other) if len(self.keys) else other
+        context, symbol = key >> 6, (key & (SYMBOLS - 1)).astype(np.uint64)
+        other = self.back[context] + self.lower[key & (SYMBOLS ** (ORDER - 1) - 1)]
+        if not len(self.keys):
+            return other
+        follow = self.follow[context]
+        at = self.starts[context] + np.bitwise_count(follow & ((np.uint64(1) << symbol) - np.uint64(1)))
+        known = (follow >> symbol) & np.uint64(1) != 0
+        return np.where(known, self.logs[np.minimum(at, len(self.keys) - 1)], other)
 
     def spelling(self, words: list[str]) -> np.ndarray:
         """Bits of each word's characters, its end included: bits(word) times their number, for many words at once."""
@@ -219,8 +229,15 @@ def base_rules(text: str) -> tuple[int, int, int, int, int]:
     n = len(words)
     covered = 0
     if n > 5:
-        windows = list(zip(words, words[1:], words[2:], words[3:], words[4:]))
-        if len(set(windows)) < len(windows):
+        # windows whose mixed hashes all differ are all different; only others are compared as words
+        hashed = np.fromiter(map(hash, words), np.int64, n).view(np.uint64)
+        mixed = np.zeros(n - 4, np.uint64)
+        for k in range(5):
+            mixed = (mixed ^ hashed[k : n - 4 + k]) * np.uint64(0x9E3779B97F4A7C15)
+            mixed ^= mixed >> np.uint64(31)
+        mixed.sort()
+        if (mixed[1:] == mixed[:-1]).any():
+            windows = list(zip(words, words[1:], words[2:], words[3:], words[4:]))
             counts = Counter(windows)
             until = 0
             for i, w in enumerate(windows):

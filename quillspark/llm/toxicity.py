@@ -1,14 +1,14 @@
 """Toxicity by subword bags (op 8).
 
 A word is the mean of the embeddings of itself and of its character n-grams, hashed into a fixed table; a
-document is the mean of its words, each by the root of its count, times a fixed scale; a linear softmax reads it. Table and softmax are
-trained together in numpy. An unseen misspelling shares most n-grams with the word it hides.
+document is the mean of its words, each by the root of its count, times a fixed scale; a linear softmax reads it. Table and
+softmax are trained together in numpy, with a price on the length of each row, so that only n-grams which speak for a class
+in many texts keep a vector. An unseen misspelling shares most n-grams with the word it hides.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from math import sqrt
@@ -16,46 +16,69 @@ from operator import mul
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import beside, labelled_sample, prepare, remainder, texts
+from quillspark.llm.common import beside, cut_out, fair_share, labelled_sample, materialise, prepare, remainder, texts
 
 WORD = re.compile(r"\w+").findall
-#: Rows of the embedding table and numbers in each; the model's size is fixed by them.
-BUCKETS, WIDTH = 1 << 17, 4
+#: Rows of the embedding table and numbers in each; the model's size is fixed by them. Characters of an n-gram.
+BUCKETS, WIDTH = 1 << 20, 4
+GRAMS = (3, 4, 5, 6)
 #: What the mean of a document's words is multiplied with: toxic words are few among many.
 SCALE = 50.0
 #: Blank words, of value 0, that each text gets in addition: a handful of odd words decides less.
 PAD = 30
-#: Labelled rows of each class that training sees at most, and non-zero entries of their bags: the documented bound.
-TRAIN_ROWS, TRAIN_ENTRIES = 2000, 16_000_000
-#: Shrinking per step and floor of the step's divisor: rarely seen rows move little.
-SHRINK, FLOOR = 0.01, 1e-3
-#: The clean class in the loss: calling a clean text toxic costs more.
-CLEAN = 0.85
+#: Labelled rows of each class that training sees at most, and words of them all: the documented bound. Where the rows have
+#: more words, the longest ones give a run of words each, all of one length.
+TRAIN_ROWS, TRAIN_WORDS = 2000, 4_000_000
+#: The price of a row's length, for one training row (it falls with the root of their number), and the clean class's share of the loss.
+PRICE, CLEAN = 0.17, 0.6
+#: Training texts that an n-gram must stand in.
+LEAST_TEXTS = 3
 #: Words that a worker remembers.
 MEMORY = 500_000
 
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
-def subwords(word: str) -> list[int]:
-    marked = f"<{word}>"
-    found = {marked[i : i + n] for n in (3, 4, 5, 6) for i in range(len(marked) - n + 1)} | {marked}
-    return sorted({zlib.crc32(g.encode("utf-8")) % BUCKETS for g in found})
 
+def word_rows(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the table of all words' n-grams, word after word, and how many each word has; the last one is the word's own."""
+    marked = [f"<{w}>" for w in words]
+    sizes = np.fromiter(map(len, marked), np.int64, len(marked))
+    codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    ends = np.repeat(np.cumsum(sizes), sizes)
+    word = np.repeat(np.arange(len(marked)), sizes)
+    places = np.arange(len(codes))
+    rows, owners = [], []
+    hashed = np.zeros(len(codes), np.uint64)
+    for n in range(1, max(GRAMS) + 1):
+        live = places + n <= ends
+        places, hashed, ends, word = places[live], hashed[live], ends[live], word[live]
+        hashed = (hashed ^ codes[places + n - 1]) * _STEP
+        hashed ^= hashed >> np.uint64(29)
+        if n in GRAMS:
+            rows.append((hashed * _STEP) >> np.uint64(44))
+            owners.append(word)
+    rows.append(np.fromiter(map(xxhash.xxh3_64_intdigest, marked), np.uint64, len(marked)) >> np.uint64(44))
+    owners.append(np.arange(len(marked)))
+    owner = np.concatenate(owners)
+    order = np.argsort(owner, kind="stable")
+    return np.concatenate(rows)[order].astype(np.int64), np.bincount(owner, minlength=len(marked))
 
-def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the table and their weights in the mean of the text's words."""
-    words = Counter(WORD(text.lower()))
-    total = sum(map(sqrt, words.values())) + PAD
-    parts = [(subwords(w), n) for w, n in words.items()]
-    if not parts:
+
+def bag(text: str, most: int | None = None, start: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the table and their weights in the mean of the text's words, or of most words of it from the start-th on, as the text were round."""
+    said = cut_out(WORD(text.lower()), most, start)
+    words = Counter(said)
+    if not words:
         return np.empty(0, np.int32), np.empty(0, np.float32)
-    rows = np.fromiter((i for own, _ in parts for i in own), np.int64)
-    weights = np.repeat([sqrt(n) / total / len(own) for own, n in parts], [len(own) for own, _ in parts])
-    sums = np.bincount(rows, weights, BUCKETS)
-    found = np.flatnonzero(sums)
-    return found.astype(np.int32), sums[found].astype(np.float32)
+    roots = np.sqrt(np.fromiter(words.values(), float, len(words)))
+    rows, sizes = word_rows(list(words))
+    weights = np.repeat(roots / (roots.sum() + PAD) / sizes, sizes)
+    found, inverse = np.unique(rows, return_inverse=True)
+    return found.astype(np.int32), np.bincount(inverse, weights).astype(np.float32)
 
 
 class SubwordModel:
@@ -65,86 +88,158 @@ class SubwordModel:
         self.values, self.bias = values, bias
         self.known: dict[str, float] = {}
 
+    def learn(self, words: list[str]) -> None:
+        """Remembers the values of words, all at once."""
+        if len(self.known) >= MEMORY:
+            self.known.clear()
+        new = [w for w in words if w not in self.known]
+        for at in range(0, len(new), 50_000):
+            part = new[at : at + 50_000]
+            rows, sizes = word_rows(part)
+            sums = np.add.reduceat(self.values[rows], np.cumsum(sizes) - sizes)
+            self.known.update(zip(part, (sums / sizes).tolist(), strict=True))
+
     def word(self, word: str) -> float:
-        found = self.known.get(word)
-        if found is None:
-            if len(self.known) >= MEMORY:
-                self.known.clear()
-            found = self.known[word] = float(self.values[subwords(word)].mean())
-        return found
-
-    def score(self, text: str) -> float:
-        words = Counter(WORD(text.lower()))
-        roots = list(map(sqrt, words.values()))
-        mean = sum(map(mul, map(self.word, words), roots)) / (sum(roots) + PAD)
-        return float(1 / (1 + np.exp(-np.clip(SCALE * mean + self.bias, -50, 50))))
-
-
-def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, steps: int = 250, batch: int = 256, rate: float = 0.1, seed: int = 7) -> SubwordModel:
-    """Adam over batches of documents; clean documents have the share CLEAN of the loss. Without both classes: the share of label 1 for all."""
+        self.learn([word])
+        return self.known[word]
+
+    def scores(self, batch: list[str]) -> list[float]:
+        counted = [Counter(WORD(x.lower())) for x in batch]
+        self.learn(list(dict.fromkeys(w for words in counted for w in words)))
+        value, out = self.known.__getitem__, []
+        for words in counted:
+            roots = list(map(sqrt, words.values()))
+            mean = sum(map(mul, map(value, words), roots)) / (sum(roots) + PAD)
+            out.append(float(1 / (1 + np.exp(-np.clip(SCALE * mean + self.bias, -50, 50)))))
+        return out
+
+
+class Loss:
+    """The weighted log loss of documents (their bags side by side) as a function of table, softmax and bias, and its gradients."""
+
+    def __init__(self, rows: np.ndarray, cols: np.ndarray, weights: np.ndarray, labels: np.ndarray, share: np.ndarray, width: int):
+        self.rows, self.cols, self.weights, self.labels, self.share, self.width = rows, cols, weights, labels, share, width
+
+    def only(self, keep: np.ndarray) -> Loss:
+        """The same over the columns marked in keep, numbered anew."""
+        live = keep[self.cols]
+        number = np.cumsum(keep) - 1
+        return Loss(self.rows[live], number[self.cols[live]], self.weights[live], self.labels, self.share, int(keep.sum()))
+
+    def margins(self, table: np.ndarray, out: np.ndarray, bias: float) -> np.ndarray:
+        """What the softmax reads from each document's mean. The mean of rows times out is the mean of the rows' products with it."""
+        return np.bincount(self.rows, (table @ out)[self.cols] * self.weights, len(self.labels)) + bias
+
+    def value(self, table: np.ndarray, out: np.ndarray, bias: float) -> float:
+        return float((self.share * np.logaddexp(0, -self.margins(table, out, bias) * np.where(self.labels == 1, 1, -1))).sum())
+
+    def gradients(self, table: np.ndarray, out: np.ndarray, bias: float) -> tuple[np.ndarray, np.ndarray, float]:
+        """pull, of which pull[:, None] * out is the table's gradient, and the gradients of out and bias."""
+        error = (1 / (1 + np.exp(-np.clip(self.margins(table, out, bias), -50, 50))) - self.labels) * self.share
+        pull = np.bincount(self.cols, self.weights * error[self.rows], self.width)
+        return pull, table.T @ pull, float(error.sum())
+
+
+def _shrunk(table: np.ndarray, by: float) -> np.ndarray:
+    """Each row shorter by so much; rows no longer than that vanish."""
+    size = np.linalg.norm(table, axis=1, keepdims=True)
+    return table * np.maximum(1 - by / np.maximum(size, 1e-12), 0)
+
+
+def _steepest(loss: Loss) -> float:
+    """A bound of the loss's curvature by the table: a quarter of the largest eigenvalue of the weighted bags."""
+    x = np.ones(loss.width)
+    size = 1.0
+    for _ in range(15):
+        x /= np.linalg.norm(x)
+        x = np.bincount(loss.cols, loss.weights * (loss.share * np.bincount(loss.rows, loss.weights * x[loss.cols], len(loss.labels)))[loss.rows], loss.width)
+        size = float(np.linalg.norm(x))
+    return 0.25 * size * 1.05 + 1e-9
+
+
+def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, path: tuple[int, ...] = (16, 8, 4, 2, 1, 1, 1), steps: int = 60, seed: int = 7) -> SubwordModel:
+    """Least loss plus the price of the rows' lengths, by accelerated gradient steps with shrinking.
+
+    Rows that would stay 0 needn't be touched: a round trains the rows whose pull exceeds the price, and the next one
+    adds those that by then exceed it. The price comes down by rounds, along path, so that few rows are ever trained.
+    N-grams of fewer than LEAST_TEXTS texts keep no vector. Each row's weights are brought to one size first, so that the price means the same
+    for frequent and rare n-grams. Without both classes: the share of label 1 for all.
+    """
     labels = np.asarray(labels, float)
     if not len(labels) or labels.min() == labels.max():
         share = float(labels.mean()) if len(labels) else 0.0
         return SubwordModel(np.zeros(BUCKETS, np.float32), float(np.log((share + 0.01) / (1.01 - share))))
+    share = np.where(labels == 1, (1 - CLEAN) / labels.sum(), CLEAN / (1 - labels).sum())
+    price = PRICE / sqrt(len(labels))
+    used, cols = np.unique(np.concatenate([b[0] for b in bags]), return_inverse=True)
+    rows = np.repeat(np.arange(len(bags)), [len(b[0]) for b in bags])
+    weights = np.concatenate([b[1] for b in bags]).astype(float) * SCALE
+    size = np.sqrt(np.bincount(cols, weights**2 * share[rows], len(used))) + 1e-9
+    whole = Loss(rows, cols, weights / size[cols], labels, share, len(used))
+
+    enough = np.bincount(cols, minlength=len(used)) >= LEAST_TEXTS
+
     random = np.random.default_rng(seed)
-    table, out, bias = random.normal(0, 0.05, (BUCKETS, WIDTH)).astype(np.float32), random.normal(0, 0.5, WIDTH).astype(np.float32), 0.0
-    balance = np.where(labels == 1, (1 - CLEAN) / labels.mean(), CLEAN / (1 - labels.mean()))
-    first, second = np.zeros_like(table), np.zeros((BUCKETS, 1), np.float32)
-    head_first, head_second = np.zeros(WIDTH + 1), np.zeros(WIDTH + 1)
-    queue = np.empty(0, int)
-    for step in range(1, steps + 1):
-        if len(queue) < min(batch, len(labels)):
-            queue = np.concatenate([queue, random.permutation(len(labels))])
-        drawn, queue = queue[:batch], queue[batch:]
-        sizes = np.array([len(bags[i][0]) for i in drawn])
-        cols = np.concatenate([bags[i][0] for i in drawn])
-        weights = np.concatenate([bags[i][1] for i in drawn]) * np.float32(SCALE)
-        rows = np.repeat(np.arange(len(drawn)), sizes)
-        hidden = np.stack([np.bincount(rows, table[cols, d] * weights, len(drawn)) for d in range(WIDTH)], axis=1)
-        p = 1 / (1 + np.exp(-np.clip(hidden @ out + bias, -30, 30)))
-        error = (p - labels[drawn]) * balance[drawn] / len(drawn)
-        pull = np.bincount(cols, weights * error[rows], BUCKETS).astype(np.float32)
-        gradient = pull[:, None] * out[None, :].astype(np.float32)
-        head = np.append(error @ hidden, error.sum())
-        now = rate * min(1.0, 2 * (1 - step / (steps + 1)))
-        first *= 0.9
-        first += 0.1 * gradient
-        second *= 0.99
-        second += 0.01 * (gradient**2).mean(axis=1, keepdims=True)
-        head_first, head_second = 0.9 * head_first + 0.1 * head, 0.99 * head_second + 0.01 * head**2
-        even, square = 1 - 0.9**step, 1 - 0.99**step
-        table *= 1 - now * SHRINK
-        table -= now * (first / even) / (np.sqrt(second / square) + FLOOR)
-        moved = now * (head_first / even) / (np.sqrt(head_second / square) + 1e-8)
-        out, bias = (out - moved[:WIDTH]).astype(np.float32), bias - float(moved[WIDTH])
-    return SubwordModel((table @ out).astype(np.float32), float(bias))
+    out = random.normal(size=WIDTH)
+    out /= np.linalg.norm(out)
+    table, bias, live = np.zeros((len(used), WIDTH)), _even(share, labels), np.zeros(len(used), bool)
+    for k, factor in enumerate(path):
+        now_price = price * factor
+        pull, _, _ = whole.gradients(table, out, bias)
+        wanted = live | ((np.abs(pull) > now_price) & enough)
+        if (wanted == live).all() and k and path[k - 1] == factor:
+            break
+        live = wanted
+        if not live.any():
+            continue
+        part = whole.only(live)
+        curve = _steepest(part)
+        now = ahead = table[live]
+        bias_now = bias_ahead = bias
+        pace = 1.0
+        for _ in range(steps):
+            pull, head, lift = part.gradients(ahead, out, bias_ahead)
+            new = _shrunk(ahead - pull[:, None] * out / curve, now_price / curve)
+            bias_new = bias_ahead - lift
+            faster = (1 + sqrt(1 + 4 * pace * pace)) / 2
+            ahead, bias_ahead = new + (pace - 1) / faster * (new - now), bias_new
+            now, bias_now, pace = new, bias_new, faster
+            # the softmax row turns with the documents; its length is the table's matter
+            turned = out - 0.1 * head
+            out = turned / np.linalg.norm(turned)
+        table[live], bias = now, bias_now
+    values = np.zeros(BUCKETS, np.float32)
+    values[used] = (table @ out) / size
+    return SubwordModel(values, float(bias))
+
+
+def _even(share: np.ndarray, labels: np.ndarray) -> float:
+    """The bias that fits best alone."""
+    toxic = float(share[labels == 1].sum())
+    return float(np.log(toxic / (share.sum() - toxic)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, keep, rows: int = TRAIN_ROWS) -> SubwordModel:
-    """Bags are made where the texts are; the driver gets at most TRAIN_ENTRIES of their entries, partition by partition."""
-    sample = labelled_sample(docs, labels, "toxic", keep, rows)
+    """Bags are made where the texts are; the driver gets those of 2 x rows documents, of TRAIN_WORDS words in all at most."""
+    sample = materialise(labelled_sample(docs, labels, "toxic", keep, rows), "labelled")
+    sizes = [n for (n,) in beside(sample, [], "text", lambda batch: [(len(WORD(x.lower())),) for x in batch], "n long").collect()]
+    most = fair_share(sizes, TRAIN_WORDS)
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            own = [bag(x) for x in batch["text"]]
+            own = [bag(x, most, int(i)) for i, x in zip(batch["doc_id"], batch["text"], strict=True)]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "y": batch["y"], "rows": [a.tobytes() for a, _ in own], "weights": [b.tobytes() for _, b in own]})
 
-    bags, labels_of, entries = [], [], 0
-    for r in sample.mapInPandas(make, "doc_id long, y int, rows binary, weights binary").toLocalIterator():
-        entries += len(r["rows"]) // 4
-        if entries > TRAIN_ENTRIES:
-            break
-        bags.append((r["doc_id"], np.frombuffer(r["rows"], np.int32), np.frombuffer(r["weights"], np.float32), r["y"]))
-    bags.sort(key=lambda x: x[0])
-    labels_of = np.array([x[3] for x in bags])
-    return train([(x[1], x[2]) for x in bags], labels_of)
+    got = [(r["doc_id"], np.frombuffer(r["rows"], np.int32), np.frombuffer(r["weights"], np.float32), r["y"]) for r in sample.mapInPandas(make, "doc_id long, y int, rows binary, weights binary").toLocalIterator()]
+    got.sort(key=lambda x: x[0])
+    return train([(x[1], x[2]) for x in got], np.array([x[3] for x in got]))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, rows: int = TRAIN_ROWS) -> DataFrame:
     """Scores every whole text; returns doc_id, held_out, score, predicted.
 
     Labels are learned from rows whose crc32(doc_id as text) mod folds isn't held; at most rows of each class
-    and TRAIN_ENTRIES bag entries train the model, which has a fixed size. Null and empty texts score as the
+    and TRAIN_WORDS words train the model, which has a fixed size. Null and empty texts score as the
     bias does; without labels of both classes all documents score alike. Repeated rows score alike; null ids
     are kept, with held_out false; further columns are left out; an empty table gives no rows. Scoring has no shuffle.
     """
@@ -157,7 +252,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int
     def each(batch: list[str]) -> list[tuple[float]]:
         if not worker:  # one model, with its memory of words, for each task
             worker.append(SubwordModel(*shared.value))
-        return [(worker[0].score(x),) for x in batch]
+        return [(x,) for x in worker[0].scores(batch)]
 
     out = beside(texts(docs.select("doc_id", "text")), ["doc_id"], "text", each, "score double")
     return out.select(
@@ -178,6 +273,6 @@ def keep_clean(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = SubwordModel(*shared.value)
         for batch in batches:
-            yield pd.Series([own.score(x) for x in batch])
+            yield pd.Series(own.scores(batch.tolist()), dtype="float64")
 
-    return docs.filter(score(F.coalesce(F.col("text"), F.lit(""))) < 0.5)
+    return docs.withColumn("__score", score.asNondeterministic()(F.coalesce(F.col("text"), F.lit("")))).filter("__score < 0.5").select(*docs.columns)

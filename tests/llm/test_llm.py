@@ -390,6 +390,64 @@ def test_toxicity_and_unseen_misspellings(spark, odd, none):
     assert toxicity.score_toxicity(odd, labels).count() == len(ODD) + 2 and toxicity.score_toxicity(none, labels).count() == 0
 
 
+def test_gradients_are_finite_differences():
+    rnd = np.random.default_rng(2)
+    n, width = 12, 9
+    rows, cols = np.repeat(np.arange(n), 5), rnd.integers(0, width, 5 * n)
+    labels = rnd.integers(0, 2, n).astype(float)
+    loss = toxicity.Loss(rows, cols, rnd.random(5 * n), labels, rnd.random(n), width)
+    table, out, bias, e = rnd.normal(size=(width, 3)), rnd.normal(size=3), 0.3, 1e-6
+    pull, head, lift = loss.gradients(table, out, bias)
+    for j in range(width):
+        for k in range(3):
+            up, down = table.copy(), table.copy()
+            up[j, k] += e
+            down[j, k] -= e
+            assert abs((loss.value(up, out, bias) - loss.value(down, out, bias)) / (2 * e) - pull[j] * out[k]) < 1e-6
+    for k in range(3):
+        step = np.eye(3)[k] * e
+        assert abs((loss.value(table, out + step, bias) - loss.value(table, out - step, bias)) / (2 * e) - head[k]) < 1e-6
+    assert abs((loss.value(table, out, bias + e) - loss.value(table, out, bias - e)) / (2 * e) - lift) < 1e-6
+    half = loss.only(np.arange(width) % 2 == 0)
+    assert np.allclose(half.gradients(table[::2], out, bias)[0], loss.gradients(np.where(np.arange(width)[:, None] % 2 == 0, table, 0), out, bias)[0][::2])
+
+
+def test_scores_are_means_of_embeddings():
+    rnd = np.random.default_rng(3)
+    model = toxicity.SubwordModel(rnd.normal(size=toxicity.BUCKETS).astype(np.float32), 0.2)
+    text = "Naïve idiot, idiot! ab x 漢字 " + "long" * 40
+
+    def value(word):
+        rows, sizes = toxicity.word_rows([word])
+        assert len(rows) == sizes[0] == 1 + sum(max(0, len(word) + 2 - n + 1) for n in (3, 4, 5, 6))
+        return model.values[rows].mean()
+
+    words = Counter(re.findall(r"\w+", text.lower()))
+    mean = sum(value(w) * c**0.5 for w, c in words.items()) / (sum(c**0.5 for c in words.values()) + toxicity.PAD)
+    wanted = 1 / (1 + np.exp(-np.clip(toxicity.SCALE * mean + 0.2, -50, 50)))
+    rows, weights = toxicity.bag(text)
+    assert np.allclose(model.scores([text, "", text]), [wanted, 1 / (1 + np.exp(-0.2)), wanted], rtol=1e-4)
+    assert np.isclose((model.values[rows] * weights).sum(), mean, rtol=1e-4)
+    both, _ = toxicity.word_rows(["idiot", "zz"])
+    assert both.tolist() == [*toxicity.word_rows(["idiot"])[0], *toxicity.word_rows(["zz"])[0]]
+
+
+def test_training_is_shared_fairly():
+    from quillspark.llm import common
+
+    assert common.fair_share([3, 4], 7) is None and common.fair_share([100, 2, 3], 15) == 10 and common.fair_share([9, 9, 9], 9) == 3
+    assert common.cut_out([1, 2, 3, 4], 3, 6) == [3, 4, 1] and common.cut_out([1], 3, 6) == [1] and common.cut_out([1, 2], None, 0) == [1, 2]
+
+
+def test_one_long_text_leaves_the_others_in_training(spark, monkeypatch):
+    monkeypatch.setattr(quality, "TRAIN_LINES", 400)
+    docs, labels = labelled(spark, lambda t: " | ".join(t.upper().split()), 120)
+    long = documents(spark, ["x", "Good line here.\n" * 5000]).filter("doc_id = 1").withColumn("doc_id", F.lit(500).cast("long"))
+    more = spark.createDataFrame([(500, 1, 0)], "doc_id long, quality int, toxic int")
+    got = quality.score_quality(docs.unionByName(long), labels.unionByName(more)).join(labels, "doc_id").collect()
+    assert np.mean([r["predicted"] == r["quality"] for r in got]) > 0.95
+
+
 # 2: pages
 
 PARA = "Water rose in the night, slowly at first, then faster, and the gates held until morning came to the town. "
