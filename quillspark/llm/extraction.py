@@ -8,6 +8,7 @@ that look like parts of the same text, are kept, without what is marked as somet
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 from pyspark.sql import DataFrame
@@ -43,63 +44,92 @@ SPACE = re.compile(r"\s+")
 SCORED = frozenset("p pre td blockquote li dd".split())
 
 
-#: Elements nested deeper are kept beside each other, as browsers do, so that a page takes linear time.
-DEEPEST = 400
 #: A tag that the page's end cut off.
 CUT_TAG = re.compile(r"<[A-Za-z/!][^<>]*$")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "marked", "points", "length", "linked", "depth")
+    __slots__ = ("tag", "parent", "children", "marked", "points", "length", "linked", "limit")
 
     def __init__(self, tag: str, parent: Node | None, marked: bool = False):
         self.tag, self.parent, self.marked = tag, parent, marked
         self.children: list[Node | str] = []
         self.points, self.length, self.linked = 0.0, 0, 0
-        self.depth = parent.depth + 1 if parent else 0
+        #: The nearest element, itself included, that a new one may close or can't close beyond.
+        self.limit: Node | None = self if parent is None or tag in CLOSED_BY or tag in SCOPES else parent.limit
+
+
+#: An end tag inside of one of these doesn't reach outside, but for the ends of a table's own parts.
+CELLS = frozenset("td th table".split())
+OUTSIDE = frozenset("table tr tbody body html".split())
 
 
 class TreeBuilder(HTMLParser):
-    """A tree of elements that forgives missing ends, as browsers do in the common cases."""
+    """A tree of elements that forgives missing ends, as browsers do in the common cases. Time is linear at any depth.
+
+    Steps up go from limit to limit, of which few stand between a place and the next scope. How many elements of each name
+    are open, in all and since the innermost cell, is counted, so an end without a beginning costs nothing.
+    """
 
     CDATA_CONTENT_ELEMENTS = ("script", "style")
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("#root", None)
+        self.open: Counter[str] = Counter()
+        self.since_cell: list[Counter[str]] = [Counter()]
+
+    def enter(self, node: Node) -> None:
+        self.at = node
+        self.open[node.tag] += 1
+        if node.tag in CELLS:
+            self.since_cell.append(Counter())
+        else:
+            self.since_cell[-1][node.tag] += 1
+
+    def leave_to(self, node: Node) -> None:
+        """Closes what is open up to node, which stays open."""
+        while self.at is not node:
+            self.open[self.at.tag] -= 1
+            if self.at.tag in CELLS:
+                self.since_cell.pop()
+            else:
+                self.since_cell[-1][self.at.tag] -= 1
+            self.at = self.at.parent
 
     def handle_starttag(self, tag, attrs):
         if tag == "br":
             self.at.children.append(" ")
             return
-        node = self.at
+        node = self.at.limit
         while node.parent is not None:
-            closing = CLOSED_BY.get(node.tag)
-            if closing and tag in closing:
-                self.at = node.parent
+            if tag in CLOSED_BY.get(node.tag, ()):
+                self.leave_to(node.parent)
             elif node.tag in SCOPES:
                 break
-            node = node.parent
+            node = node.parent.limit
         marks = " ".join(v for k, v in attrs if v and k in ("class", "id", "role")) if attrs else ""
         hidden = any(k == "hidden" or (k == "aria-hidden" and v == "true") or (k == "style" and v and "display:none" in v.replace(" ", "").lower()) for k, v in attrs)
         child = Node(tag, self.at, hidden or bool(marks and MARKED.search(marks)))
         self.at.children.append(child)
-        if tag not in VOID and child.depth < DEEPEST:
-            self.at = child
+        if tag not in VOID:
+            self.enter(child)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if self.at.tag == tag and tag not in VOID and tag in ("svg", "path", "use"):
-            self.at = self.at.parent
+            self.leave_to(self.at.parent)
 
     def handle_endtag(self, tag):
+        inside = tag not in OUTSIDE and tag not in CELLS
+        if not (self.since_cell[-1] if inside else self.open)[tag]:
+            return
         node = self.at
-        while node.parent is not None and node.tag != tag:
-            if node.tag in ("td", "th", "table") and tag not in ("table", "tr", "tbody", "body", "html"):
+        while node.tag != tag:
+            if node.tag in CELLS and tag not in OUTSIDE:
                 return
             node = node.parent
-        if node.parent is not None:
-            self.at = node.parent
+        self.leave_to(node.parent)
 
     def handle_data(self, data):
         self.at.children.append(data)

@@ -468,10 +468,61 @@ def test_pages(html, wanted):
     assert got == wanted or (wanted and "b <" in got and got.startswith(wanted))
 
 
+def gold_page(seed):
+    """A page of known main text amid menus, notices, adverts, comments and forms, and that text."""
+    rnd = random.Random(seed)
+    sentence = lambda: " ".join(rnd.choice(WORDS) for _ in range(rnd.randrange(8, 20))).capitalize() + rnd.choice((".", ", " + rnd.choice(WORDS) + "."))
+    blocks, gold = [], []
+    for k in range(rnd.randrange(3, 9)):
+        text = " ".join(sentence() for _ in range(rnd.randrange(2, 5)))
+        shown = text.replace(" ", rnd.choice((" ", "\n  ")), 3)
+        kind = rnd.choice(("p", "p", "p", "h2", "list"))
+        if kind == "list" and k:
+            items = [sentence() for _ in range(2)]
+            blocks.append("<ul>" + "".join(f"<li>{x}" for x in items) + "</ul>")
+            gold += items
+        else:
+            kind = "p" if kind == "list" else kind
+            blocks.append(f"<{kind}>{shown}</{kind}>")
+            gold.append(text)
+    noise = [
+        "<nav><ul><li><a href=/>Home</a><li><a href=/n>News, all of it</a></ul></nav>", f"<div class='cookie-consent'><p>{sentence()}</p></div>", f"<aside><p>{sentence()} {sentence()}</p></aside>",
+        f"<div class=advert><p>{sentence()}</p></div>", f"<div id=comments><div class=comment><p>{sentence()} {sentence()} {sentence()}</p></div></div>", "<form><label>Mail</label><input><button>Go</button></form>",
+        f"<script>var a = '<p>{sentence()}</p>';</script>", f"<footer><p>{sentence()}</p></footer>", "<style>p { margin: 0 }</style>", f"<div class='share-links'><a href=x>{sentence()}</a></div>",
+    ]
+    rnd.shuffle(noise)
+    at = rnd.randrange(len(noise))
+    inner, outer = noise[:2], noise[2:]
+    for x in inner:
+        blocks.insert(rnd.randrange(len(blocks) + 1), x)
+    box = rnd.choice(("<article>{}</article>", "<main><div>{}</div></main>", "<div class=content>{}</div>", "<div><div id=story>{}</div></div>"))
+    return "<html><head><title>t</title></head><body>" + "".join(outer[:at]) + box.format("".join(blocks)) + "".join(outer[at:]) + "</body></html>", " ".join(gold)
+
+
+WORDS = "water night gate town slowly morning river stone bridge field lamp winter letter window garden silver market road engine paper".split()
+
+
+def test_pages_of_known_text():
+    wrong = [seed for seed in range(150) if (p := gold_page(seed)) and extraction.main_text(p[0]) != p[1]]
+    assert not wrong
+
+
+def test_depth_changes_nothing():
+    """What hides its inside hides it at any depth, and a page takes linear time."""
+    deep = "<div>" * 3000 + "menu words, many of them, that nobody wants to read here" + "</div>" * 3000
+    assert extraction.main_text(f"<nav>{deep}</nav><div><p>{PARA}</p></div>") == PARA.strip()
+    assert extraction.main_text("<span>" * 50_000 + "x" + "</b>" * 50_000) == "x"
+
+
 def test_page_rows(spark):
     rows = [(1, "u", None, "x"), (None, None, "<p>", "y"), (2, "u", "<div>" * 3000 + "deep", "z")]
     got = {r["page_id"]: r for r in extraction.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()}
     assert got[1]["n_chars"] == 0 and got[2]["text"] == "deep" and None in got
+    schema = "page_id long, url string, html string"
+    assert extraction.extract_pages(spark.createDataFrame([], schema)).count() == 0
+    long = f"<article>{f'<p>{PARA}</p>' * 20_000}</article>"
+    same = extraction.extract_pages(spark.createDataFrame([(1, "u", long)] * 3 + [(1, "u", "")], schema)).collect()
+    assert sorted(r["n_chars"] for r in same) == [0] + [20_000 * len(PARA) - 1] * 3
 
 
 # 6: digests
