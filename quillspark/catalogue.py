@@ -5,6 +5,7 @@ from __future__ import annotations
 from quillspark.plans import more_queries as _more  # noqa: F401  (it adds its own to the same tables)
 from quillspark.plans import queries as _plans
 from quillspark.plans import record_queries as _records  # noqa: F401
+from quillspark.plans import section_queries as _sections  # noqa: F401
 
 FLAGSHIP = _plans.QUERIES["g10_agreement"]
 

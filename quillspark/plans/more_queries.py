@@ -180,16 +180,6 @@ def d12_outline(spark, sf):
     return S.outline(docs)
 
 
-@query()
-def o05_coverage(spark, sf):
-    """Benchmark passages as obligations against all documents, with the offline provider."""
-    from quillspark.plans.review import coverage
-    from quillspark.provider import Offline
-
-    items = R.table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("id"), F.when(F.col("item_id") % 10 == 0, "MAY").otherwise("SHALL").alias("modality"), "text")
-    return coverage(items, R.documents(spark, sf), Offline())
-
-
 @query()
 def o03_review(spark, sf):
     """The deterministic review of two revisions; its closure table. Revision 2 lacks every twentieth document's lines."""
