@@ -32,7 +32,7 @@ SCALE = 50.0
 PAD = 30
 #: Labelled rows of each class that training sees at most, and words of them all: the documented bound. Where the rows have
 #: more words, the longest ones give a run of words each, all of one length.
-TRAIN_ROWS, TRAIN_WORDS = 2000, 4_000_000
+TRAIN_ROWS, TRAIN_WORDS = 2000, 2_000_000
 #: The price of a row's length, for one training row (it falls with the root of their number), and the clean class's share of the loss.
 PRICE, CLEAN = 0.17, 0.6
 #: Training texts that an n-gram must stand in.
@@ -114,21 +114,37 @@ class SubwordModel:
         return out
 
 
+#: Entries of bags that are worked on at once.
+BLOCK = 1_000_000
+
+
 class Loss:
-    """The weighted log loss of documents (their bags side by side) as a function of table, softmax and bias, and its gradients."""
+    """The weighted log loss of documents (their bags side by side) as a function of table, softmax and bias, and its gradients.
+
+    Twelve bytes an entry are kept, and sums are made block by block.
+    """
 
     def __init__(self, rows: np.ndarray, cols: np.ndarray, weights: np.ndarray, labels: np.ndarray, share: np.ndarray, width: int):
         self.rows, self.cols, self.weights, self.labels, self.share, self.width = rows, cols, weights, labels, share, width
 
+    def sums(self, to: np.ndarray, size: int, value) -> np.ndarray:
+        """The sums of value(block) by the numbers in to."""
+        out = np.zeros(size)
+        for at in range(0, len(to), BLOCK):
+            block = slice(at, at + BLOCK)
+            out += np.bincount(to[block], value(block), size)
+        return out
+
     def only(self, keep: np.ndarray) -> Loss:
         """The same over the columns marked in keep, numbered anew."""
         live = keep[self.cols]
-        number = np.cumsum(keep) - 1
+        number = (np.cumsum(keep) - 1).astype(np.int32)
         return Loss(self.rows[live], number[self.cols[live]], self.weights[live], self.labels, self.share, int(keep.sum()))
 
     def margins(self, table: np.ndarray, out: np.ndarray, bias: float) -> np.ndarray:
         """What the softmax reads from each document's mean. The mean of rows times out is the mean of the rows' products with it."""
-        return np.bincount(self.rows, (table @ out)[self.cols] * self.weights, len(self.labels)) + bias
+        value = table @ out
+        return self.sums(self.rows, len(self.labels), lambda b: value[self.cols[b]] * self.weights[b]) + bias
 
     def value(self, table: np.ndarray, out: np.ndarray, bias: float) -> float:
         return float((self.share * np.logaddexp(0, -self.margins(table, out, bias) * np.where(self.labels == 1, 1, -1))).sum())
@@ -136,7 +152,7 @@ class Loss:
     def gradients(self, table: np.ndarray, out: np.ndarray, bias: float) -> tuple[np.ndarray, np.ndarray, float]:
         """pull, of which pull[:, None] * out is the table's gradient, and the gradients of out and bias."""
         error = (1 / (1 + np.exp(-np.clip(self.margins(table, out, bias), -50, 50))) - self.labels) * self.share
-        pull = np.bincount(self.cols, self.weights * error[self.rows], self.width)
+        pull = self.sums(self.cols, self.width, lambda b: self.weights[b] * error[self.rows[b]])
         return pull, table.T @ pull, float(error.sum())
 
 
@@ -152,7 +168,8 @@ def _steepest(loss: Loss) -> float:
     size = 1.0
     for _ in range(15):
         x /= np.linalg.norm(x)
-        x = np.bincount(loss.cols, loss.weights * (loss.share * np.bincount(loss.rows, loss.weights * x[loss.cols], len(loss.labels)))[loss.rows], loss.width)
+        seen = loss.share * loss.sums(loss.rows, len(loss.labels), lambda b, x=x: loss.weights[b] * x[loss.cols[b]])
+        x = loss.sums(loss.cols, loss.width, lambda b, seen=seen: loss.weights[b] * seen[loss.rows[b]])
         size = float(np.linalg.norm(x))
     return 0.25 * size * 1.05 + 1e-9
 
@@ -171,13 +188,22 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, path: t
         return SubwordModel(np.zeros(BUCKETS, np.float32), float(np.log((share + 0.01) / (1.01 - share))))
     share = np.where(labels == 1, (1 - CLEAN) / labels.sum(), CLEAN / (1 - labels).sum())
     price = PRICE / sqrt(len(labels))
-    used, cols = np.unique(np.concatenate([b[0] for b in bags]), return_inverse=True)
-    rows = np.repeat(np.arange(len(bags)), [len(b[0]) for b in bags])
-    weights = np.concatenate([b[1] for b in bags]).astype(float) * SCALE
-    size = np.sqrt(np.bincount(cols, weights**2 * share[rows], len(used))) + 1e-9
-    whole = Loss(rows, cols, weights / size[cols], labels, share, len(used))
-
-    enough = np.bincount(cols, minlength=len(used)) >= LEAST_TEXTS
+    # the n-grams of LEAST_TEXTS texts or more, numbered; the others' entries aren't taken up
+    texts_with = np.zeros(BUCKETS, np.int32)
+    for own, _ in bags:
+        texts_with[own] += 1
+    used = np.flatnonzero(texts_with >= LEAST_TEXTS)
+    number = np.full(BUCKETS, -1, np.int32)
+    number[used] = np.arange(len(used), dtype=np.int32)
+    kept = [number[own] >= 0 for own, _ in bags]
+    rows = np.repeat(np.arange(len(bags), dtype=np.int32), [int(k.sum()) for k in kept])
+    cols = np.concatenate([number[own[k]] for (own, _), k in zip(bags, kept, strict=True)])
+    weights = np.concatenate([w[k] for (_, w), k in zip(bags, kept, strict=True)]) * np.float32(SCALE)
+    del kept
+    whole = Loss(rows, cols, weights, labels, share, len(used))
+    size = np.sqrt(whole.sums(cols, len(used), lambda b: weights[b].astype(float) ** 2 * share[rows[b]])) + 1e-9
+    for at in range(0, len(cols), BLOCK):
+        weights[at : at + BLOCK] /= size[cols[at : at + BLOCK]]
 
     random = np.random.default_rng(seed)
     out = random.normal(size=WIDTH)
@@ -186,7 +212,7 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, path: t
     for k, factor in enumerate(path):
         now_price = price * factor
         pull, _, _ = whole.gradients(table, out, bias)
-        wanted = live | ((np.abs(pull) > now_price) & enough)
+        wanted = live | (np.abs(pull) > now_price)
         if (wanted == live).all() and k and path[k - 1] == factor:
             break
         live = wanted
