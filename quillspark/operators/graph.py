@@ -130,11 +130,12 @@ def dual_owners(entries: DataFrame) -> DataFrame:
 
 
 def orphans(produced: DataFrame, consumed: DataFrame, least: float = 0.6) -> DataFrame:
-    """Outputs (id, text) that no input (text) overlaps; inputs meet outputs on words, so there is no cross join."""
-    words = lambda df, w, *keep: df.select(*keep, T.concepts(F.col("text")).alias(w))
-    out = words(produced, "pw", "id").filter(F.size("pw") > 0)
-    met = out.withColumn("word", F.explode("pw")).join(words(consumed, "cw").distinct().withColumn("word", F.explode("cw")), "word")
-    return out.join(met.filter(T.overlap(F.col("pw"), F.col("cw")) >= least).select("id").distinct(), "id", "left_anti").select("id")
+    """Outputs (id, text) that no input (text) overlaps; distinct sets of words of both sides meet on words, so there is no
+    cross join and equal texts meet once."""
+    words = lambda df, w, *keep: df.select(*keep, F.array_sort(T.concepts(F.col("text"))).alias(w)).filter(F.size(w) > 0)
+    out = words(produced, "pw", "id")
+    met = out.select("pw").distinct().withColumn("word", F.explode("pw")).join(words(consumed, "cw").distinct().withColumn("word", F.explode("cw")), "word")
+    return out.join(met.filter(T.overlap(F.col("pw"), F.col("cw")) >= least).select("pw").distinct(), "pw", "left_anti").select("id")
 
 
 def initials(names: DataFrame) -> DataFrame:

@@ -105,11 +105,16 @@ def g13_moves(spark, sf):
     return S.moves(J.compare_runs(side("a"), side("b"), scale=COVERAGE))
 
 
-@query("""WITH d AS (SELECT doc_id AS id, list_distinct(list_filter(string_split(trim(regexp_replace(lower(substr(text, 1, 200)), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '')) AS q,
-   list_distinct(list_filter(string_split(trim(regexp_replace(lower(substr(text, 100, 150)), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '')) AS g FROM documents)
- SELECT id, CASE WHEN len(g) = 0 THEN false ELSE len(list_intersect(g, q)) / len(g) >= 0.3 END AS hit, round(CASE WHEN len(list_distinct(list_concat(g, q))) = 0 THEN 0 ELSE len(list_intersect(g, q)) / len(list_distinct(list_concat(g, q))) END, 6) AS tightness FROM d""")
+LOOSE = "list_distinct(list_filter(string_split(trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> ''))"
+
+
+@query(f"""WITH d AS (SELECT doc_id AS id, string_split(text, chr(10)) AS l FROM documents), s AS (SELECT id, array_to_string(list_filter(l, lambda x, i: i % 2 = 1), chr(10)) AS odd, array_to_string(list_filter(l, lambda x, i: i % 2 = 0), chr(10)) AS even FROM d),
+ w AS (SELECT id, {LOOSE.format('odd')} AS q, {LOOSE.format('even')} AS g FROM s)
+ SELECT id, CASE WHEN len(g) = 0 THEN false ELSE len(list_intersect(g, q)) / len(g) >= 0.3 END AS hit, round(CASE WHEN len(list_distinct(list_concat(g, q))) = 0 THEN 0 ELSE len(list_intersect(g, q)) / len(list_distinct(list_concat(g, q))) END, 6) AS tightness FROM w""")
 def g18_span_scores(spark, sf):
-    rows = R.spread(R.table(spark, sf, "documents")).select(F.col("doc_id").alias("id"), F.substring("text", 1, 200).alias("quote"), F.array(F.substring("text", 100, 150)).alias("gold"))
+    """Whole texts: the lines of odd number as a quote, the others as the span it is held against."""
+    part = lambda k: F.array_join(F.filter(F.split("text", "\n"), lambda x, i: i % 2 == k), "\n")
+    rows = R.spread(R.table(spark, sf, "documents")).select(F.col("doc_id").alias("id"), part(0).alias("quote"), F.array(part(1)).alias("gold"))
     return S.span_scores(rows).withColumn("tightness", F.round("tightness", 6))
 
 

@@ -292,13 +292,11 @@ def h16_rank_fusion(spark, sf):
     return J.fused(by(F.col("score").desc(), F.col("item_id").desc()), by("item_id")).withColumn("score", F.round("score", 6))
 
 
-@query(f"""WITH t AS (SELECT n_regionkey AS grp, s_suppkey AS id, list_distinct(list_filter(regexp_extract_all(lower(p_name || ' ' || p_type), '[a-z0-9]{{3,}}'), lambda x: x NOT IN ({CONCEPT}))) AS w
-   FROM supplier JOIN part ON p_partkey = s_suppkey JOIN nation ON n_nationkey = s_nationkey)
+@query(f"""WITH t AS (SELECT p_brand || '/' || p_size AS grp, p_partkey AS id, list_distinct(list_filter(regexp_extract_all(lower(p_name || ' ' || p_type), '[a-z0-9]{{3,}}'), lambda x: x NOT IN ({CONCEPT}))) AS w FROM part)
  SELECT a.grp, a.id AS a, b.id AS b, round(len(list_intersect(a.w, b.w)) / least(len(a.w), len(b.w)), 6) AS overlap FROM t a JOIN t b ON a.grp = b.grp AND a.id < b.id WHERE len(list_intersect(a.w, b.w)) / least(len(a.w), len(b.w)) >= 0.5""")
 def f19_similar_pairs(spark, sf):
-    rows = R.table(spark, sf, "supplier").join(R.table(spark, sf, "part"), F.col("p_partkey") == F.col("s_suppkey")).join(R.table(spark, sf, "nation"), F.col("n_nationkey") == F.col("s_nationkey"))
-    named = rows.select(F.col("n_regionkey").alias("grp"), F.col("s_suppkey").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("text"))
-    return J.similar_pairs(named, "grp").withColumn("overlap", F.round("overlap", 6))
+    rows = R.table(spark, sf, "part").select(F.concat_ws("/", "p_brand", F.col("p_size").cast("string")).alias("grp"), F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("text"))
+    return J.similar_pairs(rows, "grp").withColumn("overlap", F.round("overlap", 6))
 
 
 # 2.G: aggregations
@@ -338,12 +336,12 @@ def g10_agreement(spark, sf):
 
 
 @query("""WITH l AS (SELECT l_orderkey AS id, CASE WHEN l_orderkey % 3 = 0 THEN 'Every valve closes' ELSE 'A valve closes' END AS requirement, CASE l_linenumber % 3 WHEN 0 THEN 'search' WHEN 1 THEN 'rebuttal' ELSE 'materiality' END AS lens,
-   l_returnflag = 'R' AS refuted, l_tax > 0.07 AS failed FROM lineitem WHERE l_linenumber <= 3),
+   l_returnflag = 'R' AS refuted, l_tax > 0.07 AS failed FROM lineitem),
  f AS (SELECT id, requirement, lens, max(refuted) AS refuted, max(failed) AS failed FROM l GROUP BY ALL),
  g AS (SELECT id, requirement, count(*) FILTER (lens <> 'materiality' AND refuted) AS refutations, coalesce(bool_or(lens <> 'materiality' AND failed), false) AS any_failed FROM f GROUP BY ALL)
  SELECT id, refutations, requirement LIKE 'Every%' AS universal, CASE WHEN any_failed THEN 'contested' WHEN refutations >= 2 AND requirement NOT LIKE 'Every%' THEN 'refuted' WHEN refutations >= 1 THEN 'contested' ELSE 'confirmed' END AS status FROM g""")
 def g12_verification(spark, sf):
-    rows = R.table(spark, sf, "lineitem").filter("l_linenumber <= 3").selectExpr(
+    rows = R.table(spark, sf, "lineitem").selectExpr(
         "l_orderkey AS id", "CASE WHEN l_orderkey % 3 = 0 THEN 'Every valve closes' ELSE 'A valve closes' END AS requirement",
         "CASE l_linenumber % 3 WHEN 0 THEN 'search' WHEN 1 THEN 'rebuttal' ELSE 'materiality' END AS lens", "l_returnflag = 'R' AS refuted", "l_tax > 0.07 AS failed")
     return A.verification(rows.groupBy("id", "requirement", "lens").agg(F.max("refuted").alias("refuted"), F.max("failed").alias("failed")))
@@ -364,13 +362,13 @@ def g15_worst_verdict(spark, sf):
 
 
 @query(f"""WITH {LEXICAL}, r AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 4) DESC, chunk_id DESC) AS rank FROM s),
- g AS (SELECT i.item_id AS query_id, d.doc_id AS chunk_id FROM benchmark i JOIN documents d ON contains(d.text, substr(i.text, 1, 60)))
+ g AS (SELECT i.item_id AS query_id, d.doc_id AS chunk_id FROM benchmark i JOIN documents d ON contains(d.text, i.text))
  SELECT g.query_id, count(r.rank) AS found, count(*) AS wanted, count(r.rank) / count(*) AS recall, count(r.rank) / 12 AS precision, count(r.rank) = count(*) AS covered FROM g LEFT JOIN r ON r.query_id = g.query_id AND r.chunk_id = g.chunk_id AND r.rank <= 12 GROUP BY g.query_id""")
 def g19_recall_at_k(spark, sf):
     scored = _lexical(spark, sf).withColumn("score", F.round("score", 4)).withColumnRenamed("chunk_id", "item_id")
     ranked = A.top_with_rest(scored, ["query_id"], [F.col("score").desc(), F.col("item_id").desc()], 12)
-    items = R.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("start"))
-    gold = R.spread(R.table(spark, sf, "documents")).join(J.small(items), F.contains("text", "start")).select("query_id", F.col("doc_id").alias("item_id"))
+    items = R.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
+    gold = R.spread(R.table(spark, sf, "documents")).join(J.small(items), F.contains("text", "passage")).select("query_id", F.col("doc_id").alias("item_id"))
     return A.recall_at(ranked, gold, 12)
 
 
@@ -404,9 +402,9 @@ def h18_precision_at_k(spark, sf):
     return A.precision_at(first.withColumn("rank", F.row_number().over(W.orderBy(F.col("id").desc()))))
 
 
-@query(f"WITH {READINGS} SELECT id, max(CASE WHEN model = '1' THEN verdict END) AS \"1\", max(CASE WHEN model = '2' THEN verdict END) AS \"2\", max(CASE WHEN model = '3' THEN verdict END) AS \"3\" FROM readings GROUP BY id")
+@query(f"WITH {READINGS} SELECT id, " + ", ".join(f"max(CASE WHEN model = '{k}' THEN verdict END) AS \"{k}\"" for k in range(1, 8)) + " FROM readings GROUP BY id")
 def b16_evaluators(spark, sf):
-    return A.evaluators(R.readings(spark, sf), ["1", "2", "3"])
+    return A.evaluators(R.readings(spark, sf), [str(k) for k in range(1, 8)])
 
 
 # 2.J: scalars
@@ -522,11 +520,12 @@ def k05_dual_owners(spark, sf):
     return G.dual_owners(R.table(spark, sf, "part").select(F.col("p_type").alias("capability"), F.col("p_brand").alias("action"), F.col("p_name").alias("owner")))
 
 
-@query(f"""WITH w AS (SELECT p_partkey AS id, p_size, list_distinct(list_filter(regexp_extract_all(lower(p_name), '[a-z0-9]{{3,}}'), lambda x: x NOT IN ({CONCEPT}))) AS w FROM part)
- SELECT id FROM w p WHERE p_size % 2 = 0 AND len(w) > 0 AND NOT EXISTS (SELECT 1 FROM w c WHERE c.p_size % 25 = 1 AND len(c.w) > 0 AND len(list_intersect(p.w, c.w)) / least(len(p.w), len(c.w)) >= 0.6)""")
+@query(f"""WITH w AS (SELECT p_partkey AS id, p_size, list_distinct(list_filter(regexp_extract_all(lower(p_name || ' ' || p_type || ' ' || p_brand), '[a-z0-9]{{3,}}'), lambda x: x NOT IN ({CONCEPT}))) AS w FROM part)
+ SELECT id FROM w p WHERE p_size > 25 AND len(w) > 0 AND NOT EXISTS (SELECT 1 FROM w c WHERE c.p_size <= 25 AND len(c.w) > 0 AND len(list_intersect(p.w, c.w)) / least(len(p.w), len(c.w)) >= 0.8)""")
 def k07_orphans(spark, sf):
-    parts = R.table(spark, sf, "part")
-    return G.orphans(parts.filter("p_size % 2 = 0").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text")), parts.filter("p_size % 25 = 1").select(F.col("p_name").alias("text")))
+    """Every part is an output or, where it is small, an input."""
+    parts = R.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), "p_size", F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("text"))
+    return G.orphans(parts.filter("p_size > 25").select("id", "text"), parts.filter("p_size <= 25").select("text"), 0.8)
 
 
 @query()
@@ -549,9 +548,12 @@ def k13_diffs(spark, sf):
     return G.diffs(docs.withColumn("new", F.filter("old", lambda x, i: i % 5 != 4)))
 
 
-@query()
+@query("""WITH h AS (SELECT item_id, list_transform(range(0, 32), lambda i: CAST('0x' || substr(sha256(text), CAST(2 * i + 1 AS BIGINT), 2) AS INTEGER) / 255.0 - 0.5) AS r FROM benchmark)
+ SELECT item_id, array_to_string(list_transform(r, lambda v: CAST(CAST(round(v / sqrt(list_sum(list_transform(r, lambda u: u * u))) * 1e6) AS BIGINT) AS VARCHAR)), ' ') AS vector FROM h""")
 def n06_offline_vectors(spark, sf):
-    return R.table(spark, sf, "benchmark").select("item_id", T.offline_vector(F.col("text")).alias("vector"))
+    """In millionths."""
+    vector = F.transform(T.offline_vector(F.col("text")), lambda v: F.round(v * 1e6).cast("long").cast("string"))
+    return R.table(spark, sf, "benchmark").select("item_id", F.array_join(vector, " ").alias("vector"))
 
 
 @query(f"""WITH {JUDGED} SELECT id, a, CASE WHEN id % 3 = 0 THEN CASE WHEN id % 2 = 0 THEN 'absent' ELSE 'unverifiable' END ELSE 'present' END AS status FROM judged""")
