@@ -67,3 +67,92 @@ def ask_all(prompts: DataFrame, provider: ModelProvider, answers: DataFrame | No
     if answers is not None:
         new = new.unionByName(answers.select("key", "answer", F.lit("cached").alias("status"), F.lit(None).cast("string").alias("error")))
     return keyed.select("id", "key").join(new, "key", "left")
+
+
+def ask_cached(prompts: DataFrame, provider: ModelProvider, path: str, **options) -> DataFrame:
+    """ask_all() with a table of answers at path: known ones aren't asked, new ones are written there, failures are not."""
+    from quillspark.sources.files import append_new, exists
+
+    spark = prompts.sparkSession
+    known = spark.read.schema("key string, answer string").parquet(path) if exists(spark, path) else None
+    keyed = prompts.withColumn("key", cache_key(F.lit(provider.name), "system", "user"))
+    fresh = prompts if known is None else keyed.join(known.select("key"), "key", "left_anti").select(*prompts.columns)
+    told = ask_all(fresh, provider, **options).persist()
+    append_new(told.filter("answer IS NOT NULL").select("key", "answer"), path, ["key"])
+    good = spark.read.schema("key string, answer string").parquet(path) if exists(spark, path) else spark.createDataFrame([], "key string, answer string")
+    failed = told.filter("answer IS NULL").select("key", F.col("status").alias("_s"), F.col("error").alias("_e")).dropDuplicates(["key"])
+    joined = keyed.select("id", "key").join(good, "key", "left").join(failed, "key", "left")
+    status = F.when(F.col("answer").isNotNull(), "ok").otherwise(F.coalesce("_s", F.lit("failed")))
+    return joined.select("id", "key", "answer", status.alias("status"), F.when(F.col("answer").isNull(), F.col("_e")).alias("error"))
+
+
+def ask_guarded(prompts: DataFrame, provider: ModelProvider, stop_after: int = 4, **options) -> DataFrame:
+    """The first stop_after prompts by key are asked alone; where each of them fails, the endpoint is given up and nothing else is asked.
+
+    This counts for the endpoint and not for a task; the driver gets stop_after rows.
+    """
+    keyed = prompts.withColumn("key", cache_key(F.lit(provider.name), "system", "user"))
+    first = [r["key"] for r in keyed.select("key").distinct().orderBy("key").limit(stop_after).collect()]
+    tried = ask_all(prompts.filter(cache_key(F.lit(provider.name), "system", "user").isin(*first)), provider, **options) if first else None
+    if tried is None:
+        return ask_all(prompts, provider, **options)
+    known = tried.filter("answer IS NOT NULL").select("key", "answer").distinct().collect()
+    if not known and len(first) == stop_after:
+        return keyed.select("id", "key", F.lit(None).cast("string").alias("answer"), F.lit("failed").alias("status"), F.lit("endpoint given up").alias("error"))
+    answers = prompts.sparkSession.createDataFrame([(r["key"], r["answer"]) for r in known], "key string, answer string")
+    return ask_all(prompts, provider, answers, **options)
+
+
+def embed_all(texts: DataFrame, embed: Callable[[list[str]], list[list[float]]], batch: int = 16, tries: int = 4, pause: float = 0.5) -> DataFrame:
+    """(id, text) to id, embedding, error. Equal texts are embedded once, batch at a time; a batch that fails is tried again, later
+    each time, and then its texts are rows with an error."""
+    import time
+
+    wanted = texts.select("text").filter("text IS NOT NULL").distinct()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            said, out = rows["text"].tolist(), []
+            for at in range(0, len(said), batch):
+                part, error = said[at : at + batch], None
+                for attempt in range(tries):
+                    try:
+                        found = embed(part)
+                        out += [(t, [float(x) for x in v], None) for t, v in zip(part, found, strict=True)]
+                        error = None
+                        break
+                    except Exception as e:
+                        error = f"{type(e).__name__}: {e}"
+                        if attempt + 1 < tries:
+                            time.sleep(pause * 2**attempt)
+                if error:
+                    out += [(t, None, error) for t in part]
+            yield pd.DataFrame(out, columns=["text", "embedding", "error"])
+
+    return texts.select("id", "text").join(wanted.mapInPandas(run, "text string, embedding array<double>, error string"), "text", "left").select("id", "embedding", "error")
+
+
+class Truncated(Exception):
+    """A reply that the token budget cut off."""
+
+
+class Escalating:
+    """Asks with three times the budget after each reply that was cut off, up to a cap. ask(system, user, budget) is the endpoint."""
+
+    def __init__(self, name: str, ask: Callable[[str, str, int], str], budget: int = 1000, most: int = 27_000):
+        self.name, self._ask, self.budget, self.most = name, ask, budget, most
+
+    def ask(self, system: str, user: str) -> str:
+        budget = self.budget
+        while True:
+            try:
+                return self._ask(system, user, budget)
+            except Truncated:
+                if budget >= self.most:
+                    raise
+                budget = min(3 * budget, self.most)
+
+
+def call_log(answers: DataFrame, most: int = 4000) -> DataFrame:
+    """A call's row for the log: key, status, the first characters of the answer, and the error."""
+    return answers.select("key", "status", F.substring("answer", 1, most).alias("raw"), "error")

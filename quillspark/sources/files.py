@@ -72,14 +72,48 @@ def read_results(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame
     return rows.filter("_bad is null").drop("_bad"), rows.filter("_bad is not null").select("_bad")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def read_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A CSV with a header, as text by the names of schema; no file is no row."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
+    found = spark.read.option("header", True).option("multiLine", True).csv(path)
+    names = [x.split()[0] for x in schema.split(", ")]
+    return found.select(*[F.col(f"`{n}`") if n in found.columns else F.lit(None).cast("string").alias(n) for n in names])
+
+
+def load_rows(spark: SparkSession, path: str, root: str, schema: str) -> DataFrame:
+    """The items under root of a reviewer's YAML file (ground truth, references, a map, answers), with the fields of schema."""
+    data = yaml.safe_load(Path(path).read_text(encoding="utf-8")) or {}
+    items = data.get(root, []) if isinstance(data, dict) else data
+    names = [x.split()[0] for x in schema.split(", ")]
+    return spark.createDataFrame([tuple(i.get(n) for n in names) for i in items], schema)
+
+
+def replace_file(path: str, text: str) -> None:
+    """A file as a whole or not at all: written beside, then renamed."""
+    beside = Path(f"{path}.tmp")
+    beside.write_text(text, encoding="utf-8")
+    beside.replace(path)
+
+
+def provenance(manifest: DataFrame, slug: str) -> str:
+    """The header that says which text a report is about, with both hashes."""
+    r = manifest.filter(F.col("slug") == slug).first()
+    if r is None:
+        raise ValueError(f"{slug} isn't in the manifest")
+    return f"{slug}: source {r['source_sha256'][:12]}, text {r['text_sha256'][:12]}, {r['text_lines']} lines"
+
+
 def append_new(df: DataFrame, path: str, keys: list[str]) -> int:
     """Appends rows whose key isn't there yet; Spark's commit makes the append whole or nothing."""
     spark = df.sparkSession
-    jvm = spark._jvm.org.apache.hadoop.fs
-    at = jvm.Path(path)
-    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
     new = df.dropDuplicates(keys)
-    if fs.exists(at):
+    if exists(spark, path):
         new = new.join(spark.read.schema(df.schema).parquet(path).select(*keys), keys, "left_anti")
     count = new.count()
     if count:
