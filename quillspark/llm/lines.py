@@ -73,7 +73,8 @@ def dedupe_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     prepare(docs.sparkSession)
     docs = docs.drop("n_lines", "n_removed")
     base = docs.select("*", F.unhex(F.md5(F.col("text").cast("binary"))).alias("_text_key"))
-    rows = line_rows(docs.filter(F.col("text").isNotNull()))
+    # texts are split and hashed once; counting, the exact counts and the places to remove read the hashes
+    rows = materialise(line_rows(docs.filter(F.col("text").isNotNull())), "hashes")
     found = boilerplate(rows, min_sites)
     here = F.struct(F.col("doc_id"), F.col("text_key"), F.col("pos"))
     hit = rows.select("doc_id", "text_key", "pos", "line_key").join(bounded(found.select("line_key", "first")), "line_key")
