@@ -85,3 +85,11 @@ def slugs(paths: DataFrame, most: int = 40) -> DataFrame:
     cut = F.substring(F.regexp_replace(F.lower(base), "^-|-$", ""), 1, most)
     ranked = paths.withColumn("_s", cut).withColumn("_r", F.row_number().over(W.partitionBy("_s").orderBy("path")))
     return ranked.select("path", F.when(F.col("_r") == 1, F.col("_s")).otherwise(F.concat("_s", F.lit("-"), F.col("_r").cast("string"))).alias("slug"))
+
+
+def corpus_entries(files: DataFrame) -> DataFrame:
+    """(path, content) of a tree as entries of a new corpus: slug, hash, size, and whether another path has the same content."""
+    from pyspark.sql.window import Window as W
+
+    told = files.select("path", F.sha2("content", 256).alias("source_sha256"), F.octet_length("content").alias("bytes")).join(slugs(files.select("path")), "path")
+    return told.select("path", "slug", "source_sha256", "bytes", (F.count("*").over(W.partitionBy("source_sha256")) > 1).alias("twice"))

@@ -382,3 +382,33 @@ def parsed_reply(raw: Column, scale) -> Column:
         scale.coerce(F.coalesce(verdict, F.lit(""))).alias("verdict"), F.trim(F.coalesce(F.when(good, F.coalesce(parsed["rationale"], F.lit(""))).otherwise(broken), F.lit(""))).alias("rationale"),
         F.when(good, F.coalesce(parsed["cites"], F.array().cast("array<string>"))).otherwise(F.regexp_extract_all(raw, F.lit(r'"(\d+\s*-\s*\d+)"'), F.lit(1))).alias("cites"), (~good).alias("unparsed"),
     )
+
+
+def answers_ok(json: Column) -> Column:
+    """A record of answers(): whole numbers of 0 or more under of, answered and runs, lists of objects under not_read and short, and the counts add up."""
+    whole = lambda k: F.coalesce(F.get_json_object(json, f"$.{k}").rlike(r"^\d{1,9}$") & ~json.rlike(rf'"{k}"\s*:\s*"'), F.lit(False))
+    number = lambda k: F.get_json_object(json, f"$.{k}").cast("int")
+    objects = lambda k: F.coalesce(F.get_json_object(json, f"$.{k}").rlike(r"^\s*\[\s*(\{|\])"), F.lit(False))
+    missing = F.coalesce(F.json_array_length(F.get_json_object(json, "$.not_read")), F.lit(-1))
+    return whole("of") & whole("answered") & whole("runs") & objects("not_read") & objects("short") & F.coalesce(number("answered") + missing == number("of"), F.lit(False))
+
+
+def empty_place(x: Column) -> Column:
+    """No item at all: null, or text with nothing in it."""
+    return x.isNull() | (F.regexp_replace(x, r"(?U)\s", "") == "")
+
+
+def fully_read(full_passes: Column, *unasked: Column) -> Column:
+    """Whether a pass read a section with the whole schema: it says so, or, where it doesn't say, a list that only such a pass asks for holds something."""
+    held = F.lit(False)
+    for x in unasked:
+        held = held | (F.coalesce(F.size(x), F.lit(0)) > 0)
+    return F.coalesce(full_passes > 0, held)
+
+
+def add_document(corpus: DataFrame, slug: str, path: str, role: str = "reference") -> DataFrame:
+    """A corpus with one document more; a slug that it has already is refused."""
+    if not corpus.filter(F.col("slug") == slug).isEmpty():
+        raise ValueError(f"the corpus has a document {slug!r}")
+    new = corpus.sparkSession.createDataFrame([(slug, path, role)], "slug string, path string, role string")
+    return corpus.unionByName(new, allowMissingColumns=True)

@@ -244,3 +244,68 @@ def o13_repaired_cites(spark, sf):
     told = C.stale(stamped, pins)
     good = (F.col("stamp") == "current") & (T.citation(F.col("cite"), F.lit(40)) == "ok")
     return told.select("id", "stamp", good.alias("recovered"))
+
+
+@query("""WITH o AS (SELECT item_id AS query_id, text FROM benchmark WHERE item_id % 20 = 0), p AS (SELECT query_id, doc_id AS chunk_id, CAST('0x' || substr(sha256('Does this passage contribute to this obligation?' || chr(0) || o.text || chr(10) || chr(10) || d.text), 1, 2) AS INTEGER) % 3 AS a FROM o, documents d),
+ r AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY a DESC, chunk_id) AS rank FROM p WHERE a > 0) SELECT query_id, chunk_id, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 12""")
+def f21_screened(spark, sf):
+    """The stated obligations, every twentieth, asked about all documents, offline."""
+    from quillspark.plans.review import screened
+    from quillspark.provider import Offline
+
+    asked = R.table(spark, sf, "benchmark").filter("item_id % 20 = 0").selectExpr("item_id AS id", "text")
+    return screened(asked, R.documents(spark, sf).select(F.col("slug").alias("chunk_id"), "text"), Offline(("none", "contributes", "discharges")))
+
+
+@query("""SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN p_name || ' and ' || p_type ELSE NULL END AS pointer FROM part""")
+def d31_pointers(spark, sf):
+    json = F.expr("""CASE p_partkey % 3 WHEN 0 THEN concat('"', p_name, '"') WHEN 1 THEN concat('["', p_name, '", "', p_type, '"]') ELSE 'null' END""")
+    return R.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), N.pointer_text(json).alias("pointer"))
+
+
+@query("""SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 'H' || o_custkey || ' (d:' || o_custkey || ')' WHEN 1 THEN 'H' || o_custkey WHEN 2 THEN 'the section at d:' || o_custkey || ', which has no heading' ELSE 'a section without a name' END AS named,
+ CASE WHEN o_orderkey % 3 = 0 THEN 'a' ELSE '' END || CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 2 = 0 THEN '; ' ELSE '' END || CASE WHEN o_orderkey % 2 = 0 THEN 'b' ELSE '' END AS doubt FROM orders""")
+def j39_doubts(spark, sf):
+    rows = R.table(spark, sf, "orders").selectExpr("o_orderkey AS id", "CASE WHEN o_orderkey % 4 < 2 THEN concat('H', o_custkey) END AS h", "CASE WHEN o_orderkey % 4 IN (0, 2) THEN concat('d:', o_custkey) ELSE '' END AS at", "CASE WHEN o_orderkey % 3 = 0 THEN 'a' ELSE '' END AS a", "CASE WHEN o_orderkey % 2 = 0 THEN 'b' END AS b")
+    return rows.select("id", T.named_section(F.col("h"), F.col("at")).alias("named"), T.in_doubt(F.col("a"), F.col("b")).alias("doubt"))
+
+
+@query("""WITH s AS (SELECT url AS path, sha256(html) AS h, strlen(html) AS bytes, row_number() OVER (PARTITION BY url ORDER BY page_id) AS r FROM pages), b AS (SELECT *, substr(regexp_replace(lower(regexp_replace(regexp_extract(path, '([^/]+?)(\\.[^./]*)?$', 1), '[^A-Za-z0-9]+', '-', 'g')), '^-|-$', '', 'g'), 1, 40) AS b FROM s WHERE r = 1),
+ n AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY path) AS k FROM b) SELECT path, CASE WHEN k = 1 THEN b ELSE b || '-' || k END AS slug, h AS source_sha256, CAST(bytes AS INTEGER) AS bytes, count(*) OVER (PARTITION BY h) > 1 AS twice FROM n""")
+def a02_init_corpus(spark, sf):
+    """Pages as a tree of files: slugs, hashes, sizes and which contents come twice."""
+    from pyspark.sql.window import Window as W
+
+    order = W.partitionBy("url").orderBy("page_id")
+    pages = R.table(spark, sf, "pages").withColumn("r", F.row_number().over(order)).filter("r = 1")
+    return C.corpus_entries(pages.select(F.col("url").alias("path"), F.col("html").cast("binary").alias("content")))
+
+
+@query(f"WITH {LINES} SELECT slug, line_no, md5(text) AS text_md5 FROM lines WHERE slug IN (3, 4)")
+def a09_load(spark, sf):
+    """Two documents' lines, read without a pin."""
+    return L.to_lines(R.documents(spark, sf).filter(F.col("slug").isin(3, 4))).select("slug", "line_no", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@query("""SELECT o_orderkey AS id, o_orderkey % 6 IN (0, 1) AS ok, o_custkey % 3 = 0 OR o_custkey % 3 = 1 AS empty, CASE WHEN o_custkey % 4 = 0 THEN o_orderkey % 2 = 1 ELSE o_custkey % 4 = 1 END AS whole FROM orders""")
+def e15_records(spark, sf):
+    json = F.expr("""CASE o_orderkey % 6 WHEN 0 THEN '{"of": 3, "answered": 3, "runs": 1, "not_read": [], "short": []}' WHEN 1 THEN '{"of": 3, "answered": 2, "runs": 1, "not_read": [{"heading": "x"}], "short": []}' WHEN 2 THEN '{"of": 3, "answered": 2, "runs": 1, "not_read": [], "short": []}'
+      WHEN 3 THEN '{"of": "3", "answered": 3, "runs": 1, "not_read": [], "short": []}' WHEN 4 THEN '{"of": 3, "answered": 3, "not_read": [], "short": []}' ELSE '{"of": 3, "answered": 2, "runs": 1, "not_read": ["x"], "short": []}' END""")
+    rows = R.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), json.alias("j"), F.expr("CASE o_custkey % 3 WHEN 0 THEN NULL WHEN 1 THEN ' \t' ELSE 'x' END").alias("x"),
+        F.expr("CASE WHEN o_custkey % 4 = 0 THEN cast(o_orderkey % 2 AS int) END").alias("full"), F.expr("CASE WHEN o_custkey % 4 = 1 THEN array('a') WHEN o_custkey % 4 = 2 THEN cast(array() AS array<string>) END").alias("u"))
+    return rows.select("id", N.answers_ok(F.col("j")).alias("ok"), N.empty_place(F.col("x")).alias("empty"), N.fully_read(F.col("full"), F.col("u")).alias("whole"))
+
+
+@query("""WITH e AS (SELECT p_type AS capability, p_brand AS action, p_name AS owner FROM part WHERE p_size % 2 = 1), d5 AS (SELECT 'D5' AS kind, capability || '/' || action AS key, 'finding' AS status FROM e GROUP BY capability, action HAVING count(DISTINCT owner) > 1),
+ d6 AS (SELECT 'D6' AS kind, p_partkey || '/cap' || p_partkey AS key, CASE WHEN p_brand LIKE '%1%' THEN 'finding' ELSE 'doubtful' END AS status FROM part WHERE p_partkey % 50 = 0), u AS (SELECT * FROM d5 UNION ALL SELECT * FROM d6 UNION ALL SELECT 'D8', CAST(p_partkey AS VARCHAR), 'doubtful' FROM part WHERE p_partkey % 40 = 0)
+ SELECT kind || '-' || lpad(CAST(row_number() OVER (PARTITION BY kind ORDER BY key) AS VARCHAR), CAST(greatest(3, length(CAST(row_number() OVER (PARTITION BY kind ORDER BY key) AS VARCHAR))) AS INTEGER), '0') AS id, kind, key, status FROM u""")
+def o07_synthesis(spark, sf):
+    """Parts as an inventory: what two own by type and brand, capabilities that nobody owns, outputs that nobody consumes."""
+    from quillspark.plans.synthesis import candidates
+
+    part = R.table(spark, sf, "part")
+    entries = part.selectExpr("p_type AS capability", "p_brand AS action", "p_name AS owner", "CASE WHEN p_size % 2 = 0 THEN 'excludes' ELSE 'owns' END AS polarity")
+    deferrals = part.filter("p_partkey % 50 = 0").selectExpr("p_partkey AS id", "p_brand AS slug", "concat('cap', p_partkey) AS capability")
+    out = part.selectExpr("p_partkey AS id", "concat('out', p_partkey) AS text")
+    read = part.selectExpr("p_brand AS slug", "p_brand LIKE '%1%' AS complete").distinct()
+    return candidates(entries, deferrals, out, out.filter("id % 40 > 0"), read)
