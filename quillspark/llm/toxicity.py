@@ -246,7 +246,10 @@ def _even(share: np.ndarray, labels: np.ndarray) -> float:
 
 
 def fit(docs: DataFrame, labels: DataFrame, keep, rows: int = TRAIN_ROWS) -> SubwordModel:
-    """Bags are made where the texts are; the driver gets those of 2 x rows documents, of TRAIN_WORDS words in all at most."""
+    """Bags are made where the texts are; one task trains on those of 2 x rows documents, of TRAIN_WORDS words in all at most.
+
+    A lost executor costs that task, not the driver; the driver gets the rows of the table that have a vector, as values.
+    """
     sample = materialise(labelled_sample(docs, labels, "toxic", keep, rows), "labelled")
     sizes = [n for (n,) in beside(sample, [], "text", lambda batch: [(len(WORD(x.lower())),) for x in batch], "n long").collect()]
     most = fair_share(sizes, TRAIN_WORDS)
@@ -256,9 +259,24 @@ def fit(docs: DataFrame, labels: DataFrame, keep, rows: int = TRAIN_ROWS) -> Sub
             own = [bag(x, most, int(i)) for i, x in zip(batch["doc_id"], batch["text"], strict=True)]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "y": batch["y"], "rows": [a.tobytes() for a, _ in own], "weights": [b.tobytes() for _, b in own]})
 
-    got = [(r["doc_id"], np.frombuffer(r["rows"], np.int32), np.frombuffer(r["weights"], np.float32), r["y"]) for r in sample.mapInPandas(make, "doc_id long, y int, rows binary, weights binary").toLocalIterator()]
-    got.sort(key=lambda x: x[0])
-    return train([(x[1], x[2]) for x in got], np.array([x[3] for x in got]))
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bags, said = [], []
+        for batch in batches:
+            bags += [(np.frombuffer(a, np.int32), np.frombuffer(b, np.float32)) for a, b in zip(batch["rows"], batch["weights"], strict=True)]
+            said += batch["y"].tolist()
+        model = train(bags, np.array(said))
+        found = np.flatnonzero(model.values)
+        yield pd.DataFrame({"row": np.append(found, -1).astype(np.int64), "value": np.append(model.values[found].astype(float), model.bias)})
+
+    made = sample.mapInPandas(make, "doc_id long, y int, rows binary, weights binary")
+    learned = made.repartition(1).sortWithinPartitions("doc_id", "y").mapInPandas(learn, "row long, value double").collect()
+    values, bias = np.zeros(BUCKETS, np.float32), None
+    for r in learned:
+        if r["row"] >= 0:
+            values[r["row"]] = r["value"]
+        else:
+            bias = r["value"]
+    return SubwordModel(values, train([], np.empty(0)).bias if bias is None else bias)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, rows: int = TRAIN_ROWS) -> DataFrame:
