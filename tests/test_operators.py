@@ -216,3 +216,34 @@ def test_candidates_come_from_all_documents_and_whole_texts(spark, tmp_path):
     spark.createDataFrame([(1, late), (2, late), (3, "Nothing is asked.")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = queries()["d15_requirement_candidates"](spark, str(tmp_path)).collect()
     assert {r["slug"] for r in got} == {1, 2} and all("gate SHALL close" in r["raw"] for r in got)
+
+
+def test_gate_counts_inside_words_and_variants(spark):
+    from quillspark.plans import review
+
+    docs = spark.createDataFrame([(1, "Floods flooded the FLOODPLAIN; aaaaaaa"), (2, "A storm surge. storm\nsurge")], "slug int, text string")
+    words = spark.createDataFrame([(1, "flood"), (1, "surge"), (1, "aaaaa"), (2, "absent")], "id int, word string")
+    lexicon = spark.createDataFrame([("surge", "storm surge"), ("absent", "plain")], "term string, variant string")
+    got = {r["word"]: r["hits"] for r in review.gate_hits(words, docs, lexicon).collect()}
+    assert got == {"flood": 3, "surge": 3, "aaaaa": 1, "absent": 1}
+
+
+@pytest.mark.parametrize("how", ["lexical", "dense", "section"])
+def test_coverage_by_each_retrieval(spark, how):
+    from quillspark.plans import review
+    from quillspark.provider import Offline
+
+    obligations = spark.createDataFrame([("a", "SHALL", "gates close at night", "x"), ("b", "may", "gates open", "x"), ("c", "SHALL", "zebra", "y")], "id string, modality string, text string, scope string")
+    docs = spark.createDataFrame([(1, "# Gates\nThe gates close.\n# Night\nAt night all is dark.")], "slug int, text string")
+    got = {r["id"]: r for r in review.coverage(obligations, docs, Offline(("unmet",)), how=how, least_hits=1, screen=Offline(("contributes",))).collect()}
+    assert got["a"]["verdict"] == "unmet" and got["a"]["gate"] == "contested" and got["a"]["evidence"] == "closex1, gatesx2, nightx2"
+    assert got["b"]["verdict"] == "not_applicable" and got["b"]["gate"] is None and got["c"]["gate"] == "clear"
+    assert [r["id"] for r in review.coverage(obligations, docs, Offline(), scope="y").collect()] == ["c"]
+    with pytest.raises(ValueError, match="seen: x, y"):
+        review.coverage(obligations, docs, Offline(), scope="z")
+
+
+def test_places_over_a_whole_table(spark):
+    df = spark.range(1000).selectExpr("id", "id % 7 AS k").repartition(6)
+    got = A.ranked(df, [F.col("k").desc(), F.col("id")], "place").collect()
+    assert [r["id"] for r in sorted(got, key=lambda r: r["place"])] == sorted(range(1000), key=lambda i: (-(i % 7), i)) and sorted(r["place"] for r in got) == list(range(1, 1001))
