@@ -179,7 +179,8 @@ def d15_modal_sentences(spark, sf):
     return L.candidates(docs).select("slug", "line", "modality_hint", "raw")
 
 
-@query()
+@query("""WITH n AS (SELECT doc_id AS slug, CAST(len(string_split(text, chr(10))) AS INTEGER) AS n FROM documents)
+ SELECT slug, 1 AS line, 1 AS depth, 'One' AS title, n + 6 AS "end", CAST(NULL AS INTEGER) AS over_line FROM n UNION ALL SELECT slug, n + 2, 2, 'Two', n + 6, 1 FROM n UNION ALL SELECT slug, n + 7, 1, 'Three', n + 7, NULL FROM n""")
 def d12_outline(spark, sf):
     docs = R.documents(spark, sf).select("slug", F.concat(F.lit("# One\n"), "text", F.lit("\n## Two\nx\n```\n# no\n```\n# Three\n")).alias("text"))
     return S.outline(docs)

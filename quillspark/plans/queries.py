@@ -96,19 +96,50 @@ def c06_slugs(spark, sf):
 # 2.D: segmentation
 
 
-@query()
+def cut_sql(rule: L.Cut) -> str:
+    """The cuts as a recursion over line numbers: part, heading, start, lines and characters so far, and whether a part is full."""
+    full = f"r >= {rule.rows}" + (f" OR c >= {rule.chars}" if rule.chars else "")
+    full = f"(({full}) AND {'blank' if rule.blank else 'true'})"
+    opens = f"(heads AND (r0 >= {rule.least} OR (r0 = 0 AND NOT titled0)))" if rule.keep_title else "heads"
+    return f"""WITH RECURSIVE {LINES}, b AS (SELECT slug, line_no, text, trim(regexp_replace(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '^#+', '')) AS bare, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS x FROM lines),
+ l AS (SELECT slug, line_no, text, bare, x = '' AS blank, x LIKE '#%' OR (length(bare) BETWEEN 1 AND {rule.short - 1} AND regexp_matches(bare, '{rule.title}')) AS heads FROM b),
+ s(slug, n, k, heading, start, r, c, titled, full_now, body) AS (SELECT DISTINCT slug, 0, 0, '(front matter)', 1, 0, 0, false, false, false FROM l
+  UNION ALL SELECT slug, line_no, CASE WHEN opens OR f THEN k + 1 ELSE k END, CASE WHEN opens THEN bare ELSE heading END, CASE WHEN opens OR f THEN line_no ELSE start END,
+   CASE WHEN opens THEN 0 ELSE r0 + 1 END, CASE WHEN opens THEN 0 ELSE c0 + length(text) END, CASE WHEN opens THEN true ELSE titled0 END,
+   CASE WHEN opens THEN false ELSE {full.replace('r >=', 'r0 + 1 >=').replace('c >=', 'c0 + length(text) >=')} END, NOT opens
+   FROM (SELECT *, {opens} AS opens FROM (SELECT l.slug, l.line_no, l.text, l.bare, l.blank, l.heads, s.k, s.heading, s.start, s.full_now AS f, CASE WHEN s.full_now THEN 0 ELSE s.r END AS r0, CASE WHEN s.full_now THEN 0 ELSE s.c END AS c0, CASE WHEN s.full_now THEN false ELSE s.titled END AS titled0 FROM s JOIN l ON l.slug = s.slug AND l.line_no = s.n + 1) q) p),
+ g AS (SELECT s.slug, k, min(s.heading) AS heading, min(s.start) AS start, coalesce(string_agg(l.text, chr(10) ORDER BY n) FILTER (body), '') AS text, bool_or(s.titled) AS titled, coalesce(bool_or(body AND NOT l.blank), false) AS said FROM s JOIN l ON l.slug = s.slug AND l.line_no = s.n GROUP BY s.slug, k),
+ z AS (SELECT *, lead(start) OVER (PARTITION BY slug ORDER BY k) AS nxt FROM g), t AS (SELECT slug, max(line_no) AS last FROM l GROUP BY slug)
+ SELECT z.slug, CAST(row_number() OVER (PARTITION BY z.slug ORDER BY k) - 1 AS INTEGER) AS chunk_id, heading, start, coalesce(nxt - 1, last) AS "end", text FROM z JOIN t ON t.slug = z.slug WHERE said {'OR titled' if rule.keep_title else ''}"""
+
+
+def _headed(spark, sf):
+    """Every seventh line begins as a heading would, so that there is something to cut at."""
+    docs = R.documents(spark, sf)
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 7 == 5, F.concat(F.lit("# "), F.substring(x, 1, 30))).when(i % 11 == 7, F.lit("3.1 Part")).when(i % 11 == 9, F.lit(" ")).otherwise(x))
+    return docs.withColumn("text", F.array_join(lines, "\n"))
+
+
+HEADED_TEXT = "array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN (i - 1) % 7 = 5 THEN '# ' || substr(x, 1, 30) WHEN (i - 1) % 11 = 7 THEN '3.1 Part' WHEN (i - 1) % 11 = 9 THEN ' ' ELSE x END), chr(10))"
+
+
+def headed_sql(rule: L.Cut) -> str:
+    return cut_sql(rule).replace("FROM documents WHERE text <> ''", f"FROM (SELECT doc_id, {HEADED_TEXT} AS text FROM documents WHERE text <> '')")
+
+
+@query(headed_sql(L.CHUNKS))
 def d02_chunks(spark, sf):
-    return L.cut_documents(R.documents(spark, sf), L.CHUNKS)
+    return L.cut_documents(_headed(spark, sf), L.CHUNKS)
 
 
-@query()
+@query(headed_sql(L.WINDOWS))
 def d03_windows(spark, sf):
-    return L.cut_documents(R.documents(spark, sf), L.WINDOWS)
+    return L.cut_documents(_headed(spark, sf), L.WINDOWS)
 
 
-@query()
+@query(headed_sql(L.SECTIONS))
 def d04_sections(spark, sf):
-    return L.cut_documents(R.documents(spark, sf), L.SECTIONS)
+    return L.cut_documents(_headed(spark, sf), L.SECTIONS)
 
 
 @query(f"WITH {LINES} SELECT slug, line_no, text FROM lines WHERE trim(text) <> '' AND (line_no - 1) % 9 >= 6")
@@ -528,14 +559,23 @@ def k07_orphans(spark, sf):
     return G.orphans(parts.filter("p_size > 25").select("id", "text"), parts.filter("p_size <= 25").select("text"), 0.8)
 
 
-@query()
+@query("""WITH RECURSIVE v AS (SELECT label AS grp, vec_id AS id, CAST(embedding AS DOUBLE[]) AS e, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS i FROM embeddings),
+ near AS (SELECT a.grp, a.i, list(b.i) AS n FROM v a JOIN v b ON a.grp = b.grp AND b.i < a.i AND list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.55 GROUP BY a.grp, a.i),
+ r(grp, i, labels, top) AS (SELECT grp, 0, CAST([] AS BIGINT[]), CAST(-1 AS BIGINT) FROM v GROUP BY grp
+  UNION ALL SELECT grp, i, list_append(labels, coalesce(m, top + 1)), CASE WHEN m IS NULL THEN top + 1 ELSE top END FROM (SELECT r.grp, CAST(v.i AS INTEGER) AS i, r.labels, r.top, list_min(list_transform(n, lambda j: r.labels[j])) AS m FROM r JOIN v ON v.grp = r.grp AND v.i = r.i + 1 LEFT JOIN near ON near.grp = v.grp AND near.i = v.i) q)
+ SELECT v.grp, v.id, v.id AS position, CAST(r.labels[v.i] AS INTEGER) AS cluster FROM v JOIN r ON r.grp = v.grp AND r.i = v.i""")
 def k01_greedy_clusters(spark, sf):
     """Vectors in order of id join the first cluster near enough, within each label."""
     rows = R.table(spark, sf, "embeddings").select(F.col("label").alias("grp"), F.col("vec_id").alias("id"), F.col("vec_id").alias("position"), "embedding")
     return G.greedy_groups(rows)
 
 
-@query()
+@query(f"""WITH RECURSIVE w AS (SELECT p_brand AS grp, p_partkey AS id, list_distinct(list_filter(regexp_extract_all(lower(p_name || ' ' || p_type), '[a-z0-9]{{3,}}'), lambda x: x NOT IN ({CONCEPT}))) AS w FROM part),
+ v AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY id) AS i FROM w WHERE len(w) > 0),
+ r(grp, i, unions, label) AS (SELECT grp, 0, CAST([] AS VARCHAR[][]), CAST(-1 AS BIGINT) FROM v GROUP BY grp
+  UNION ALL SELECT grp, i, CASE WHEN h IS NULL THEN list_append(unions, w) ELSE list_concat(list_concat(unions[1:h-1], [list_distinct(list_concat(unions[h], w))]), unions[h+1:]) END, CAST(CASE WHEN h IS NULL THEN len(unions) ELSE h - 1 END AS BIGINT)
+  FROM (SELECT r.grp, CAST(v.i AS INTEGER) AS i, v.w, r.unions, nullif(list_position(list_transform(r.unions, lambda u: len(list_intersect(u, v.w)) >= 0.5 * least(len(u), len(v.w))), true), 0) AS h FROM r JOIN v ON v.grp = r.grp AND v.i = r.i + 1) q)
+ SELECT v.grp, v.id, v.id AS position, CAST(r.label AS INTEGER) AS cluster FROM v JOIN r ON r.grp = v.grp AND r.i = v.i""")
 def k02_concept_groups(spark, sf):
     rows = R.table(spark, sf, "part").select(F.col("p_brand").alias("grp"), F.col("p_partkey").alias("id"), F.col("p_partkey").alias("position"), F.concat_ws(" ", "p_name", "p_type").alias("label"))
     return G.concept_groups(rows)
