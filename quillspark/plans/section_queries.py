@@ -309,3 +309,104 @@ def o07_synthesis(spark, sf):
     out = part.selectExpr("p_partkey AS id", "concat('out', p_partkey) AS text")
     read = part.selectExpr("p_brand AS slug", "p_brand LIKE '%1%' AS complete").distinct()
     return candidates(entries, deferrals, out, out.filter("id % 40 > 0"), read)
+
+
+# Operators over files' rows
+
+
+@query("SELECT doc_id AS slug, true AS pinned FROM documents WHERE doc_id % 2 = 0")
+def a08_load_pinned(spark, sf):
+    """Documents with a pin of 12 digits of their text's hash."""
+    docs = R.documents(spark, sf)
+    pins = docs.filter("slug % 2 = 0").select("slug", F.substring(F.sha2("text", 256), 1, 12).alias("pin"))
+    return C.load_pinned(docs, pins).select("slug", "pinned")
+
+
+@query(f"WITH {LINES} SELECT slug, line_no FROM lines WHERE line_no % 9 <> 2")
+def a10_content_lines(spark, sf):
+    banner = F.when(F.col("line_no") % 9 == 2, F.concat(F.lit("  ########## slide "), F.col("line_no").cast("string"), F.lit(" ##########"))).otherwise(F.col("text"))
+    return L.content_lines(R.lines(spark, sf).withColumn("text", banner)).select("slug", "line_no")
+
+
+@query("""SELECT o_custkey AS slug, CASE o_custkey % 4 WHEN 1 THEN 'no sections' WHEN 2 THEN 'no document' WHEN 3 THEN 'no sections' END AS reason, CASE WHEN o_custkey % 4 = 0 THEN CAST(count(*) AS INTEGER) END AS sections FROM orders GROUP BY o_custkey""")
+def a20_inventories(spark, sf):
+    """Inventories as JSON: read ones with their sections, refused ones with the reason."""
+    from quillspark.operators import synthesis as S
+
+    section = F.to_json(F.collect_list(F.struct(F.col("o_orderkey").cast("string").alias("heading"), F.lit("d:1-2").alias("locator"))))
+    rows = R.table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("slug")).agg(section.alias("s"))
+    kind = F.col("slug") % 4
+    json = F.when(kind == 0, F.concat(F.lit('{"doc": "d", "runs": 1, "sections": '), "s", F.lit("}"))).when(kind == 1, F.lit('{"doc": "d"}')).when(kind == 2, F.concat(F.lit('{"sections": '), "s", F.lit("}"))).otherwise(F.lit("{broken"))
+    read, refused = S.read_inventories(rows.select("slug", json.alias("json")))
+    return read.select("slug", F.lit(None).cast("string").alias("reason"), F.size("sections").alias("sections")).unionByName(refused.select("slug", "reason", F.lit(None).cast("int").alias("sections")))
+
+
+@query("""SELECT p_partkey AS _row, p_name AS name, CASE WHEN p_size > 20 THEN p_brand WHEN p_partkey % 3 = 0 THEN p_type ELSE '' END AS note, '' AS found FROM part""")
+def b14_annotated(spark, sf):
+    """A column set by row where it was empty, and a new one before another."""
+    from quillspark.sources import files
+
+    part = R.table(spark, sf, "part")
+    register = part.selectExpr("p_partkey AS _row", "p_name AS name", "CASE WHEN p_size > 20 THEN p_brand ELSE '  ' END AS note")
+    values = part.filter("p_partkey % 3 = 0").selectExpr("p_partkey AS _row", "p_type AS value")
+    return files.insert_column(files.annotate(register, values, "note"), "found", "note").select("_row", "name", "note", "found")
+
+
+@query("""SELECT 'D5-' || lpad(CAST(row_number() OVER (ORDER BY p_retailprice, p_partkey) AS VARCHAR), CAST(greatest(3, length(CAST(row_number() OVER (ORDER BY p_retailprice, p_partkey) AS VARCHAR))) AS INTEGER), '0') AS id, p_partkey AS part FROM part""")
+def b06_numbered(spark, sf):
+    from quillspark.sources import files
+
+    rows = R.table(spark, sf, "part").selectExpr("p_partkey AS part", "p_retailprice AS p")
+    return files.numbered(rows, [F.col("p"), F.col("part")], "D5").select("id", "part")
+
+
+@query(f"WITH {JUDGED} SELECT id, b IN ('unmet', 'partial', 'unverifiable') AS flagged FROM judged")
+def e03_flagged(spark, sf):
+    from quillspark.functions.scale import COVERAGE
+
+    return R.judged(spark, sf).select("id", COVERAGE.flagged(F.col("b")).alias("flagged"))
+
+
+@query("""WITH RECURSIVE p AS (SELECT p_brand AS grp, p_partkey AS planted, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS i, [p_size % 10, (p_size + 1) % 10, (p_size * 3) % 10] AS want FROM part WHERE p_partkey % 5 = 0),
+ r(grp, i, taken, found) AS (SELECT grp, 0, CAST([] AS INTEGER[]), CAST(NULL AS INTEGER) FROM p GROUP BY grp
+  UNION ALL SELECT grp, i, CASE WHEN f IS NULL THEN taken ELSE list_append(taken, f) END, f FROM (SELECT r.grp, CAST(p.i AS INTEGER) AS i, r.taken, list_min(list_filter(p.want, lambda x: NOT list_contains(r.taken, x))) AS f FROM r JOIN p ON p.grp = r.grp AND p.i = r.i + 1) q)
+ SELECT p.grp, p.planted, r.found FROM p JOIN r ON r.grp = p.grp AND r.i = p.i WHERE r.found IS NOT NULL""")
+def k16_matched(spark, sf):
+    """Planted items in order take the first finding that nobody has taken."""
+    from quillspark.operators.graph import greedy_match
+
+    part = R.table(spark, sf, "part").filter("p_partkey % 5 = 0")
+    pairs = part.select(F.col("p_brand").alias("grp"), F.col("p_partkey").alias("planted_pos"), F.col("p_partkey").alias("planted"), F.explode(F.array_distinct(F.array(F.col("p_size") % 10, (F.col("p_size") + 1) % 10, (F.col("p_size") * 3) % 10))).alias("found"))
+    return greedy_match(pairs.withColumn("found_pos", F.col("found")))
+
+
+ASKED = "'Judge.' || chr(0) || 'row ' || o_custkey"
+
+
+@query(f"""SELECT o_orderkey AS id, sha256('offline' || chr(0) || {ASKED}) AS key, {OFFLINE.format(ASKED)} AS answer, 'ok' AS status FROM orders""")
+def n02_answers(spark, sf):
+    """Equal prompts are asked once, by the offline provider, and every row gets its answer."""
+    from quillspark.provider import Offline, ask_all
+
+    prompts = R.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.lit("Judge.").alias("system"), F.concat(F.lit("row "), F.col("o_custkey").cast("string")).alias("user"))
+    return ask_all(prompts, Offline()).select("id", "key", "answer", "status")
+
+
+@query(f"""WITH q AS (SELECT item_id AS qid, text AS question FROM benchmark), m(model) AS (VALUES ('a'), ('b')) SELECT qid, model, {OFFLINE.format("'Answer from the document alone, with quotes.' || chr(0) || 'The text.' || chr(10) || chr(10) || question")} AS answer FROM q, m""")
+def n12_panel(spark, sf):
+    """Two offline readers answer every question over one document."""
+    from quillspark.plans.agents import panel
+    from quillspark.provider import Offline
+
+    questions = R.table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
+    return panel(questions, "The text.", {"a": Offline(), "b": Offline()}).select("qid", "model", "answer")
+
+
+@query("""WITH c AS (SELECT s_suppkey AS id, 'C' || s_suppkey AS comment, 'P' || s_nationkey AS passage FROM supplier), o AS (SELECT *, """ + OFFLINE.format("'What would settle this comment? The document is withheld.' || chr(0) || comment") + """ AS outcome FROM c)
+ SELECT id, outcome, """ + OFFLINE.format("'Does the passage show the outcome?' || chr(0) || comment || chr(10) || chr(10) || outcome || chr(10) || chr(10) || passage") + """ AS verdict FROM o""")
+def n13_outcome_first(spark, sf):
+    from quillspark.plans.agents import outcome_first
+    from quillspark.provider import Offline
+
+    rows = R.table(spark, sf, "supplier").selectExpr("s_suppkey AS id", "concat('C', s_suppkey) AS comment", "concat('P', s_nationkey) AS passage")
+    return outcome_first(rows, Offline()).select("id", "outcome", "verdict")
