@@ -624,3 +624,19 @@ def test_pipeline_runs_and_keeps_columns(spark, tmp_path):
         out = stage(spark, docs, str(tmp_path))
         assert out.columns == docs.columns, name
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def test_pipeline_of_odd_and_empty_tables(spark, tmp_path, odd, none):
+    import corpus_pipeline
+
+    labels = [(i, 1, int(i % 9 == 0)) for i in range(90)]
+    for name, rows in (("odd", odd.unionByName(documents(spark, prose(24, 60)).withColumn("doc_id", F.col("doc_id") + 100))), ("none", none)):
+        folder = str(tmp_path / name)
+        rows.withColumn("n_lines", F.lit("kept")).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        for stage, make in corpus_pipeline.STAGES[:-1]:
+            out = make(spark, docs, folder)
+            assert out.columns == docs.columns, stage
+            assert (out.count() == 0) == (name == "none") and out.filter("n_lines <> 'kept'").count() == 0, stage
+        assert (corpus_pipeline.run(spark, folder).count() == 0) == (name == "none")
