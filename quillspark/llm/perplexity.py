@@ -29,10 +29,10 @@ from quillspark.llm.common import materialise, prepare, texts
 #: Symbols and n-gram length: 64 ** 4 n-grams, 16.8 million, bound the lower tier (12 bytes each) and what the driver gathers.
 SYMBOLS, ORDER = 64, 4
 #: Bands: so many robust deviations below and above the language's median, of bits a symbol and of bits a word (below it, in
-#: a small corpus, stand copies of clean texts too, whose words vouch for each other). The
-#: deviation of a text is taken to fall as 1 / sqrt(n) of its symbols or words; that of words falls no further than at
-#: STEADY words, because longer texts differ in their vocabulary as much as those. The README has figures for all three.
-BAND, WORD_BELOW, WORD_ABOVE, STEADY = 4.0, 8.0, 5.0, 1000
+#: a small corpus, stand copies of clean texts too, whose words vouch for each other). The deviation of a text is taken to
+#: fall as 1 / sqrt(n) of its symbols or words, but no further than at so many of them: longer texts differ in their
+#: vocabulary as much as those. The README has figures for all of them.
+BAND, WORD_BELOW, WORD_ABOVE, STEADY_SYMBOLS, STEADY = 4.0, 8.0, 5.0, 8192, 1000
 #: Characters of a unit: the texts that one request for word counts is made for. It bounds a task's memory.
 UNIT_CHARS = 32_000_000
 #: Base rules: fewest words, and the share of words in repeated 5-word windows, in percent.
@@ -410,7 +410,7 @@ def scored(docs: DataFrame, keep: list[str]) -> tuple[DataFrame, DataFrame]:
 
 def _roots():
     """What a text's deviations of bits a symbol and bits a word are multiplied with."""
-    symbols_all, words = F.greatest(F.col("__m.n_symbols_all"), F.lit(1)), F.least(F.greatest(F.col("__n_tokens"), F.lit(1)), F.lit(STEADY))
+    symbols_all, words = F.least(F.greatest(F.col("__m.n_symbols_all"), F.lit(1)), F.lit(STEADY_SYMBOLS)), F.least(F.greatest(F.col("__n_tokens"), F.lit(1)), F.lit(STEADY))
     return F.sqrt(symbols_all.cast("double")), F.sqrt(words.cast("double"))
 
 
