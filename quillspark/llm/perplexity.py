@@ -348,9 +348,12 @@ def word_bits(measured: DataFrame) -> DataFrame:
     """
     from pyspark.sql.window import Window as W
 
+    # about eight units' data in a task, at any size of the corpus
+    units = measured.filter("__m.hashes IS NOT NULL").count()
+    parts = max(1, -(-units // 8), min(units, int(measured.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     same = W.partitionBy("h")
     first = F.row_number().over(same.orderBy("unit")) == 1
-    counted = materialise(unit_words(measured).select("unit", "place", F.sum("n").over(same).alias("c"), first.alias("first")), "words")
+    counted = materialise(unit_words(measured).repartition(parts, "h").select("unit", "place", F.sum("n").over(same).alias("c"), first.alias("first")), "words")
     having = [F.count_if(F.col("c") == k).alias(f"n{k}") for k in (1, 2, 3, 4)]
     sums = counted.filter("first").agg(F.sum("c").alias("total"), F.count("*").alias("words"), *having).first()
     total, n1, n2 = float(sums["total"] or 1), sums["n1"], sums["n2"]
@@ -386,7 +389,7 @@ def word_bits(measured: DataFrame) -> DataFrame:
     none = F.lit(None).cast("binary")
     lists = counted.filter("c > 1").select("unit", F.lit(0).alias("kind"), "place", "c", none.alias("tokens"), none.alias("spelling"))
     told = measured.select("__m.unit", F.lit(1).alias("kind"), "__m.place", F.lit(0).cast("long").alias("c"), "__m.tokens", "__m.spelling")
-    return lists.unionByName(told).repartition("unit").sortWithinPartitions("unit", "kind", "place").mapInPandas(run, "unit long, place int, word_bits double, n_tokens long")
+    return lists.unionByName(told).repartition(parts, "unit").sortWithinPartitions("unit", "kind", "place").mapInPandas(run, "unit long, place int, word_bits double, n_tokens long")
 
 
 def base_failed(m: str):
