@@ -271,23 +271,13 @@ def f15_asof(spark, sf):
     return J.asof(events.filter("event_type = 'purchase'").select("event_id", "user_id", "ts"), marks, "user_id", "ts", "last_signup").select("event_id", "user_id", "last_signup")
 
 
-@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 100 = 0),
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 20 = 0),
  s AS (SELECT query_id, vec_id AS item_id, round(list_dot_product(CAST(q AS DOUBLE[]), CAST(embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(q AS DOUBLE[]), CAST(q AS DOUBLE[]))) * sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))), 6) AS score FROM q, embeddings),
  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id DESC) AS rank FROM s) SELECT query_id, item_id, score, rank FROM r WHERE rank <= 12""")
 def f22_nearest_passages(spark, sf):
-    """Every hundredth vector against all vectors, held against SQL; f22_nearest_passages_all asks the whole set."""
-    return _nearest(spark, sf, 100)
-
-
-@query()
-def f22_nearest_passages_all(spark, sf):
     """The whole set of queries: every twentieth vector, against all vectors."""
-    return _nearest(spark, sf, 20)
-
-
-def _nearest(spark, sf, step):
     items = R.table(spark, sf, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding")
-    return J.top_k(items.filter(F.col("item_id") % step == 0).select(F.col("item_id").alias("query_id"), "embedding"), items, 12, digits=6)
+    return J.top_k(items.filter("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), "embedding"), items, 12, digits=6)
 
 
 @query("""WITH al(canonical, alias, pos) AS (VALUES ('ring', 'ring', 1), ('small', 'small', 2), ('small ring', 'small ring', 3), ('widget', 'widget', 4)), n AS (SELECT DISTINCT p_name AS name FROM part),

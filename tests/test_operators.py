@@ -205,7 +205,7 @@ def test_nearest_passages_of_the_whole_set(spark, tmp_path):
     w = v.astype(np.float64)
     cos = np.round(w @ w.T / np.outer(np.linalg.norm(w, axis=1), np.linalg.norm(w, axis=1)), 6)
     wanted = {(q, i, rank + 1) for q in range(0, 130, 20) for rank, i in enumerate(sorted(range(130), key=lambda i: (-cos[q, i], -i))[:12])}
-    got = QUERIES["f22_nearest_passages_all"](spark, str(tmp_path)).collect()
+    got = QUERIES["f22_nearest_passages"](spark, str(tmp_path)).collect()
     assert {(r["query_id"], r["item_id"], r["rank"]) for r in got} == wanted and len(got) == len(wanted)
 
 
