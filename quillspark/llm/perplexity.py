@@ -389,7 +389,9 @@ def word_bits(measured: DataFrame) -> DataFrame:
     none = F.lit(None).cast("binary")
     lists = counted.filter("c > 1").select("unit", F.lit(0).alias("kind"), "place", "c", none.alias("tokens"), none.alias("spelling"))
     told = measured.select("__m.unit", F.lit(1).alias("kind"), "__m.place", F.lit(0).cast("long").alias("c"), "__m.tokens", "__m.spelling")
-    return lists.unionByName(told).repartition(parts, "unit").sortWithinPartitions("unit", "kind", "place").mapInPandas(run, "unit long, place int, word_bits double, n_tokens long")
+    # a unit's number is its task's and its place there, so neighbouring tasks' units go to different ones
+    dealt = lists.unionByName(told).repartitionById(parts, F.expr("cast(((unit >> 24) + (unit & 16777215)) % 1000000007 AS int)"))
+    return dealt.sortWithinPartitions("unit", "kind", "place").mapInPandas(run, "unit long, place int, word_bits double, n_tokens long")
 
 
 def base_failed(m: str):
