@@ -124,7 +124,7 @@ def remainder(column, divisor: int):
 
 
 def fair_share(sizes: list[int], total: int) -> int | None:
-    """The length that the longest of sizes are cut to so that all come to total at most; None where nothing needs to be cut."""
+    """What each of sizes may take at most so that all come to total at most; None where they do."""
     if sum(sizes) <= total:
         return None
     left = total
@@ -135,9 +135,19 @@ def fair_share(sizes: list[int], total: int) -> int | None:
     return max(sizes)
 
 
-def cut_out(items: list, most: int | None, start: int) -> list:
-    """All items, or most neighbouring ones from a place that start fixes, going on at the beginning behind the end."""
-    if most is None or len(items) <= most:
-        return items
-    at = start % len(items)
-    return (items[at:] + items[:at])[:most]
+def whole_rows(sample: DataFrame, sizes: DataFrame, total: int) -> DataFrame:
+    """The rows of sample (doc_id, y) whose sizes (doc_id, y, n) come to total at most, taken whole in the order of labelled_sample().
+
+    The classes share total fairly; a row that its class has no more room for is left out, not cut, and later ones that fit stay.
+    One number a row meets on the driver, so sample is to be bounded by its rows.
+    """
+    each = sizes.groupBy("doc_id", "y", F.xxhash64("doc_id").alias("h")).agg(F.sum("n").alias("n")).collect()
+    most = fair_share([sum(r["n"] for r in each if r["y"] == y) for y in (0, 1)], total)
+    if most is None:
+        return sample
+    left, kept = {0: most, 1: most}, []
+    for r in sorted(each, key=lambda r: (r["h"], r["doc_id"])):
+        if r["n"] <= left[r["y"]]:
+            left[r["y"]] -= r["n"]
+            kept.append((r["doc_id"], r["y"]))
+    return sample.join(F.broadcast(sample.sparkSession.createDataFrame(kept, sample.select("doc_id", "y").schema)), ["doc_id", "y"], "left_semi")

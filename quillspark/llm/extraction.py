@@ -35,12 +35,21 @@ CLOSED_BY = {
 }
 #: A new element of these kinds isn't inside an open p beyond these.
 SCOPES = frozenset("html body article section div main table td th blockquote ul ol li aside nav header footer form figure dl".split())
-#: Words in class, id or role that mark something other than the text.
-MARKED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|side-?bar|nav\w*|menu|breadcrumbs?|footer|masthead|comments?|comment-?list|respond|replies|disqus|cookies?|consent|gdpr|notice\w*|alert|pop-?up|modal|overlay|newsletter|subscri\w+|sign-?up|share|sharing|social\w*|related|recommend\w*|widget|pagination|pager|toolbar|skip-?link|copyright|disclaimer|paywall|login|search(?:-?\w*)?|complementary|contentinfo|dialog)(?:$|[\s_-])",
-    re.IGNORECASE,
+#: Words in class, id or role that tell what an element is for.
+_WORDS = (
+    r"ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|side-?bar|nav\w*|menu|breadcrumbs?|footer|masthead|comments?|comment-?list|respond|replies|disqus|cookies?|consent|gdpr|notice\w*|alert|pop-?up|modal|overlay|newsletter|"
+    r"subscri\w+|sign-?up|share|sharing|social\w*|related|recommend\w*|widget|pagination|pager|toolbar|skip-?link|copyright|disclaimer|paywall|login|search|complementary|contentinfo|dialog"
 )
+#: Words beside them that don't change this: where it stands, and what shape it has.
+_SHAPES = r"site|page|main|top|bottom|left|right|global|primary|secondary|user|reader|box|bar|links?|list|container|wrap(?:per)?|block|section|area|buttons?|icons?|items?|content|inner|unit|slot|form|posts?|articles?|stories|nav|menu|footer|header|panel|message|text|thread|media|\d+"
+#: An element whose whole name says that it is something other than the text is left out; where such a word is only a part of a name (social-history), short or link-dense ones are.
+MARKED = re.compile(rf"(?:^|\s)(?:(?:{_SHAPES})[_-])*(?:{_WORDS})(?:[_-]+(?:{_WORDS}|{_SHAPES}))*(?:$|\s)", re.IGNORECASE)
+HINTED = re.compile(rf"(?:^|[\s_-])(?:{_WORDS})(?:$|[\s_-])", re.IGNORECASE)
+#: Characters under which an element with a hint is left out, and the share of its text in links from which on it is.
+HINT_LENGTH, HINT_LINKS = 80, 0.3
 SPACE = re.compile(r"\s+")
+ENDED = re.compile(r"[.!?](?:\s|$)")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SCORED = frozenset("p pre td blockquote li dd".split())
 
 
@@ -49,12 +58,12 @@ CUT_TAG = re.compile(r"<[A-Za-z/!][^<>]*$")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "marked", "points", "length", "linked", "limit")
+    __slots__ = ("tag", "parent", "children", "marked", "hinted", "points", "length", "linked", "links", "limit")
 
-    def __init__(self, tag: str, parent: Node | None, marked: bool = False):
-        self.tag, self.parent, self.marked = tag, parent, marked
+    def __init__(self, tag: str, parent: Node | None, marked: bool = False, hinted: bool = False):
+        self.tag, self.parent, self.marked, self.hinted = tag, parent, marked, hinted
         self.children: list[Node | str] = []
-        self.points, self.length, self.linked = 0.0, 0, 0
+        self.points, self.length, self.linked, self.links = 0.0, 0, 0, 0
         #: The nearest element, itself included, that a new one may close or can't close beyond.
         self.limit: Node | None = self if parent is None or tag in CLOSED_BY or tag in SCOPES else parent.limit
 
@@ -110,7 +119,7 @@ class TreeBuilder(HTMLParser):
             node = node.parent.limit
         marks = " ".join(v for k, v in attrs if v and k in ("class", "id", "role")) if attrs else ""
         hidden = any(k == "hidden" or (k == "aria-hidden" and v == "true") or (k == "style" and v and "display:none" in v.replace(" ", "").lower()) for k, v in attrs)
-        child = Node(tag, self.at, hidden or bool(marks and MARKED.search(marks)))
+        child = Node(tag, self.at, hidden or bool(marks and MARKED.search(marks)), bool(marks and HINTED.search(marks)))
         self.at.children.append(child)
         if tag not in VOID:
             self.enter(child)
@@ -147,7 +156,7 @@ def skipped(node: Node) -> bool:
 
 
 def measure(root: Node) -> None:
-    """Text length and linked length of every kept element, without recursion: trees may be deep."""
+    """Text length, linked length and links of every kept element, without recursion: trees may be deep. What is only hinted at is settled by them."""
     stack: list[tuple[Node, bool]] = [(root, False)]
     while stack:
         node, seen = stack.pop()
@@ -161,6 +170,14 @@ def measure(root: Node) -> None:
             elif not skipped(c):
                 node.length += c.length
                 node.linked += c.length if c.tag == "a" else c.linked
+                node.links += (c.tag == "a" and c.length > 0) + c.links
+        if node.hinted and (node.length < HINT_LENGTH or density(node) >= HINT_LINKS):
+            node.marked = True
+
+
+def link_list(node: Node) -> bool:
+    """A group of links rather than text."""
+    return node.tag in ("ul", "ol", "dl", "div", "section", "table") and node.links >= 2 and density(node) > 0.5
 
 
 def blocks(root: Node) -> list[str]:
@@ -181,11 +198,16 @@ def blocks(root: Node) -> list[str]:
             end()
         elif isinstance(item, str):
             line.append(item)
-        elif not skipped(item) or item is root:
+        elif item is root or not (skipped(item) or link_list(item)):
             if item.tag in BLOCKS:
                 end()
                 stack.append(None)
-            stack.extend(reversed(item.children))
+            following = True
+            for c in reversed(item.children):  # a heading over a group of links goes with it
+                if isinstance(c, str) or not (c.tag in HEADINGS and not following):
+                    stack.append(c)
+                if isinstance(c, Node) and c.length and not skipped(c):
+                    following = not link_list(c) and (following or c.tag not in HEADINGS)
     end()
     return out
 
@@ -241,27 +263,37 @@ def pick(root: Node) -> list[Node]:
     bonus = {"article": 1.25, "main": 1.2, "td": 0.8, "li": 0.6, "ul": 0.6, "ol": 0.6, "body": 0.7, "html": 0.5}
     worth = {k: n.points * (1 - density(n)) * bonus.get(n.tag, 1.0) for k, n in scored.items()}
     best = max(order, key=lambda n: worth.get(id(n), 0.0))
-    # an article that holds the best container and little else besides is the whole of it
-    above = best.parent
-    while above is not None and above.tag != "#root":
-        if above.tag in ("article", "main") and not skipped(above):
-            best = above
-            break
-        above = above.parent
-    if best.parent is None or best.tag in ("article", "main", "body", "html"):
-        return [best]
     least = max(10.0, 0.2 * worth.get(id(best), 0.0))
-    kept = []
-    for c in best.parent.children:
-        if not isinstance(c, Node) or (c is not best and skipped(c)):
-            continue
+
+    def belongs(c: Node) -> bool:
+        if skipped(c) or link_list(c):
+            return False
         text = flow_text(c) if c.tag == "p" else ""
-        near = worth.get(id(c), 0.0) >= least or (c.tag in ("h1", "h2") and c.length) or (
-            c.tag == "p" and ((len(text) > 80 and density(c) < 0.25) or (0 < len(text) <= 80 and density(c) == 0 and re.search(r"[.!?](?:\s|$)", text)))
-        )
-        if c is best or near:
-            kept.append(c)
-    return kept
+        return worth.get(id(c), 0.0) >= least or (c.tag == "p" and ((len(text) > 80 and density(c) < 0.25) or (0 < len(text) <= 80 and density(c) == 0 and bool(ENDED.search(text)))))
+
+    def with_siblings(node: Node) -> tuple[list[Node], bool]:
+        """node and the siblings that belong to it, and whether no other has text. A heading belongs where what follows does."""
+        kept, whole, following = [], True, True
+        for c in reversed(node.parent.children):
+            if isinstance(c, str):
+                whole = whole and not c.strip()
+                continue
+            mine = c is node or (following if c.tag in HEADINGS else belongs(c)) and c.length > 0
+            if mine:
+                kept.append(c)
+            if c.length and not skipped(c):
+                whole, following = whole and mine, mine
+        return kept[::-1], whole
+
+    # an article that holds the best container and nothing that doesn't belong to it is the whole of it
+    while best.parent is not None and best.tag not in ("article", "main", "body", "html", "#root") and best.parent.tag in ("article", "main"):
+        kept, whole = with_siblings(best)
+        if not whole:
+            return kept
+        best = best.parent
+    if best.parent is None or best.tag in ("article", "main", "body", "html"):
+        return [best]
+    return with_siblings(best)[0]
 
 
 def main_text(html: str | None) -> str:

@@ -14,10 +14,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import beside, fair_share, labelled_sample, materialise, prepare, remainder, texts
+from quillspark.llm.common import beside, labelled_sample, materialise, prepare, remainder, texts, whole_rows
 
 #: Labelled rows of each class that training sees at most, and lines of them all: the documented bound. Where the rows have
-#: more lines, the longest ones give a run of lines each, all of one length.
+#: more lines, fewer whole rows are taken.
 TRAIN_ROWS, TRAIN_LINES = 3000, 300_000
 #: Share of the loss that good documents have: calling a good one bad costs more.
 GOOD_SHARE = 0.6
@@ -177,23 +177,26 @@ class LineField:
 
 
 def fit(docs: DataFrame, labels: DataFrame, keep, rows: int = TRAIN_ROWS) -> LineField:
-    """Features are made where the texts are; the driver gets those of 2 x rows documents, of TRAIN_LINES lines in all at most."""
+    """Features are made where the texts are; one task trains on those of 2 x rows whole documents, of TRAIN_LINES lines in all at most."""
     sample = labelled_sample(docs, labels, "quality", keep, rows)
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "y": batch["y"], "f": [line_features(x)[0].tobytes() for x in batch["text"]]})
 
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found, said = [], []
+        for batch in batches:
+            found += [np.frombuffer(f, np.float32).reshape(-1, len(NAMES)) for f in batch["f"]]
+            said += batch["y"].tolist()
+        field = LineField.fit(found, np.array(said))
+        yield pd.DataFrame({"value": [*field.weights, *field.link.ravel()]})
+
     made = materialise(sample.mapInPandas(make, "doc_id long, y int, f binary"), "lines")
-    width = 4 * len(NAMES)
-    most = fair_share([r["n"] for r in made.selectExpr(f"octet_length(f) div {width} AS n").collect()], TRAIN_LINES)
-    if most is not None:  # a run of neighbouring lines, from a place that the id fixes
-        size = F.expr(f"cast(octet_length(f) div {width} AS int)")
-        begin = F.when(size > most, F.pmod(F.xxhash64("doc_id"), size - most + 1)).otherwise(F.lit(0))
-        made = made.withColumn("f", F.expr("f").substr((begin * width + 1).cast("int"), F.lit(most * width)))
-    found = [(r["doc_id"], np.frombuffer(r["f"], np.float32).reshape(-1, len(NAMES)), r["y"]) for r in made.toLocalIterator()]
-    found.sort(key=lambda x: x[0])
-    return LineField.fit([x[1] for x in found], np.array([x[2] for x in found]))
+    made = whole_rows(made, made.select("doc_id", "y", F.expr(f"octet_length(f) div {4 * len(NAMES)}").alias("n")), TRAIN_LINES)
+    learned = made.repartition(1).sortWithinPartitions("doc_id", "y", "f").mapInPandas(learn, "value double").collect()
+    values = np.array([r["value"] for r in learned])
+    return LineField(values[:COLUMNS], values[COLUMNS:].reshape(2, 2)) if len(values) else LineField.fit([], np.empty(0))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, rows: int = TRAIN_ROWS) -> DataFrame:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import beside, cut_out, fair_share, labelled_sample, materialise, prepare, remainder, texts
+from quillspark.llm.common import beside, labelled_sample, materialise, prepare, remainder, texts, whole_rows
 
 WORD = re.compile(r"\w+").findall
 #: Rows of the embedding table and numbers in each; the model's size is fixed by them. Characters of an n-gram.
@@ -31,7 +31,7 @@ SCALE = 50.0
 #: Blank words, of value 0, that each text gets in addition: a handful of odd words decides less.
 PAD = 30
 #: Labelled rows of each class that training sees at most, and words of them all: the documented bound. Where the rows have
-#: more words, the longest ones give a run of words each, all of one length.
+#: more words, fewer whole rows are taken.
 TRAIN_ROWS, TRAIN_WORDS = 2000, 2_000_000
 #: The price of a row's length, for one training row (it falls with the root of their number), and the clean class's share of the loss.
 PRICE, CLEAN = 0.17, 0.6
@@ -68,10 +68,9 @@ def word_rows(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows)[order].astype(np.int64), np.bincount(owner, minlength=len(marked))
 
 
-def bag(text: str, most: int | None = None, start: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the table and their weights in the mean of the text's words, or of most words of it from the start-th on, as the text were round."""
-    said = cut_out(WORD(text.lower()), most, start)
-    words = Counter(said)
+def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the table and their weights in the mean of the text's words."""
+    words = Counter(WORD(text.lower()))
     if not words:
         return np.empty(0, np.int32), np.empty(0, np.float32)
     roots = np.sqrt(np.fromiter(words.values(), float, len(words)))
@@ -251,12 +250,11 @@ def fit(docs: DataFrame, labels: DataFrame, keep, rows: int = TRAIN_ROWS) -> Sub
     A lost executor costs that task, not the driver; the driver gets the rows of the table that have a vector, as values.
     """
     sample = materialise(labelled_sample(docs, labels, "toxic", keep, rows), "labelled")
-    sizes = [n for (n,) in beside(sample, [], "text", lambda batch: [(len(WORD(x.lower())),) for x in batch], "n long").collect()]
-    most = fair_share(sizes, TRAIN_WORDS)
+    sample = whole_rows(sample, beside(sample, ["doc_id", "y"], "text", lambda batch: [(len(WORD(x.lower())),) for x in batch], "n long"), TRAIN_WORDS)
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            own = [bag(x, most, int(i)) for i, x in zip(batch["doc_id"], batch["text"], strict=True)]
+            own = [bag(x) for x in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "y": batch["y"], "rows": [a.tobytes() for a, _ in own], "weights": [b.tobytes() for _, b in own]})
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -436,7 +436,21 @@ def test_training_is_shared_fairly():
     from quillspark.llm import common
 
     assert common.fair_share([3, 4], 7) is None and common.fair_share([100, 2, 3], 15) == 10 and common.fair_share([9, 9, 9], 9) == 3
-    assert common.cut_out([1, 2, 3, 4], 3, 6) == [3, 4, 1] and common.cut_out([1], 3, 6) == [1] and common.cut_out([1, 2], None, 0) == [1, 2]
+
+
+def test_training_takes_whole_rows(spark):
+    from quillspark.llm import common
+
+    sizes = {i: 5 + i % 7 for i in range(60)} | {60: 900, 61: 1}
+    rows = [(i, i % 2) for i in sizes]
+    sample = spark.createDataFrame(rows, "doc_id long, y int")
+    n = spark.createDataFrame([(i, y, sizes[i]) for i, y in rows], "doc_id long, y int, n long")
+    assert common.whole_rows(sample, n, 10_000) is sample
+    got = [(r["doc_id"], r["y"]) for r in common.whole_rows(sample, n, 200).collect()]
+    for y in (0, 1):
+        own = sum(sizes[i] for i, k in got if k == y)
+        assert 100 - 12 < own <= 100
+    assert (60, 0) not in got and 10 < len(got) < 62
 
 
 def test_one_long_text_leaves_the_others_in_training(spark, monkeypatch):
@@ -507,6 +521,23 @@ def test_pages_of_known_text():
     assert not wrong
 
 
+LINKS = "<ul><li><a href=x>One story</a><li><a href=y>Other story here</a></ul>"
+
+
+@pytest.mark.parametrize(
+    ("html", "paragraphs"),
+    [
+        (f"<main><div><p>{PARA * 2}</p><p>{PARA}</p></div>{LINKS}<div>Posted by Bob: nice read.</div></main>", 3),
+        (f"<main><article><p>{PARA * 2}</p><p>{PARA}</p></article><h3>More stories</h3>{LINKS}</main>", 3),
+        (f"<article><p>{PARA}</p><p class='social-history'>{PARA}</p><div class='notice'>{PARA}</div><p>{PARA}</p><h3>More</h3>{LINKS}<div class='comments'><p>{PARA}</p></div></article>", 3),
+        (f"<article><p>{PARA}</p><p class='search-results-explained'>{PARA}</p><p class='search-results-explained'>Short.</p><div class='related-work-links'>{LINKS}</div></article>", 2),
+        (f"<main><article><div class='banner-history'><p>{PARA}</p><p>{PARA}</p></div></article><div class='related-posts'><p>{PARA}</p></div></main>", 2),
+    ],
+)
+def test_only_the_article_is_kept_and_all_of_it(html, paragraphs):
+    assert extraction.main_text(html) == " ".join([PARA.strip()] * paragraphs)
+
+
 def test_depth_changes_nothing():
     """What hides its inside hides it at any depth, and a page takes linear time."""
     deep = "<div>" * 3000 + "menu words, many of them, that nobody wants to read here" + "</div>" * 3000
