@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 
 from quillspark.functions import text as T
 from quillspark.functions.scale import COVERAGE, WEIGHTS, Scale, lookup
+from quillspark.operators.durable import written
 
 
 def tally(df: DataFrame, *keys: str) -> DataFrame:
@@ -47,11 +48,10 @@ def clusters(rows: DataFrame, weights: dict = WEIGHTS) -> DataFrame:
 def ranked(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
     """Places from 1 over a whole table. Rows are dealt by ranges of the order and sorted there; only the ranges' sizes meet in one place.
 
-    The ranges are written to disk by a checkpoint where the session names a folder, so that counting and numbering see the same ones.
+    The ranges are written to the shared folder, so that counting and numbering see the same ones.
     """
-    spark = df.sparkSession
     dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
-    dealt = dealt.checkpoint() if spark.sparkContext.getCheckpointDir() else dealt.persist()
+    dealt = written(dealt, "places")
     sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
     before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select("_part", "_first", before.alias("_before"))  # a row for each range

@@ -12,48 +12,139 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from quillspark.functions import text as T
+from quillspark.operators.aggregates import ranked
+from quillspark.operators.durable import written
 
 #: Longest path that a cycle search walks.
 LONGEST = 8
 
 
-def cycles(edges: DataFrame, longest: int = LONGEST) -> DataFrame:
+def cycles(edges: DataFrame, longest: int = LONGEST, key: list[str] | None = None) -> DataFrame:
     """Simple cycles of up to longest nodes, each once: its set of nodes and its path from the least node.
 
-    Paths start at their least node and grow by equi joins, one round a length, so a cycle is found from one start only.
+    With key, the edges are those of many small graphs (a graph for each value of key), searched at once; a cycle stays inside its graph.
+    Paths start at their least node and grow by equi joins, one round a length, so a cycle is found from one start only, in one rotation.
+    A node without a way on or back is taken off first, so that paths grow only where a cycle can be. Null nodes have no edges.
     """
-    e = edges.select(F.col("src"), F.col("dst")).filter("src <> dst").distinct()
-    paths = e.filter("dst > src").select(F.array("src", "dst").alias("path"), F.col("src").alias("start"), F.col("dst").alias("at"))
+    key = key or []
+    e = edges.select(*key, F.col("src"), F.col("dst")).filter("src <> dst").distinct()
+    for _ in range(2):
+        e = e.join(e.select(*key, F.col("src").alias("dst")).distinct(), [*key, "dst"], "left_semi").join(e.select(*key, F.col("dst").alias("src")).distinct(), [*key, "src"], "left_semi").select(*key, "src", "dst")
+    e = written(e, "edges")
+    paths = e.filter("dst > src").select(*key, F.array("src", "dst").alias("path"), F.col("src").alias("start"), F.col("dst").alias("at"))
     found = None
     for _ in range(longest - 1):
-        step = paths.join(e.select(F.col("src").alias("at"), F.col("dst").alias("next")), "at")
-        closed = step.filter("next = start").select("path")
+        step = paths.join(e.select(*key, F.col("src").alias("at"), F.col("dst").alias("next")), [*key, "at"])
+        closed = step.filter("next = start").select(*key, "path")
         found = closed if found is None else found.unionByName(closed)
-        paths = step.filter((F.col("next") > F.col("start")) & ~F.array_contains("path", F.col("next"))).select(F.concat("path", F.array("next")).alias("path"), "start", F.col("next").alias("at"))
-    return found.groupBy(F.array_sort("path").alias("nodes")).agg(F.min("path").alias("path"))
+        paths = step.filter((F.col("next") > F.col("start")) & ~F.array_contains("path", F.col("next"))).select(*key, F.concat("path", F.array("next")).alias("path"), "start", F.col("next").alias("at"))
+    return found.groupBy(*key, F.array_sort("path").alias("nodes")).agg(F.min("path").alias("path"))
 
 
-def greedy_groups(rows: DataFrame, key: str = "grp", threshold: float = 0.55, vector: str = "embedding") -> DataFrame:
-    """Rows of a group in order of position join the first cluster that has a member of cosine threshold or more.
+#: Rows of a block of a group; two blocks of vectors and the products of all their rows are one task's work.
+BLOCK = 4096
 
-    The order is part of the meaning, so a group is one task's work: group by what bounds it (a project, a class).
+
+def _order_bits(near: np.ndarray) -> list[int]:
+    """Each row of a table of truth values as the bits of one number."""
+    packed = np.packbits(near, axis=1, bitorder="little")
+    return [int.from_bytes(row.tobytes(), "little") for row in packed]
+
+
+def _needed(near: list[int], reach: list[int]) -> Iterator[tuple[int, int]]:
+    """(i, j) of the neighbours that say all: the last one, the last of those that it doesn't lead to, and so on."""
+    for i, left in enumerate(near):
+        while left:
+            j = left.bit_length() - 1
+            yield i, j
+            left &= ~(reach[j] | 1 << j)
+
+
+def _reach(near: np.ndarray) -> tuple[list[tuple[int, int]], list[int]]:
+    """The needed neighbours inside a block in order of position, and for each row all that they lead to, as bits."""
+    kept: list[tuple[int, int]] = []
+    reach: list[int] = []
+    for i, left in enumerate(_order_bits(np.tril(near, -1))):
+        own = 0
+        while left:
+            j = left.bit_length() - 1
+            kept.append((i, j))
+            own |= reach[j] | 1 << j
+            left &= ~own
+        reach.append(own)
+    return kept, reach
+
+
+def earlier_neighbours(rows: DataFrame, key: str, threshold: float, vector: str, block: int = BLOCK) -> DataFrame:
+    """key, i and j: positions of rows of a group of cosine threshold or more, j before i, without those that others lead to.
+
+    A group's rows are dealt to blocks of about block rows by a hash, and every two blocks meet in a task of their own. Of a
+    clique of m rows about m * m / block neighbours are left, not m * m / 2: where i is near j and j leads to k, that i is near k says nothing new.
     """
+    sizes = rows.groupBy(key).agg(F.count("*").alias("_n"))
+    blocks = F.ceil(F.col("_n") / block).cast("int")
+    dealt = rows.select(key, "position", vector).join(sizes, key).withColumn("_own", F.pmod(F.xxhash64("position"), blocks).cast("int"))
+    met = dealt.select(key, "position", vector, "_own", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("_other"))
+    met = met.withColumn("_a", F.least("_own", "_other")).withColumn("_b", F.greatest("_own", "_other")).drop("_other")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("position", kind="stable")
         unit = np.array(pdf[vector].tolist(), float).reshape(len(pdf), -1)
         size = np.linalg.norm(unit, axis=1, keepdims=True)
         unit = np.divide(unit, size, out=np.zeros_like(unit), where=size > 0)
-        label = np.empty(len(pdf), int)
-        count = 0
-        for i in range(len(pdf)):
-            near = label[:i][unit[:i] @ unit[i] >= threshold]
-            label[i] = near.min() if len(near) else count
-            count += not len(near)
-        return pd.DataFrame({key: pdf[key], "id": pdf["id"], "position": pdf["position"], "cluster": label})
-
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return rows.select(key, "id", "position", vector).groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, id {kinds['id']}, position long, cluster int")
+        place, first = pdf["position"].to_numpy(), (pdf["_own"] == pdf["_a"].iloc[0]).to_numpy()
+        parts = [(place[m], unit[m]) for m in (first, ~first)]
+        out: list[tuple] = []
+        if not len(parts[1][0]):
+            p, u = parts[0]
+            out = [(p[i], p[j]) for i, j in _reach(u @ u.T >= threshold)[0]]
+        else:
+            for (p, u), (q, v) in ((parts[0], parts[1]), (parts[1], parts[0])):
+                near = (u @ v.T >= threshold) & (q[None, :] < p[:, None])
+                if near.any():
+                    out += [(p[i], q[j]) for i, j in _needed(_order_bits(near), _reach(v @ v.T >= threshold)[1])]
+        told = pd.DataFrame(out, columns=["i", "j"])
+        told.insert(0, key, pd.Series([pdf[key].iloc[0]] * len(told), dtype=object))
+        return told
+
+    kind = rows.schema[key].dataType.simpleString()
+    return met.groupBy(key, "_a", "_b").applyInPandas(run, f"{key} {kind}, i long, j long")
+
+
+def first_reached(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
+    """key, i and first: the least place that i leads to along edges (key, i, j), j before i; its own where it has none.
+
+    Every round takes the least of a row's own and its neighbours' places, and of the place that this place has come to,
+    so a chain halves in each round.
+    """
+    edges = written(edges, "edges")
+    own = nodes.join(edges.groupBy(key, "i").agg(F.min("j").alias("j")), [key, "i"], "left")
+    now = written(own.select(key, "i", F.coalesce("j", "i").alias("first")), "first")
+    while True:
+        at = now.select(key, F.col("i").alias("j"), F.col("first").alias("there"))
+        pulled = edges.join(at, [key, "j"]).groupBy(key, "i").agg(F.min("there").alias("pulled"))
+        ahead = now.select(key, F.col("i").alias("first"), F.col("first").alias("jumped")).filter("first <> jumped")
+        least = F.least("first", F.coalesce("pulled", "first"), F.coalesce("jumped", "first"))
+        after = now.join(pulled, [key, "i"], "left").join(ahead, [key, "first"], "left").select(key, "i", least.alias("first"), (least < F.col("first")).alias("moved"))
+        after = written(after, "first")
+        if not after.filter("moved").limit(1).count():
+            return after.select(key, "i", "first")
+        now = after.select(key, "i", "first")
+
+
+def greedy_groups(rows: DataFrame, key: str = "grp", threshold: float = 0.55, vector: str = "embedding", block: int = BLOCK) -> DataFrame:
+    """Rows (key, id, position, vector) of a group in order of position join the first cluster that has a member of cosine threshold or more.
+
+    A row's cluster is the first of its earlier neighbours' clusters, so it is the one that the earliest row founded to which a chain of
+    ever earlier neighbours leads. That is found in rounds over all groups, so that no group is one task's work. Positions are
+    distinct within a group; a null or zero vector is near nothing; rows of a null key are left out.
+    """
+    held = rows.filter(F.col(key).isNotNull()).select(key, "id", "position", vector)
+    near = earlier_neighbours(held.filter(F.col(vector).isNotNull()), key, threshold, vector, block)
+    first = first_reached(held.select(key, F.col("position").alias("i")), near, key)
+    founders = ranked(first.filter("i = first").select(key, "first"), [F.col(key), F.col("first")], "_place")
+    number = founders.join(founders.groupBy(key).agg(F.min("_place").alias("_least")), key).select(key, "first", (F.col("_place") - F.col("_least")).cast("int").alias("cluster"))
+    return held.select(key, "id", "position", F.col("position").alias("i")).join(first.join(number, [key, "first"]), [key, "i"]).select(key, "id", "position", "cluster")
 
 
 def concept_groups(rows: DataFrame, key: str = "grp", threshold: float = 0.5) -> DataFrame:
