@@ -155,11 +155,6 @@ def plain_number(x) -> Column:
     return F.regexp_replace(F.array_join(parts, "."), r"(\.0)+$", "")
 
 
-def section_numbers(x) -> Column:
-    """Section references of a cell, distinct and in order."""
-    return F.array_distinct(F.regexp_extract_all(x, F.lit(r"§?\s*(\d+(?:\.\d+)+|\d+)"), F.lit(1)))
-
-
 def iso_date(x) -> Column:
     """J29: "March 13, 2024" as a date."""
     return F.try_to_date(x, "MMMM d, yyyy") if hasattr(F, "try_to_date") else F.to_date(x, "MMMM d, yyyy")

@@ -7,28 +7,26 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from quillspark.functions import text as T
-from quillspark.operators.synthesis import heading_key
+from quillspark.operators import pointers
 
 HEADING = r"^\s*(#|\d+(\.\d+)*[.\s]|Appendix|Annex)"
 
 
-# Containment
-
-
-def under(key: Column, other: Column) -> Column:
-    """Whether a place (kind, number) is another one or stands in it by its number: 5.1 is under 5."""
-    return (key["kind"] == other["kind"]) & ((key["number"] == other["number"]) | ((key["kind"] == "section") & F.startswith(other["number"], F.concat(key["number"], F.lit(".")))))
+# Containment (D13, D14, D17); pointers.under() and same() say when a place is in another
 
 
 def located(places: DataFrame, heads: DataFrame) -> DataFrame:
     """The headings (slug, kind, number, line, end) that a place (id, slug, kind, number) names: its own and its sub-sections'.
 
-    Headings are met by each of their number's beginnings, so places and headings join by equality.
+    Headings are met by each of their number's beginnings, and an appendix by its number in letters and in figures, so places and
+    headings join by equality.
     """
     parts = F.split("number", r"\.")
-    ups = F.when(F.col("kind") == "section", F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "."))).otherwise(F.array("number"))
-    told = heads.select("slug", "kind", F.col("number").alias("found"), "line", "end", F.explode(ups).alias("number"))
-    return places.join(told, ["slug", "kind", "number"]).select("id", "slug", "kind", "number", "found", "line", "end")
+    ups = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "."))
+    figures = F.when(F.col("number").rlike(r"^\d{1,2}$"), pointers.numeral(F.col("number").try_cast("int"))).when(pointers.roman(F.col("number")) > 0, pointers.roman(F.col("number")).cast("string"))
+    names = F.when(F.col("kind") == "section", ups).otherwise(F.array_compact(F.array("number", figures)))
+    told = heads.select("slug", "kind", F.col("number").alias("found"), "line", "end", F.explode(names).alias("number"))
+    return places.join(told, ["slug", "kind", "number"]).select("id", "slug", "kind", "number", "found", "line", "end").distinct()
 
 
 def unlisted(lines: DataFrame) -> DataFrame:
@@ -194,39 +192,60 @@ def claim_words(x) -> Column:
 def self_claims(claims: DataFrame, heads: DataFrame, held: DataFrame, read: DataFrame, least: float = 0.34) -> DataFrame:
     """What a document says of itself: (id, slug, claim, target) against its headings and what was read under them.
 
-    heads: (slug, kind, number, line, end). held: (slug, first, last, capability), what the inventory has on which lines. read: (slug,
-    complete), whether every section was read. A claim is checked where its target names a place and it has two words of content;
-    each claim is checked once for one set of places. state: why it wasn't checked, held, or the finding; a finding is doubtful where
-    sections are unread, and where the place was found and the inventory has nothing on its lines.
-    """
-    from quillspark.operators.synthesis import places
+    heads: (slug, kind, number, line, end). held: (slug, first, last, capability), what the inventory has on which lines, and blurred, whether
+    some of it couldn't be read. read: (slug, complete), whether every section was read, and marked, whether the document marks its
+    headings. claims may have line, where the claim is made: then "this section" beside another place is the innermost
+    heading there, a different place each time. blurred, marked and line may be left out.
 
-    pointed = places(claims.select("id", "target")).groupBy("id").agg(F.sort_array(F.collect_set(F.struct("kind", "number"))).alias("keys"))
-    own = F.coalesce(F.col("target"), F.lit("")).rlike(r"(?i)\bthis (?:section|chapter|document|appendix)\b")
-    told = claims.join(pointed, "id", "left").withColumn("words", claim_words(F.col("claim")))
+    A claim is checked where its target names a place and it has two words of content; each is checked once for one set of
+    places. state: one of eight reasons why it wasn't checked, or held, or the finding. doubt says what stands between a finding and
+    asserting it; a finding is doubtful where there is any.
+    """
+    def with_default(df: DataFrame, name: str, value: Column) -> DataFrame:
+        return df if name in df.columns else df.withColumn(name, value)
+
+    claims = with_default(claims, "line", F.lit(None).cast("int"))
+    held, read = with_default(held, "blurred", F.lit(False)), with_default(read, "marked", F.lit(True))
+    target = F.trim(F.coalesce("target", F.lit("")))
+    told = pointers.with_places(claims.withColumn("words", claim_words(F.col("claim"))).withColumn("own", target.rlike(pointers.OWN)).withColumn("bare", pointers.bare(target)))
+    told = told.withColumn("keys", F.array_sort("keys"))
+    # what a finding is: this claim, these places, and for "this section" the passage it is said in
+    mark = F.to_json(F.struct(F.array_sort("words").alias("w"), "keys", F.when(F.col("own"), F.coalesce("line", F.lit(-1))).alias("at")))
+    told = told.withColumn("_mark", F.when((F.size("keys") > 0) & (F.size("words") >= 2), mark))
     first = F.row_number().over(W.partitionBy("slug", "_mark").orderBy("id"))
-    told = told.withColumn("_mark", F.when(F.col("keys").isNotNull() & (F.size("words") >= 2), F.to_json(F.struct(F.array_sort("words").alias("w"), "keys"))))
     why = (
-        F.when(F.trim(F.coalesce("target", F.lit(""))) == "", "no pointer").when(F.col("keys").isNull() & own, "its own section").when(F.col("keys").isNull(), "no place")
-        .when(F.size("words") < 2, "too little said").when(first > 1, "said before")
+        F.when(F.col("claim").isNull(), "not a claim").when(target == "", "no pointer").when((F.size("keys") > 0) & (F.size("words") < 2), "too little said")
+        .when((F.size("keys") > 0) & (first > 1), "said before").when(F.size("keys") > 0, F.lit(None)).when(F.col("own"), "its own section")
+        .when(F.col("other"), "a table or a page").when(target.rlike(pointers.LOCATION), "no number").otherwise("no place")
     )
     told = told.withColumn("why", why)
-    asked = told.filter("why IS NULL").select("id", "slug", "words", F.inline("keys"))
-    found = located(asked.select("id", "slug", "kind", "number"), heads).select("id", "slug", "line", "end").distinct()
+    asked = told.filter("why IS NULL")
+    at = located(asked.select("id", "slug", F.inline("keys")), heads)
+    named = at.groupBy("id").agg(F.bool_or(F.col("found") == F.col("number")).alias("headed"), F.lit(True).alias("there"))
     # lines and sections meet in pieces of 256 lines, so that no document is compared whole
     cut = lambda df, a, b: df.withColumn("_b", F.explode(F.sequence(F.floor(F.col(a) / 256), F.floor(F.col(b) / 256))))
+    said_at = asked.filter("own AND line IS NOT NULL").select("id", "slug", F.col("line").alias("said"), F.floor(F.col("line") / 256).alias("_b"))
+    inside = said_at.join(cut(heads.select("slug", "line", "end"), "line", "end"), ["slug", "_b"]).filter("line <= said AND said <= end")
+    passage = inside.groupBy("id", "slug").agg(F.max(F.struct("line", "end")).alias("h")).select("id", "slug", "h.line", "h.end")
+    found = at.select("id", "slug", "line", "end").unionByName(passage).distinct()
     met = cut(found, "line", "end").join(cut(held, "first", "last"), ["slug", "_b"]).filter("first <= end AND line <= last")
-    words = met.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_set(T.concepts(F.col("capability"))))).alias("present"))
-    each = told.join(found.select("id").distinct().withColumn("there", F.lit(True)), "id", "left").join(words, "id", "left").join(read, "slug", "left")
+    words = met.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_set(T.concepts(F.col("capability"))))).alias("present"), F.bool_or("blurred").alias("blurred"))
+    each = told.join(named, "id", "left").join(words, "id", "left").join(read, "slug", "left")
     said = T.concepts(F.col("claim"))
     whole = F.coalesce("complete", F.lit(False))
     state = (
-        F.when(F.col("why").isNotNull(), F.concat(F.lit("not checked: "), "why")).when(F.col("there").isNull(), F.when(whole, "no such section").otherwise("not among what was read"))
+        F.when(F.col("why").isNotNull(), F.concat(F.lit("not checked: "), "why")).when(F.col("present").isNull() & F.col("there").isNull(), F.when(whole, "no such section").otherwise("not among what was read"))
         .when(F.col("present").isNull(), "in the document, not in the inventory").when(T.overlap(said, F.col("present")) >= least, "held")
         .otherwise(F.when(whole, "not held there").otherwise("not held in what was read"))
     )
-    doubtful = F.col("state").isin("not among what was read", "in the document, not in the inventory", "not held in what was read")
-    return each.withColumn("state", state).select("id", "slug", "state", doubtful.alias("doubtful"))
+    doubt = F.concat_ws(
+        "; ", F.when(~whole, "sections are unread"), F.when(~F.coalesce("marked", F.lit(False)), "headings aren't marked"), F.when(F.col("more"), "more places are named than listed"),
+        F.when(~F.col("more") & ~F.col("bare"), "the pointer says more than its places"), F.when(F.col("there") & ~F.col("headed"), "found by sub-sections alone"),
+        F.when(F.col("blurred"), "a capability there wasn't read"), F.when(F.col("state") == "in the document, not in the inventory", "the inventory has nothing there"),
+    )
+    finding = ~F.col("state").startswith("not checked") & (F.col("state") != "held")
+    out = each.withColumn("state", state).withColumn("doubt", F.when(finding, doubt).otherwise(""))
+    return out.select("id", "slug", "state", (F.col("doubt") != "").alias("doubtful"), "doubt")
 
 
 # Letters and labels
@@ -342,6 +361,6 @@ def deny_phrases(rows: DataFrame) -> DataFrame:
     return rows.select(F.size(words).alias("n"), F.sha2(F.array_join(words, " "), 256).alias("digest")).filter("n > 0").distinct()
 
 
-def place_key(x) -> Column:
-    """What heading_key() gives."""
-    return heading_key(x)
+def place_key(x, strict: bool = False) -> Column:
+    """The place (kind, number) that a heading says it is, or null."""
+    return pointers.heading_place(x, strict)

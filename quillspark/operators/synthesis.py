@@ -88,57 +88,7 @@ def marked_lines(lines: DataFrame, every: int = 10) -> DataFrame:
     return lines.withColumn("shown", F.when(F.col("line_no") % every == 0, F.concat(F.lit("["), F.col("line_no").cast("string"), F.lit("] "), F.col("text"))).otherwise(F.col("text")))
 
 
-# Pointers (D24, D25, J25, J26)
-
-
-def roman(x: Column) -> Column:
-    """Small Roman numbers of i, v and x."""
-    value = lambda c: F.when(c == "x", 10).when(c == "v", 5).when(c == "i", 1).otherwise(0)
-    marks = F.filter(F.split(F.lower(x), ""), lambda c: c != "")
-    following = F.concat(F.slice(marks, F.lit(2), F.greatest(F.size(marks) - 1, F.lit(0))), F.array(F.lit("")))
-    return F.aggregate(F.zip_with(marks, following, lambda a, b: F.when(value(a) < value(b), -value(a)).otherwise(value(a))), F.lit(0), lambda s, v: s + v)
-
-
-def number_range(first: Column, last: Column, most: int = 200) -> Column:
-    """The members of a range whose ends share all but the last part: 3.2 to 3.4."""
-    stem = F.regexp_extract(first, r"^(.*?)(\d+)$", 1)
-    a, b = F.regexp_extract(first, r"^(.*?)(\d+)$", 2).cast("int"), F.regexp_extract(last, r"^(.*?)(\d+)$", 2).cast("int")
-    fits = (stem == F.regexp_extract(last, r"^(.*?)(\d+)$", 1)) & (a <= b) & (b - a < most)
-    return F.when(fits, F.transform(F.sequence(a, F.greatest(a, b)), lambda n: F.concat(stem, n.cast("string")))).otherwise(F.array(first, last))
-
-
-#: Members that a range is written out to, past its first.
-MOST_RUN = 200
-PLACE = re.compile(r"(?:\b(section|appendix|annex|table|figure|chapter|clause)s?\s+|§+\s*)([A-Z]\b|\d+(?:\.\d+)*)(?:\s*(?:-|–|to)\s*([A-Z]\b|\d+(?:\.\d+)*))?((?:\s*(?:,|and|&)\s*(?:[A-Z]\b|\d+(?:\.\d+)*))*)", re.IGNORECASE)
-
-
-def places_of(target: str | None) -> list[tuple[str, str]]:
-    """The (kind, number) that a pointer names, ranges and lists written out; of a range over MOST_RUN or backwards, both ends."""
-    out: list[tuple[str, str]] = []
-    for m in PLACE.finditer(target or ""):
-        kind, first, last = (m[1] or "section").lower(), m[2], m[3]
-        own = [first]
-        if last:
-            a, b = re.match(r"(.*?)([A-Z]|\d+)$", first), re.match(r"(.*?)([A-Z]|\d+)$", last)
-            if a and b and a[1] == b[1] and a[2].isdigit() == b[2].isdigit():
-                low, high = (int(a[2]), int(b[2])) if a[2].isdigit() else (ord(a[2]), ord(b[2]))
-                own = [a[1] + (str(k) if a[2].isdigit() else chr(k)) for k in range(low, high + 1)] if low <= high <= low + MOST_RUN else [first, last]
-            else:
-                own = [first, last]
-        own += re.findall(r"(?:,|and|&)\s*([A-Z]\b|\d+(?:\.\d+)*)", m[4] or "", re.IGNORECASE)
-        out += [(kind, x) for x in own]
-    return list(dict.fromkeys(out))
-
-
-def places(rows: DataFrame, target: str = "target") -> DataFrame:
-    """D24 as rows: id, kind, number."""
-    kind = ArrayType(StructType([StructField("kind", StringType()), StructField("number", StringType())]))
-
-    @F.pandas_udf(kind)
-    def of(x: pd.Series) -> pd.Series:
-        return x.map(lambda t: [{"kind": a, "number": b} for a, b in places_of(t)])
-
-    return rows.select("id", F.inline(of(F.col(target))))
+# Headings (D25); pointers are in pointers.py
 
 
 def heading_key(x: Column) -> Column:

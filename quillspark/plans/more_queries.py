@@ -7,25 +7,60 @@ from pyspark.sql import functions as F
 from quillspark.functions.scale import COVERAGE
 from quillspark.operators import joins as J
 from quillspark.operators import lines as L
+from quillspark.operators import pointers as P
 from quillspark.operators import synthesis as S
 from quillspark.plans import relations as R
 from quillspark.plans.queries import JUDGED, LINES, READINGS, query, term_table
 
-POINTERS = "CASE l_linenumber % 4 WHEN 0 THEN 'see Section ' || l_suppkey || '.2 to ' || l_suppkey || '.4' WHEN 1 THEN 'Appendix B and C' WHEN 2 THEN '§' || l_linenumber ELSE 'nothing' END"
+# Pointers of ten forms, and what each of them names.
+POINTERS = """CASE (l_orderkey + l_linenumber) % 10 WHEN 0 THEN 'see Sections ' || l_suppkey || ', ' || (l_suppkey + 1) || ', and ' || (l_suppkey + 2) WHEN 1 THEN 'Section ' || l_suppkey || '.2 to ' || l_suppkey || '.5'
+ WHEN 2 THEN 'Appendices B, C and F; Annex 3' WHEN 3 THEN '§' || l_suppkey || '.' || l_linenumber || ' (Table 4) and 09' WHEN 4 THEN 'Section ' || l_suppkey || ' onwards' WHEN 5 THEN 'Tables 4 to 6 of the plan, p. 12'
+ WHEN 6 THEN 'Appendix II to IV' WHEN 7 THEN 'the 2024 roadmap, Sections ' || l_suppkey || '/' || (l_suppkey + 2) || '.0' WHEN 8 THEN 'Sections ' || l_suppkey || ' thru 3' ELSE 'cross-section ' || l_suppkey END"""
 
 
-@query("""WITH t AS (SELECT DISTINCT l_orderkey * 10 + l_linenumber AS id, l_suppkey AS s, l_linenumber AS n FROM lineitem)
- SELECT id, 'section' AS kind, CAST(s AS VARCHAR) || '.' || CAST(k AS VARCHAR) AS number FROM t, range(2, 5) r(k) WHERE n % 4 = 0
- UNION SELECT id, 'appendix', x FROM t, (VALUES ('B'), ('C')) v(x) WHERE n % 4 = 1 UNION SELECT id, 'section', CAST(n AS VARCHAR) FROM t WHERE n % 4 = 2""")
+@query("""WITH t AS (SELECT l_orderkey * 10 + l_linenumber AS id, (l_orderkey + l_linenumber) % 10 AS k, l_suppkey AS s, l_linenumber AS n FROM lineitem)
+ SELECT id, array_to_string(CASE k WHEN 0 THEN ['section ' || s, 'section ' || (s + 1), 'section ' || (s + 2)] WHEN 1 THEN list_transform(range(2, 6), lambda i: 'section ' || s || '.' || i) WHEN 2 THEN ['appendix b', 'appendix c', 'appendix f', 'annex 3']
+  WHEN 3 THEN ['section ' || s || '.' || n, 'section 9'] WHEN 4 THEN ['section ' || s] WHEN 6 THEN ['appendix ii', 'appendix iii', 'appendix iv'] WHEN 7 THEN ['section ' || s, 'section ' || (s + 2)]
+  WHEN 8 THEN CASE WHEN s <= 3 THEN list_transform(range(s, 4), lambda i: 'section ' || i) ELSE ['section ' || s, 'section 3'] END ELSE [] END, ', ') AS keys, k IN (3, 5) AS other, k = 4 OR k = 8 AND s > 3 AS more FROM t""")
 def d24_places(spark, sf):
-    rows = R.table(spark, sf, "lineitem").selectExpr("l_orderkey * 10 + l_linenumber AS id", f"{POINTERS} AS target").distinct()
-    return S.places(rows)
+    """What each pointer names, whether a table or a page is among it, and whether more is meant."""
+    rows = R.table(spark, sf, "lineitem").selectExpr("l_orderkey * 10 + l_linenumber AS id", f"{POINTERS} AS target")
+    told = P.with_places(R.spread(rows))
+    return told.select("id", F.array_join(F.transform("keys", lambda k: F.concat_ws(" ", k["kind"], k["number"])), ", ").alias("keys"), "other", "more")
 
 
-@query("""SELECT n, CASE n WHEN 1 THEN 'i' WHEN 2 THEN 'ii' WHEN 4 THEN 'iv' WHEN 9 THEN 'ix' WHEN 14 THEN 'xiv' WHEN 29 THEN 'xxix' END AS x FROM (VALUES (1), (2), (4), (9), (14), (29)) v(n)""")
+@query("""WITH t AS (SELECT l_orderkey * 10 + l_linenumber AS id, (l_orderkey + l_linenumber) % 10 AS k FROM lineitem) SELECT id, k IN (1, 2, 6, 8) AS bare FROM t""")
+def d25_bare(spark, sf):
+    """Pointers that are their places and nothing else."""
+    rows = R.table(spark, sf, "lineitem").selectExpr("l_orderkey * 10 + l_linenumber AS id", f"{POINTERS} AS target")
+    return rows.select("id", P.bare(F.col("target")).alias("bare"))
+
+
+@query("""SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN 'section' WHEN 1 THEN 'section' WHEN 2 THEN 'appendix' WHEN 3 THEN NULL WHEN 4 THEN 'annex' ELSE 'section' END AS kind,
+ CASE p_partkey % 6 WHEN 0 THEN p_size || '.' || (1 + p_partkey % 7) WHEN 1 THEN p_size || 'a' WHEN 2 THEN 'b' WHEN 4 THEN p_size || '' WHEN 5 THEN p_size || '' END AS number FROM part""")
+def d25_heading_keys(spark, sf):
+    """What marked headings say they are; "3D ..." is a title."""
+    part = R.table(spark, sf, "part")
+    heading = F.expr("""CASE p_partkey % 6 WHEN 0 THEN concat('## 0', p_size, '.', 1 + p_partkey % 7, ' ', p_name) WHEN 1 THEN concat('**', p_size, 'a.** ', p_name) WHEN 2 THEN concat('Appendix B: ', p_name)
+      WHEN 3 THEN concat(p_size, 'D ', p_name) WHEN 4 THEN concat('> Annex ', p_size, ' ', p_name) ELSE concat('| Section ', p_size, '.0: ', p_name) END""")
+    key = P.heading_place(heading, strict=True)
+    return part.select(F.col("p_partkey").alias("id"), key["kind"].alias("kind"), key["number"].alias("number"))
+
+
+@query("""SELECT p_partkey AS id, repeat('x', p_size // 10) || ['', 'i', 'ii', 'iii', 'iv', 'v', 'vi', 'vii', 'viii', 'ix'][p_size % 10 + 1] AS numeral, p_size AS n FROM part""")
 def j25_roman(spark, sf):
-    marks = spark.createDataFrame([(x,) for x in ("i", "ii", "iv", "ix", "xiv", "xxix")], "x string")
-    return marks.select(S.roman(F.col("x")).alias("n"), "x")
+    """Sizes as small Roman numerals, and back."""
+    told = R.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), P.numeral(F.col("p_size")).alias("numeral"))
+    return told.select("id", "numeral", P.roman(F.col("numeral")).alias("n"))
+
+
+@query("""WITH t AS (SELECT p_partkey AS id, p_size AS s, p_partkey % 4 AS k FROM part) SELECT id, array_to_string(CASE k WHEN 0 THEN list_transform(range(s, s + 6), lambda i: i || '') WHEN 1 THEN list_transform(range(2, 5), lambda i: s || '.' || i)
+ WHEN 2 THEN ['4a', '4b', '4c'] ELSE CASE WHEN s >= 7 THEN list_transform(range(7, s + 1), lambda i: i || '') ELSE [] END END, ' ') AS members FROM t""")
+def j26_ranges(spark, sf):
+    """Members of ranges of numbers, sub-sections and letters; one that runs backwards has none."""
+    part = R.table(spark, sf, "part").withColumn("k", F.col("p_partkey") % 4)
+    first, last = F.expr("CASE k WHEN 0 THEN p_size || '' WHEN 1 THEN p_size || '.2' WHEN 2 THEN '4a' ELSE '7' END"), F.expr("CASE k WHEN 0 THEN (p_size + 5) || '' WHEN 1 THEN p_size || '.4' WHEN 2 THEN '4c' ELSE p_size || '' END")
+    return part.select(F.col("p_partkey").alias("id"), F.array_join(P.run_of(first, last), " ").alias("members"))
 
 
 INVENTORY = """CASE WHEN o_orderkey % 13 = 0 THEN '{broken' ELSE concat('{"doc": "d', cast(o_orderkey AS string), '", "runs": 2, "sections": [{"heading": "1 A", "locator": "d:1-5", "full_passes": ', cast(o_orderkey % 3 AS string),

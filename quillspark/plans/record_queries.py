@@ -11,6 +11,7 @@ from quillspark.operators import closure as C
 from quillspark.operators import graph as G
 from quillspark.operators import joins as J
 from quillspark.operators import lines as L
+from quillspark.operators import pointers as P
 from quillspark.operators import records as N
 from quillspark.operators import synthesis as S
 from quillspark.plans import relations as R
@@ -392,10 +393,13 @@ def j24_plain_numbers(spark, sf):
     return rows.select("n", T.plain_number(F.col("x")).alias("plain"))
 
 
-@query("SELECT p_partkey AS id, CASE WHEN p_size = p_partkey % 9 THEN p_size || '' ELSE p_size || '|' || (p_partkey % 9) END || '|' || p_size || '.' || (p_partkey % 7) AS refs FROM part")
+@query("""SELECT p_partkey AS id, p_size || '.' || (p_partkey % 7) || '|' || p_size AS signs, array_to_string(list_sort(list_distinct([p_size || '', p_size || '.' || (p_partkey % 7), (p_partkey % 9) || '.1', '4.2'])), '|') AS named
+ FROM part""")
 def j28_section_refs(spark, sf):
-    rows = R.table(spark, sf, "part").selectExpr("p_partkey AS id", "concat('Sections ', p_size, ', ', p_partkey % 9, ' and § ', p_size, '.', p_partkey % 7, '; §', p_size) AS cell")
-    return rows.select("id", F.array_join(T.section_numbers(F.col("cell")), "|").alias("refs"))
+    """By the sign alone, and by sign, word and dots; tables, rows and days are no sections. Sorted, as sets of them are compared."""
+    cell = F.expr("concat('Updated Table ', p_partkey % 50 + 60, ', row 12 on 3 May; see Section ', p_size, ' and § ', p_size, '.', p_partkey % 7, '; §', p_size, ', sec. ', p_partkey % 9, '.1, 4.2')")
+    rows = R.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), cell.alias("cell"))
+    return rows.select("id", F.array_join(P.section_signs(F.col("cell")), "|").alias("signs"), F.array_join(F.array_sort(P.sections_named(F.col("cell"))), "|").alias("named"))
 
 
 @query("""SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN array_to_string(range(p_size, p_size + 4), ' ') WHEN 1 THEN '3 4 ' || p_size WHEN 2 THEN '5 7' ELSE p_size || ' ' || CASE WHEN p_size > 2 THEN '2' ELSE array_to_string(range(p_size + 1, 3), ' ') END END AS numbers FROM part WHERE NOT (p_partkey % 4 = 3 AND p_size = 2)""")
