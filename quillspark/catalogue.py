@@ -6,6 +6,7 @@ from quillspark.plans import more_queries as _more  # noqa: F401  (it adds its o
 from quillspark.plans import queries as _plans
 from quillspark.plans import record_queries as _records  # noqa: F401
 from quillspark.plans import section_queries as _sections  # noqa: F401
+from quillspark.plans import synthesis_queries as _synthesis  # noqa: F401
 
 FLAGSHIP = _plans.QUERIES["g10_agreement"]
 

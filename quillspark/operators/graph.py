@@ -1,4 +1,4 @@
-"""Cycles, greedy groups, greedy matches, diffs and shared runs (2.K)."""
+"""Cycles, greedy groups and diffs (2.K)."""
 
 from __future__ import annotations
 
@@ -9,7 +9,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
 
 from quillspark.functions import text as T
 from quillspark.operators.aggregates import ranked
@@ -167,22 +166,6 @@ def concept_groups(rows: DataFrame, key: str = "grp", threshold: float = 0.5) ->
     return told.groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, id {kinds['id']}, position long, cluster int")
 
 
-def greedy_match(pairs: DataFrame, key: str = "grp") -> DataFrame:
-    """Planted items in order take the first finding that nobody has taken; pairs (planted_pos, planted, found_pos, found)."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken, out = set(), []
-        for planted, own in pdf.sort_values(["planted_pos", "found_pos"]).groupby("planted", sort=False):
-            free = next((f for f in own["found"] if f not in taken), None)
-            if free is not None:
-                taken.add(free)
-                out.append((pdf[key].iloc[0], planted, free))
-        return pd.DataFrame(out, columns=[key, "planted", "found"])
-
-    kinds = {f.name: f.dataType.simpleString() for f in pairs.schema}
-    return pairs.groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, planted {kinds['planted']}, found {kinds['found']}")
-
-
 def diff_counts(old: list[str], new: list[str]) -> tuple[int, int]:
     """Added and dropped lines of a diff without context."""
     added = dropped = 0
@@ -208,27 +191,6 @@ def diffs(pairs: DataFrame, context: int = 2) -> DataFrame:
     return pairs.select("id", "old", "new").mapInPandas(run, f"id {pairs.schema['id'].dataType.simpleString()}, added int, dropped int, diff string")
 
 
-@F.pandas_udf(IntegerType())
-def longest_run(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Characters of the longest run that two texts share."""
-    return pd.Series([difflib.SequenceMatcher(None, x or "", y or "", autojunk=False).find_longest_match().size for x, y in zip(a, b, strict=True)])
-
-
-def dual_owners(entries: DataFrame) -> DataFrame:
-    """(capability, action, owner): capabilities whose action has two owners or more."""
-    each = entries.groupBy("capability", "action").agg(F.count_distinct(T.loose(F.col("owner"))).alias("owners"))
-    return each.filter("owners > 1")
-
-
-def orphans(produced: DataFrame, consumed: DataFrame, least: float = 0.6) -> DataFrame:
-    """Outputs (id, text) that no input (text) overlaps; distinct sets of words of both sides meet on words, so there is no
-    cross join and equal texts meet once."""
-    words = lambda df, w, *keep: df.select(*keep, F.array_sort(T.concepts(F.col("text"))).alias(w)).filter(F.size(w) > 0)
-    out = words(produced, "pw", "id")
-    met = out.select("pw").distinct().withColumn("word", F.explode("pw")).join(words(consumed, "cw").distinct().withColumn("word", F.explode("cw")), "word")
-    return out.join(met.filter(T.overlap(F.col("pw"), F.col("cw")) >= least).select("pw").distinct(), "pw", "left_anti").select("id")
-
-
 def initials(names: DataFrame) -> DataFrame:
     """Initials that stand for exactly one name."""
     short = F.upper(F.array_join(F.transform(F.filter(F.split("name", r"\s+"), lambda w: w != ""), lambda w: F.substring(w, 1, 1)), ""))

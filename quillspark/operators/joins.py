@@ -138,13 +138,3 @@ def fused(*ranked: DataFrame, constant: int = 60) -> DataFrame:
     for r in ranked[1:]:
         every = every.unionByName(r)
     return every.groupBy("query_id", "item_id").agg(F.sum(1.0 / (constant + F.col("rank") - 1)).alias("score"))
-
-
-def similar_pairs(rows: DataFrame, key: str = "group", least: float = 0.5) -> DataFrame:
-    """pairs of rows within a group whose concept words overlap. Rows meet on words, so unlike rows never do, and a pair
-    counts at the least word that both have, so that no pair is put together twice."""
-    tokens = rows.select(key, "id", T.concepts(F.col("text")).alias("words"))
-    spread = tokens.select(key, "id", "words", F.explode("words").alias("word"))
-    left, right = spread.select(key, "word", F.col("id").alias("a"), F.col("words").alias("wa")), spread.select(key, "word", F.col("id").alias("b"), F.col("words").alias("wb"))
-    met = left.join(right, [key, "word"]).filter((F.col("a") < F.col("b")) & (F.array_min(F.array_intersect("wa", "wb")) == F.col("word")))
-    return met.select(key, "a", "b", T.overlap(F.col("wa"), F.col("wb")).alias("overlap")).filter(F.col("overlap") >= least)

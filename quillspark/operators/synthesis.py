@@ -12,6 +12,7 @@ from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 from pyspark.sql.window import Window as W
 
 from quillspark.functions import text as T
+from quillspark.operators.durable import written
 from quillspark.operators.joins import small
 
 # Prose and outline
@@ -144,13 +145,85 @@ def left_out(sections: DataFrame) -> DataFrame:
     return spans.withColumn("from", reach + 1).withColumn("to", F.col("first") - 1).filter("`from` <= `to`").select("slug", "from", "to")
 
 
-def ownership_gaps(deferrals: DataFrame, owned: DataFrame, read: DataFrame) -> DataFrame:
-    """K06 without cycles: deferred capabilities that nobody owns; doubtful where their document has unread parts (slug, complete)."""
-    from quillspark.operators.graph import orphans
+def concept_rows(rows: DataFrame, vectors: DataFrame | None, threshold: float = 0.62) -> DataFrame:
+    """K02 over (key, id, position, label): key, id, cluster; by the cosine of the labels' vectors (label, embedding), or without vectors by their
+    words. Rows without a concept word are left out."""
+    from quillspark.operators.graph import concept_groups, greedy_groups
 
-    lone = orphans(deferrals.select("id", F.col("capability").alias("text")), owned.select(F.col("capability").alias("text")), 0.5)
-    doubt = F.when(F.coalesce("complete", F.lit(False)), "finding").otherwise("doubtful")
-    return deferrals.join(lone, "id", "left_semi").join(read, "slug", "left").select("id", "capability", doubt.alias("status"))
+    told = rows.filter(F.size(T.concepts(F.col("label"))) > 0)
+    if vectors is None:
+        return concept_groups(told, "key").select("key", "id", "cluster")
+    return greedy_groups(told.join(vectors, "label").select("key", "id", "position", "embedding"), "key", threshold).select("key", "id", "cluster")
+
+
+def dual_owners(entries: DataFrame, vectors: DataFrame | None = None, object_identity: bool = False) -> DataFrame:
+    """Entries (slug, id, position, capability, action, owner): slug, label, action and owners of what two owners or more claim.
+
+    Capabilities of a document are grouped by concept, then the actions of each group; with object_identity, actions aren't told apart. An
+    owner is the set of its concept words; a group is called by its first entry.
+    """
+    cap = concept_rows(entries.select(F.col("slug").alias("key"), "id", "position", F.col("capability").alias("label")), vectors).select(F.col("key").alias("slug"), "id", F.col("cluster").alias("cap"))
+    held = written(entries.join(cap, ["slug", "id"]), "capabilities")
+    if object_identity:
+        told = held.withColumn("act", F.lit(0))
+    else:
+        inner = F.to_json(F.struct("slug", "cap"))
+        act = concept_rows(held.select(inner.alias("key"), "id", "position", F.col("action").alias("label")), vectors).select(F.col("key").alias("_key"), "id", F.col("cluster").alias("act"))
+        told = held.withColumn("_key", inner).join(act, ["_key", "id"])
+    names = held.groupBy("slug", "cap").agg(F.min_by("capability", "position").alias("label"))
+    each = told.groupBy("slug", "cap", "act").agg(F.min_by("action", "position").alias("action"), F.count_distinct(F.array_sort(T.concepts(F.coalesce("owner", F.lit(""))))).alias("owners"))
+    return each.filter("owners > 1").join(names, ["slug", "cap"]).select("slug", "label", F.lit("").alias("action") if object_identity else F.col("action"), "owners")
+
+
+def ownership_gaps(deferrals: DataFrame, owned: DataFrame, read: DataFrame, sections: DataFrame | None = None, vectors: DataFrame | None = None, threshold: float = 0.62) -> DataFrame:
+    """Slug, label, cycle and status of every concept group of deferred capabilities that goes round, or that nobody owns.
+
+    deferrals: (slug, id, position, capability, heading, to). sections: (slug, position, heading), of which the owners of top sections are taken: who
+    defers is the component that the deferral's section is about (K04). A group whose edges from source to target close is a cycle, which
+    is a finding by itself, and isn't asked for an owner; its path is the first of all in the order of names. Another group is a gap if no owned
+    capability (slug, capability) of the document is like its label: by cosine with vectors, else by half of the words. That is doubtful where
+    the document has unread parts (slug, complete).
+    """
+    from quillspark.operators.graph import cycles
+    from quillspark.operators.sections import deferral_sources, section_owners
+    from quillspark.operators.sets import orphans
+
+    groups = concept_rows(deferrals.select(F.col("slug").alias("key"), "id", "position", F.col("capability").alias("label")), vectors, threshold).select(F.col("key").alias("slug"), "id", "cluster")
+    held = written(deferrals.join(groups, ["slug", "id"]), "deferrals")
+    names = held.groupBy("slug", "cluster").agg(F.min_by("capability", "position").alias("label"), F.array_distinct(F.flatten(F.collect_set(T.concepts(F.col("capability"))))).alias("words"))
+    node = lambda c: F.array_join(F.array_sort(T.concepts(F.trim(c))), " ")
+    if sections is not None:
+        source = deferral_sources(held.select("slug", "id", "heading"), section_owners(sections))
+        edges = held.join(source, ["slug", "id"]).select("slug", "cluster", node(F.col("source")).alias("src"), node(F.col("to")).alias("dst"))
+        rounds = cycles(edges.filter("src <> '' AND dst <> ''"), key=["slug", "cluster"]).groupBy("slug", "cluster").agg(F.min("path").alias("path"))
+        names = names.join(rounds, ["slug", "cluster"], "left").withColumn("cycle", F.array_join(F.concat("path", F.slice("path", 1, 1)), " -> "))
+    else:
+        names = names.withColumn("cycle", F.lit(None).cast("string"))
+    names = written(names.select("slug", "cluster", "label", "words", "cycle"), "groups")
+    lone = names.filter("cycle IS NULL")
+    if vectors is None:
+        key = F.to_json(F.struct("slug", "cluster"))
+        lone = lone.withColumn("id", key).join(orphans(lone.select("slug", key.alias("id"), "words"), owned.select("slug", F.col("capability").alias("text")), 0.5, ["slug"]).select("id"), "id", "left_semi")
+    else:
+        # labels of a document that are near an owned one: the distinct labels of both meet once in each document
+        asked = lone.select("slug", "label").distinct().join(vectors, "label").select("slug", "label", F.col("embedding").alias("_q"))
+        have = owned.select("slug", F.col("capability").alias("_c")).distinct().join(vectors.select(F.col("label").alias("_c"), F.col("embedding").alias("_v")), "_c")
+        near = asked.join(have, "slug").filter(T.cosine(F.col("_q"), F.col("_v")) >= threshold).select("slug", "label").distinct()
+        lone = lone.join(near, ["slug", "label"], "left_anti")
+    doubt = F.when(F.col("cycle").isNotNull() | F.coalesce("complete", F.lit(False)), "finding").otherwise("doubtful")
+    return names.filter("cycle IS NOT NULL").unionByName(lone.select(*names.columns)).join(read, "slug", "left").select("slug", "label", "cycle", doubt.alias("status"))
+
+
+def unconsumed(produced: DataFrame, consumed: DataFrame, read: DataFrame, vectors: DataFrame | None = None, least: float = 0.6) -> DataFrame:
+    """Slug, label and status of every concept group of outputs (slug, id, position, value) that no input (slug, value) of the document overlaps.
+
+    The words of a whole group are compared; doubtful where the document (slug, complete) has unread parts."""
+    from quillspark.operators.sets import orphans
+
+    groups = concept_rows(produced.select(F.col("slug").alias("key"), "id", "position", F.col("value").alias("label")), vectors).select(F.col("key").alias("slug"), "id", "cluster")
+    held = written(produced.join(groups, ["slug", "id"]).groupBy("slug", "cluster").agg(F.min_by("value", "position").alias("label"), F.array_distinct(F.flatten(F.collect_set(T.concepts(F.col("value"))))).alias("words")), "outputs")
+    lone = orphans(held.select("slug", F.col("cluster").alias("id"), "words"), consumed.select("slug", F.col("value").alias("text")), least, ["slug"]).withColumnRenamed("id", "cluster")
+    return held.join(lone, ["slug", "cluster"], "left_semi").join(read, "slug", "left").select("slug", "label", F.when(F.coalesce("complete", F.lit(False)), "finding").otherwise("doubtful").alias("status"))
 
 
 # Claims (E10, F19, D27)
@@ -179,17 +252,20 @@ BLOCK = 400
 def claim_pairs(claims: DataFrame, most: int = 12) -> DataFrame:
     """(id, slug, subject, predicate, start): pairs in groups of one subject, the most unlike predicates first, most pairs a group.
 
-    Every pair of a group counts, at any size: claims are cut into blocks of BLOCK and met block by block, each task keeping only
-    its own top pairs. partial is false in every row.
+    Every pair of a group of different starts counts, at any size: claims are dealt to blocks of about BLOCK by a hash and met block by block,
+    each task keeping only its own top pairs. a stands before b; ties go by where they stand. partial is false in every row.
     """
-    keyed = claims.withColumn("key", subject_key(F.col("subject"))).withColumn("n", F.count("*").over(W.partitionBy("slug", subject_key(F.col("subject")))))
-    keyed = keyed.filter("n >= 2").withColumn("r", F.row_number().over(W.partitionBy("slug", "key").orderBy("start", "id")))
-    block = F.floor((F.col("r") - 1) / BLOCK)
-    a = keyed.select("slug", "key", F.col("r").alias("ra"), F.col("id").alias("a"), F.col("start").alias("sa"), T.concepts(F.col("predicate")).alias("wa"), block.alias("ba"), F.explode(F.sequence(block, F.floor((F.col("n") - 1) / BLOCK))).alias("bb"))
-    b = keyed.select("slug", "key", F.col("r").alias("rb"), F.col("id").alias("b"), F.col("start").alias("sb"), T.concepts(F.col("predicate")).alias("wb"), block.alias("bb"), F.explode(F.sequence(F.lit(0).cast("long"), block)).alias("ba"))
-    pairs = a.join(b, ["slug", "key", "ba", "bb"]).filter((F.col("ra") < F.col("rb")) & (F.col("sa") != F.col("sb")))
-    order = W.partitionBy("slug", "key").orderBy("overlap", "ra", "rb")
-    return pairs.withColumn("overlap", T.overlap(F.col("wa"), F.col("wb"))).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).select("slug", "key", "a", "b", "overlap", "rank", F.lit(False).alias("partial"))
+    keyed = claims.withColumn("key", subject_key(F.col("subject")))
+    keyed = keyed.join(keyed.groupBy("slug", "key").agg(F.count("*").alias("n")).filter("n >= 2"), ["slug", "key"])
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("start", "id"), blocks).cast("int")
+    told = keyed.select("slug", "key", F.struct("start", "id").alias("at"), T.concepts(F.col("predicate")).alias("w"), own.alias("own"), blocks.alias("blocks"))
+    a = told.select("slug", "key", F.col("at").alias("pa"), F.col("w").alias("wa"), F.col("own").alias("ba"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("bb"))
+    b = told.select("slug", "key", F.col("at").alias("pb"), F.col("w").alias("wb"), F.col("own").alias("bb"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("ba"))
+    pairs = a.join(b, ["slug", "key", "ba", "bb"]).filter(F.col("pa.start") < F.col("pb.start"))
+    order = W.partitionBy("slug", "key").orderBy("overlap", "pa", "pb")
+    ranked = pairs.withColumn("overlap", T.overlap(F.col("wa"), F.col("wb"))).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
+    return ranked.select("slug", "key", F.col("pa.id").alias("a"), F.col("pb.id").alias("b"), "overlap", "rank", F.lit(False).alias("partial"))
 
 
 # Sections of two revisions

@@ -313,13 +313,6 @@ def h16_rank_fusion(spark, sf):
     return J.fused(by(F.col("score").desc(), F.col("item_id").desc()), by("item_id")).withColumn("score", F.round("score", 6))
 
 
-@query(f"""WITH t AS (SELECT p_brand || '/' || p_size AS grp, p_partkey AS id, list_distinct(list_filter(regexp_extract_all(lower(p_name || ' ' || p_type), '[a-z0-9]{{3,}}'), lambda x: x NOT IN ({CONCEPT}))) AS w FROM part)
- SELECT a.grp, a.id AS a, b.id AS b, round(len(list_intersect(a.w, b.w)) / least(len(a.w), len(b.w)), 6) AS overlap FROM t a JOIN t b ON a.grp = b.grp AND a.id < b.id WHERE len(list_intersect(a.w, b.w)) / least(len(a.w), len(b.w)) >= 0.5""")
-def f19_similar_pairs(spark, sf):
-    rows = R.table(spark, sf, "part").select(F.concat_ws("/", "p_brand", F.col("p_size").cast("string")).alias("grp"), F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("text"))
-    return J.similar_pairs(rows, "grp").withColumn("overlap", F.round("overlap", 6))
-
-
 # 2.G: aggregations
 
 
@@ -536,19 +529,6 @@ def k03_cycles(spark, sf):
     return found.select(shown(F.col("nodes")).alias("nodes"), shown(F.col("path")).alias("path"))
 
 
-@query("""SELECT p_type AS capability, p_brand AS action, count(DISTINCT trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g'))) AS owners FROM part GROUP BY ALL HAVING owners > 1""")
-def k05_dual_owners(spark, sf):
-    return G.dual_owners(R.table(spark, sf, "part").select(F.col("p_type").alias("capability"), F.col("p_brand").alias("action"), F.col("p_name").alias("owner")))
-
-
-@query(f"""WITH w AS (SELECT p_partkey AS id, p_size, list_distinct(list_filter(regexp_extract_all(lower(p_name || ' ' || p_type || ' ' || p_brand), '[a-z0-9]{{3,}}'), lambda x: x NOT IN ({CONCEPT}))) AS w FROM part)
- SELECT id FROM w p WHERE p_size > 25 AND len(w) > 0 AND NOT EXISTS (SELECT 1 FROM w c WHERE c.p_size <= 25 AND len(c.w) > 0 AND len(list_intersect(p.w, c.w)) / least(len(p.w), len(c.w)) >= 0.8)""")
-def k07_orphans(spark, sf):
-    """Every part is an output or, where it is small, an input."""
-    parts = R.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), "p_size", F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("text"))
-    return G.orphans(parts.filter("p_size > 25").select("id", "text"), parts.filter("p_size <= 25").select("text"), 0.8)
-
-
 @query("""WITH RECURSIVE v AS (SELECT label AS grp, vec_id AS id, CAST(embedding AS DOUBLE[]) AS e, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS i FROM embeddings),
  near AS (SELECT a.grp, a.i, list(b.i) AS n FROM v a JOIN v b ON a.grp = b.grp AND b.i < a.i AND list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.55 GROUP BY a.grp, a.i),
  r(grp, i, labels, top) AS (SELECT grp, 0, CAST([] AS BIGINT[]), CAST(-1 AS BIGINT) FROM v GROUP BY grp

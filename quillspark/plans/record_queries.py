@@ -559,13 +559,6 @@ def g27_blind_sections(spark, sf):
     return S.blind_sections(seen, R.table(spark, sf, "part").selectExpr("p_partkey AS chunk_id", "p_type AS section"))
 
 
-@query("""SELECT p_partkey AS id, 'cap' || (p_partkey % 700) || ' service' || (p_partkey % 700) AS capability, CASE WHEN p_size % 2 = 0 THEN 'finding' ELSE 'doubtful' END AS status FROM part WHERE p_size >= 10 AND p_partkey % 700 NOT IN (SELECT p_partkey % 700 FROM part WHERE p_size < 10)""")
-def k06_ownership_gaps(spark, sf):
-    part = R.table(spark, sf, "part").withColumn("capability", F.expr("concat('cap', p_partkey % 700, ' service', p_partkey % 700)"))
-    read = part.selectExpr("p_size AS slug", "p_size % 2 = 0 AS complete").distinct()
-    return S.ownership_gaps(part.filter("p_size >= 10").selectExpr("p_partkey AS id", "p_size AS slug", "capability"), part.filter("p_size < 10").select("capability"), read)
-
-
 @query("""WITH n AS (SELECT DISTINCT p_name FROM part), t AS (SELECT p_name AS a, upper(replace(p_name, ' ', '-')) AS b FROM n UNION ALL SELECT p_name, 'the very long ' || p_name || ' of it all' FROM n UNION ALL SELECT p_name, p_name || 's' FROM n)
  SELECT a, b, b NOT LIKE 'the very%' AND b NOT LIKE '%s' OR b = upper(b) AS same FROM t""")
 def k18_same_terms(spark, sf):

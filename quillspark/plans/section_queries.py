@@ -298,21 +298,6 @@ def e15_records(spark, sf):
     return rows.select("id", N.answers_ok(F.col("j")).alias("ok"), N.empty_place(F.col("x")).alias("empty"), N.fully_read(F.col("full"), F.col("u")).alias("whole"))
 
 
-@query("""WITH e AS (SELECT p_type AS capability, p_brand AS action, p_name AS owner FROM part WHERE p_size % 2 = 1), d5 AS (SELECT 'D5' AS kind, capability || '/' || action AS key, 'finding' AS status FROM e GROUP BY capability, action HAVING count(DISTINCT owner) > 1),
- d6 AS (SELECT 'D6' AS kind, p_partkey || '/cap' || p_partkey AS key, CASE WHEN p_brand LIKE '%1%' THEN 'finding' ELSE 'doubtful' END AS status FROM part WHERE p_partkey % 50 = 0), u AS (SELECT * FROM d5 UNION ALL SELECT * FROM d6 UNION ALL SELECT 'D8', CAST(p_partkey AS VARCHAR), 'doubtful' FROM part WHERE p_partkey % 40 = 0)
- SELECT kind || '-' || lpad(CAST(row_number() OVER (PARTITION BY kind ORDER BY key) AS VARCHAR), CAST(greatest(3, length(CAST(row_number() OVER (PARTITION BY kind ORDER BY key) AS VARCHAR))) AS INTEGER), '0') AS id, kind, key, status FROM u""")
-def o07_synthesis(spark, sf):
-    """Parts as an inventory: what two own by type and brand, capabilities that nobody owns, outputs that nobody consumes."""
-    from quillspark.plans.synthesis import candidates
-
-    part = R.table(spark, sf, "part")
-    entries = part.selectExpr("p_type AS capability", "p_brand AS action", "p_name AS owner", "CASE WHEN p_size % 2 = 0 THEN 'excludes' ELSE 'owns' END AS polarity")
-    deferrals = part.filter("p_partkey % 50 = 0").selectExpr("p_partkey AS id", "p_brand AS slug", "concat('cap', p_partkey) AS capability")
-    out = part.selectExpr("p_partkey AS id", "concat('out', p_partkey) AS text")
-    read = part.selectExpr("p_brand AS slug", "p_brand LIKE '%1%' AS complete").distinct()
-    return candidates(entries, deferrals, out, out.filter("id % 40 > 0"), read)
-
-
 # Operators over files' rows
 
 
@@ -369,19 +354,6 @@ def e03_flagged(spark, sf):
     return R.judged(spark, sf).select("id", COVERAGE.flagged(F.col("b")).alias("flagged"))
 
 
-@query("""WITH RECURSIVE p AS (SELECT p_brand AS grp, p_partkey AS planted, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS i, [p_size % 10, (p_size + 1) % 10, (p_size * 3) % 10] AS want FROM part WHERE p_partkey % 5 = 0),
- r(grp, i, taken, found) AS (SELECT grp, 0, CAST([] AS INTEGER[]), CAST(NULL AS INTEGER) FROM p GROUP BY grp
-  UNION ALL SELECT grp, i, CASE WHEN f IS NULL THEN taken ELSE list_append(taken, f) END, f FROM (SELECT r.grp, CAST(p.i AS INTEGER) AS i, r.taken, list_min(list_filter(p.want, lambda x: NOT list_contains(r.taken, x))) AS f FROM r JOIN p ON p.grp = r.grp AND p.i = r.i + 1) q)
- SELECT p.grp, p.planted, r.found FROM p JOIN r ON r.grp = p.grp AND r.i = p.i WHERE r.found IS NOT NULL""")
-def k16_matched(spark, sf):
-    """Planted items in order take the first finding that nobody has taken."""
-    from quillspark.operators.graph import greedy_match
-
-    part = R.table(spark, sf, "part").filter("p_partkey % 5 = 0")
-    pairs = part.select(F.col("p_brand").alias("grp"), F.col("p_partkey").alias("planted_pos"), F.col("p_partkey").alias("planted"), F.explode(F.array_distinct(F.array(F.col("p_size") % 10, (F.col("p_size") + 1) % 10, (F.col("p_size") * 3) % 10))).alias("found"))
-    return greedy_match(pairs.withColumn("found_pos", F.col("found")))
-
-
 ASKED = "'Judge.' || chr(0) || 'row ' || o_custkey"
 
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.operators import graph, synthesis
+from quillspark.operators import synthesis
 from quillspark.operators.sections import self_claims
 from quillspark.sources.files import numbered
 
@@ -23,24 +23,24 @@ class Switches:
 
 
 def candidates(
-    entries: DataFrame, deferrals: DataFrame, produced: DataFrame, consumed: DataFrame, read: DataFrame, claims: DataFrame | None = None, heads: DataFrame | None = None, held: DataFrame | None = None, switches: Switches = Switches()
+    entries: DataFrame, deferrals: DataFrame, produced: DataFrame, consumed: DataFrame, read: DataFrame, sections: DataFrame | None = None, vectors: DataFrame | None = None,
+    claims: DataFrame | None = None, heads: DataFrame | None = None, held: DataFrame | None = None, switches: Switches = Switches(),
 ) -> DataFrame:
     """(id, kind, key, status), numbered within a kind.
 
-    entries: (capability, action, owner, polarity). deferrals: (id, slug, capability). produced, consumed: (id, text). read: (slug,
-    complete). claims, heads, held: as self_claims() takes them. Without polarity, entries that exclude an owner count as owning;
-    without object identity, actions aren't told apart; without dataflow, orphans aren't looked for.
+    entries: (slug, id, position, capability, action, owner, polarity). deferrals: (slug, id, position, capability, heading, to). produced, consumed: (slug, id,
+    position, value). read: (slug, complete). sections: (slug, position, heading), for who defers. vectors: (label, embedding) of all labels, by
+    which they are grouped; without them words are. claims, heads, held: as self_claims() takes them. Without polarity, entries that exclude an
+    owner count as owning; without object identity, actions aren't told apart; without dataflow, outputs aren't looked for.
     """
     owned = entries.filter(F.col("polarity") != "excludes") if switches.polarity else entries
-    told = owned if switches.object_identity else owned.withColumn("action", F.lit(""))
-    out = graph.dual_owners(told).select(F.lit("D5").alias("kind"), F.concat_ws("/", "capability", "action").alias("key"), F.lit("finding").alias("status"))
-    gaps = synthesis.ownership_gaps(deferrals, owned.select("capability").distinct(), read)
-    out = out.unionByName(gaps.select(F.lit("D6").alias("kind"), F.concat_ws("/", F.col("id").cast("string"), "capability").alias("key"), "status"))
-    whole = read.agg(F.bool_and("complete").alias("all"))
+    dual = synthesis.dual_owners(owned, vectors, not switches.object_identity)
+    out = dual.select(F.lit("D5").alias("kind"), F.concat_ws("/", "slug", "label", "action").alias("key"), F.lit("finding").alias("status"))
+    gaps = synthesis.ownership_gaps(deferrals, owned, read, sections, vectors)
+    out = out.unionByName(gaps.select(F.lit("D6").alias("kind"), F.concat_ws("/", "slug", "label", F.concat(F.lit("cycle: "), "cycle")).alias("key"), "status"))
     if switches.dataflow:
-        lone = graph.orphans(produced, consumed)
-        status = F.when(F.col("all"), "finding").otherwise("doubtful")
-        out = out.unionByName(lone.join(F.broadcast(whole)).select(F.lit("D8").alias("kind"), F.col("id").cast("string").alias("key"), status.alias("status")))
+        lone = synthesis.unconsumed(produced, consumed, read, vectors)
+        out = out.unionByName(lone.select(F.lit("D8").alias("kind"), F.concat_ws("/", "slug", "label").alias("key"), "status"))
     if switches.claims and claims is not None:
         said = self_claims(claims, heads, held, read).filter(~F.col("state").startswith("not checked") & (F.col("state") != "held"))
         out = out.unionByName(said.select(F.lit("D3").alias("kind"), F.col("id").cast("string").alias("key"), F.when(F.col("doubtful"), "doubtful").otherwise("finding").alias("status")))

@@ -132,11 +132,6 @@ def test_greedy_groups_depend_on_order(spark):
     assert [r["cluster"] for r in G.greedy_groups(df, threshold=0.6).orderBy("position").collect()] == [0, 1, 0]
 
 
-def test_greedy_match_takes_each_finding_once(spark):
-    df = spark.createDataFrame([(1, 0, "p", 0, "f"), (1, 1, "q", 0, "f"), (1, 1, "q", 1, "g"), (1, 2, "r", 0, "f")], "grp int, planted_pos int, planted string, found_pos int, found string")
-    assert rows(G.greedy_match(df).select("planted", "found"), "planted") == [("p", "f"), ("q", "g")]
-
-
 def test_absence_is_only_said_of_a_complete_source(spark):
     left = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, "c")], "id int, slug string")
     right = spark.createDataFrame([(1,)], "id int")

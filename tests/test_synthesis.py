@@ -76,11 +76,36 @@ def test_action_outcomes(spark):
     assert [r["outcome"] for r in S.action_check(actions, changes).orderBy("id").collect()] == ["SUPPORTED", "NO CLAIM", "NO SECTION", "SECTION MISSING", "MIXED", "DISPUTED"]
 
 
-def test_gaps_are_doubtful_where_a_document_was_not_read(spark):
-    deferrals = spark.createDataFrame([(1, "a", "alert timing"), (2, "b", "key rotation"), (3, "a", "flood gates")], "id int, slug string, capability string")
-    owned = spark.createDataFrame([("timing of alert",)], "capability string")
+def inventory(spark):
+    deferrals = spark.createDataFrame([
+        (1, "a", "alert timing", "1.2 Inputs", "hydrology"), (2, "a", "timing of alerts", "2.1 x", "the alerting"), (3, "a", "alert timing", "3. Alerting", "sensor fabric"),
+        (4, "b", "key rotation", "1. Parts", "hydrology"), (5, "a", "flood gates", "1. Sensor Fabric", "hydrology"), (6, "a", "log store", "1.1 y", "hydrology"),
+    ], "id int, slug string, capability string, heading string, to string").withColumn("position", F.col("id"))
+    sections = spark.createDataFrame([("a", 1, "1. Sensor Fabric"), ("a", 2, "2. Hydrology"), ("a", 3, "3. Alerting"), ("a", 4, "3. Other")], "slug string, position int, heading string")
     read = spark.createDataFrame([("a", True), ("b", False)], "slug string, complete boolean")
-    assert rows(S.ownership_gaps(deferrals, owned, read).select("id", "status"), "id") == [(2, "doubtful"), (3, "finding")]
+    owned = spark.createDataFrame([("a", 1, "store of logs and log index", "keeps", "archive", "owns"), ("a", 2, "store of logs and log index", "keeps all", "gateway", "owns"), ("b", 3, "x", "", "", "owns")], "slug string, id int, capability string, action string, owner string, polarity string").withColumn("position", F.col("id"))
+    return deferrals, sections, read, owned
+
+
+def test_gaps_go_round_or_have_no_owner(spark):
+    deferrals, sections, read, owned = inventory(spark)
+    got = rows(S.ownership_gaps(deferrals, owned, read, sections).select("slug", "label", "cycle", "status"), "slug", "label")
+    assert got == [("a", "alert timing", "alerting -> fabric sensor -> hydrology -> alerting", "finding"), ("a", "flood gates", None, "finding"), ("b", "key rotation", None, "doubtful")]
+    assert [r[1] for r in rows(S.ownership_gaps(deferrals, owned, read).select("slug", "label"), "slug", "label")] == ["alert timing", "flood gates", "key rotation"]
+
+
+def test_dual_owners_by_concept(spark):
+    owned = inventory(spark)[3]
+    assert rows(S.dual_owners(owned).select("label", "action", "owners"), "label") == [("store of logs and log index", "keeps", 2)]
+    vectors = spark.createDataFrame([("store of logs and log index", [1.0, 0.0]), ("keeps", [1.0, 1.0]), ("keeps all", [1.0, -1.0])], "label string, embedding array<double>")
+    assert S.dual_owners(owned, vectors).count() == 0 and S.dual_owners(owned, vectors, object_identity=True).count() == 1
+
+
+def test_outputs_that_nobody_takes(spark):
+    produced = spark.createDataFrame([(1, "a", "run summary"), (2, "a", "summary of the run report"), (3, "a", "gate log"), (4, "b", "flow map")], "id int, slug string, value string").withColumn("position", F.col("id"))
+    consumed = spark.createDataFrame([("a", "the run summary report"), ("a", "flow map")], "slug string, value string")
+    read = spark.createDataFrame([("a", True), ("b", False)], "slug string, complete boolean")
+    assert rows(S.unconsumed(produced, consumed, read).select("slug", "label", "status"), "slug") == [("a", "gate log", "finding"), ("b", "flow map", "doubtful")]
 
 
 def test_labels(spark):
