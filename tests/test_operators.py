@@ -242,3 +242,21 @@ def test_places_over_a_whole_table(spark):
     df = spark.range(1000).selectExpr("id", "id % 7 AS k").repartition(6)
     got = A.ranked(df, [F.col("k").desc(), F.col("id")], "place").collect()
     assert [r["id"] for r in sorted(got, key=lambda r: r["place"])] == sorted(range(1000), key=lambda i: (-(i % 7), i)) and sorted(r["place"] for r in got) == list(range(1, 1001))
+
+
+def test_parts_cut_by_the_table_function(spark):
+    import random
+
+    rnd = random.Random(21)
+    stock = ["# Head", "2 Two", "Appendix B", "", "  ", "text " * 30, "words", "3.1 Part", "Annex"]
+    texts = {f"d{i}": "\n".join(rnd.choice(stock) for _ in range(rnd.randrange(0, 300))) for i in range(12)}
+    docs = spark.createDataFrame(list(texts.items()), "slug string, text string")
+    for rule in (L.CHUNKS, L.WINDOWS, L.SECTIONS):
+        wanted = sorted(map(tuple, L.cut_documents(docs, rule).collect()))
+        assert sorted(map(tuple, L.cut_table(L.to_lines(docs).repartition(7), rule).collect())) == wanted and len(wanted) > 12
+
+
+def test_one_long_document_is_cut_as_it_comes(spark):
+    long = spark.range(300_000).select(F.lit("d").alias("slug"), (F.col("id") + 1).alias("line_no"), F.lit("a line").alias("text"))
+    got = L.cut_table(long, L.CHUNKS).agg(F.count("*"), F.max("end"), F.max("chunk_id"), F.max(F.col("end") - F.col("start"))).first()
+    assert tuple(got) == (5000, 300_000, 4999, 59)
