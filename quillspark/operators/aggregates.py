@@ -91,13 +91,6 @@ def majority(df: DataFrame, value: str, *keys: str) -> DataFrame:
     return each.withColumn("_m", F.max("n").over(W.partitionBy(*keys))).filter("n = _m").drop("_m")
 
 
-def upper_median(df: DataFrame, value: str, *keys: str) -> DataFrame:
-    """The middle value, the upper one of two; ranked by a window, so a group isn't gathered into an array."""
-    w = W.partitionBy(*keys)
-    ranked = df.filter(F.col(value).isNotNull()).select(*keys, value, F.row_number().over(w.orderBy(value)).alias("_r"), F.count("*").over(w).alias("_n"))
-    return ranked.filter(F.col("_r") == F.floor(F.col("_n") / 2) + 1).select(*keys, F.col(value).alias("median"))
-
-
 def recall_at(ranked: DataFrame, gold: DataFrame, k: int) -> DataFrame:
     """Per query: found, wanted, recall at k, precision at k and whether all was found."""
     top = ranked.filter(F.col("rank") <= k).select("query_id", "item_id", F.lit(1).alias("hit"))

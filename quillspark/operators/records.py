@@ -310,7 +310,7 @@ def rests_on(index: DataFrame) -> DataFrame:
 
 def reuse_ratio(timed: DataFrame, *keys: str) -> DataFrame:
     """(position, seconds): the first call against the upper median of the others."""
-    from quillspark.operators.aggregates import upper_median
+    from quillspark.operators.cells import upper_median
 
     first = timed.groupBy(*keys).agg(F.min_by("seconds", "position").alias("first"), F.min("position").alias("_p"))
     rest = upper_median(timed.join(first.select(*keys, "_p"), list(keys)).filter(F.col("position") > F.col("_p")), "seconds", *keys)

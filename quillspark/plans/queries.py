@@ -15,6 +15,7 @@ from quillspark.operators import closure as C
 from quillspark.operators import graph as G
 from quillspark.operators import joins as J
 from quillspark.operators import lines as L
+from quillspark.operators.cells import upper_median
 from quillspark.plans import relations as R
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -393,7 +394,7 @@ def g29_majority_with_ties(spark, sf):
 
 @query(f"WITH {READINGS} SELECT l_suppkey, list_sort(list(l_quantity))[CAST(floor(count(*) / 2) AS INTEGER) + 1] AS median FROM readings GROUP BY l_suppkey")
 def g22_upper_median(spark, sf):
-    return A.upper_median(R.readings(spark, sf), "l_quantity", "l_suppkey")
+    return upper_median(R.readings(spark, sf), "l_quantity", "l_suppkey")
 
 
 # 2.H and 2.B: order, first rows, pivots
