@@ -193,12 +193,25 @@ def register_rows(content: bytes, path: str, sheet: str | None = None, table: in
 def read_register(spark: SparkSession, path: str, sheet: str | None = None, table: int | None = None) -> DataFrame:
     """A register by header names, with _row, the physical row number. Missing cells are empty, never null.
 
-    Two columns of one name are refused. A register is a reviewer's file of one sheet; it is parsed once, on the driver.
+    Two columns of one name are refused. The file is parsed where Spark reads it; only the header's names come to the driver.
     """
-    first = spark.read.format("binaryFile").load(path).select("content", "path").first()
-    headers, rows = register_rows(bytes(first["content"]), first["path"], sheet, table)
+    first = spark.read.format("binaryFile").load(path).orderBy("path").limit(1)
+
+    def names_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"headers": [register_rows(bytes(c), p, sheet, table)[0] for c, p in zip(batch["content"], batch["path"], strict=True)]})
+
+    def rows_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for c, p in zip(batch["content"], batch["path"], strict=True):
+                rows = register_rows(bytes(c), p, sheet, table)[1]
+                for at in range(0, len(rows), 10_000):
+                    yield pd.DataFrame(rows[at : at + 10_000], columns=["_row", "cells"])
+
+    files = first.select("content", "path")
+    headers = files.mapInPandas(names_of, "headers array<string>").first()["headers"]
     names = [h or f"column_{k}" for k, h in enumerate(headers, 1)]
     if len({n.lower() for n in names}) < len(names):
         raise ValueError("the register has two columns of one name")
-    schema = "_row int, " + ", ".join(f"`{n}` string" for n in names)
-    return spark.createDataFrame([(n, *(r + [""] * len(names))[: len(names)]) for n, r in rows], schema)
+    rows = files.mapInPandas(rows_of, "_row int, cells array<string>")
+    return rows.select("_row", *[F.coalesce(F.get("cells", F.lit(k)), F.lit("")).alias(n) for k, n in enumerate(names)])

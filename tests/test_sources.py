@@ -76,3 +76,35 @@ def test_documents_say_what_was_not_read(tmp_path):
         z.writestr("word/header1.xml", f"<w:hdr {w}>{p(' ')}</w:hdr>")
     raw = (tmp_path / "a.docx").read_bytes()
     assert office.extract(raw, "a.docx") == (["One", "Two"], "ok") and office.beside(raw, "a.docx") == ["footnotes:1"] and office.beside(b"x", "a.txt") == []
+
+
+def test_sheets_as_a_data_source(spark, tmp_path):
+    import zipfile
+
+    from pyspark.sql import functions as F
+
+    from quillspark.sources import ooxml
+
+    ooxml.register(spark)
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for name, sheet, rows in (("a.xlsx", "S", [("1", "x"), ("2", "")]), ("b.xlsx", "T", [("3", "y & z")])):
+        files.write_xlsx(spark.createDataFrame(rows, "id string, note string"), str(folder / name), sheet)
+    w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    cell = lambda x: f"<w:tc><w:p><w:r><w:t>{x}</w:t></w:r></w:p></w:tc>"
+    with zipfile.ZipFile(folder / "c.docx", "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{w}"><w:body>' + "".join(f"<w:tbl><w:tr>{cell(a)}{cell('v')}</w:tr></w:tbl>" for a in "pq") + "</w:body></w:document>")
+    (folder / "d.xlsx").write_bytes(b"PK broken")
+    (folder / "e.txt").write_text("no office file")
+    df = spark.read.format("ooxml_sheet").load(str(folder))
+    rows = sorted((r["path"].rsplit("/", 1)[1], r["sheet"] or "", r["_row"] or 0, r["cells"] or [], r["status"].split(":")[0]) for r in df.collect())
+    assert rows == [
+        ("a.xlsx", "S", 1, ["id", "note"], "ok"), ("a.xlsx", "S", 2, ["1", "x"], "ok"), ("a.xlsx", "S", 3, ["2", ""], "ok"), ("b.xlsx", "T", 1, ["id", "note"], "ok"), ("b.xlsx", "T", 2, ["3", "y & z"], "ok"),
+        ("c.docx", "table 1", 1, ["p", "v"], "ok"), ("c.docx", "table 2", 1, ["q", "v"], "ok"), ("d.xlsx", "", 0, [], "failed"),
+    ]
+    assert df.rdd.getNumPartitions() == 5
+    one = df.filter(F.col("sheet") == "T")
+    assert one.filter("status = 'ok'").count() == 2 and one.rdd.getNumPartitions() < 5
+    assert spark.read.format("ooxml_sheet").option("sheet", "S").load(str(folder / "a.xlsx")).count() == 3
+    (tmp_path / "none").mkdir()
+    assert spark.read.format("ooxml_sheet").load(str(tmp_path / "none")).count() == 0
