@@ -303,6 +303,31 @@ def where_left_out(runs, most: int = 3) -> Column:
     return F.concat(run_text(F.slice(runs, 1, most)), F.when(rest > 0, F.concat(F.lit(", and "), rest.cast("string"), F.lit(" more"))).otherwise(""))
 
 
+def line_question(runs, what: str) -> Column:
+    """What lines in no section leave open; empty where there are none."""
+    return F.when(F.size(runs) > 0, F.concat(F.lit(f"a line that is in no section {what}: "), where_left_out(runs, 3))).otherwise("")
+
+
+def open_question(sections, what: str, most: int = 3) -> Column:
+    """What sections that weren't read (heading, locator) leave open, by the first most of their names; empty where there are none."""
+    names = F.array_join(F.transform(F.slice(sections, 1, most), lambda s: named_section(s["heading"], s["locator"])), "; ")
+    more = F.when(F.size(sections) > most, F.format_string("; and %d more", F.size(sections) - most)).otherwise("")
+    return F.when(F.size(sections) > 0, F.concat(F.lit(f"{what}: "), names, more)).otherwise("")
+
+
+def spelled(place) -> Column:
+    """A place (kind, number) as a reader says it: 3.1, Appendix B."""
+    return F.when(place["kind"] == "section", place["number"]).otherwise(F.concat(F.initcap(place["kind"]), F.lit(" "), F.upper(place["number"])))
+
+
+def numbers_sections(name, names) -> Column:
+    """Whether headings' numbers (an array) show a document numbering its sections as a pointer does: two that follow each other, or for 3.7 a 3 or another 3.x."""
+    tops = F.transform(F.filter(names, lambda n: n.rlike(r"^\d{1,4}$")), lambda n: n.cast("int"))
+    stem = F.regexp_extract(name, r"^(.*)\.[^.]*$", 1)
+    beside = F.exists(names, lambda n: (n == stem) | F.startswith(n, F.concat(stem, F.lit("."))))
+    return F.exists(tops, lambda n: F.array_contains(tops, n + 1)) | ((stem != "") & beside)
+
+
 def named_section(heading, locator) -> Column:
     """A section as a reader can find it."""
     h, at = F.coalesce(one_line(heading), F.lit("")), F.coalesce(one_line(locator), F.lit(""))

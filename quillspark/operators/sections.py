@@ -251,6 +251,24 @@ def self_claims(claims: DataFrame, heads: DataFrame, held: DataFrame, read: Data
 # Letters and labels
 
 
+# How a letter numbers, closes, cites a comment, reissues it, and limits that.
+MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
+#: A list number stands before two blanks or alone; a page's "18. Please" in running text doesn't.
+LIST_NUMBER = r"^\s{0,12}(\d{1,3})\.(?:\s{2,}|\s*$)"
+CLOSING = r"We remind you that|Refer to Rules 460 and 461|Please contact\b|Sincerely,|We urge all persons"
+_NUM = rf"(?:\d{{1,3}}(?![\d%]|,\d{{3}}|\.\d)|(?:{'|'.join(reversed(T.NUMBER_WORDS))})\b)"
+CITED = rf"(?i)\b(?:prior comments?|responses? to comments?)\s+(?:(?:nos?\.?|numbers?)\s+)?({_NUM}(?:(?:\s*,\s*(?:(?:and|or)\s+)?|\s+(?:and|or|through)\s+|\s*&\s*|\s*[-–]\s*){_NUM})*)"
+#: Behind a citation: another letter, by its date.
+OF_LETTER = rf"(?:\s*,?\s*(?:of|in|from)\s+(?:our|the)\s+(?:(?:prior\s+|previous\s+)?(?:comment\s+)?letter\s+(?:dated|of)\s+)?((?:{MONTHS})\s+\d{{1,2}},?\s+\d{{4}}))?"
+REISSUED = r"(?i)\bre-?s?issu\w*|\breiterat\w*"
+BY_US = r"(?i)\bwe\b[^.]*?\b(?:re-?s?issu(?:e|ing)|reiterat(?:e|ing))\b|\bcomments?\b"
+IN_PART = r"(?i)\bin part\b|\bpartially\b|\bwith respect to\b|\bto the extent\b|\bportions?\b|\bbullets?\b|\bremaining\b|\b(?:first|second|third|last|final) (?:sentence|paragraph)\b"
+IN_FULL = r"(?i)\bin full\b|\bin (?:its|their) entirety\b"
+TITLES = r"\b(Mr|Ms|Mrs|Messrs|Dr)\.\s+"
+SENTENCE_END = r'(?<=[.?!])\s+(?=[A-Z"“(])'
+# End of the fixed values.
+
+
 def letter_outline(lines: DataFrame) -> DataFrame:
     """Numbered comments of letters (slug, line_no, text), in sequence: slug, number, first, body. Page headers (a page number under a date) go.
 
@@ -258,7 +276,7 @@ def letter_outline(lines: DataFrame) -> DataFrame:
     stands, gives no row. The next number is what the largest count so far leaves open, so candidates are the lines whose number is
     one more than the candidates before them: found by keeping, of each number, the first line behind its predecessor's.
     """
-    number = F.regexp_extract("text", r"^\s*(\d{1,3})\.\s+\S", 1)
+    number = F.regexp_extract("text", LIST_NUMBER, 1)
     w = W.partitionBy("slug").orderBy("line_no")
     page = F.col("text").rlike(r"^\s*Page \d+\s*$")
     dated = F.col("text").rlike(r"^\s*[A-Z][a-z]+ \d{1,2}, \d{4}\s*$")
@@ -272,27 +290,35 @@ def letter_outline(lines: DataFrame) -> DataFrame:
     joined = clean.join(read.select("slug", F.col("first").alias("line_no"), "number"), ["slug", "line_no"], "left")
     within = joined.withColumn("number", F.last("number", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))).filter("number IS NOT NULL")
     body = within.groupBy("slug", "number").agg(F.min("line_no").alias("first"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), " ").alias("body"))
-    return body.select("slug", "number", "first", T.fold(F.regexp_replace("body", r"^\s*\d{1,3}\.\s+", "")).alias("body"))
-
-
-# How a letter cites a comment, reissues it, and limits that.
-CITED = r"(?i)\bprior comments?\s+((?:\d+|through|and|,|\s|[-–])+)"
-REISSUED = r"(?i)\breissu\w*"
-IN_PART = r"(?i)\bin part\b|\bbullet\b|\bpartially\b"
+    text = T.fold(F.regexp_replace("body", r"^\s*\d{1,3}\.\s*", ""))
+    # the closing paragraph isn't the last comment's, if nothing is cited or reissued behind its opening
+    last = F.col("number") == F.max("number").over(W.partitionBy("slug"))
+    before, behind = F.regexp_extract(text, f"(?s)^(.*?)(?:{CLOSING}).*$", 1), F.regexp_extract(text, f"(?s)^.*?((?:{CLOSING}).*)$", 1)
+    closed = last & (behind != "") & ~behind.rlike(CITED) & ~behind.rlike(REISSUED)
+    return body.select("slug", "number", "first", F.when(closed, F.rtrim(before)).otherwise(text).alias("body"))
 
 
 def rulings(comments: DataFrame) -> DataFrame:
     """(slug, number, body) of second-round comments: for each prior comment cited, addressed, partial or not_addressed.
 
-    A cited comment is addressed until a sentence of the same comment reissues it: the ones it cites, or, where it cites none, all
-    that are cited around it. The harshest ruling over a letter stays, with the comment that has it.
+    A cited comment is addressed until a sentence of the same comment reissues it: the ones it cites, or, where it cites none and it is
+    the writer that reissues a comment, all that are cited around it. A comment of another letter, told apart by its date where
+    comments have first, the date of the letter that this one answers, is none of them, and a sentence that cites only such
+    reissues nothing. The harshest ruling over a letter stays, with the comment that has it. "Mr. Wong" ends no sentence.
     """
-    sentence = comments.select("slug", "number", F.posexplode(F.split("body", r'(?<=[.?!])\s+(?=[A-Z"“(])')).alias("k", "said"))
-    cites = F.flatten(F.transform(F.regexp_extract_all("said", F.lit(CITED), F.lit(1)), lambda g: T.comment_numbers(g)))
-    told = sentence.withColumn("cites", F.array_distinct(cites)).withColumn("level", F.when(F.col("said").rlike(REISSUED), F.when(F.col("said").rlike(IN_PART), 1).otherwise(2)).otherwise(0))
+    whole = F.regexp_replace("body", TITLES, "$1.\x01")
+    first = F.col("first").cast("date") if "first" in comments.columns else F.lit(None).cast("date")
+    sentence = comments.select("slug", "number", first.alias("first"), F.posexplode(F.split(whole, SENTENCE_END)).alias("k", "said"))
+    sentence = sentence.withColumn("said", F.translate("said", "\x01", " "))
+    found = F.arrays_zip(F.regexp_extract_all("said", F.lit(CITED + OF_LETTER), F.lit(1)).alias("numbers"), F.regexp_extract_all("said", F.lit(CITED + OF_LETTER), F.lit(2)).alias("letter"))
+    other = lambda x: (x["letter"] != "") & ~F.coalesce(F.try_to_date(F.regexp_replace(F.regexp_replace(x["letter"], ",", ""), r"\s+", " "), "MMMM d yyyy") == F.col("first"), F.col("first").isNull())
+    told = sentence.withColumn("found", found).select("slug", "number", "k", "said", F.array_distinct(F.flatten(F.transform(F.filter("found", lambda x: ~other(x)), lambda x: T.comment_numbers(x["numbers"])))).alias("cites"), F.exists("found", other).alias("elsewhere"))
+    here = F.size("cites") > 0
+    again = F.col("said").rlike(REISSUED) & (here | (~F.col("elsewhere") & F.col("said").rlike(BY_US)))
+    told = told.withColumn("level", F.when(again, F.when(F.col("said").rlike(IN_PART) & ~F.col("said").rlike(IN_FULL), 1).otherwise(2)).otherwise(0))
     around = told.groupBy("slug", "number").agg(F.array_distinct(F.flatten(F.collect_list("cites"))).alias("all"))
     both = told.join(around, ["slug", "number"])
-    hit = F.when((F.col("level") > 0) & (F.size("cites") == 0), F.col("all")).otherwise(F.col("cites"))
+    hit = F.when((F.col("level") > 0) & ~here, F.col("all")).otherwise(F.col("cites"))
     each = both.select("slug", "number", "level", F.explode(hit).alias("prior"))
     worst = each.groupBy("slug", "prior").agg(F.max(F.struct("level", -F.col("number"))).alias("w"))
     level = F.col("w.level")
@@ -335,6 +361,17 @@ def without_section(lines: DataFrame, heading: str) -> DataFrame:
     return lines.withColumn("_g", F.coalesce(F.last(mark, ignorenulls=True).over(w), F.lit(False))).filter("NOT _g").drop("_g")
 
 
+def without_table(lines: DataFrame, heading: str, instead: str) -> DataFrame:
+    """A revision in which the table that follows a heading and one blank line is one line of other text."""
+    w = W.partitionBy("slug").orderBy("line_no")
+    row = F.col("text").startswith("|")
+    opens = row & (F.lag("text", 1).over(w) == "") & (F.rtrim(F.lag("text", 2).over(w)) == heading)
+    # a run of rows belongs to the opening that it begins with; any other line closes it
+    told = lines.withColumn("_o", opens).withColumn("_t", F.last(F.when(F.col("_o"), True).when(~row, False), ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    gone = row & F.coalesce("_t", F.lit(False))
+    return told.filter(~gone | F.coalesce("_o", F.lit(False))).withColumn("text", F.when(F.coalesce("_o", F.lit(False)), instead).otherwise(F.col("text"))).drop("_o", "_t")
+
+
 def renamed(lines: DataFrame, renames: dict[str, str]) -> DataFrame:
     """A revision with headings renamed."""
     text = F.col("text")

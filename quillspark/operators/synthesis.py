@@ -312,23 +312,46 @@ def action_check(actions: DataFrame, changes: DataFrame) -> DataFrame:
 
 # Definitions
 
-DEFINITION = r"\s*(?:is|are|means|denotes|refers to|is defined as)\b"
+# What stands behind a term that is defined, and what a heading looks like.
+DEFINITION = r"(?:\s+(?:is|are)\s+(?:a|an|the)\b|\s+(?:means|denotes|refers to|is defined as|shall mean)\b)"
+TITLED = r"^\s*(\d+(\.\d+)*[.\s]|Appendix|Annex)"
+HOW = ("has its own heading", "glossary entry", "definition sentence", "definition list entry")
 
 
 def definitions(terms: DataFrame, lines: DataFrame) -> DataFrame:
-    """How a document defines a term: by a heading, a sentence or a list entry; null if it doesn't. One pass over the lines."""
-    low, term = F.lower("text"), F.lower("term")
-    heads = F.ltrim("text").startswith("#") | F.col("text").rlike(r"^\s*(\d+(\.\d+)*[.\s]|Appendix|Annex)")
-    quoted = F.concat(F.lit("\\Q"), term, F.lit("\\E"))
+    """How each document (slug, line_no, text) defines each term (slug, term): by a heading, in its glossary, by a sentence or a list entry;
+    null if it doesn't. One pass over the lines; a sentence may go on in the next line. The first of the four ways counts.
+
+    Lines and terms meet by a word: a line has to hold the longest word of a term before it is looked at.
+    """
+    from quillspark.operators.sections import glossary_lines
+
+    w = W.partitionBy("slug").orderBy("line_no")
+    said = lines.select("slug", "line_no", "text", F.concat_ws(" ", "text", F.lead("text").over(w)).alias("on"), (F.ltrim("text").startswith("#") | F.col("text").rlike(TITLED)).alias("head"))
+    said = said.join(glossary_lines(lines).select("slug", "line_no", F.lit(True).alias("gloss")), ["slug", "line_no"], "left").withColumn("loose", T.loose(F.col("on")))
+    asked = terms.select("slug", "term", T.loose(F.col("term")).alias("l")).filter("l <> ''").distinct()
+    longest = F.array_max(F.transform(F.split("l", " "), lambda x: F.struct(F.char_length(x).alias("n"), x.alias("x"))))["x"]
+    asked = asked.withColumn("word", longest)
+    words = said.select("*", F.explode(F.array_distinct(F.split("loose", " "))).alias("part"))
+    # a term may begin and end inside of words, so a word that holds the longest one is enough; distinct words of a document are few
+    known = words.select("slug", "part").distinct().join(asked.select("slug", "word").distinct(), "slug").filter(F.contains("part", "word"))
+    met = words.join(known, ["slug", "part"]).select(*said.columns, "word").distinct().join(asked, ["slug", "word"])
+    own, low = F.contains(T.loose(F.col("text")), F.col("l")), F.lower("on")
+    needle = F.concat(F.lit("\\Q"), F.lower("term"), F.lit("\\E"))
     how = (
-        F.when(heads & F.contains(T.loose(F.col("text")), T.loose(F.col("term"))), 1)
-        .when(F.rlike(low, F.concat(quoted, F.lit(DEFINITION))), 2)
-        .when(F.rlike(low, F.concat(F.lit(r"^\s*"), quoted, F.lit(r"\s*[:—]"))), 3)
-    )
-    met = lines.join(small(terms), F.contains(T.loose(low), T.loose(F.col("term"))))
-    best = met.groupBy("term").agg(F.min(how).alias("h"))
-    named = F.when(F.col("h") == 1, "has its own heading").when(F.col("h") == 2, "definition sentence").when(F.col("h") == 3, "definition list entry")
-    return terms.join(best, "term", "left").select("term", named.alias("defined"))
+        F.when(F.col("head") & own, 1).when(F.col("gloss") & own, 2).when(F.rlike(low, F.concat(needle, F.lit(DEFINITION))), 3)
+        .when(F.rlike(F.lower("text"), F.concat(F.lit(r"^\s*"), needle, F.lit(r"\s*[:—]"))), 4)
+    )
+    best = met.groupBy("slug", "term").agg(F.min(how).alias("h"))
+    named = F.get(F.array(*[F.lit(x) for x in HOW]), F.col("h") - 1)
+    return terms.join(best, ["slug", "term"], "left").select("slug", "term", named.alias("defined"))
+
+
+def same_term(a: Column, b: Column, least: float = 0.6) -> Column:
+    """One contains the other as whole words, and isn't much shorter."""
+    x, y = T.loose(a), T.loose(b)
+    inside = F.contains(F.concat(F.lit(" "), x, F.lit(" ")), F.concat(F.lit(" "), y, F.lit(" "))) | F.contains(F.concat(F.lit(" "), y, F.lit(" ")), F.concat(F.lit(" "), x, F.lit(" ")))
+    return inside & (F.least(F.char_length(x), F.char_length(y)) >= least * F.greatest(F.char_length(x), F.char_length(y)))
 
 
 # Scores and labels
@@ -339,6 +362,34 @@ def moves(compared: DataFrame) -> DataFrame:
     return compared.groupBy("change").agg(F.count("*").alias("n"), F.sum("distance").alias("distance"))
 
 
+def run_diff(a: DataFrame, b: DataFrame, verdicts: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """Two runs (obligation, verdict, quote): one row of shared, identical, moved, quote_drift (the same verdict on another quote), only_a and only_b;
+    and for each verdict that either has: a, b and delta, in the order of verdicts."""
+    text = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    side = lambda df, n: df.select("obligation", text(F.col("verdict")).alias(f"v{n}"), text(F.col("quote")).alias(f"q{n}"))
+    both = side(a, "a").join(side(b, "b"), "obligation", "full_outer")
+    shared, equal = F.col("va").isNotNull() & F.col("vb").isNotNull(), F.col("va") == F.col("vb")
+    n = F.count_if
+    told = both.agg(
+        n(shared).alias("shared"), n(shared & equal).alias("identical"), n(shared & ~equal).alias("moved"), n(shared & equal & (F.col("qa") != F.col("qb"))).alias("quote_drift"),
+        n(F.col("vb").isNull()).alias("only_a"), n(F.col("va").isNull()).alias("only_b"),
+    )
+    counts = [df.groupBy("verdict").agg(F.count("*").alias(k)) for df, k in ((a, "a"), (b, "b"))]
+    deltas = counts[0].join(counts[1], "verdict", "full_outer").fillna(0, ["a", "b"]).filter(F.col("verdict").isin(*verdicts))
+    place = F.array_position(F.array(*[F.lit(v) for v in verdicts]), F.col("verdict"))
+    return told, deltas.select(place.cast("int").alias("place"), "verdict", "a", "b", (F.col("b") - F.col("a")).alias("delta"))
+
+
+def absence_scores(rows: DataFrame) -> DataFrame:
+    """Rows (verdict, absent) of labelled clauses: accuracy, recall and precision of unmet as a claim of absence, with the four counts. Partial and
+    unverifiable commit to nothing and count as present."""
+    claimed, absent = F.col("verdict") == "unmet", F.col("absent")
+    n = F.count_if
+    tp, fn, fp, tn = n(claimed & absent), n(~claimed & absent), n(claimed & ~absent), n(~claimed & ~absent)
+    share = lambda x, y: F.when(y > 0, x / y)
+    return rows.withColumn("verdict", F.coalesce("verdict", F.lit(""))).agg(tp.alias("tp"), fn.alias("fn"), fp.alias("fp"), tn.alias("tn"), share(tp + tn, tp + fn + fp + tn).alias("accuracy"), share(tp, tp + fn).alias("recall"), share(tp, tp + fp).alias("precision"))
+
+
 def survivors(rows: DataFrame) -> DataFrame:
     """(status, real): kept and killed, real and false, precision before and after."""
     kept = F.col("status").isin("confirmed", "contested")
@@ -369,6 +420,16 @@ def blind_sections(retrieved: DataFrame, chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("section").agg(F.count("*").alias("chunks")).join(seen, "section", "left").fillna({"seen_by": 0})
 
 
+def blind_obligations(retrieved: DataFrame, chunks: DataFrame) -> DataFrame:
+    """query_id, seen, named, sections and blind of every query (query_id, chunk_id) over chunks (chunk_id, heading): how many chunks it saw, how many of
+    them under a numbered section, which top sections these are, and whether there is none: what is unmet from there says nothing of the document."""
+    number = F.regexp_extract(F.trim("heading"), r"^(\d+)(?:\.\d+)*[.\s]\s*\S", 1)
+    met = retrieved.select("query_id", "chunk_id").distinct().join(chunks.select("chunk_id", number.alias("top")), "chunk_id")
+    named = F.col("top") != ""
+    each = met.groupBy("query_id").agg(F.count("*").alias("seen"), F.count_if(named).alias("named"), F.collect_set(F.when(named, F.col("top").try_cast("long"))).alias("s"))
+    return each.select("query_id", "seen", "named", F.array_join(F.transform(F.array_sort("s"), lambda x: x.cast("string")), ", ").alias("sections"), (F.col("named") == 0).alias("blind"))
+
+
 def harshest(labels: DataFrame, order: tuple[str, ...]) -> DataFrame:
     """(id, position, label): the harshest label wins, the first one on a tie."""
     rank = F.array_position(F.array(*[F.lit(x) for x in order]), F.col("label"))
@@ -382,13 +443,6 @@ def matched_controls(rows: DataFrame, per: int = 2) -> DataFrame:
     return rows.withColumn("n", count).withColumn("r", place).filter(F.col("positive") | (F.col("r") <= per * F.col("n"))).select("letter", "id", "positive")
 
 
-def same_term(a: Column, b: Column, least: float = 0.6) -> Column:
-    """One contains the other as whole words, and isn't much shorter."""
-    x, y = T.loose(a), T.loose(b)
-    inside = F.contains(F.concat(F.lit(" "), x, F.lit(" ")), F.concat(F.lit(" "), y, F.lit(" "))) | F.contains(F.concat(F.lit(" "), y, F.lit(" ")), F.concat(F.lit(" "), x, F.lit(" ")))
-    return inside & (F.least(F.char_length(x), F.char_length(y)) >= least * F.greatest(F.char_length(x), F.char_length(y)))
-
-
 def widen_terms(hits: DataFrame, most: int) -> DataFrame:
     """(id, term, line): terms of each finding whose lines together fit; the widest are dropped first.
 

@@ -140,6 +140,40 @@ def g13_moves(spark, sf):
     return S.moves(J.compare_runs(side("a"), side("b"), scale=COVERAGE))
 
 
+@query(f"""WITH {JUDGED}, x AS (SELECT id, a, b, id % 3 AS q, id % 2 AS p FROM judged) SELECT count(*) FILTER (id % 7 > 0 AND id % 5 > 0) AS shared, count(*) FILTER (id % 7 > 0 AND id % 5 > 0 AND a = b) AS identical, count(*) FILTER (id % 7 > 0 AND id % 5 > 0 AND a <> b) AS moved,
+ count(*) FILTER (id % 7 > 0 AND id % 5 > 0 AND a = b AND q <> p) AS quote_drift, count(*) FILTER (id % 7 > 0 AND id % 5 = 0) AS only_a, count(*) FILTER (id % 7 = 0 AND id % 5 > 0) AS only_b FROM x""")
+def g13_run_diff(spark, sf):
+    """Two runs of the orders, of which each leaves some out: what agrees, moves, and rests on another quote."""
+    rows = R.judged(spark, sf)
+    a = rows.filter("id % 7 > 0").selectExpr("id AS obligation", "a AS verdict", "concat(' q', id % 3) AS quote")
+    b = rows.filter("id % 5 > 0").selectExpr("id AS obligation", "b AS verdict", "concat('q', id % 2, ' ') AS quote")
+    return S.run_diff(a, b, COVERAGE.values + COVERAGE.off)[0]
+
+
+@query(f"""WITH {JUDGED}, x AS (SELECT a, (SELECT count(*) FROM judged j WHERE j.b = v.a) AS nb, count(*) AS na FROM judged v GROUP BY a) SELECT a AS verdict, na AS a, nb AS b, nb - na AS delta FROM x""")
+def g13_verdict_deltas(spark, sf):
+    rows = R.judged(spark, sf)
+    side = lambda c: rows.select(F.col("id").alias("obligation"), F.col(c).alias("verdict"), F.lit("").alias("quote"))
+    return S.run_diff(side("a"), side("b"), ("unmet", "partial", "met"))[1].drop("place")
+
+
+@query(f"""WITH {JUDGED}, x AS (SELECT count(*) FILTER (a = 'unmet' AND b = 'unmet') AS tp, count(*) FILTER (a <> 'unmet' AND b = 'unmet') AS fn, count(*) FILTER (a = 'unmet' AND b <> 'unmet') AS fp, count(*) FILTER (a <> 'unmet' AND b <> 'unmet') AS tn FROM judged)
+ SELECT tp, fn, fp, tn, round((tp + tn) / (tp + fn + fp + tn), 6) AS accuracy, round(tp / (tp + fn), 6) AS recall, round(tp / (tp + fp), 6) AS precision FROM x""")
+def g18_absence(spark, sf):
+    """One judge's unmet as a claim of absence, held against the other's."""
+    told = S.absence_scores(R.judged(spark, sf).select(F.col("a").alias("verdict"), (F.col("b") == "unmet").alias("absent")))
+    return told.select("tp", "fn", "fp", "tn", *[F.round(c, 6).alias(c) for c in ("accuracy", "recall", "precision")])
+
+
+@query("""WITH s AS (SELECT DISTINCT l_orderkey AS q, l_partkey AS c FROM lineitem), x AS (SELECT q, CASE WHEN p_partkey % 3 = 0 THEN p_size END AS top FROM s JOIN part ON p_partkey = c)
+ SELECT q AS query_id, count(*) AS seen, count(top) AS named, coalesce(array_to_string(list_sort(list(DISTINCT top) FILTER (top IS NOT NULL)), ', '), '') AS sections, count(top) = 0 AS blind FROM x GROUP BY q""")
+def g27_blind_obligations(spark, sf):
+    """Orders as obligations that saw parts as chunks: whether one of them stands under a numbered section."""
+    seen = R.table(spark, sf, "lineitem").selectExpr("l_orderkey AS query_id", "l_partkey AS chunk_id")
+    chunks = R.table(spark, sf, "part").selectExpr("p_partkey AS chunk_id", "CASE p_partkey % 3 WHEN 0 THEN concat(' ', p_size, '.2 ', p_name) WHEN 1 THEN p_name ELSE concat(p_size, '% of it') END AS heading")
+    return S.blind_obligations(seen, chunks)
+
+
 LOOSE = "list_distinct(list_filter(string_split(trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> ''))"
 
 
@@ -171,10 +205,17 @@ def f29_matched_controls(spark, sf):
     return S.matched_controls(R.table(spark, sf, "orders").select(F.col("o_custkey").alias("letter"), F.col("o_orderkey").alias("id"), F.col("o_orderpriority").startswith("1").alias("positive")))
 
 
-@query(f"""WITH {LINES}, t(id, term) AS (VALUES (0, 'the'), (1, 'idiot'), (2, 'zzz')) SELECT term, CASE WHEN term <> 'zzz' THEN CASE WHEN EXISTS (SELECT 1 FROM lines WHERE regexp_matches(lower(text), term || '\\s*(?:is|are|means|denotes|refers to|is defined as)\\b')) THEN 'definition sentence' END END AS defined FROM t""")
+# Of fourteen lines of a document the second is a heading, the fourth a glossary's, the eighth the next one, the tenth a sentence, the twelfth an entry.
+TERMED = "CASE line_no % 14 WHEN 2 THEN '# Alpha ' || slug || ' unit' WHEN 4 THEN '# Glossary' WHEN 5 THEN 'beta-' || slug || ' store' WHEN 8 THEN '# End' WHEN 10 THEN 'The Gamma ' || slug || ' is a' WHEN 12 THEN 'delta ' || slug || ' :' ELSE '-' END"
+
+
+@query(f"""WITH {LINES}, n AS (SELECT slug, max(line_no) AS n FROM lines GROUP BY slug), k(i, least, term, how) AS (VALUES (1, 2, 'alpha ', 'has its own heading'), (2, 5, 'Beta ', 'glossary entry'), (3, 10, 'gamma ', 'definition sentence'), (4, 12, 'DELTA ', 'definition list entry'), (5, 0, 'epsilon ', NULL))
+ SELECT slug, term || slug AS term, CASE WHEN n >= least THEN how END AS defined FROM n, k""")
 def e12_definitions(spark, sf):
-    terms = spark.createDataFrame([("the",), ("idiot",), ("zzz",)], "term string")
-    return S.definitions(terms, R.lines(spark, sf))
+    """Every document's five terms: by heading, glossary, sentence, list entry, and one that it doesn't define."""
+    rows = R.lines(spark, sf).withColumn("text", F.expr(TERMED))
+    terms = rows.select("slug").distinct().select("slug", F.explode(F.array(*[F.concat(F.lit(x), F.col("slug").cast("string")) for x in ("alpha ", "Beta ", "gamma ", "DELTA ", "epsilon ")])).alias("term"))
+    return S.definitions(terms, rows)
 
 
 @query("""WITH h AS (SELECT DISTINCT p_brand AS id, p_type AS term, p_partkey % 50 AS line FROM part), w AS (SELECT id, term, count(*) AS width FROM h GROUP BY ALL),

@@ -115,5 +115,63 @@ def test_labels(spark):
     assert S.harshest(labels, ("ok", "bad")).first()["label"] == "bad"
     same = lambda a, b: spark.range(1).select(S.same_term(F.lit(a), F.lit(b))).first()[0]
     assert same("Alert Bus", "alert-bus") and not same("bus", "the big alert bus") and not same("bus", "busy")
-    assert rows(S.definitions(spark.createDataFrame([("Bus",), ("gate",), ("pump",)], "term string"), spark.createDataFrame([(1, "# The bus"), (2, "A gate is a door"), (3, "pump: moves water")], "line_no int, text string")), "term") == [
-        ("Bus", "has its own heading"), ("gate", "definition sentence"), ("pump", "definition list entry")]
+    text = ["# The bus", "A gate is a", "door", "pump: moves water", "## Glossary", "Flow-meter counts", "# End", "valve is stored in y", "an outlet means", "x"]
+    lines = spark.createDataFrame([("d", i, t) for i, t in enumerate(text, 1)] + [("e", 1, "bus is the thing")], "slug string, line_no int, text string")
+    terms = spark.createDataFrame([("d", t) for t in ("Bus", "gate", "pump", "flow meter", "valve", "outlet", "?")] + [("e", "bus"), ("e", "gate")], "slug string, term string")
+    assert {(r["slug"], r["term"]): r["defined"] for r in S.definitions(terms, lines).collect()} == {
+        ("d", "Bus"): "has its own heading", ("d", "gate"): "definition sentence", ("d", "pump"): "definition list entry", ("d", "flow meter"): "glossary entry", ("d", "valve"): None, ("d", "outlet"): "definition sentence", ("d", "?"): None,
+        ("e", "bus"): "definition sentence", ("e", "gate"): None}
+
+
+def test_letters_keep_their_last_comment_apart(spark):
+    from quillspark.operators import sections as P
+
+    letter = ["Dear Ms. Doe:", "1.  First comment about", "18. Please revise it.", "2.  Second one.", "3.  Third. We reissue it.", "We remind you that you are responsible.", "Sincerely, Mr. Wong"]
+    rows_ = [("a", i, t) for i, t in enumerate(letter)] + [("b", i, t) for i, t in enumerate([*letter[:5], "Please contact us. We reissue prior comment 4."])]
+    got = {(r["slug"], r["number"]): r["body"] for r in P.letter_outline(spark.createDataFrame(rows_, "slug string, line_no int, text string")).collect()}
+    assert got["a", 1] == "First comment about 18. Please revise it." and got["a", 3] == "Third. We reissue it."
+    assert got["b", 3] == "Third. We reissue it. Please contact us. We reissue prior comment 4."
+
+
+def test_rulings_of_other_letters_and_titles(spark):
+    from quillspark.operators import sections as P
+
+    said = [
+        ("a", 1, "2023-11-29", "We note your response to prior comment 5 of our letter dated November 29, 2023. We reissue it in part."),
+        ("a", 2, "2023-11-29", "See prior comment 9 of our letter dated March 14, 2023. Please revise."), ("a", 3, "2023-11-29", "In response to comment 7, you say that Mr. Wong left. We resissue the comment in its entirety."),
+        ("a", 4, "2023-11-29", "We note prior comments six and 8. Tell us why the audit report was reissued."), ("a", 5, "2023-11-29", "We reissue prior comment 3 of our letter dated March 14, 2023. Prior comment 1 is noted."),
+    ]
+    got = P.rulings(spark.createDataFrame(said, "slug string, number int, first string, body string"))
+    assert {r["prior"]: r["verdict"] for r in got.collect()} == {5: "partial", 7: "not_addressed", 6: "addressed", 8: "addressed", 1: "addressed"}
+
+
+def test_a_table_goes(spark):
+    from quillspark.operators import sections as P
+
+    text = ["## A", "", "| a | b |", "|---|---|", "| 1 | 2 |", "after", "| other |", "## B", "", "| b |"]
+    got = P.without_table(spark.createDataFrame([("d", i, t) for i, t in enumerate(text)], "slug string, line_no int, text string"), "## A", "Gone.")
+    assert [r["text"] for r in got.orderBy("line_no").collect()] == ["## A", "", "Gone.", "after", "| other |", "## B", "", "| b |"]
+
+
+def test_what_two_runs_differ_in(spark):
+    schema = "obligation string, verdict string, quote string"
+    a = spark.createDataFrame([("1", "met", "x "), ("2", "met", "y"), ("3", "unmet", ""), ("4", "met", "z")], schema)
+    b = spark.createDataFrame([("1", "met", "x"), ("2", "met", "other"), ("3", "partial", None), ("5", "met", "z")], schema)
+    told, deltas = S.run_diff(a, b, ("unmet", "partial", "met"))
+    assert tuple(told.first()) == (3, 2, 1, 1, 1, 1) and rows(deltas, "place") == [(1, "unmet", 1, 0, -1), (2, "partial", 0, 1, 1), (3, "met", 3, 3, 0)]
+    scores = S.absence_scores(spark.createDataFrame([("unmet", True), ("partial", True), ("unmet", False), ("met", False), (None, False)], "verdict string, absent boolean")).first()
+    assert tuple(scores) == (1, 1, 1, 2, 0.6, 0.5, 0.5)
+
+
+def test_open_questions(spark):
+    from quillspark.functions import text as T
+
+    runs = F.array(*[F.struct(F.lit(a).alias("first"), F.lit(b).alias("last")) for a, b in ((1, 1), (3, 5), (7, 8), (20, 29))])
+    parts = F.array(*[F.struct(F.lit(h).alias("heading"), F.lit("d:1").alias("locator")) for h in "abcd"])
+    key = lambda k, n: F.struct(F.lit(k).alias("kind"), F.lit(n).alias("number"))
+    names = lambda *x: F.array(*[F.lit(y) for y in x])
+    got = spark.range(1).select(
+        T.line_question(runs, "could own it"), T.open_question(parts, "unread"), T.spelled(key("section", "3.1")), T.spelled(key("appendix", "b")),
+        T.numbers_sections(F.lit("9"), names("1", "2")), T.numbers_sections(F.lit("3.7"), names("3.1")), T.numbers_sections(F.lit("3"), names("3", "9")),
+    ).first()
+    assert list(got) == ["a line that is in no section could own it: 1, 3-5, 7-8, and 10 more", "unread: a (d:1); b (d:1); c (d:1); and 1 more", "3.1", "Appendix B", True, True, False]
