@@ -212,15 +212,16 @@ def f01_contains(spark, sf):
     return J.contains_join(R.lines(spark, sf), term_table(spark)).select("id", "slug", "line_no").distinct()
 
 
-@query("""WITH terms(id, term) AS (VALUES (1, 'Flood model'), (2, 'behaviour of flood')), lex(term, variant) AS (VALUES ('flood', 'Surge'), ('behaviour', 'behavior'), ('flood model', 'hydraulics')),
+@query("""WITH terms AS (SELECT p_partkey AS id, upper(p_name) AS term FROM part), lex AS (SELECT DISTINCT split_part(p_name, ' ', 2) AS term, p_type AS variant FROM part UNION SELECT DISTINCT p_name, p_brand FROM part),
  l AS (SELECT id, lower(term) AS term FROM terms), p AS (SELECT id, regexp_extract_all(term, '\\w+|\\W+') AS p FROM l),
  e AS (SELECT id, p, unnest(range(1, len(p) + 1)) AS i FROM p)
  SELECT id, term FROM l UNION SELECT id, lower(variant) FROM l JOIN lex USING (term)
  UNION SELECT id, array_to_string(list_concat(list_concat(p[:i-1], [lower(variant)]), p[i+1:]), '') FROM e JOIN lex ON lex.term = p[i]""")
 def f02_expand_terms(spark, sf):
-    terms = spark.createDataFrame([(1, "Flood model"), (2, "behaviour of flood")], "id int, term string")
-    lexicon = spark.createDataFrame([("flood", "Surge"), ("behaviour", "behavior"), ("flood model", "hydraulics")], "term string, variant string")
-    return J.expand_terms(terms, lexicon)
+    """Parts' names with the variants of their second word (types) and of the whole name (brands)."""
+    part = R.table(spark, sf, "part")
+    lexicon = part.select(F.split("p_name", " ")[1].alias("term"), F.col("p_type").alias("variant")).unionByName(part.select(F.col("p_name").alias("term"), F.col("p_brand").alias("variant"))).distinct()
+    return J.expand_terms(part.select(F.col("p_partkey").alias("id"), F.upper("p_name").alias("term")), lexicon)
 
 
 PAIR = f"""CASE WHEN a = '' AND b = '' THEN 'UNRANKABLE' WHEN a = '' OR b = '' THEN 'ONE JUDGE ONLY' WHEN a = b THEN 'AGREE'

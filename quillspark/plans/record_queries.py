@@ -306,13 +306,13 @@ def h05_reading_rank(spark, sf):
     return R.judged(spark, sf).select("id", N.reading_rank(F.col("b"), COVERAGE).alias("rank"))
 
 
-@query(f"""WITH {JUDGED}, a AS (SELECT -1 AS k1, -CAST(o_custkey AS DOUBLE) AS k2, 'convergent cluster' AS class, 'cluster-' || o_custkey AS id, count(*) || ' obligations, strength ' || CAST(CAST(o_custkey AS DOUBLE) AS VARCHAR) AS status, 'c' || o_custkey AS statement FROM orders WHERE o_custkey % 100 = 0 GROUP BY o_custkey),
+@query(f"""WITH {JUDGED}, a AS (SELECT -1 AS k1, -CAST(o_custkey AS DOUBLE) AS k2, 'convergent cluster' AS class, 'cluster-' || o_custkey AS id, count(*) || ' obligations, strength ' || CAST(CAST(o_custkey AS DOUBLE) AS VARCHAR) AS status, 'c' || o_custkey AS statement FROM orders GROUP BY o_custkey),
  b AS (SELECT CASE a WHEN 'unmet' THEN 0 WHEN 'partial' THEN 1 WHEN 'unverifiable' THEN 2 WHEN 'met' THEN 3 ELSE 9 END AS k1, 0.0 AS k2, 'coverage' AS class, CAST(id AS VARCHAR) AS id, a AS status, 'o' || id AS statement FROM judged),
  t AS (SELECT p_name AS term, count(*) AS uses, min(p_partkey) AS position FROM part GROUP BY 1), c AS (SELECT 4 AS k1, -CAST(uses AS DOUBLE) AS k2, 'undefined term' AS class, '' AS id, 'used ' || uses || 'x' AS status, term AS statement FROM t ORDER BY uses DESC, position LIMIT 40),
  u AS (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c) SELECT CAST(row_number() OVER (ORDER BY k1, k2, class, id, statement) AS INTEGER) AS place, class, id, status, statement FROM u""")
 def h06_bundle(spark, sf):
     orders = R.table(spark, sf, "orders")
-    clusters = orders.filter("o_custkey % 100 = 0").groupBy("o_custkey").agg(F.count("*").alias("members")).selectExpr("o_custkey AS rank", "cast(o_custkey AS double) AS strength", "members", "concat('c', o_custkey) AS text")
+    clusters = orders.groupBy("o_custkey").agg(F.count("*").alias("members")).selectExpr("o_custkey AS rank", "cast(o_custkey AS double) AS strength", "members", "concat('c', o_custkey) AS text")
     terms = R.table(spark, sf, "part").groupBy(F.col("p_name").alias("term")).agg(F.count("*").alias("uses"), F.min("p_partkey").alias("position"))
     return N.bundled(R.judged(spark, sf).selectExpr("id", "a AS verdict", "concat('o', id) AS text"), terms, clusters, COVERAGE)
 
@@ -402,9 +402,9 @@ def j28_section_refs(spark, sf):
     return rows.select("id", F.array_join(P.section_signs(F.col("cell")), "|").alias("signs"), F.array_join(F.array_sort(P.sections_named(F.col("cell"))), "|").alias("named"))
 
 
-@query("""SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN array_to_string(range(p_size, p_size + 4), ' ') WHEN 1 THEN '3 4 ' || p_size WHEN 2 THEN '5 7' ELSE p_size || ' ' || CASE WHEN p_size > 2 THEN '2' ELSE array_to_string(range(p_size + 1, 3), ' ') END END AS numbers FROM part WHERE NOT (p_partkey % 4 = 3 AND p_size = 2)""")
+@query("""SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN array_to_string(range(p_size, p_size + 4), ' ') WHEN 1 THEN '3 4 ' || p_size WHEN 2 THEN '5 7' ELSE p_size || ' ' || CASE WHEN p_size >= 2 THEN '2' ELSE array_to_string(range(p_size + 1, 3), ' ') END END AS numbers FROM part""")
 def j27_comment_numbers(spark, sf):
-    rows = R.table(spark, sf, "part").filter("NOT (p_partkey % 4 = 3 AND p_size = 2)").selectExpr("p_partkey AS id", "CASE p_partkey % 4 WHEN 0 THEN concat(p_size, ' through ', p_size + 3) WHEN 1 THEN concat('3, 4 and ', p_size) WHEN 2 THEN 'Five and seven' ELSE concat(p_size, '-2') END AS x")
+    rows = R.table(spark, sf, "part").selectExpr("p_partkey AS id", "CASE p_partkey % 4 WHEN 0 THEN concat(p_size, ' through ', p_size + 3) WHEN 1 THEN concat('3, 4 and ', p_size) WHEN 2 THEN 'Five and seven' ELSE concat(p_size, '-2') END AS x")
     return rows.select("id", F.array_join(F.transform(T.comment_numbers(F.col("x")), lambda n: n.cast("string")), " ").alias("numbers"))
 
 
@@ -477,9 +477,12 @@ def j30_coerced(spark, sf):
     return told.select("id", "verdict", COVERAGE.rank(F.col("verdict")).alias("rank"), COVERAGE.label(F.col("verdict")).alias("label"))
 
 
-@query("SELECT value, CAST(rank AS INTEGER) AS rank, off_scale, label FROM (VALUES ('unmet', 0, false, 'Unmet'), ('partial', 1, false, 'Partial'), ('met', 2, false, 'Met'), ('unverifiable', NULL, true, 'Unverifiable'), ('not_applicable', NULL, true, 'Not applicable')) t(value, rank, off_scale, label)")
+@query(f"""WITH {JUDGED}, t(value, rank, off_scale, label) AS (VALUES ('unmet', 0, false, 'Unmet'), ('partial', 1, false, 'Partial'), ('met', 2, false, 'Met'), ('unverifiable', NULL, true, 'Unverifiable'), ('not_applicable', NULL, true, 'Not applicable'))
+ SELECT value, CAST(rank AS INTEGER) AS rank, off_scale, label, count(b) AS n FROM t LEFT JOIN judged ON b = value GROUP BY ALL""")
 def a25_scale_table(spark, sf):
-    return COVERAGE.table(spark)
+    """The scale's dimension with how many of the second judge's verdicts have each value."""
+    n = R.judged(spark, sf).groupBy(F.col("b").alias("value")).agg(F.count("*").alias("n"))
+    return F.broadcast(COVERAGE.table(spark)).join(n, "value", "left").fillna(0, ["n"])
 
 
 # 2.A: files whose rows are text
@@ -504,8 +507,9 @@ HEADED = "CASE line_no % 5 WHEN 0 THEN '## ' || {w} || ' ##' WHEN 1 THEN '4.' ||
 @query(f"""WITH {LINES}, h AS (SELECT slug, line_no, CASE line_no % 5 WHEN 0 THEN split_part(text, ' ', 1) || ' ##' WHEN 1 THEN '4.' || (line_no % 3) || ' ' || split_part(text, ' ', 1) || ' here' WHEN 3 THEN 'Appendix B of it' END AS heading FROM lines WHERE line_no % 5 < 4)
  SELECT slug, min(line_no) AS line_no, trim(regexp_replace(heading, '\\s+', ' ', 'g')) AS heading FROM h WHERE heading IS NOT NULL AND length(heading) < 80 GROUP BY slug, trim(regexp_replace(heading, '\\s+', ' ', 'g'))""")
 def d08_headings(spark, sf):
-    """Four of five lines are made headings or entries of contents; the fifth stays."""
-    rows = R.lines(spark, sf).withColumn("text", F.expr(HEADED.format(w="split_part(text, ' ', 1)"))).filter("line_no % 5 < 4")
+    """Four of five lines are made headings or entries of contents; the fifth is made an item of a list."""
+    told = F.when(F.col("line_no") % 5 == 4, F.concat(F.lit("- "), "text")).otherwise(F.expr(HEADED.format(w="split_part(text, ' ', 1)")))
+    rows = R.lines(spark, sf).withColumn("text", told)
     return L.heading_texts(rows).select("slug", "line_no", "heading")
 
 
