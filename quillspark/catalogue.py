@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quillspark.plans import adversarial_queries as _adversarial  # noqa: F401
 from quillspark.plans import inventory_queries as _inventories  # noqa: F401
 from quillspark.plans import more_queries as _more  # noqa: F401  (it adds its own to the same tables)
 from quillspark.plans import queries as _plans

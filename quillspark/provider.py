@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import cache_key
+from quillspark.operators.durable import written
 
 
 class ModelProvider(Protocol):
@@ -77,7 +78,7 @@ def ask_cached(prompts: DataFrame, provider: ModelProvider, path: str, **options
     known = spark.read.schema("key string, answer string").parquet(path) if exists(spark, path) else None
     keyed = prompts.withColumn("key", cache_key(F.lit(provider.name), "system", "user"))
     fresh = prompts if known is None else keyed.join(known.select("key"), "key", "left_anti").select(*prompts.columns)
-    told = ask_all(fresh, provider, **options).persist()
+    told = written(ask_all(fresh, provider, **options), "answers")
     append_new(told.filter("answer IS NOT NULL").select("key", "answer"), path, ["key"])
     good = spark.read.schema("key string, answer string").parquet(path) if exists(spark, path) else spark.createDataFrame([], "key string, answer string")
     failed = told.filter("answer IS NULL").select("key", F.col("status").alias("_s"), F.col("error").alias("_e")).dropDuplicates(["key"])
@@ -132,6 +133,22 @@ def embed_all(texts: DataFrame, embed: Callable[[list[str]], list[list[float]]],
     return texts.select("id", "text").join(wanted.mapInPandas(run, "text string, embedding array<double>, error string"), "text", "left").select("id", "embedding", "error")
 
 
+def embed_cached(texts: DataFrame, embed: Callable[[list[str]], list[list[float]]], model: str, path: str, **options) -> DataFrame:
+    """embed_all() with a table of vectors at path by model and text: known ones aren't embedded, new ones are written there, failures aren't."""
+    from quillspark.sources.files import append_new, exists
+
+    spark, schema = texts.sparkSession, "key string, embedding array<double>"
+    keyed = texts.select("id", "text", F.sha2(F.concat(F.lit(f"{model}\0"), "text"), 256).alias("key"))
+    known = spark.read.schema(schema).parquet(path) if exists(spark, path) else None
+    fresh = keyed if known is None else keyed.join(known.select("key"), "key", "left_anti")
+    wanted = fresh.filter("text IS NOT NULL").dropDuplicates(["key"]).select(F.col("key").alias("id"), "text")
+    told = written(embed_all(wanted, embed, **options), "vectors").withColumnRenamed("id", "key")
+    append_new(told.filter("embedding IS NOT NULL").select("key", "embedding"), path, ["key"])
+    good = spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
+    failed = told.filter("embedding IS NULL").select("key", "error")
+    return keyed.select("id", "key").join(good, "key", "left").join(failed, "key", "left").select("id", "embedding", "error")
+
+
 class Truncated(Exception):
     """A reply that the token budget cut off."""
 
