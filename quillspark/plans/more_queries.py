@@ -10,7 +10,7 @@ from quillspark.operators import lines as L
 from quillspark.operators import pointers as P
 from quillspark.operators import synthesis as S
 from quillspark.plans import relations as R
-from quillspark.plans.queries import JUDGED, LINES, READINGS, query, term_table
+from quillspark.plans.queries import JUDGED, LINES, READINGS, REVISIONS, query, term_table
 
 # Pointers of ten forms, and what each of them names.
 POINTERS = """CASE (l_orderkey + l_linenumber) % 10 WHEN 0 THEN 'see Sections ' || l_suppkey || ', ' || (l_suppkey + 1) || ', and ' || (l_suppkey + 2) WHEN 1 THEN 'Section ' || l_suppkey || '.2 to ' || l_suppkey || '.5'
@@ -262,13 +262,21 @@ def d12_outline(spark, sf):
     return S.outline(docs)
 
 
-@query()
+@query(f"""WITH {REVISIONS}, c AS (SELECT t.id, (SELECT count(*) FROM o WHERE o.id = t.id) AS old_lines, (SELECT count(*) FROM w WHERE w.id = t.id) AS new_lines FROM terms t),
+ s AS (SELECT id, CASE WHEN old_lines > 120 OR new_lines > 120 THEN 'TOO BROAD' WHEN old_lines + new_lines = 0 THEN 'STILL ABSENT' WHEN new_lines = 0 THEN 'REMOVED' WHEN old_lines = 0 THEN 'ADDED'
+ WHEN (SELECT list(trim(regexp_replace(text, '\\s+', ' ', 'g')) ORDER BY n) FROM o WHERE o.id = c.id) = (SELECT list(trim(regexp_replace(text, '\\s+', ' ', 'g')) ORDER BY n) FROM w WHERE w.id = c.id) THEN 'UNCHANGED' ELSE 'CHANGED' END AS state FROM c)
+ SELECT 'closure' AS part, state AS what, count(*) AS n FROM s GROUP BY state
+ UNION ALL SELECT 'drift', CASE doc_id % 20 WHEN 3 THEN 'never frozen' WHEN 4 THEN 'gone' ELSE 'as frozen' END, count(*) FROM documents GROUP BY ALL
+ UNION ALL SELECT 'vocabulary', t.term, CAST(coalesce(sum(CASE WHEN contains(lower(text), term) THEN (length(lower(text)) - length(replace(lower(text), term, ''))) // length(term) END), 0) AS BIGINT) FROM terms t CROSS JOIN (SELECT text FROM lines WHERE slug % 20 <> 4) GROUP BY t.term""")
 def o03_review(spark, sf):
-    """The deterministic review of two revisions; its closure table. Revision 2 lacks every twentieth document's lines."""
-    from quillspark.operators.closure import closure
-
-    rows, terms = R.lines(spark, sf), term_table(spark)
-    number = (F.col("slug") * 100000 + F.col("line_no")).alias("line_no")
-    return closure(terms.select("id", F.lit(False).alias("absence")), terms, rows.select(number, "text"), rows.filter("slug % 20 <> 4").select(number, "text"))
+    """The deterministic review of two revisions of the corpus, each without a twentieth of the documents: closure states, drift and the terms' uses."""
+    from quillspark.plans.review import review
+
+    docs, terms = R.documents(spark, sf), term_table(spark)
+    lexicon = terms.select("term", F.col("term").alias("variant")).limit(0)
+    out = review(docs.filter("slug % 20 <> 3"), docs.filter("slug % 20 <> 4"), terms.select("id", F.lit(True).alias("absence")), terms, lexicon, terms.select("term"))
+    tally = lambda part, what: out[part].groupBy(F.lit(part).alias("part"), F.col(what).alias("what")).agg(F.count("*").alias("n"))
+    uses = out["vocabulary"].select(F.lit("vocabulary").alias("part"), F.col("term").alias("what"), F.col("uses").cast("long").alias("n"))
+    return tally("closure", "state").unionByName(tally("drift", "state")).unionByName(uses)
 
 

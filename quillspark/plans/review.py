@@ -17,6 +17,8 @@ def review(old: DataFrame, new: DataFrame, findings: DataFrame, terms: DataFrame
     """Without a model: drift, pointers, headings lost and gained, closure and vocabulary. old, new: (slug, text)."""
     a, b = lines.to_lines(old), lines.to_lines(new)
     expanded = joins.expand_terms(terms, lexicon)
+    # a line's place in a corpus is its document's and its own, so equal lines of two documents stay two
+    placed = lambda x: x.select(F.struct("slug", "line_no").alias("line_no"), "text")
     ha, hb = lines.heading_texts(a), lines.heading_texts(b)
     gone = ha.join(hb, "heading", "left_anti").select("heading", F.lit("removed").alias("change"))
     come = hb.join(ha, "heading", "left_anti").select("heading", F.lit("added").alias("change"))
@@ -25,7 +27,7 @@ def review(old: DataFrame, new: DataFrame, findings: DataFrame, terms: DataFrame
         "pointers": lines.unresolved_targets(b),
         "identifiers": lines.identifier_classes(lines.identifiers(b)),
         "headings": gone.unionByName(come),
-        "closure": closure.closure(findings, expanded, a, b),
+        "closure": closure.closure(findings, expanded, placed(a), placed(b)),
         "vocabulary": aggregates.term_counts(b, purpose),
     }
 
