@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
@@ -74,23 +74,36 @@ def _reach(near: np.ndarray) -> tuple[list[tuple[int, int]], list[int]]:
     return kept, reach
 
 
+def met_blocks(rows: DataFrame, key: str, dealt_by: Column, block: int = BLOCK) -> DataFrame:
+    """rows once for every two blocks (_a, _b) of their group that they are in one of (_own), so that each pair of rows of a group meets in one task.
+
+    A group is dealt to blocks of about block rows by a hash; a group of one block meets itself alone.
+    """
+    sizes = rows.groupBy(key).agg(F.count("*").alias("_n"))
+    blocks = F.ceil(F.col("_n") / block).cast("int")
+    dealt = rows.join(sizes, key).withColumn("_own", F.pmod(dealt_by, blocks).cast("int"))
+    each = dealt.select(*rows.columns, "_own", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("_other"))
+    return each.withColumn("_a", F.least("_own", "_other")).withColumn("_b", F.greatest("_own", "_other")).drop("_other")
+
+
+def units(vectors: list) -> np.ndarray:
+    """Vectors as rows of length 1; a zero vector stays."""
+    unit = np.array(vectors, float).reshape(len(vectors), -1)
+    size = np.linalg.norm(unit, axis=1, keepdims=True)
+    return np.divide(unit, size, out=np.zeros_like(unit), where=size > 0)
+
+
 def earlier_neighbours(rows: DataFrame, key: str, threshold: float, vector: str, block: int = BLOCK) -> DataFrame:
     """key, i and j: positions of rows of a group of cosine threshold or more, j before i, without those that others lead to.
 
     A group's rows are dealt to blocks of about block rows by a hash, and every two blocks meet in a task of their own. Of a
     clique of m rows about m * m / block neighbours are left, not m * m / 2: where i is near j and j leads to k, that i is near k says nothing new.
     """
-    sizes = rows.groupBy(key).agg(F.count("*").alias("_n"))
-    blocks = F.ceil(F.col("_n") / block).cast("int")
-    dealt = rows.select(key, "position", vector).join(sizes, key).withColumn("_own", F.pmod(F.xxhash64("position"), blocks).cast("int"))
-    met = dealt.select(key, "position", vector, "_own", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("_other"))
-    met = met.withColumn("_a", F.least("_own", "_other")).withColumn("_b", F.greatest("_own", "_other")).drop("_other")
+    met = met_blocks(rows.select(key, "position", vector), key, F.xxhash64("position"), block)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("position", kind="stable")
-        unit = np.array(pdf[vector].tolist(), float).reshape(len(pdf), -1)
-        size = np.linalg.norm(unit, axis=1, keepdims=True)
-        unit = np.divide(unit, size, out=np.zeros_like(unit), where=size > 0)
+        unit = units(pdf[vector].tolist())
         place, first = pdf["position"].to_numpy(), (pdf["_own"] == pdf["_a"].iloc[0]).to_numpy()
         parts = [(place[m], unit[m]) for m in (first, ~first)]
         out: list[tuple] = []

@@ -95,36 +95,44 @@ def register_hits(findings: DataFrame, rows: DataFrame, least: float = 0.62, dig
 BLOCK = 512
 
 
-def object_pairs(claims: DataFrame, least: float = 0.52, most: int = 4, vector: str = "embedding") -> DataFrame:
+def object_pairs(claims: DataFrame, least: float = 0.52, most: int = 4, vector: str = "embedding", block: int = BLOCK) -> DataFrame:
     """(slug, id, position, start, embedding of the object): each claim with the most later claims of its document whose objects are
     nearest, least or more, the earlier one on a tie. Claims that start on one line don't pair, and two starts pair once: at their first claim.
 
-    A document is one task's work; its claims are compared block by block, so a task holds BLOCK rows of similarities.
+    A document's claims meet block by block; a task keeps the most nearest ones of each claim, and only these are ranked.
     """
     import numpy as np
     import pandas as pd
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["position", "id"], kind="stable").reset_index(drop=True)
-        unit = np.array(pdf[vector].tolist(), float).reshape(len(pdf), -1)
-        size = np.linalg.norm(unit, axis=1, keepdims=True)
-        unit = np.divide(unit, size, out=np.zeros_like(unit), where=size > 0)
-        starts, ids = pdf["start"].to_numpy(), pdf["id"].tolist()
-        seen, out = set(), []
-        for at in range(0, len(pdf), BLOCK):
-            near = np.round(unit[at : at + BLOCK] @ unit.T, 6)
-            for i in range(at, min(at + BLOCK, len(pdf))):
-                own = near[i - at]
-                later = np.flatnonzero((own >= least) & (np.arange(len(pdf)) > i) & (starts != starts[i]))
-                for j in later[np.argsort(-own[later], kind="stable")][:most].tolist():
-                    pair = frozenset((starts[i], starts[j]))
-                    if pair not in seen:
-                        seen.add(pair)
-                        out.append((pdf["slug"].iloc[0], ids[i], ids[j], float(own[j])))
-        return pd.DataFrame(out, columns=["slug", "a", "b", "score"])
+    from quillspark.operators.graph import met_blocks, units
 
     kinds = {f.name: f.dataType.simpleString() for f in claims.schema}
-    return claims.select("slug", "id", "position", "start", vector).groupBy("slug").applyInPandas(run, f"slug {kinds['slug']}, a {kinds['id']}, b {kinds['id']}, score double")
+    met = met_blocks(claims.filter(F.col(vector).isNotNull()).select("slug", "id", "position", "start", vector), "slug", F.xxhash64("position", "id"), block)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["position", "id"], kind="stable").reset_index(drop=True)
+        unit, starts, mine = units(pdf[vector].tolist()), pdf["start"].to_numpy(), (pdf["_own"] == pdf["_a"]).to_numpy()
+        alone = mine.all()
+        at = np.arange(len(pdf))
+        left, right = [], []
+        for i in range(len(pdf)):
+            own = np.round(unit[i + 1 :] @ unit[i], 6)
+            fits = (own >= least) & (starts[i + 1 :] != starts[i])
+            later = at[i + 1 :][fits if alone else fits & (mine[i + 1 :] != mine[i])]
+            best = later[np.argsort(-own[later - i - 1], kind="stable")][:most]
+            left += [i] * len(best)
+            right += [(j, float(own[j - i - 1])) for j in best.tolist()]
+        j, score = [x for x, _ in right], [x for _, x in right]
+        column = lambda c, k: pd.Series([pdf[c].iloc[x] for x in k], dtype=object)
+        told = {f"{c}{n}": column(c, k) for n, k in (("a", left), ("b", j)) for c in ("id", "position", "start")}
+        return pd.DataFrame({"slug": column("slug", left), **told, "score": pd.Series(score, dtype=float)})
+
+    schema = ", ".join([f"slug {kinds['slug']}", *[f"{c}{n} {kinds[c]}" for n in "ab" for c in ("id", "position", "start")], "score double"])
+    near = met.groupBy("slug", "_a", "_b").applyInPandas(run, schema)
+    mine = W.partitionBy("slug", "positiona", "ida").orderBy(F.col("score").desc(), "positionb", "idb")
+    kept = near.withColumn("_r", F.row_number().over(mine)).filter(F.col("_r") <= most)
+    first = kept.groupBy("slug", F.least("starta", "startb").alias("_s"), F.greatest("starta", "startb").alias("_t")).agg(F.min(F.struct("positiona", "ida", "_r", "idb", "score")).alias("f"))
+    return first.select("slug", F.col("f.ida").alias("a"), F.col("f.idb").alias("b"), F.col("f.score").alias("score"))
 
 
 def joined_retrievers(*sources: DataFrame) -> DataFrame:

@@ -542,17 +542,6 @@ def k01_greedy_clusters(spark, sf):
     return G.greedy_groups(rows)
 
 
-@query(f"""WITH RECURSIVE w AS (SELECT p_brand AS grp, p_partkey AS id, list_distinct(list_filter(regexp_extract_all(lower(p_name || ' ' || p_type), '[a-z0-9]{{3,}}'), lambda x: x NOT IN ({CONCEPT}))) AS w FROM part),
- v AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY id) AS i FROM w WHERE len(w) > 0),
- r(grp, i, unions, label) AS (SELECT grp, 0, CAST([] AS VARCHAR[][]), CAST(-1 AS BIGINT) FROM v GROUP BY grp
-  UNION ALL SELECT grp, i, CASE WHEN h IS NULL THEN list_append(unions, w) ELSE list_concat(list_concat(unions[1:h-1], [list_distinct(list_concat(unions[h], w))]), unions[h+1:]) END, CAST(CASE WHEN h IS NULL THEN len(unions) ELSE h - 1 END AS BIGINT)
-  FROM (SELECT r.grp, CAST(v.i AS INTEGER) AS i, v.w, r.unions, nullif(list_position(list_transform(r.unions, lambda u: len(list_intersect(u, v.w)) >= 0.5 * least(len(u), len(v.w))), true), 0) AS h FROM r JOIN v ON v.grp = r.grp AND v.i = r.i + 1) q)
- SELECT v.grp, v.id, v.id AS position, CAST(r.label AS INTEGER) AS cluster FROM v JOIN r ON r.grp = v.grp AND r.i = v.i""")
-def k02_concept_groups(spark, sf):
-    rows = R.table(spark, sf, "part").select(F.col("p_brand").alias("grp"), F.col("p_partkey").alias("id"), F.col("p_partkey").alias("position"), F.concat_ws(" ", "p_name", "p_type").alias("label"))
-    return G.concept_groups(rows)
-
-
 @query()
 def k13_diffs(spark, sf):
     """Each document against its text without every fifth line."""

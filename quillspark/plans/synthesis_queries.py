@@ -76,6 +76,14 @@ def _inventory(spark, sf) -> dict[str, DataFrame]:
     }
 
 
+@query(f"""WITH RECURSIVE src AS (SELECT p_brand AS key, p_partkey AS id, p_name || ' ' || p_type AS label FROM part), {grouped('g', 'src')},
+ f AS (SELECT key, cluster AS first, row_number() OVER (PARTITION BY key ORDER BY cluster) - 1 AS n FROM (SELECT DISTINCT key, cluster FROM g)) SELECT g.key, g.id, CAST(f.n AS INTEGER) AS cluster FROM g JOIN f ON f.key = g.key AND f.first = g.cluster""")
+def k02_concept_groups(spark, sf):
+    """Parts of a brand by the cosine of their names' vectors, in rounds."""
+    rows = R.table(spark, sf, "part").select(F.col("p_brand").alias("key"), F.col("p_partkey").alias("id"), F.col("p_partkey").alias("position"), F.concat_ws(" ", "p_name", "p_type").alias("label"))
+    return S.concept_rows(rows, vectors(rows.select("label")))
+
+
 @query(f"WITH RECURSIVE {D5} SELECT slug, label, action, owners FROM dual")
 def k05_dual_owners(spark, sf):
     """Capabilities of a document by concept, then their actions: what two owners claim."""

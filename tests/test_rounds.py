@@ -91,3 +91,28 @@ def test_cycles_of_many_graphs(spark):
         got.setdefault(r["grp"], set()).add((tuple(r["nodes"]), tuple(r["path"])))
     assert got == {g: plain_cycles(e) for g, e in graphs.items() if plain_cycles(e)}
     assert any(got.values())
+
+
+def nearest_in_order(rows, least, most):
+    """The rule as it is told: claims in order, the nearest later ones of each, two starts once."""
+    seen, out = set(), []
+    unit = [np.array(v) / max(np.linalg.norm(v), 1e-300) for *_, v in rows]
+    for i, a in enumerate(rows):
+        near = sorted(((-round(float(unit[i] @ unit[j]), 6), j) for j in range(i + 1, len(rows)) if rows[j][3] != a[3] and round(float(unit[i] @ unit[j]), 6) >= least))
+        for score, j in near[:most]:
+            pair = frozenset((a[3], rows[j][3]))
+            if pair not in seen:
+                seen.add(pair)
+                out.append((a[0], a[1], rows[j][1], -score))
+    return out
+
+
+@pytest.mark.parametrize("block", [9, 400])
+def test_object_pairs_by_blocks(spark, block):
+    from quillspark.operators import records as N
+
+    rnd = np.random.default_rng(8)
+    docs = {d: [(d, f"{d}{i}", i, int(rnd.integers(0, 25)), rnd.normal(size=4).tolist()) for i in range(n)] for d, n in (("a", 70), ("b", 30), ("c", 1))}
+    df = spark.createDataFrame([r for own in docs.values() for r in own], "slug string, id string, position int, start int, embedding array<double>").repartition(6)
+    got = sorted((r["slug"], r["a"], r["b"], round(r["score"], 5)) for r in N.object_pairs(df, 0.5, 4, block=block).collect())
+    assert got == sorted((*x[:3], round(x[3], 5)) for own in docs.values() for x in nearest_in_order(own, 0.5, 4))
