@@ -3,85 +3,101 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 from pyspark.sql.window import Window as W
 
 from quillspark.functions import text as T
 from quillspark.operators.durable import written
-from quillspark.operators.joins import small
 
 # Prose and outline
 
-FENCE = re.compile(r"([ \t]*)(`{3,}|~{3,})(.*)")
-RAW_TAG = re.compile(r"(?i)\s*<(pre|script|style|textarea)\b")
-
+# What opens a block that isn't prose, and a marked heading.
+FENCE = r"^([ \t]*)(`{3,}|~{3,})(.*)$"
+RAW = r"^\s*<(pre|script|style|textarea)\b"
+MARKED = r"^ {0,3}(#{1,6})[ \t]+(\S.*)$"
+FRONT, FRONT_ENDS = "---", ("---", "...")
+# End of the fixed values.
+
+
+def ending_of(line: str) -> re.Pattern | None:
+    """The pattern of the line that ends the block which a line opens: a fence, a raw tag or a comment; None where it opens none."""
+    if found := re.match(FENCE, line):
+        mark = found[2]
+        if mark[0] == "~" or "`" not in found[3]:  # else it is a span of code
+            return re.compile(rf"[ \t]{{0,{len(found[1]) + 3}}}{mark[0]}{{{len(mark)},}}\s*\Z")
+        return None
+    raw = re.match(RAW, line, re.IGNORECASE)
+    closes = f"</{raw[1]}>" if raw else "-->" if line.lstrip().startswith("<!--") else None
+    if closes is None or closes.lower() in line.lower():
+        return None
+    return re.compile(rf"(?is).*{closes}")
+
+
+class Prose:
+    """Takes lines in order and says of each whether it is read: not where it stands in a fence, a raw block or a comment over lines."""
+
+    def __init__(self):
+        self.ending: re.Pattern | None = None
+
+    def reads(self, line: str) -> bool:
+        if self.ending is None:
+            self.ending = ending_of(line)
+            return self.ending is None
+        if self.ending.match(line):
+            self.ending = None
+        return False
+
+
+def prose(lines: DataFrame) -> DataFrame:
+    """Lines (slug, line_no, text) that Markdown reads: not front matter, fenced code, raw blocks (pre, script, style, textarea) or comments over
+    lines. Other raw HTML, a div for instance, is read.
+
+    Front matter is cut by the first line that closes it; then a table function takes a document's lines in order and keeps nothing but the open
+    block's end, so a document may have any number of lines.
+    """
+    kind = lines.schema["slug"].dataType.simpleString()
+    own = W.partitionBy("slug")
+    opens = F.max(F.when((F.col("line_no") == 1) & (F.col("text") == FRONT), 1)).over(own)
+    closed = F.min(F.when((F.col("line_no") > 1) & F.rtrim("text").isin(*FRONT_ENDS), F.col("line_no"))).over(own)
+    body = lines.select("slug", F.col("line_no").cast("int").alias("line_no"), F.coalesce("text", F.lit("")).alias("text"))
+    body = body.withColumn("_to", F.when(opens == 1, closed)).filter(F.col("line_no") > F.coalesce("_to", F.lit(0))).drop("_to")
 
-def _closer(line: str) -> Callable[[str], bool] | None:
-    """What ends the block that a line opens: a fence, a raw tag or a comment; None where it opens none."""
-    if fence := FENCE.match(line):
-        indent, mark, info = fence.groups()
-        if mark[0] == "`" and "`" in info:  # a code span
-            return None
+    class Reader:
+        def __init__(self):
+            self.prose = Prose()
 
-        def ends(x: str) -> bool:
-            m = FENCE.match(x)
-            return bool(m) and m[2][0] == mark[0] and len(m[2]) >= len(mark) and not m[3].strip() and len(m[1]) <= len(indent) + 3
+        def eval(self, row):
+            if self.prose.reads(row["text"]):
+                yield row["slug"], row["line_no"], row["text"]
 
-        return ends
-    if tag := RAW_TAG.match(line):
-        end = f"</{tag[1].lower()}>"
-        return None if end in line.lower() else lambda x: end in x.lower()
-    if line.lstrip().startswith("<!--") and "-->" not in line:
-        return lambda x: "-->" in x
-    return None
+    return F.udtf(Reader, returnType=f"slug {kind}, line_no int, text string")(body.asTable().partitionBy("slug").orderBy("line_no"))
 
 
-def prose_lines(lines: list[str]) -> list[int]:
-    """Numbers of the lines that Markdown reads: not front matter, fenced code, raw blocks (pre, script, style, textarea) or comments over lines.
+def outline(docs: DataFrame) -> DataFrame:
+    """Marked headings of (slug, text): line, depth, title, the line they end at, the line of the heading they stand under, and the place
+    (kind, number) that a title says it is, if any.
 
-    Other raw HTML, a div for instance, is read.
+    A heading ends before the next one that isn't deeper and stands under the last one that is higher: one running value for each
+    of the six depths, over the headings of a document.
     """
-    start = 0
-    if lines and lines[0] == "---":
-        start = next((n for n, x in enumerate(lines[1:], 2) if x.rstrip() in ("---", "...")), 0)
-    out: list[int] = []
-    ends = None
-    for number in range(start + 1, len(lines) + 1):
-        line = lines[number - 1]
-        if ends:
-            ends = None if ends(line) else ends
-            continue
-        ends = _closer(line)
-        if not ends:
-            out.append(number)
-    return out
-
-
-def outline(docs: DataFrame) -> DataFrame:
-    """Marked headings of (slug, text): line, depth, title, the line they end at and the heading they stand under."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for slug, text in zip(batch["slug"], batch["text"], strict=True):
-                lines = (text or "").splitlines()
-                marks = [(n, len(m[1]), m[2].strip().rstrip("#").strip()) for n in prose_lines(lines) if (m := re.match(r" {0,3}(#{1,6})[ \t]+(\S.*)$", lines[n - 1]))]
-                open_at: list[int] = []
-                ends, above = [len(lines)] * len(marks), [None] * len(marks)
-                for k, (n, depth, _) in enumerate(marks):
-                    while open_at and marks[open_at[-1]][1] >= depth:
-                        ends[open_at.pop()] = n - 1
-                    above[k] = marks[open_at[-1]][0] if open_at else None
-                    open_at.append(k)
-                rows += [(slug, n, d, t, e, o) for (n, d, t), e, o in zip(marks, ends, above, strict=True)]
-            yield pd.DataFrame(rows, columns=["slug", "line", "depth", "title", "end", "over_line"]).astype({"over_line": "Int64"})
-
-    return docs.select("slug", "text").mapInPandas(run, f"slug {docs.schema['slug'].dataType.simpleString()}, line int, depth int, title string, end int, over_line int")
+    from quillspark.operators.lines import to_lines
+    from quillspark.operators.pointers import heading_place
+
+    lines = written(to_lines(docs), "lines")
+    depth = F.char_length(F.regexp_extract("text", MARKED, 1))
+    title = F.trim(F.rtrim(F.trim(F.regexp_extract("text", MARKED, 2)), F.lit("#")))
+    marks = prose(lines).filter(F.col("text").rlike(MARKED)).select("slug", F.col("line_no").alias("line"), depth.alias("depth"), title.alias("title"))
+    w = W.partitionBy("slug").orderBy("line")
+    before, after = w.rowsBetween(W.unboundedPreceding, -1), w.rowsBetween(1, W.unboundedFollowing)
+    null = F.lit(None).cast("int")
+    over = F.greatest(null, null, *[F.when(F.col("depth") > d, F.max(F.when(F.col("depth") == d, F.col("line"))).over(before)) for d in range(1, 7)])
+    following = F.least(null, null, *[F.when(F.col("depth") >= d, F.min(F.when(F.col("depth") == d, F.col("line"))).over(after)) for d in range(1, 7)])
+    last = lines.groupBy("slug").agg(F.max("line_no").cast("int").alias("last"))
+    place = heading_place(F.col("title"), strict=True)
+    told = marks.withColumn("over_line", over).withColumn("_next", following).join(last, "slug")
+    return told.select("slug", "line", "depth", "title", F.coalesce(F.col("_next") - 1, "last").cast("int").alias("end"), "over_line", place["kind"].alias("kind"), place["number"].alias("number"))
 
 
 def marked_lines(lines: DataFrame, every: int = 10) -> DataFrame:

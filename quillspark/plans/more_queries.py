@@ -259,7 +259,7 @@ def d15_modal_sentences(spark, sf):
  SELECT slug, 1 AS line, 1 AS depth, 'One' AS title, n + 6 AS "end", CAST(NULL AS INTEGER) AS over_line FROM n UNION ALL SELECT slug, n + 2, 2, 'Two', n + 6, 1 FROM n UNION ALL SELECT slug, n + 7, 1, 'Three', n + 7, NULL FROM n""")
 def d12_outline(spark, sf):
     docs = R.documents(spark, sf).select("slug", F.concat(F.lit("# One\n"), "text", F.lit("\n## Two\nx\n```\n# no\n```\n# Three\n")).alias("text"))
-    return S.outline(docs)
+    return S.outline(docs).select("slug", "line", "depth", "title", "end", "over_line")
 
 
 @query(f"""WITH {REVISIONS}, c AS (SELECT t.id, (SELECT count(*) FROM o WHERE o.id = t.id) AS old_lines, (SELECT count(*) FROM w WHERE w.id = t.id) AS new_lines FROM terms t),

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 from quillspark.functions import text as T
 from quillspark.functions.scale import COVERAGE, REVIEW
 from quillspark.operators import aggregates as A
-from quillspark.operators import closure as C
-from quillspark.operators import graph as G
 from quillspark.operators import joins as J
 from quillspark.operators import lines as L
 from quillspark.operators import pointers as P

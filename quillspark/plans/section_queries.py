@@ -10,7 +10,7 @@ from quillspark.operators import lines as L
 from quillspark.operators import records as N
 from quillspark.operators import sections as P
 from quillspark.plans import relations as R
-from quillspark.plans.queries import JUDGED, LEXICAL, LINES, READINGS, STOP, query
+from quillspark.plans.queries import JUDGED, LINES, STOP, query
 
 HEADS = "SELECT DISTINCT CAST(p_brand AS VARCHAR) AS slug, 'section' AS kind, CASE p_size % 3 WHEN 0 THEN CAST(p_size AS VARCHAR) ELSE CAST(p_size AS VARCHAR) || '.' || CAST(p_size % 3 AS VARCHAR) END AS number, p_size * 10 AS line, p_size * 10 + 8 AS e FROM part"
 

@@ -11,19 +11,23 @@ def rows(df, *order):
     return [tuple(r) for r in df.orderBy(*order).collect()]
 
 
-def test_prose_leaves_out_what_is_not_text():
-    text = "---\na: 1\n---\nOne\n```\ncode\n```\n<!-- x\ny -->\n<div>\nraw\n\nTwo".split("\n")
-    assert [text[n - 1] for n in S.prose_lines(text)] == ["One", "<div>", "raw", "", "Two"]
+def read_of(spark, *texts):
+    docs = [(f"d{k}", i, t) for k, text in enumerate(texts) for i, t in enumerate(text, 1)]
+    got = S.prose(spark.createDataFrame(docs, "slug string, line_no int, text string").repartition(5)).orderBy("slug", "line_no").collect()
+    return [[r["text"] for r in got if r["slug"] == f"d{k}"] for k in range(len(texts))]
 
 
-def test_prose_knows_fences_and_raw_blocks():
-    text = ["````markdown", "```sh", "# no", "```", "````", "```twin``` is a span", "<pre>", "# no", "</pre> gone", "<pre>x</pre>", "   ~~~", "        ~~~", "~~~", "yes"]
-    assert [text[n - 1] for n in S.prose_lines(text)] == ["```twin``` is a span", "<pre>x</pre>", "yes"]
+def test_prose_leaves_out_what_is_not_text(spark):
+    first = "---\na: 1\n---\nOne\n```\ncode\n```\n<!-- x\ny -->\n<div>\nraw\n\nTwo".split("\n")
+    second = ["````markdown", "```sh", "# no", "```", "````", "```twin``` is a span", "<pre>", "# no", "</pre> gone", "<pre>x</pre>", "   ~~~", "        ~~~", "~~~", "yes"]
+    third = ["---", "open to the end", "<!-- one line -->", "<SCRIPT>", "x", "</script>", "~~~ a`b", "code", "~~~~  ", "# end"]
+    assert read_of(spark, first, second, third) == [["One", "<div>", "raw", "", "Two"], ["```twin``` is a span", "<pre>x</pre>", "yes"], ["---", "open to the end", "<!-- one line -->", "# end"]]
 
 
 def test_outline_nests(spark):
-    docs = spark.createDataFrame([("d", "# A\nx\n## B\n```\n# no\n```\n# C #\n")], "slug string, text string")
-    assert rows(S.outline(docs).select("line", "depth", "title", "end", "over_line"), "line") == [(1, 1, "A", 6, None), (3, 2, "B", 6, 1), (7, 1, "C", 7, None)]
+    docs = spark.createDataFrame([("d", "# 1. A\nx\n## 1.2 B\n```\n# no\n```\n### Deep\n# C #\n### Appendix B: D\n## E"), ("e", "no heading")], "slug string, text string")
+    assert rows(S.outline(docs).select("line", "depth", "title", "end", "over_line", "kind", "number"), "line") == [
+        (1, 1, "1. A", 7, None, "section", "1"), (3, 2, "1.2 B", 7, 1, "section", "1.2"), (7, 3, "Deep", 7, 3, None, None), (8, 1, "C", 10, None, None, None), (9, 3, "Appendix B: D", 9, 8, "appendix", "b"), (10, 2, "E", 10, 8, None, None)]
 
 
 def test_heading_keys(spark):
