@@ -57,3 +57,32 @@ def n11_undefined(spark, sf):
     docs = R.documents(spark, sf)
     terms, _ = V.nominate(docs, Nominator())
     return V.undefined_terms(docs, terms).select("slug", "term", F.col("uses").cast("long").alias("uses"), "start")
+
+
+class Judge:
+    """Addressed where a new rule is shown."""
+
+    name = "by-rule"
+
+    def ask(self, system: str, user: str) -> str:
+        return json.dumps({"verdict": "addressed" if "+a new rule" in user else "partial", "rationale": "seen", "quote": ""})
+
+
+@query("""WITH s AS (SELECT DISTINCT p_size AS n FROM part), r AS (SELECT c_custkey AS id, 1 + c_custkey % 55 AS n FROM customer)
+ SELECT id, CASE WHEN id % 11 = 0 THEN NULL WHEN id % 7 = 0 OR r.n % 10 = 0 OR s.n IS NULL OR r.n % 2 = 1 THEN 'addressed' ELSE 'not_addressed' END AS verdict,
+  CASE WHEN id % 11 = 0 THEN 'SKIPPED' WHEN id % 7 = 0 THEN 'WIDE' WHEN r.n % 10 = 0 OR s.n IS NULL THEN 'WIDE+UNLOCATABLE' WHEN r.n % 2 = 1 THEN 'DIFF' ELSE 'UNCHANGED' END AS basis FROM r LEFT JOIN s ON s.n = r.n""")
+def o11_adjudicate(spark, sf):
+    """Customers' comments on sections that parts of one size make: every tenth is gone in the new revision, odd ones have a new line, and those over 25 have
+    another number."""
+    from quillspark.plans.adjudication import adjudicate
+
+    part = R.table(spark, sf, "part").withColumn("title", F.expr("concat(' Topic ', translate(cast(p_size AS string), '0123456789', 'abcdefghij'))"))
+    body = part.selectExpr("p_size", "p_size * 100000 + 1 + p_partkey AS line_no", "concat('the ', p_name) AS text")
+    heads = part.select("p_size", "title").distinct()
+    old = heads.selectExpr("p_size * 100000 AS line_no", "concat(p_size, title) AS text").unionByName(body.select("line_no", "text"))
+    kept = "p_size % 10 > 0"
+    new = heads.filter(kept).selectExpr("p_size * 100000 AS line_no", "concat(CASE WHEN p_size > 25 THEN p_size + 1 ELSE p_size END, title) AS text").unionByName(body.filter(kept).select("line_no", "text"))
+    new = new.unionByName(heads.filter(f"{kept} AND p_size % 2 = 1").selectExpr("p_size * 100000 + 99999 AS line_no", "'a new rule' AS text"))
+    rows = R.table(spark, sf, "customer").selectExpr("c_custkey AS id", "CASE WHEN c_custkey % 7 > 0 THEN concat('§', 1 + c_custkey % 55) ELSE 'All' END AS section", "CASE WHEN c_custkey % 11 > 0 THEN 'settle it' ELSE ' ' END AS comment")
+    number = lambda df: df.select(F.col("line_no").cast("int").alias("line_no"), "text")
+    return adjudicate(rows, number(old), number(new), Judge()).select("id", "verdict", "basis")

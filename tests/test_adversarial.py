@@ -91,3 +91,30 @@ def test_vectors_are_embedded_once(spark, tmp_path):
     said = [t for f in log.iterdir() for t in f.read_text().split("\n")]
     assert sorted(said) == ["aa", "b", "bad", "ccc"]
     assert embed_cached(more.filter("id = 5"), embed, "other", path, tries=1).count() == 1 and sum(f.read_text() == "aa" for f in log.iterdir()) >= 1
+
+
+class Judge:
+    name = "judge"
+
+    def ask(self, system, user):
+        if "fails" in user:
+            raise TimeoutError
+        if "garbled" in user:
+            return "no json"
+        verdict = "partial" if "AS THEY STAND" in user else "unclear" if "escalate" in user else "addressed" if "+a new rule" in user else "not_addressed"
+        return json.dumps({"verdict": verdict, "rationale": user.split("\n\n")[1].split("\n")[0], "quote": "q"})
+
+
+def test_a_matrix_is_adjudicated(spark):
+    from quillspark.plans import adjudication as D
+
+    old = ["# Top", "1 Scope", "same words", "2 Rules", "old rule", "2.1 Detail", "detail", "3 Gone", "x", "4 Moved", "text"]
+    new = ["# Top", "1 Scope", "same words", "2 Rules", "a new rule", "2.1 Detail", "detail", "3 Moved", "text", "4 Added", "y"]
+    rows = [("a", "§1", "c"), ("b", "§2, Table", "c"), ("c", "§2.1 and §1", "c"), ("d", "§3", "c"), ("e", "§4", "c"), ("f", "All", "c"), ("g", "§1", " "), ("h", "§2", "escalate"), ("i", "§2", "fails"), ("j", "§9.9", "c"), ("k", "§1, §2", "garbled"), ("l", "§2.1.5", "c")]
+    number = lambda t: spark.createDataFrame(list(enumerate(t, 1)), "line_no int, text string")
+    got = {r["id"]: r for r in D.adjudicate(spark.createDataFrame(rows, "id string, section string, comment string"), number(old), number(new), Judge(), stop_after=100).collect()}
+    assert {k: (r["verdict"], r["basis"]) for k, r in got.items()} == {
+        "a": ("not_addressed", "UNCHANGED"), "b": ("addressed", "DIFF"), "c": ("not_addressed", "UNCHANGED"), "d": ("addressed", "WIDE+UNLOCATABLE"), "e": ("not_addressed", "UNCHANGED"), "f": ("addressed", "WIDE"), "g": (None, "SKIPPED"),
+        "h": ("partial", "ESCALATED"), "i": ("unclear", "ERROR"), "j": ("addressed", "WIDE+UNLOCATABLE"), "k": ("unclear", "ERROR"), "l": ("not_addressed", "UNCHANGED"),
+    }
+    assert got["e"]["rationale"] == "nothing has changed in §4 is now §3" and got["b"]["rationale"] == "WHAT CHANGED"
