@@ -87,7 +87,7 @@ def top_k(queries: DataFrame, items: DataFrame, k: int = 12, vector: str = "embe
     """The k items of highest cosine for each query. Queries are the small, stated side; equal scores prefer the higher index (or the lower).
     With digits, scores are rounded before they are ranked.
 
-    Each task keeps its own k best of every query first (min-by through a struct), so k rows a query and task are shuffled.
+    Places are numbered by a window that is cut at k; Spark keeps each task's own k best of every query before it shuffles.
     """
     q = small(queries.select(F.col("query_id"), F.col(vector).alias("_q")))
     scored = items.select("item_id", F.col(vector).alias("_v")).join(q).select("query_id", "item_id", T.cosine(F.col("_q"), F.col("_v")).alias("score"))

@@ -16,6 +16,7 @@ from quillspark.operators import graph as G
 from quillspark.operators import joins as J
 from quillspark.operators import lines as L
 from quillspark.operators.cells import upper_median
+from quillspark.operators.durable import written
 from quillspark.plans import relations as R
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -310,7 +311,7 @@ def g06_lexical_retrieval(spark, sf):
  o AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY chunk_id) AS rank FROM s), u AS (SELECT * FROM r WHERE rank <= 20 UNION ALL SELECT * FROM o WHERE rank <= 20)
  SELECT query_id, chunk_id AS item_id, round(sum(1.0 / (60 + rank - 1)), 6) AS score FROM u GROUP BY ALL""")
 def h16_rank_fusion(spark, sf):
-    scored = _lexical(spark, sf).withColumn("score", F.round("score", 4)).withColumnRenamed("chunk_id", "item_id")
+    scored = written(_lexical(spark, sf).withColumn("score", F.round("score", 4)).withColumnRenamed("chunk_id", "item_id"), "scores")
     by = lambda *order: A.top_with_rest(scored, ["query_id"], list(order), 20).select("query_id", "item_id", "rank")
     return J.fused(by(F.col("score").desc(), F.col("item_id").desc()), by("item_id")).withColumn("score", F.round("score", 6))
 
