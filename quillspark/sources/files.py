@@ -46,6 +46,23 @@ def load_pairs(spark: SparkSession, path: str, key: str, value: str) -> DataFram
     return spark.createDataFrame(rows, f"{key} string, {value} string")
 
 
+def load_aliases(spark: SparkSession, path: str) -> DataFrame:
+    """Alias and canonical name of a file of components: a mapping of names, a list of entries with name and aliases, or either under components.
+
+    Names are in lower case, aliases without marks; a name is an alias of itself; of two entries with one alias the later one counts. No file: no rows."""
+    data = yaml.safe_load(Path(path).read_text(encoding="utf-8")) if Path(path).exists() else None
+    if isinstance(data, dict):
+        data = data.get("components", data)
+    entries = [{"name": k, **(v if isinstance(v, dict) else {})} for k, v in data.items()] if isinstance(data, dict) else [x for x in data or [] if isinstance(x, dict)]
+    rows: dict[str, str] = {}
+    for entry in entries:
+        name = str(entry.get("name") or "").strip().lower()
+        for alias in [name, *map(str, entry.get("aliases") or [])] if name else []:
+            if clean := " ".join(re.sub("[^a-z0-9 ]", " ", alias.lower()).split()):
+                rows[clean] = name
+    return spark.createDataFrame(list(rows.items()), "alias string, canonical string")
+
+
 def load_terms(spark: SparkSession, path: str) -> DataFrame:
     """A term a line; what follows # is a comment."""
     term = F.trim(F.split_part("value", F.lit("#"), F.lit(1)))
@@ -239,3 +256,15 @@ def salvage(raw: str) -> tuple[list[str], str]:
             values.setdefault(key, []).append(unescaped(text))
     quotes = [q for q in values.get("quotes", []) if q.strip()]
     return quotes, next(iter(values.get("answer", [])), "").strip()
+
+
+def unsafe_files(spark: SparkSession, path: str, denied: DataFrame) -> DataFrame:
+    """C14: path, n, digest and hits of phrases of a denylist (n, digest) in all files of a tree, whatever they are, and status: a file that can't be read
+    is a row too, as nothing may be called absent from it."""
+    from quillspark.operators.closure import denied_phrases
+    from quillspark.sources.office import read_files
+
+    read = read_files(spark, path).select(F.col("path").alias("slug"), "status", F.array_join("lines", "\n").alias("text"))
+    found = denied_phrases(read.filter("status = 'ok'"), denied).select(F.col("slug").alias("path"), "n", "digest", "hits", F.lit("ok").alias("status"))
+    bad = read.filter("status <> 'ok'").select(F.col("slug").alias("path"), F.lit(None).cast("int").alias("n"), F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("hits"), "status")
+    return found.unionByName(bad)

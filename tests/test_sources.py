@@ -108,3 +108,27 @@ def test_sheets_as_a_data_source(spark, tmp_path):
     assert spark.read.format("ooxml_sheet").option("sheet", "S").load(str(folder / "a.xlsx")).count() == 3
     (tmp_path / "none").mkdir()
     assert spark.read.format("ooxml_sheet").load(str(tmp_path / "none")).count() == 0
+
+
+def test_aliases_of_components(spark, tmp_path):
+    forms = {
+        "map.yaml": "components:\n  Sensor Fabric: {aliases: [SF, 'sensor-fabric']}\n  Hydrology:\n", "list.yaml": "- name: Sensor Fabric\n  aliases: [SF]\n- name: ''\n- just text\n- {name: Other, aliases: [sf]}\n", "plain.yaml": "Gate: {aliases: ['The  Gate!']}\n",
+    }
+    for name, text in forms.items():
+        (tmp_path / name).write_text(text)
+    got = {n: {r["alias"]: r["canonical"] for r in files.load_aliases(spark, str(tmp_path / n)).collect()} for n in (*forms, "none.yaml")}
+    assert got["map.yaml"] == {"sensor fabric": "sensor fabric", "sf": "sensor fabric", "hydrology": "hydrology"} and got["plain.yaml"] == {"gate": "gate", "the gate": "gate"}
+    assert got["list.yaml"] == {"sensor fabric": "sensor fabric", "sf": "other", "other": "other"} and got["none.yaml"] == {}
+
+
+def test_denied_phrases_in_a_tree(spark, tmp_path):
+    from quillspark.operators.sections import deny_phrases
+
+    tree = tmp_path / "tree"
+    (tree / "sub").mkdir(parents=True)
+    (tree / "a.txt").write_text("We met the Blue\nheron project. The blue-heron project again.")
+    (tree / "sub" / "b.txt").write_text("codename")
+    (tree / "c.docx").write_bytes(b"PK broken")
+    denied = deny_phrases(spark.createDataFrame([("blue heron project",), ("Codename",), ("never said here",), ("codename",)], "phrase string"))
+    got = sorted((r["path"].rsplit("/", 1)[1], r["n"] or 0, r["hits"] or 0, r["status"].split(":")[0]) for r in files.unsafe_files(spark, str(tree), denied).collect())
+    assert got == [("a.txt", 3, 2, "ok"), ("b.txt", 1, 1, "ok"), ("c.docx", 0, 0, "failed")]
