@@ -384,3 +384,16 @@ def n13_outcome_first(spark, sf):
 
     rows = R.table(spark, sf, "supplier").selectExpr("s_suppkey AS id", "concat('C', s_suppkey) AS comment", "concat('P', s_nationkey) AS passage")
     return outcome_first(rows, Offline()).select("id", "outcome", "verdict")
+
+
+LOOSE_WORDS = "list_filter(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '')"
+
+
+@query(f"""WITH w AS (SELECT doc_id AS slug, {LOOSE_WORDS} AS w FROM documents WHERE text IS NOT NULL), b AS (SELECT {LOOSE_WORDS} AS w FROM benchmark WHERE text IS NOT NULL), v(n) AS (VALUES (2), (3)),
+ d AS (SELECT DISTINCT n, sha256(array_to_string(w[1:n], ' ')) AS digest FROM b, v WHERE len(w) >= n), g AS (SELECT slug, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: sha256(array_to_string(w[i:i + n - 1], ' ')))) AS digest FROM w, v WHERE len(w) >= n)
+ SELECT slug, n, digest, count(*) AS hits FROM g JOIN d USING (n, digest) GROUP BY ALL""")
+def c14_denied_phrases(spark, sf):
+    """Documents with the first two or three words of a benchmark passage, by digests of both lengths."""
+    words = F.filter(F.split(T.loose(F.col("text")), " "), lambda w: w != "")
+    phrases = R.table(spark, sf, "benchmark").select(words.alias("w"), F.explode(F.array(F.lit(2), F.lit(3))).alias("n")).filter(F.size("w") >= F.col("n")).select(F.array_join(F.slice("w", F.lit(1), F.col("n")), " ").alias("phrase"))
+    return C.denied_phrases(R.documents(spark, sf), P.deny_phrases(phrases))
