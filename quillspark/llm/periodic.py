@@ -9,7 +9,6 @@ is extended to both sides exactly, as long as words a period apart are equal.
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from hashlib import sha256
 
@@ -159,7 +158,10 @@ def periodic_runs(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["runs", "collapsed"])
 
     rest = [c for c in docs.columns if c not in ("runs", "collapsed")]
-    return docs.select(*rest, of.asNondeterministic()(F.col("text").cast("string")).alias("_made")).select(*rest, "_made.runs", "_made.collapsed")
+    held = "_made"
+    while held in rest:
+        held += "_"
+    return docs.select(*rest, of.asNondeterministic()(F.col("text").cast("string")).alias(held)).select(*rest, f"{held}.runs", f"{held}.collapsed")
 
 
 def digest(words: list[str]) -> tuple:

@@ -310,4 +310,5 @@ def test_the_operator_gives_runs_and_collapsed_texts(spark, odd):
     got = {r["doc_id"]: r for r in periodic.periodic_runs(rows).collect()}
     assert got[None]["collapsed"] == "x a b y" and [tuple(r) for r in got[None]["runs"]] == [(1, 8, 2), (9, 6, 1)]
     assert got[(1 << 60) + 1]["runs"] == [] and got[(1 << 60) + 1]["collapsed"] == ""
+    assert [r["_made"] for r in periodic.periodic_runs(rows.withColumnRenamed("runs", "_made")).collect()] == ["mine"] * 2
     assert periodic.periodic_runs(odd).columns == [*odd.columns, "runs", "collapsed"] and periodic.periodic_runs(odd).count() == len(ODD) + 2
