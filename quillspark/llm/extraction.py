@@ -41,7 +41,7 @@ _WORDS = (
     r"subscri\w+|sign-?up|share|sharing|social\w*|related|recommend\w*|widget|pagination|pager|toolbar|skip-?link|copyright|disclaimer|paywall|login|search|complementary|contentinfo|dialog"
 )
 #: Words beside them that don't change this: where it stands, and what shape it has.
-_SHAPES = r"site|page|main|top|bottom|left|right|global|primary|secondary|user|reader|box|bar|links?|list|container|wrap(?:per)?|block|section|area|buttons?|icons?|items?|content|inner|unit|slot|form|posts?|articles?|stories|nav|menu|footer|header|panel|message|text|thread|media|\d+"
+_SHAPES = r"site|page|main|top|bottom|left|right|global|primary|secondary|user|reader|box|bar|links?|list|container|wrap(?:per)?|block|section|area|buttons?|icons?|items?|content|inner|unit|slot|form|posts?|articles?|stories|nav|menu|footer|header|panel|message|text|thread|media|notes?|info|copy|row|col(?:umn)?s?|outer|region|zone|strip|fixed|sticky|mobile|desktop|\d+"
 #: An element whose whole name says that it is something other than the text is left out; where such a word is only a part of a name (social-history), short or link-dense ones are.
 MARKED = re.compile(rf"(?:^|\s)(?:(?:{_SHAPES})[_-])*(?:{_WORDS})(?:[_-]+(?:{_WORDS}|{_SHAPES}))*(?:$|\s)", re.IGNORECASE)
 HINTED = re.compile(rf"(?:^|[\s_-])(?:{_WORDS})(?:$|[\s_-])", re.IGNORECASE)
