@@ -53,7 +53,7 @@ PLACE_WORDS = ("section", "appendix", "annex")
 MOST_RUN = 200
 
 KEY = "struct<kind: string, number: string>"
-STATE = f"struct<carrier: string, last: string, start: string, owed: int, between: boolean, named: boolean, other: boolean, more: boolean, keys: array<{KEY}>>"
+STATE = f"struct<carrier: string, last: string, start: string, owed: int, between: boolean, named: boolean, other: boolean, more: boolean, high: boolean, keys: array<{KEY}>>"
 
 
 #: Around a token, and between the kinds that it could be, while a pointer is cut: marks that no text keeps.
@@ -139,7 +139,7 @@ def run_of(first: Column, last: Column) -> Column:
 def _step(s: Column, t: Column) -> Column:
     """One token further: a range that ends in it is written out first."""
     k = t["kind"]
-    known = (k == "number") & s["carrier"].isNotNull() & ~((s["carrier"] == "section") & t["year"] & ~s["named"]) | (k == "letter") & F.coalesce(s["carrier"].isin("appendix", "annex"), F.lit(False))
+    known = (k == "number") & s["carrier"].isNotNull() & ~((s["carrier"] == "section") & t["year"] & ~s["named"] & ~s["high"]) | (k == "letter") & F.coalesce(s["carrier"].isin("appendix", "annex"), F.lit(False))
     name = F.when(known, t["name"])
     own = F.struct(name.alias("name"), F.when(s["start"].isNotNull() & known, run_of(s["start"], t["name"])).alias("run"))
     return _let(own, lambda n: _after(s, t, n["name"], n["run"]))
@@ -175,6 +175,9 @@ def _after(s: Column, t: Column, name: Column, run: Column) -> Column:
         place.alias("named"),
         (s["other"] | (k == "other")).alias("other"),
         (s["more"] | (k == "open") | (F.coalesce(F.size(run), F.lit(1)) == 0) & ~theirs).alias("more"),
+        # a list that counts in four digits goes on through "and", "or" and ranges; any other word ends it
+        F.when(theirs, False).when(name.isNotNull(), F.coalesce((s["carrier"] == "section") & t["name"].rlike(r"^\d{4}$"), F.lit(False)))
+        .when(to | k.isin("between", "range") | F.lower(text).isin("and", "or"), s["high"]).otherwise(False).alias("high"),
         F.coalesce(keys, none).alias("keys"),
     ).cast(STATE)
 
@@ -184,14 +187,15 @@ def pointed(target: Column) -> Column:
     whether it names more than it lists.
 
     Once a pointer has said "Section", every number after it is a section's, but the one straight after a word for another
-    kind of thing. A year is a section's number only straight after the word. Null points nowhere.
+    kind of thing. A year is a section's number only straight after the word, or in a list or range behind a section's number of four
+    digits. Null points nowhere.
     """
     told = tokens(F.coalesce(target, F.lit("")))
     first = F.when(F.exists(told, lambda t: t["kind"] == "section"), "section")
     none = F.lit(None).cast("string")
     begin = F.struct(
         first.cast("string").alias("carrier"), none.alias("last"), none.alias("start"), F.lit(0).alias("owed"), F.lit(False).alias("between"), F.lit(False).alias("named"),
-        F.lit(False).alias("other"), F.lit(False).alias("more"), F.array().cast(f"array<{KEY}>").alias("keys"),
+        F.lit(False).alias("other"), F.lit(False).alias("more"), F.lit(False).alias("high"), F.array().cast(f"array<{KEY}>").alias("keys"),
     ).cast(STATE)
     return F.aggregate(told, begin, _step, lambda s: F.struct(F.array_distinct(s["keys"]).alias("keys"), s["other"].alias("other"), s["more"].alias("more")))
 
