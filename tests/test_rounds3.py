@@ -86,3 +86,21 @@ def test_claims_of_equal_words_are_met_by_their_first(spark):
     words = [frozenset(r[3].split()) for r in rows]
     every = [(len(words[x] & words[y]) / min(len(words[x]), len(words[y])), (rows[x][4], x), (rows[y][4], y)) for x, y in itertools.permutations(range(200), 2) if rows[x][4] < rows[y][4]]
     assert [(r["a"], r["b"]) for r in got.orderBy("rank").collect()] == [(a[1], b[1]) for _, a, b in sorted(every)[:12]]
+
+
+def test_lines_of_a_section_keep_to_it_at_any_key(spark, tmp_path):
+    part = [(1, "a b", 14), (2, "c d", 14), (400_001, "e f", 10)]
+    spark.createDataFrame(part, "p_partkey long, p_name string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(13,)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    assert [tuple(r) for r in QUERIES["o11_adjudicate"](spark, str(tmp_path)).collect()] == [(13, "not_addressed", "UNCHANGED")]
+
+
+def test_more_findings_than_a_broadcast_takes(spark, tmp_path, monkeypatch):
+    from quillspark.operators import joins as J
+
+    monkeypatch.setattr(J, "SMALL", 3)
+    monkeypatch.setattr(J.small, "__defaults__", (3,))
+    spark.createDataFrame([(k, "small ring") for k in range(1, 9)], "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(0, "PERU"), (1, "CHINA")], "n_nationkey int, n_name string").write.parquet(f"{tmp_path}/nation.parquet")
+    got = {r["id"]: r["status"] for r in QUERIES["o11_verify"](spark, str(tmp_path)).collect()}
+    assert got == {1: "confirmed", 2: "contested", 3: "contested", 4: "contested", 5: "confirmed", 6: "refuted", 7: "contested", 8: "contested"}
