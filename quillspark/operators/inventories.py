@@ -32,7 +32,7 @@ _KINDS = {"OBJECT": "mapping", "ARRAY": "list", "STRING": "text", "BOOLEAN": "tr
 def kind(v: Column) -> Column:
     """What a Variant is: mapping, list, text, whole, number, truth or null; nothing (a missing key) is null of SQL."""
     names = F.create_map(*[F.lit(x) for pair in _KINDS.items() for x in pair])
-    return F.coalesce(F.try_element_at(names, F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)), F.when(v.isNotNull(), "number"))
+    return F.coalesce(F.try_element_at(names, F.substring_index(F.schema_of_variant(v), "<", 1)), F.when(v.isNotNull(), "number"))
 
 
 def part(v: Column, key: str) -> Column:
@@ -46,19 +46,26 @@ def blank(x: Column) -> Column:
 
 def entries(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(slug, json) to sections (slug, runs, position from 1, of, entry as a Variant) and refused (slug, reason): what isn't an object of sections."""
-    told = raw.select("slug", F.try_parse_json("json").alias("v")).withColumn("k", kind(F.col("v")))
-    sections = part(F.col("v"), "sections")
-    reason = F.when(F.col("k").isNull(), "not JSON").when(F.col("k") != "mapping", F.concat(F.lit("a "), "k")).when(sections.isNull(), "no sections").when(kind(sections) != "list", "sections aren't a list")
+    # what is parsed and looked at comes out of generators: a filter isn't taken below them, so no text is parsed more than once
+    told = raw.select("slug", F.inline(F.array(F.struct(F.try_parse_json("json").alias("v")))))
+    sections = part(F.col("v"), "sections")  # where there are some, nothing has to be known of the whole
+    each = F.try_variant_get("v", "$.sections", "array<variant>")
+    looked = F.struct(F.when(sections.isNotNull(), "mapping").otherwise(kind(F.col("v"))).alias("k"), F.when(each.isNotNull(), "list").otherwise(kind(sections)).alias("ks"), kind(part(F.col("v"), "runs")).alias("kr"))
+    told = told.select("slug", "v", F.inline(F.array(looked)))
+    reason = F.when(F.col("k").isNull(), "not JSON").when(F.col("k") != "mapping", F.concat(F.lit("a "), "k")).when(F.col("ks").isNull(), "no sections").when(F.col("ks") != "list", "sections aren't a list")
     told = told.withColumn("reason", reason)
-    runs = F.when(kind(part(F.col("v"), "runs")) == "whole", F.try_variant_get("v", "$.runs", "int"))
-    good = told.filter("reason IS NULL").select("slug", F.when(runs > 0, runs).alias("runs"), F.try_variant_get("v", "$.sections", "array<variant>").alias("each"))
+    runs = F.when(F.col("kr") == "whole", F.try_variant_get("v", "$.runs", "int"))
+    good = told.filter("reason IS NULL").select("slug", F.inline(F.array(F.struct(F.when(runs > 0, runs).alias("runs"), each.alias("each")))))
     out = good.select("slug", "runs", F.size("each").alias("of"), F.posexplode("each").alias("position", "entry"))
     return out.withColumn("position", F.col("position") + 1), told.filter("reason IS NOT NULL").select("slug", "reason")
 
 
-def _with_kinds(rows: DataFrame, v: str, keys: tuple[str, ...]) -> DataFrame:
-    """rows with the kinds of a Variant column and of what stands under keys, each worked out once: they come out of a generator."""
-    told = [kind(F.col(v)).alias("k_"), *[kind(part(F.col(v), key)).alias(f"k_{key}") for key in keys]]
+def _with_kinds(rows: DataFrame, v: str, keys: tuple[str, ...], within: dict[str, Column] | None = None) -> DataFrame:
+    """rows with the kinds of a Variant column and of what stands under keys, each worked out once: they come out of a generator. within: the rows
+    in which a key is looked at."""
+    at = lambda key: part(F.col(v), key) if within is None else F.when(within[key], part(F.col(v), key))
+    whole = F.when(F.coalesce(*[at(key) for key in keys]).isNotNull(), "mapping").otherwise(kind(F.col(v)))  # what has a key is a mapping
+    told = [whole.alias("k_"), *[kind(at(key)).alias(f"k_{key}") for key in keys]]
     return rows.select("*", F.inline(F.array(F.struct(*told))))
 
 
@@ -107,9 +114,10 @@ def section_states(sections: DataFrame) -> DataFrame:
     own = lambda key: F.when(_is(key, "text"), F.try_variant_get(e, f"$.{key}", "string"))
     skip = F.coalesce(F.try_variant_get(e, "$.skipped", "boolean"), F.lit(False)) & _is("skipped", "truth")
     said = F.when(~blank(own("error")), F.regexp_replace(own("error"), r"\s+", " "))
+    keyless = F.coalesce(*[F.col(f"k_{key}") for key in ENTRY]).isNull()
     why = (
         F.when(skip, F.coalesce(said, F.lit("skipped without a reason"))).when(F.col("k_error").isNotNull(), "extraction failed")
-        .when(_is("", "null") | (F.to_json(e) == "{}"), "nothing is there").otherwise(unreadable(e))
+        .when(_is("", "null") | (keyless & (F.to_json(e) == "{}")), "nothing is there").otherwise(unreadable(e))
     )
     full, passes = F.try_variant_get(e, "$.full_passes", "long"), F.try_variant_get(e, "$.passes", "long")
     holds = _holds(e, WHOLE_SCHEMA[0])
@@ -164,18 +172,17 @@ def inventory_items(sections: DataFrame) -> DataFrame:
     """Slug, position, heading, locator, list, item (its place from 1), why and the taken fields of every item of every section that was read.
 
     Items with a why are set aside, and their fields are null. Nulls and blank text in a list are no items. A list's
-    items come out one by one, so no section is taken apart as a whole.
+    items come out one by one, so no section is taken apart as a whole; all lists come out of one reading of the sections.
     """
-    out = None
-    for key in LISTS:
-        each = sections.filter("state <> 'unread'").select("slug", "position", "heading", "locator", F.posexplode(F.try_variant_get(F.col("entry"), f"$.{key}", "array<variant>")).alias("item", "i"))
-        i = F.col("i")
-        real = _with_kinds(each, "i", _keys(key)).filter(~_is("", "null") & ~(_is("", "text") & blank(F.try_variant_get(i, "$", "string"))))
-        fields = F.struct(_wrong(key, i).alias("why"), _taken(key, i).alias("t"))
-        told = real.select("slug", "position", "heading", "locator", (F.col("item") + 1).alias("item"), F.inline(F.array(fields)))
-        own = told.select("slug", "position", "heading", "locator", F.lit(key).alias("list"), "item", "why", *[F.when(F.col("why").isNull(), F.col(f"t.{n}")).alias(n) for n in FIELDS])
-        out = own if out is None else out.unionByName(own)
-    return out
+    lists = F.array(*[F.struct(F.lit(key).alias("list"), F.try_variant_get(F.col("entry"), f"$.{key}", "array<variant>").alias("each")) for key in LISTS])
+    own = sections.filter("state <> 'unread'").select("slug", "position", "heading", "locator", F.inline(lists))
+    each = own.select("slug", "position", "heading", "locator", "list", F.posexplode("each").alias("item", "i"))
+    i, keys = F.col("i"), tuple(dict.fromkeys(k for key in LISTS for k in _keys(key)))
+    told = _with_kinds(each, "i", keys, {k: F.col("list").isin(*[key for key in LISTS if k in _keys(key)]) for k in keys})
+    real = told.filter(~_is("", "null") & ~(_is("", "text") & blank(F.try_variant_get(i, "$", "string"))))
+    of = lambda what: F.coalesce(*[F.when(F.col("list") == key, what(key, i)) for key in LISTS])
+    told = real.select("slug", "position", "heading", "locator", "list", (F.col("item") + 1).alias("item"), F.inline(F.array(F.struct(of(_wrong).alias("why"), of(_taken).alias("t")))))
+    return told.select("slug", "position", "heading", "locator", "list", "item", "why", *[F.when(F.col("why").isNull(), F.col(f"t.{n}")).alias(n) for n in FIELDS])
 
 
 def blurred(items: DataFrame) -> DataFrame:

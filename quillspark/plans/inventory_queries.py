@@ -20,7 +20,7 @@ INVENTORY = f"""'{{"doc": "d", "runs": 2, "sections": [{{"heading": "1. A", "loc
 
 
 def _states(spark, sf):
-    raw = R.table(spark, sf, "orders").selectExpr("o_orderkey AS slug", f"{INVENTORY} AS json")
+    raw = R.spread(R.table(spark, sf, "orders")).selectExpr("o_orderkey AS slug", f"{INVENTORY} AS json")
     return I.section_states(I.entries(raw)[0])
 
 
