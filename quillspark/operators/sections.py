@@ -79,12 +79,17 @@ def unpinned(lines: DataFrame, window: int = 1) -> DataFrame:
     return used.groupBy("slug", "name").agg(F.count("*").alias("uses"), F.min("line_no").alias("first_line")).join(pinned, ["slug", "name"], "left_anti")
 
 
-def glossary_lines(lines: DataFrame, longest: int = 400) -> DataFrame:
-    """Lines under a heading that says glossary, definitions or terminology, up to the next heading and longest lines on."""
+def in_glossary(longest: int = 400) -> Column:
+    """Whether a line (slug, line_no, text) stands under a heading that says glossary, definitions or terminology, before the next heading and longest lines on."""
     w = W.partitionBy("slug").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
     mark = F.when(F.col("text").rlike(HEADING), F.struct(F.col("line_no").alias("at"), F.col("text").rlike(r"(?i)\bglossary\b|\bdefinitions\b|\bterminology\b").alias("is")))
-    told = lines.withColumn("h", F.last(mark, ignorenulls=True).over(w))
-    return told.filter(F.col("h.is") & (F.col("line_no") > F.col("h.at")) & (F.col("line_no") < F.col("h.at") + longest)).select("slug", "line_no", "text")
+    h = F.last(mark, ignorenulls=True).over(w)
+    return F.coalesce(h["is"] & (F.col("line_no") > h["at"]) & (F.col("line_no") < h["at"] + longest), F.lit(False))
+
+
+def glossary_lines(lines: DataFrame, longest: int = 400) -> DataFrame:
+    """Lines under a heading that says glossary, definitions or terminology, up to the next heading and longest lines on."""
+    return lines.withColumn("_in", in_glossary(longest)).filter("_in").select("slug", "line_no", "text")
 
 
 # Integrity

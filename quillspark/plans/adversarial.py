@@ -101,10 +101,14 @@ def undefined_terms(docs: DataFrame, nominations: DataFrame, least: int = 2) ->
     The document decides: a nomination without a quote that stands in it is dropped, and whatever explains the term anywhere clears it.
     Of several nominations of one term, written alike but for case, the one with most uses stays, the first of these.
     """
-    asked = nominations.select("slug", "start", "term", "quote", F.lower("term").alias("low")).distinct()
-    text = docs.select("slug", F.lower("text").alias("_low"), T.fold_lower(F.col("text")).alias("_folded"))
-    used = asked.join(text, "slug").filter((T.fold(F.col("quote")) != "") & F.contains("_folded", T.fold_lower(F.col("quote")))).withColumn("uses", T.occurrences(F.col("_low"), F.col("low")))
-    used = written(used.filter(F.col("uses") >= least).drop("_low", "_folded"), "used")
+    asked = nominations.select("slug", "start", "term", "quote", F.lower("term").alias("low"), T.fold_lower(F.col("quote")).alias("_q")).filter("_q <> ''").distinct()
+    asked = asked.groupBy("slug").agg(F.collect_list(F.struct("start", "term", "quote", "low", "_q")).alias("asked"))
+    # a document's text meets the list of its nominations, so it is dealt and folded once; only numbers leave the row
+    text = docs.select("slug", "text").join(asked, "slug").select("slug", "asked", F.inline(F.array(F.struct(F.lower("text").alias("_low"), T.fold_lower(F.col("text")).alias("_folded")))))
+    held = F.filter("asked", lambda a: F.contains("_folded", a["_q"]))
+    told = F.transform(held, lambda a: F.struct(*[a[c].alias(c) for c in ("start", "term", "quote", "low")], T.occurrences(F.col("_low"), a["low"]).alias("uses")))
+    used = text.select("slug", F.inline(F.array(F.struct(told.alias("told"))))).select("slug", F.inline("told"))
+    used = written(used.filter(F.col("uses") >= least), "used")
     left = synthesis.definitions(used.select("slug", "term").distinct(), lines.to_lines(docs)).filter("defined IS NULL").select("slug", "term")
     best = used.join(left, ["slug", "term"]).groupBy("slug", "low").agg(F.max_by(F.struct("term", "uses", "quote", "start"), F.struct("uses", -F.col("start"), "term")).alias("b"))
     return best.select("slug", "b.*")

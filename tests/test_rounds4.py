@@ -25,3 +25,14 @@ def test_inventories_are_parsed_once(spark):
     assert {(r["slug"], r["reason"]) for r in refused.collect()} == {("e", "not JSON"), ("f", "a list"), ("g", "no sections"), ("h", "sections aren't a list")}
     got = I.inventory_items(states).groupBy("list").agg(F.count("*").alias("n"), F.count("why").alias("aside")).collect()
     assert {tuple(r) for r in got} == {(key, 2, 1) for key in I.LISTS}
+
+
+def test_lines_are_not_copied_for_their_words(spark):
+    from quillspark.operators import synthesis as S
+
+    said = ["# Gate", "# Glossary", "drift, mass, gate", "the mass of it", "# Other", "flow: what passes", "A gauge", "means a reading", " ".join(f"w{k}" for k in range(300))]
+    lines = spark.createDataFrame([("d", k + 1, t) for k, t in enumerate(said)], "slug string, line_no int, text string")
+    terms = spark.createDataFrame([("d", t) for t in ("Gate", "mass", "flow", "gauge", "none at all", "w299", "!")], "slug string, term string")
+    got = S.definitions(terms, lines)
+    assert {r["term"]: r["defined"] for r in got.collect()} == {"Gate": "has its own heading", "mass": "glossary entry", "flow": "definition list entry", "gauge": "definition sentence", "none at all": None, "w299": None, "!": None}
+    assert "explode(array_distinct(split" not in plan_of(got)
