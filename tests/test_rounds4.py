@@ -36,3 +36,22 @@ def test_lines_are_not_copied_for_their_words(spark):
     got = S.definitions(terms, lines)
     assert {r["term"]: r["defined"] for r in got.collect()} == {"Gate": "has its own heading", "mass": "glossary entry", "flow": "definition list entry", "gauge": "definition sentence", "none at all": None, "w299": None, "!": None}
     assert "explode(array_distinct(split" not in plan_of(got)
+
+
+def test_a_text_is_hashed_once_for_its_vector(spark):
+    import hashlib
+    import math
+
+    from quillspark.functions import text as T
+
+    told = spark.createDataFrame([("",), ("a gate",), ("b",), (None,)], "t string").select("t", T.offline_vector(F.col("t")).alias("v"))
+    assert plan_of(told).count("sha2(") == 1
+    for r in told.collect():
+        if r["t"] is None:
+            assert r["v"] == [None] * 32
+            continue
+        raw = [b / 255.0 - 0.5 for b in hashlib.sha256(r["t"].encode()).digest()]
+        total = 0.0
+        for x in raw:
+            total += x * x
+        assert r["v"] == [x / math.sqrt(total) for x in raw]
