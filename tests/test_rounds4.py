@@ -55,3 +55,28 @@ def test_a_text_is_hashed_once_for_its_vector(spark):
         for x in raw:
             total += x * x
         assert r["v"] == [x / math.sqrt(total) for x in raw]
+
+
+def test_copies_are_matched_without_rounds(spark, monkeypatch):
+    from quillspark.operators import attribution as B
+
+    texts = ["the gate holds water", "the gate opens late", "a late reading of it"]
+    rows = [(i, 200 - i if i % 7 else i, "ab"[i % 2], 10 + i if i % 5 == 0 else None, 12 + i if i % 5 == 0 else None, texts[i % 3] if i % 4 else None) for i in range(60)]
+    defects = spark.createDataFrame(rows, "defect long, pos long, kind string, first int, last int, anchor string")
+    found = [(i, i * 37 % 61, "ab"[i % 2]) for i in range(45)]
+    told = [(i, texts[i % 3][: 14 + i % 7], None) for i in range(45)] + [(i, None, 10 + i) for i in range(0, 45, 3)]
+    findings, evidence = spark.createDataFrame(found, "finding long, pos long, kind string"), spark.createDataFrame(told, "finding long, text string, line int")
+    near = {}
+    for d, f in B.reached(defects, findings, evidence).collect():
+        near.setdefault(d, set()).add(f)
+    place, taken, wanted = {f[0]: f[1] for f in found}, set(), set()
+    for d in sorted(rows, key=lambda r: (r[1], r[0])):
+        if free := sorted((place[f], f) for f in near.get(d[0], ()) if f not in taken):
+            taken.add(free[0][1])
+            wanted.add((d[0], free[0][1]))
+    rounds, asked = B.match_in_order, []
+    monkeypatch.setattr(B, "match_in_order", lambda *a: asked.append(1) or rounds(*a))
+    for most, times in ((2_000_000, 0), (50, 1)):
+        monkeypatch.setattr(B, "AT_ONCE", most, raising=False)
+        asked.clear()
+        assert {tuple(r) for r in B.attribution_scores(defects, findings, evidence)[0].collect()} == wanted and len(asked) == times
