@@ -93,6 +93,14 @@ def units(vectors: list) -> np.ndarray:
     return np.divide(unit, size, out=np.zeros_like(unit), where=size > 0)
 
 
+def _near(a: np.ndarray, b: np.ndarray, threshold: float, rows: int = 512) -> np.ndarray:
+    """Which rows of a are near which of b. The products of a few rows are held at a time, a byte a pair is what stays."""
+    near = np.empty((len(a), len(b)), bool)
+    for i in range(0, len(a), rows):
+        np.greater_equal(a[i : i + rows] @ b.T, threshold, out=near[i : i + rows])
+    return near
+
+
 def earlier_neighbours(rows: DataFrame, key: str, threshold: float, vector: str, block: int = BLOCK) -> DataFrame:
     """key, i and j: positions of rows of a group of cosine threshold or more, j before i, without those that others lead to.
 
@@ -109,12 +117,13 @@ def earlier_neighbours(rows: DataFrame, key: str, threshold: float, vector: str,
         out: list[tuple] = []
         if not len(parts[1][0]):
             p, u = parts[0]
-            out = [(p[i], p[j]) for i, j in _reach(u @ u.T >= threshold)[0]]
+            out = [(p[i], p[j]) for i, j in _reach(_near(u, u, threshold))[0]]
         else:
             for (p, u), (q, v) in ((parts[0], parts[1]), (parts[1], parts[0])):
-                near = (u @ v.T >= threshold) & (q[None, :] < p[:, None])
+                near = _near(u, v, threshold)
+                near &= q[None, :] < p[:, None]
                 if near.any():
-                    out += [(p[i], q[j]) for i, j in _needed(_order_bits(near), _reach(v @ v.T >= threshold)[1])]
+                    out += [(p[i], q[j]) for i, j in _needed(_order_bits(near), _reach(_near(v, v, threshold))[1])]
         told = pd.DataFrame(out, columns=["i", "j"])
         told.insert(0, key, pd.Series([pdf[key].iloc[0]] * len(told), dtype=object))
         return told
@@ -127,17 +136,17 @@ def first_reached(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
     """key, i and first: the least place that i leads to along edges (key, i, j), j before i; its own where it has none.
 
     Every round takes the least of a row's own and its neighbours' places, and of the place that this place has come to,
-    so a chain halves in each round.
+    so a chain halves in each round. Both sides have a row for each row, so they are merged: a broadcast would send them through the driver each round.
     """
     edges = written(edges, "edges")
-    own = nodes.join(edges.groupBy(key, "i").agg(F.min("j").alias("j")), [key, "i"], "left")
+    own = nodes.join(edges.groupBy(key, "i").agg(F.min("j").alias("j")).hint("merge"), [key, "i"], "left")
     now = written(own.select(key, "i", F.coalesce("j", "i").alias("first")), "first")
     while True:
         at = now.select(key, F.col("i").alias("j"), F.col("first").alias("there"))
-        pulled = edges.join(at, [key, "j"]).groupBy(key, "i").agg(F.min("there").alias("pulled"))
+        pulled = edges.join(at.hint("merge"), [key, "j"]).groupBy(key, "i").agg(F.min("there").alias("pulled"))
         ahead = now.select(key, F.col("i").alias("first"), F.col("first").alias("jumped")).filter("first <> jumped")
         least = F.least("first", F.coalesce("pulled", "first"), F.coalesce("jumped", "first"))
-        after = now.join(pulled, [key, "i"], "left").join(ahead, [key, "first"], "left").select(key, "i", least.alias("first"), (least < F.col("first")).alias("moved"))
+        after = now.join(pulled.hint("merge"), [key, "i"], "left").join(ahead.hint("merge"), [key, "first"], "left").select(key, "i", least.alias("first"), (least < F.col("first")).alias("moved"))
         after = written(after, "first")
         if not after.filter("moved").limit(1).count():
             return after.select(key, "i", "first")
@@ -155,8 +164,8 @@ def greedy_groups(rows: DataFrame, key: str = "grp", threshold: float = 0.55, ve
     near = earlier_neighbours(held.filter(F.col(vector).isNotNull()), key, threshold, vector, block)
     first = first_reached(held.select(key, F.col("position").alias("i")), near, key)
     founders = ranked(first.filter("i = first").select(key, "first"), [F.col(key), F.col("first")], "_place")
-    number = founders.join(founders.groupBy(key).agg(F.min("_place").alias("_least")), key).select(key, "first", (F.col("_place") - F.col("_least")).cast("int").alias("cluster"))
-    return held.select(key, "id", "position", F.col("position").alias("i")).join(first.join(number, [key, "first"]), [key, "i"]).select(key, "id", "position", "cluster")
+    number = founders.join(founders.groupBy(key).agg(F.min("_place").alias("_least")).hint("merge"), key).select(key, "first", (F.col("_place") - F.col("_least")).cast("int").alias("cluster"))
+    return held.select(key, "id", "position", F.col("position").alias("i")).join(first.join(number.hint("merge"), [key, "first"]).hint("merge"), [key, "i"]).select(key, "id", "position", "cluster")
 
 
 def concept_groups(rows: DataFrame, key: str = "grp", threshold: float = 0.5) -> DataFrame:

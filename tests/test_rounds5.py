@@ -19,3 +19,28 @@ def test_terms_are_expanded_before_they_meet_their_rows(spark):
     ]
     # rows of ids with one term come out as they are: no aggregate stands over them
     assert plan_of(got).startswith("Union")
+
+
+def test_groups_of_rows_are_not_sent_through_the_driver(spark):
+    from quillspark.operators import graph as G
+
+    rows = spark.createDataFrame([("g", i, i, [1.0, float(i % 2)]) for i in range(6)], "grp string, id long, position long, embedding array<double>")
+    got = G.greedy_groups(rows, threshold=0.9)
+    assert {r["id"]: r["cluster"] for r in got.collect()} == {0: 0, 1: 1, 2: 0, 3: 1, 4: 0, 5: 1}
+    assert plan_of(got).count("strategy=merge") >= 2
+
+
+def test_a_block_holds_a_byte_a_pair(spark):
+    import tracemalloc
+
+    import numpy as np
+
+    from quillspark.operators import graph as G
+
+    u = G.units(np.random.default_rng(0).normal(size=(2048, 8)).tolist())
+    tracemalloc.start()
+    near = G._near(u, u, 0.6)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert near.nbytes == 2048 * 2048 and most < 4 * near.nbytes
+    assert (near == (u @ u.T >= 0.6)).all()
