@@ -44,3 +44,14 @@ def test_a_block_holds_a_byte_a_pair(spark):
     tracemalloc.stop()
     assert near.nbytes == 2048 * 2048 and most < 4 * near.nbytes
     assert (near == (u @ u.T >= 0.6)).all()
+
+
+def test_phrases_work_out_the_words_of_a_line_once(spark):
+    from quillspark.operators import lines as L
+
+    said = ["The Big cat-food's box", "big cat-food's BOX of big", "# Big cat", "the big"]
+    lines = spark.createDataFrame([("d", i, x) for i, x in enumerate(said)], "slug string, line_no int, text string")
+    got = L.phrases(lines, ("the",), 2)
+    assert {tuple(r) for r in got.collect()} == {("d", "big cat-food's", 2), ("d", "cat-food's box", 2), ("d", "big cat-food's box", 2)}
+    # once for the lines and once for their headings
+    assert plan_of(got).count("regexp_extract_all") == 2
