@@ -78,11 +78,13 @@ def phrase_digests(docs: DataFrame, denied: DataFrame, n: int = 4) -> DataFrame:
 
 
 def denied_phrases(docs: DataFrame, denied: DataFrame) -> DataFrame:
-    """Slug, n, digest and hits of phrases of every length of a denylist (n, digest) in documents (slug, text). Windows come out one by one."""
+    """Slug, n, digest and hits of phrases of every length of a denylist (n, digest) in documents (slug, text). Only the windows of one length are held in a row."""
     lengths = denied.agg(F.collect_set(F.col("n").cast("int")).alias("lengths"))  # a handful
     words = F.filter(F.split(T.loose(F.col("text")), " "), lambda w: w != "")
     each = docs.select("slug", words.alias("w")).join(F.broadcast(lengths)).select("slug", "w", F.explode("lengths").alias("n")).filter(F.size("w") >= F.col("n"))
-    windows = each.select("slug", "n", "w", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1)).alias("i")).select("slug", "n", F.sha2(F.array_join(F.slice("w", F.col("i"), F.col("n")), " "), 256).alias("digest"))
+    # windows are cut inside of the row: one that came out beside its words would copy all of them
+    cut = F.transform(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1), lambda i: F.array_join(F.slice("w", i, F.col("n")), " "))
+    windows = each.select("slug", "n", F.explode(cut).alias("window")).select("slug", "n", F.sha2("window", 256).alias("digest"))
     return windows.join(denied.select(F.col("n").cast("int").alias("n"), "digest").distinct(), ["n", "digest"]).groupBy("slug", "n", "digest").agg(F.count("*").alias("hits"))
 
 
