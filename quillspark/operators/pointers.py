@@ -200,11 +200,20 @@ def pointed(target: Column) -> Column:
     return F.aggregate(told, begin, _step, lambda s: F.struct(F.array_distinct(s["keys"]).alias("keys"), s["other"].alias("other"), s["more"].alias("more")))
 
 
+#: Kinds that a bare pointer hasn't, and what stands for a token of another kind or for "and" and "or" once a text is marked.
+NOT_BARE = ("ident", "other", "count", "open")
+PASSES = f"{_BEGIN}{_BETWEEN}(?i:and|or)?{_END}"
+
+
 def bare(target: Column) -> Column:
-    """Whether a pointer is its places and nothing else: place words, numbers, letters, ranges, "and", "or" and marks between them."""
-    told = tokens(F.coalesce(target, F.lit("")))
-    plain = F.forall(told, lambda t: ~t["kind"].isin("ident", "other", "count", "open") & ((t["kind"] != "word") | F.lower(t["text"]).isin("and", "or")))
-    return plain & F.regexp_replace(F.coalesce(target, F.lit("")), ANY, "").rlike(f"^{JOINT}$")
+    """Whether a pointer is its places and nothing else: place words, numbers, letters, ranges, "and", "or" and marks between them.
+
+    Two passes over the text: of a token only what may forbid it is kept, then tokens that pass go, and marks have to be left.
+    """
+    text, kinds = F.coalesce(target, F.lit("")), list(TOKENS)
+    kept = "".join(f"${kinds.index(k) + 1}" for k in NOT_BARE)
+    marked = F.regexp_replace(F.translate(text, _BEGIN + _BETWEEN + _END, "   "), ANY, f"{_BEGIN}{kept}{_BETWEEN}${kinds.index('word') + 1}{_END}")
+    return ~text.rlike(f"[{_BEGIN}-{_END}]") & F.regexp_replace(marked, PASSES, "").rlike(f"^{JOINT}$")
 
 
 def leading(text: Column) -> Column:

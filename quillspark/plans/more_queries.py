@@ -32,7 +32,7 @@ def d24_places(spark, sf):
 @query("""WITH t AS (SELECT l_orderkey * 10 + l_linenumber AS id, (l_orderkey + l_linenumber) % 10 AS k FROM lineitem) SELECT id, k IN (1, 2, 6, 8) AS bare FROM t""")
 def d25_bare(spark, sf):
     """Pointers that are their places and nothing else."""
-    rows = R.table(spark, sf, "lineitem").selectExpr("l_orderkey * 10 + l_linenumber AS id", f"{POINTERS} AS target")
+    rows = R.spread(R.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")).selectExpr("l_orderkey * 10 + l_linenumber AS id", f"{POINTERS} AS target")
     return rows.select("id", P.bare(F.col("target")).alias("bare"))
 
 

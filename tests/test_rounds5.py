@@ -74,3 +74,13 @@ def test_windows_do_not_copy_the_words_of_their_text(spark):
     assert sorted((r["slug"], r["n"], r["hits"]) for r in got.collect()) == [("d", 2, 2), ("d", 3, 1)]
     # windows are exploded, not the places where they begin
     assert "explode(sequence(" not in plan_of(got)
+
+
+def test_bare_pointers_are_told_in_two_passes(spark):
+    from quillspark.operators import pointers as P
+
+    asked = {"Section 5.2 to 5.5": True, "Appendices B, C and F; Annex 3": True, "1 OR (2)": True, "": True, None: True, "1\u0085": True, "see Section 5": False, "Table 4": False, "Section 4 onwards": False, "REQ-12": False, "1 \x01\x02\x03": False, "1 android": False}
+    df = spark.createDataFrame([(x,) for x in asked], "t string").select("t", P.bare(F.col("t")).alias("bare"))
+    assert {r["t"]: r["bare"] for r in df.collect()} == asked
+    # no array of tokens is made
+    assert "transform" not in plan_of(df)
