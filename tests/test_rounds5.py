@@ -84,3 +84,14 @@ def test_bare_pointers_are_told_in_two_passes(spark):
     assert {r["t"]: r["bare"] for r in df.collect()} == asked
     # no array of tokens is made
     assert "transform" not in plan_of(df)
+
+
+def test_readings_of_a_row_are_counted_where_they_are(spark):
+    from quillspark.operators import cells as K
+
+    labelled = spark.createDataFrame([(i, c, "addressed" if c in "AB" else "not_addressed") for i, c in enumerate("AABBCCDD")], "id long, cell string, verdict string")
+    said = [("m", i, "addressed") for i in range(8)] + [("m", 0, "partial"), ("n", 1, "addressed"), ("n", 2, None), ("n", 99, "addressed")]
+    got = K.cell_rates(labelled, spark.createDataFrame(said, "model string, id long, verdict string"), 2)
+    told = {r["model"]: (r["covered"], round(r["a"], 6), r["b"], r["c"], r["d"]) for r in got.collect()}
+    assert told == {"m": (8, 0.666667, 1.0, 0.0, 0.0), "n": (2, 1.0, 0.0, 0.0, 0.0)}
+    assert "distinct" not in plan_of(got).lower() and "RepartitionByExpression [id" in plan_of(got)
