@@ -95,3 +95,20 @@ def test_readings_of_a_row_are_counted_where_they_are(spark):
     told = {r["model"]: (r["covered"], round(r["a"], 6), r["b"], r["c"], r["d"]) for r in got.collect()}
     assert told == {"m": (8, 0.666667, 1.0, 0.0, 0.0), "n": (2, 1.0, 0.0, 0.0, 0.0)}
     assert "distinct" not in plan_of(got).lower() and "RepartitionByExpression [id" in plan_of(got)
+
+
+def test_passages_are_not_shuffled_once_a_question(spark):
+    from quillspark.plans.review import screened
+
+    class Says:
+        name = "says"
+
+        def ask(self, system, user):
+            return "discharges" if "yes" in user else "contributes" if "some" in user else "none"
+
+    asked = spark.createDataFrame([(1, "a"), (2, "a"), (3, "yes")], "id int, text string")
+    chunks = spark.createDataFrame([(10, "some"), (11, "yes"), (12, "some"), (13, None), (14, "yes")], "chunk_id int, text string")
+    got = screened(asked, chunks, Says(), 3)
+    once = [(11, 1), (14, 2), (10, 3)]
+    assert sorted((r["query_id"], r["chunk_id"], r["rank"]) for r in got.collect()) == sorted([(q, c, r) for q in (1, 2) for c, r in once] + [(3, c, i + 1) for i, c in enumerate((10, 11, 12))])
+    assert "first(user" not in plan_of(got)
