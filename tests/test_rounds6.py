@@ -53,3 +53,18 @@ def test_lines_are_cut_at_every_mark_by_a_literal(spark):
     # a split by a pattern of several marks costs three times the time
     plan = L.to_lines(docs)._jdf.queryExecution().optimizedPlan().toString()
     assert "split(" in plan and "|[" not in plan
+
+
+def test_modal_sentences_come_out_of_one_reading(spark):
+    text = "AB-12 Gates and\ndoors SHALL\nclose. They MAY NOT\topen; Then (all)\n(is) well. It\nMUST\n\nThe keeper shall:\n(a) watch the gate\nat night\n(b) sleep.\n\nNothing.\nIt SHOULD be\n# SHALL not\nIS REQUIRED; x.\nIt is"
+    got = L.candidates(spark.createDataFrame([(1, text), (2, "no word of it\nat all: none")], "slug int, text string"))
+    rows = {(r["line"], r["ref"], r["section"], r["modality_hint"], r["raw"], r["stem_line"]) for r in got.collect()}
+    front = "(front matter)"
+    assert rows == {
+        (1, "AB-12", front, "SHALL", "AB-12 Gates and doors SHALL close.", None), (3, "AB-12", front, "MAY NOT", "They MAY NOT\topen;", None), (4, "AB-12", front, "MUST", "It MUST", None),
+        (8, None, front, "SHALL", "The keeper shall: watch the gate at night", 7), (10, None, front, "SHALL", "The keeper shall: sleep.", 7),
+        (13, None, front, "SHOULD", "It SHOULD be", None), (15, None, "SHALL not", "SHALL", "IS REQUIRED; x.", None),
+    }
+    # one shuffle of the texts, no join, no second reading for the items under stems
+    plan = plan_of(got)
+    assert plan.count("Exchange") == 1 and "Join" not in plan and "Union" not in plan
