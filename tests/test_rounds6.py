@@ -68,3 +68,11 @@ def test_modal_sentences_come_out_of_one_reading(spark):
     # one shuffle of the texts, no join, no second reading for the items under stems
     plan = plan_of(got)
     assert plan.count("Exchange") == 1 and "Join" not in plan and "Union" not in plan
+
+
+def test_texts_without_a_modal_word_are_not_cut(spark):
+    got = L.candidates(spark.createDataFrame([(1, "Plain words. They\nmay open"), (2, "The gate\nMUST close")], "slug int, text string"))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    # the filter stands below the shuffle of texts and the cutting of lines
+    assert "RLIKE" in plan.split("RepartitionByExpression")[1].upper().replace("REPARTITIONBYEXPRESSION", "") and "Generate" not in plan.split("RepartitionByExpression")[1]
+    assert [(r["slug"], r["line"], r["raw"]) for r in got.collect()] == [(2, 1, "The gate MUST close")]
