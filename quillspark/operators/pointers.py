@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
+from quillspark.operators.durable import written
 
 # How places are written.
 NUMBER = r"\d+(?:\.\d+)*"
@@ -248,8 +249,14 @@ def under(key: Column, other: Column) -> Column:
 
 
 def with_places(rows: DataFrame, target: str = "target") -> DataFrame:
-    """rows with keys, other and more of pointed(). They come out of a generator, so that no later filter or projection folds a pointer twice."""
-    return rows.select("*", F.inline(F.array(pointed(F.col(target)))))
+    """rows with keys, other and more of pointed(). They come out of a generator, so that no later filter or projection folds a pointer twice.
+
+    A pointer is folded once, however many rows have it. The distinct ones are written, so that a pointer of very many rows is dealt to several tasks where it
+    meets them (a skewed join); rows are merged, never sent through the driver.
+    """
+    asked = rows.select(F.coalesce(target, F.lit("")).alias("_target")).distinct()
+    told = written(asked.select("_target", F.inline(F.array(pointed(F.col("_target"))))), "pointers")
+    return rows.withColumn("_target", F.coalesce(target, F.lit(""))).join(told.hint("merge"), "_target").drop("_target")
 
 
 def places(rows: DataFrame, target: str = "target") -> DataFrame:

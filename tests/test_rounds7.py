@@ -117,3 +117,18 @@ def test_pairs_of_runs_are_listed_by_the_last_join(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == sorted((*k, n) for k, n in wanted.items())
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan.split("Join")[0]  # nothing deals pairs out again
+
+
+def test_a_pointer_is_folded_once(spark):
+    from quillspark.operators import pointers as P
+
+    texts = ["Sections 5, 6, and 7", None, "Appendix II to IV", "Table 4", "Section 4 onwards", ""]
+    rows = spark.createDataFrame([(i, texts[i % 6]) for i in range(120)], "id int, target string")
+    got = P.with_places(rows)
+    assert got.columns == ["id", "target", "keys", "other", "more"]
+    each = {r["id"]: (r["target"], [tuple(k) for k in r["keys"]], r["other"], r["more"]) for r in got.collect()}
+    number = lambda kind, *of: [(kind, n) for n in of]
+    wanted = [number("section", "5", "6", "7"), [], number("appendix", "ii", "iii", "iv"), [], number("section", "4"), []]
+    assert each == {i: (texts[i % 6], wanted[i % 6], i % 6 == 3, i % 6 == 4) for i in range(120)}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" not in plan and "Join" in plan  # the fold is behind: rows meet what was told of distinct pointers
