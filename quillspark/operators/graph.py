@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from quillspark.functions import text as T
 from quillspark.operators.aggregates import ranked
@@ -168,6 +169,56 @@ def greedy_groups(rows: DataFrame, key: str = "grp", threshold: float = 0.55, ve
     return held.select(key, "id", "position", F.col("position").alias("i")).join(first.join(number.hint("merge"), [key, "first"]).hint("merge"), [key, "i"]).select(key, "id", "position", "cluster")
 
 
+def copied_groups(rows: DataFrame, vectors: DataFrame, key: str = "grp", threshold: float = 0.62, block: int = BLOCK, copies: int = 8) -> DataFrame:
+    """greedy_groups() of rows (key, id, position, label) by the vectors (label, embedding) of their labels: key, id, position, cluster. Copies of a label in a group
+    meet by their first ones, so the time grows with distinct labels. Rows whose label has no row in vectors are left out.
+
+    The least place that a label's copies lead to falls from copy to copy, and never below that of its component, the labels that chains of neighbours join in
+    any order. Where the first copies of a component all lead there, so do all later ones. Where they don't, the first 8 copies of its labels
+    are looked at, then 64 and so on; once the last ones that were looked at lead there, a later copy can't show another row anything new, and it leads there too.
+    """
+    size = F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double"))
+    alike = F.coalesce((size > 0) & (size < float("inf")) & F.lit(threshold < 1 - 1e-6), F.lit(False))  # else a row isn't even near its copies
+    vectors = written(vectors.select("label", "embedding", alike.alias("_alike")), "vectors")
+    told = rows.filter(F.col(key).isNotNull()).select(key, "id", "position", "label").join(vectors.select("label", "_alike").hint("merge"), "label")
+    told = told.withColumn("_n", F.row_number().over(W.partitionBy(key, "label").orderBy("position")))
+    # without a use for copies, each row is a label of its own
+    own = F.when(F.col("_alike"), F.lit(0).cast("long")).otherwise(F.col("position").cast("long"))
+    told = written(told.withColumn("_own", own).withColumn("_n", F.when(F.col("_alike"), F.col("_n")).otherwise(1)), "rows")
+    kinds = [key, "label", "_own"]
+
+    def reached(some: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """What earlier_neighbours() and first_reached() say of some rows: the neighbours, and (kinds, _n, first)."""
+        held = some.join(vectors.drop("_alike").hint("merge"), "label")
+        near = written(earlier_neighbours(held.filter(F.col("embedding").isNotNull()), key, threshold, "embedding", block), "near")
+        first = first_reached(some.select(key, F.col("position").alias("i")), near, key)
+        return near, written(some.withColumn("i", F.col("position")).join(first.hint("merge"), [key, "i"]).select(*kinds, "_n", "position", "first"), "reached")
+
+    near, now = reached(told.filter("_n = 1"))
+    to = now.select(key, F.col("position").alias("i"), "first")
+    ends = near.join(to.withColumnRenamed("first", "a").hint("merge"), [key, "i"]).join(to.select(key, F.col("i").alias("j"), F.col("first").alias("b")).hint("merge"), [key, "j"])
+    met = written(ends.filter("a <> b").select(key, F.col("a").alias("i"), F.col("b").alias("j")).distinct(), "met")
+    done = now.select(*kinds, "_n", "first")
+    if not met.isEmpty():
+        both = met.unionByName(met.select(key, F.col("j").alias("i"), F.col("i").alias("j"))).distinct()
+        least = first_reached(both.select(key, "i").distinct(), both, key).select(key, F.col("i").alias("first"), F.col("first").alias("least"))
+        sizes = told.groupBy(*kinds).agg(F.max("_n").alias("many"))
+        left = written(now.join(least, [key, "first"]).select(*kinds, "least").join(sizes.hint("merge"), kinds), "open")
+        done = now.select(*kinds, "_n", "first").join(left.select(*kinds), kinds, "left_anti")
+        while not left.isEmpty():
+            some = written(told.filter(F.col("_n") <= copies).join(left.select(*kinds, "least", "many"), kinds), "copies")
+            now = reached(some)[1].join(left, kinds)
+            more = now.filter((F.col("_n") == copies) & (F.col("many") > copies) & (F.col("first") > F.col("least"))).select(key, "least").distinct()
+            more = written(more, "more")
+            done = done.unionByName(now.join(more, [key, "least"], "left_anti").select(*kinds, "_n", "first"))
+            left, copies = written(left.join(more, [key, "least"], "left_semi").select(*left.columns), "open"), copies * 8
+    done = written(done, "done")
+    founders = ranked(done.select(key, "first").distinct(), [F.col(key), F.col("first")], "_place")
+    number = founders.join(founders.groupBy(key).agg(F.min("_place").alias("_least")).hint("merge"), key).select(key, "first", (F.col("_place") - F.col("_least")).cast("int").alias("cluster"))
+    lists = done.join(number.hint("merge"), [key, "first"]).groupBy(*kinds).agg(F.transform(F.sort_array(F.collect_list(F.struct("_n", "cluster"))), lambda x: x["cluster"]).alias("_c"))
+    return told.join(lists.hint("merge"), kinds).select(key, "id", "position", F.get("_c", F.least(F.col("_n"), F.size("_c")) - 1).alias("cluster"))
+
+
 def concept_groups(rows: DataFrame, key: str = "grp", threshold: float = 0.5) -> DataFrame:
     """The same by overlap of concept words with a cluster's growing union; rows without a concept word are dropped."""
     told = rows.select(key, "id", "position", T.concepts(F.col("label")).alias("words")).filter(F.size("words") > 0)

@@ -132,3 +132,34 @@ def test_a_pointer_is_folded_once(spark):
     assert each == {i: (texts[i % 6], wanted[i % 6], i % 6 == 3, i % 6 == 4) for i in range(120)}
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "aggregate(" not in plan and "Join" in plan  # the fold is behind: rows meet what was told of distinct pointers
+
+
+def test_copies_meet_by_their_first_ones(spark, monkeypatch):
+    from quillspark.operators import graph as G
+
+    seen, real = [], G.earlier_neighbours
+
+    def neighbours(rows, *more):
+        seen.append(rows.count())
+        return real(rows, *more)
+
+    monkeypatch.setattr(G, "earlier_neighbours", neighbours)
+    rnd = random.Random(5)
+    vector = {f"l{i}": [rnd.uniform(-1, 1) for _ in range(3)] for i in range(14)} | {"zero": [0.0] * 3, "none": None, "chain0": [1.0, 0.0, 0.0], "chain1": [1.0, 0.8, 0.0], "chain2": [0.1, 1.0, 0.0]}
+    # f: chain2 stands first, then chain0, and chain1 joins them: the second chain0 goes to chain2's cluster
+    rows = [("f", i, x) for i, x in enumerate(["chain2", "chain0", "chain1", "chain0", "zero", "zero", "none", "none"] + ["chain0", "chain1"] * 20)]
+    rows += [(g, i, rnd.choice(sorted(vector))) for g in "abcde" for i in range(60)]
+    unit = {k: [x / (sum(y * y for y in v) ** 0.5) for x in v] if v and any(v) else None for k, v in vector.items()}
+    near = lambda x, y: unit[x] is not None and unit[y] is not None and sum(a * b for a, b in zip(unit[x], unit[y], strict=True)) >= 0.62
+    wanted = {}
+    for g in "abcdef":
+        groups = []
+        for _, at, x in (r for r in rows if r[0] == g):
+            home = next((k for k, members in enumerate(groups) if any(near(x, y) for y in members)), len(groups))
+            groups += [set()] if home == len(groups) else []
+            groups[home].add(x)
+            wanted[g, at] = home
+    df = spark.createDataFrame([(g, i * 10, i, x) for g, i, x in rows] + [(None, 1, 1, "l1"), ("a", 999, 999, "unknown")], "grp string, id int, position int, label string")
+    got = G.copied_groups(df, spark.createDataFrame(list(vector.items()), "label string, embedding array<double>"), copies=2)
+    assert {(r["grp"], r["position"]): r["cluster"] for r in got.collect()} == wanted and wanted["f", 1] != wanted["f", 3]
+    assert len(seen) > 1 and seen[0] < 150  # 348 rows, of which the first round sees labels
